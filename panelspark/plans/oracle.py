@@ -112,3 +112,22 @@ predictions AS (
 def prediction_ctes() -> list[str]:
     """Panel -> raw (not imputed) features -> long predictions."""
     return [PANEL_CTE, features_cte("rawfeatures", imputed=False), PREDICTIONS_CTE]
+
+
+SUBJ_CTE = """
+sg_ AS (
+  SELECT subject_id,
+         CASE WHEN bool_or(grp = 'Converted') THEN 'Converted'
+              ELSE first(grp ORDER BY visit, visit_id) END AS participant_group
+  FROM panel GROUP BY subject_id),
+lpanel AS (SELECT p.*, s.participant_group FROM panel p JOIN sg_ s USING (subject_id))"""
+
+PANEL_COLUMNS = ["subject_id", "visit_id", "grp", "visit", "mr_delay", "sex", "hand", "age", "educ",
+                 "ses", "mmse", "cdr", "etiv", "nwbv", "asf", "synthetic"]
+
+
+def missing_audit_sql(table: str, columns: list[str]) -> str:
+    parts = [f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+             f"(SELECT count(*) FROM {table}) AS n_ FROM {table}" for c in columns]
+    return ("SELECT column_name, null_count, round(null_count * 100.0 / n_, 2) AS null_pct FROM ("
+            + " UNION ALL ".join(parts) + ") WHERE null_count > 0")

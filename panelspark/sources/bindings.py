@@ -34,7 +34,12 @@ def _visit_numbers(orders: DataFrame, customers: DataFrame) -> DataFrame:
         (F.sum("_n").over(running) - F.col("_n")).alias("_offset"),
         F.min("o_orderdate").over(by_cust).alias("first_date"),
     )
-    joined = orders.join(offsets, ["o_custkey", "o_orderdate"], "inner")
+    # Partition the order rows on (customer, day) explicitly: a window keyed (customer, day)
+    # would otherwise accept a partitioning on customer alone and undo the split.
+    # The per-day table is about as large as the orders, so a sort-merge join is the plan at
+    # any scale; the hint keeps small inputs from broadcasting the order rows instead.
+    joined = orders.repartition("o_custkey", "o_orderdate").join(
+        offsets.hint("merge"), ["o_custkey", "o_orderdate"], "inner")
     in_day = Window.partitionBy("o_custkey", "o_orderdate").orderBy("o_orderkey")
     return joined.withColumn("visit", (F.col("_offset") + F.row_number().over(in_day)).cast("int"))
 
