@@ -240,3 +240,60 @@ def q_metric_trajectories(spark, sf):
 SELECT subject_id, visit, mmse FROM panel WHERE subject_id IN (SELECT subject_id FROM panel WHERE grp = 'Converted')"""))
 def q_converter_trajectories(spark, sf):
     return coh.converter_trajectories(panel(spark, sf))
+
+
+# ── split (T1-T3, A11, P7) ───────────────────────────────────────────────────
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from panelspark.operators import split as spl  # noqa: E402
+
+FORCED = "(NOT coalesce(synthetic, false) AND cdr_worsened_after_v2 = 1)"
+SPLIT = BASE_SYN + [O.split_ctes("features", "split1", 0.2, FORCED, "test", "test", "train")]
+VSPLIT = SPLIT + [
+    "trainonly AS (SELECT * EXCLUDE (split) FROM split1 WHERE split = 'train')",
+    O.split_ctes("trainonly", "split2", 0.15, "false", "validation", "validation", "train"),
+]
+
+
+def split_features(spark, sf):
+    return spl.train_test_split(features(spark, sf, extra_static=("synthetic",)))
+
+
+@query("participant_features_synthetic", sql(*BASE_SYN, body="SELECT * FROM features"))
+def q_features_synthetic(spark, sf):
+    return features(spark, sf, extra_static=("synthetic",))
+
+
+@query("real_positive_mask", sql(*BASE_SYN, body=f"SELECT subject_id, coalesce({FORCED}, false) AS real_positive FROM features"))
+def q_real_positive_mask(spark, sf):
+    f = features(spark, sf, extra_static=("synthetic",))
+    return f.select("subject_id", F.coalesce(spl.real_positive_mask(f), F.lit(False)).alias("real_positive"))
+
+
+@query("stratified_split_forced", sql(*SPLIT, body="SELECT * FROM split1"))
+def q_stratified_split_forced(spark, sf):
+    return split_features(spark, sf)
+
+
+@query("train_validation_split", sql(*VSPLIT, body="SELECT * FROM split2"))
+def q_train_validation_split(spark, sf):
+    s = split_features(spark, sf)
+    return spl.train_validation_split(s.where("split = 'train'").drop("split"))
+
+
+@query("split_breakdown", sql(*SPLIT, body="""
+SELECT split, participant_group, count(*) AS n, count(*) FILTER (WHERE cdr_worsened_after_v2 = 1) AS n_label_1,
+       count(*) FILTER (WHERE cdr_worsened_after_v2 = 0) AS n_label_0
+FROM split1 GROUP BY ROLLUP (split, participant_group) HAVING split IS NOT NULL"""))
+def q_split_breakdown(spark, sf):
+    return spl.split_breakdown(split_features(spark, sf))
+
+
+@query("group_quotas", sql(*PANEL_ONLY, body="""
+SELECT n AS n_total, n - cast(floor(n * cast(0.2 AS double)) AS bigint) - cast(floor(n * cast(0.4 AS double)) AS bigint) AS n_nondemented,
+       cast(floor(n * cast(0.4 AS double)) AS bigint) AS n_demented, cast(floor(n * cast(0.2 AS double)) AS bigint) AS n_converted
+FROM (SELECT count(DISTINCT subject_id) AS n FROM panel)"""))
+def q_group_quotas(spark, sf):
+    n = panel(spark, sf).agg(F.count_distinct("subject_id").alias("n"))
+    return spl.group_quotas(n)

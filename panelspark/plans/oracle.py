@@ -131,3 +131,25 @@ def missing_audit_sql(table: str, columns: list[str]) -> str:
              f"(SELECT count(*) FROM {table}) AS n_ FROM {table}" for c in columns]
     return ("SELECT column_name, null_count, round(null_count * 100.0 / n_, 2) AS null_pct FROM ("
             + " UNION ALL ".join(parts) + ") WHERE null_count > 0")
+
+
+def split_ctes(src: str, name: str, frac: float, forced: str, salt: str, first: str, second: str,
+               seed: int = 42) -> str:
+    """Exact stratified split of ``src`` into CTE ``name`` (all columns + split)."""
+    p = name + "_"
+    return f"""
+{p}rest AS (SELECT *, md5('{seed}|{salt}|' || subject_id) AS h_ FROM {src} WHERE NOT coalesce({forced}, false)),
+{p}cnt AS (SELECT participant_group, count(*) AS n FROM {p}rest GROUP BY participant_group),
+{p}a AS (SELECT participant_group, n, sum(n) OVER () AS total_,
+                sum(n) OVER () - cast(ceil(cast({frac} AS double) * cast(sum(n) OVER () AS double)) AS bigint) AS ntr_
+         FROM {p}cnt),
+{p}b AS (SELECT *, (n * ntr_) // total_ AS fl_, (n * ntr_) % total_ AS rem_ FROM {p}a),
+{p}c AS (SELECT *, ntr_ - sum(fl_) OVER () AS short_,
+                row_number() OVER (ORDER BY rem_ DESC, participant_group) AS r_ FROM {p}b),
+{p}q AS (SELECT participant_group, n - (fl_ + CASE WHEN r_ <= short_ THEN 1 ELSE 0 END) AS quota FROM {p}c),
+{name} AS (
+  SELECT * EXCLUDE (h_, quota, rk_), CASE WHEN rk_ <= quota THEN '{first}' ELSE '{second}' END AS split
+  FROM (SELECT r.*, q.quota, row_number() OVER (PARTITION BY r.participant_group ORDER BY r.h_, r.subject_id) AS rk_
+        FROM {p}rest r JOIN {p}q q USING (participant_group))
+  UNION ALL
+  SELECT *, '{first}' AS split FROM {src} WHERE coalesce({forced}, false))"""
