@@ -721,3 +721,152 @@ SELECT participant_group, cdr, count(*) AS n,
 FROM lpanel WHERE visit = 1 GROUP BY participant_group, cdr"""))
 def q_baseline_cdr_frequencies(spark, sf):
     return aug.baseline_cdr_frequencies(panel(spark, sf))
+
+
+# ── model side (A13, A14, F6-F9, P5, P6, M1-M6) ──────────────────────────────
+
+from panelspark.models import boosted as bst  # noqa: E402
+from panelspark.models import jointembed as je  # noqa: E402
+
+TRAIN = SPLIT + ["train_ AS (SELECT * FROM split1 WHERE split = 'train')",
+                 "test_ AS (SELECT * FROM split1 WHERE split = 'test')"]
+
+
+def train_test(spark, sf):
+    s = split_features(spark, sf)
+    return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
+
+
+@query("class_weight", sql(*TRAIN, body="""
+SELECT count(*) FILTER (WHERE cdr_worsened_after_v2 = 0) AS n_negative, count(*) FILTER (WHERE cdr_worsened_after_v2 = 1) AS n_positive,
+       count(*) FILTER (WHERE cdr_worsened_after_v2 = 0)::double / count(*) FILTER (WHERE cdr_worsened_after_v2 = 1)::double AS class_weight
+FROM train_"""))
+def q_class_weight(spark, sf):
+    return feat.class_weight(train_test(spark, sf)[0])
+
+
+MOMENT_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round(avg({c}::double), 6) AS mean, round(stddev_samp({c}::double), 6) AS std FROM train_"
+    for c in feat.STANDARDISED_COLUMNS)
+
+
+@query("column_moments", sql(*TRAIN, body=MOMENT_SQL))
+def q_column_moments(spark, sf):
+    m = feat.column_moments(train_test(spark, sf)[0])
+    return m.select(F.col("column").alias("column_name"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("label_encode", sql(*TRAIN, body="""
+, codes_ AS (SELECT sex, dense_rank() OVER (ORDER BY sex) - 1 AS sex_encoded FROM (SELECT DISTINCT sex FROM train_ WHERE sex IS NOT NULL))
+SELECT s.subject_id, s.sex, c.sex_encoded FROM split1 s JOIN codes_ c USING (sex)"""))
+def q_label_encode(spark, sf):
+    tr, _ = train_test(spark, sf)
+    enc = feat.LabelEncoder("sex", "sex_encoded").fit(tr)
+    return enc.transform(split_features(spark, sf)).select("subject_id", "sex", F.col("sex_encoded").cast("long").alias("sex_encoded"))
+
+
+STD_SQL = ", ".join(
+    f"round(CASE WHEN (SELECT stddev_samp({c}::double) FROM train_) > 0 THEN ({c}::double - (SELECT avg({c}::double) FROM train_)) / "
+    f"(SELECT stddev_samp({c}::double) FROM train_) ELSE {c}::double END, 6) AS {c}" for c in feat.STANDARDISED_COLUMNS)
+
+
+@query("standardise", sql(*TRAIN, body=f"SELECT subject_id, split, {STD_SQL} FROM split1"))
+def q_standardise(spark, sf):
+    tr, _ = train_test(spark, sf)
+    std = feat.Standardiser().fit(tr)
+    out = std.transform(split_features(spark, sf))
+    return out.select("subject_id", "split", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in feat.STANDARDISED_COLUMNS])
+
+
+@query("feature_projection", sql(*BASE, body=f"SELECT subject_id, {', '.join(feat.NUMERIC_FEATURES + ['sex', 'handedness'])}, cdr_worsened_after_v2 FROM features"))
+def q_feature_projection(spark, sf):
+    return feat.visit_feature_projection(features(spark, sf))
+
+
+_MOD_ROWS = " UNION ALL ".join(
+    f"SELECT subject_id, '{name}' AS modality, {v} AS visit, {i + 1} AS pos, cast({c} AS float) AS value FROM enc_"
+    for name, (c1, c2) in feat.MODALITIES.items() for v, cols in ((1, c1), (2, c2)) for i, c in enumerate(cols))
+
+
+@query("modality_arrays", sql(*BASE, body=f"""
+, codes_ AS (SELECT sex, dense_rank() OVER (ORDER BY sex) - 1 AS sex_encoded FROM (SELECT DISTINCT sex FROM features WHERE sex IS NOT NULL)),
+enc_ AS (SELECT f.*, c.sex_encoded FROM features f JOIN codes_ c USING (sex))
+{_MOD_ROWS}"""))
+def q_modality_arrays(spark, sf):
+    f = features(spark, sf)
+    f = feat.LabelEncoder("sex", "sex_encoded").fit(f).transform(f)
+    arr = feat.modality_arrays(f)
+    cols = []
+    for name in feat.MODALITIES:
+        for v in (1, 2):
+            cols.append(F.struct(F.lit(name).alias("modality"), F.lit(v).alias("visit"), F.col(f"{name}_v{v}").alias("a")))
+    long = arr.select("subject_id", F.explode(F.array(*cols)).alias("m"))
+    return long.select("subject_id", "m.modality", "m.visit",
+                       F.posexplode("m.a").alias("p", "value")).select(
+        "subject_id", "modality", "visit", (F.col("p") + 1).alias("pos"), "value")
+
+
+@query("trajectory_change_table", sql(*BASE, body="""
+SELECT subject_id, participant_group, cast(mmse_v1 AS varchar) || ' -> ' || cast(mmse_v2 AS varchar) AS mmse_change,
+       cast(cdr_v1 AS varchar) || ' -> ' || cast(cdr_v2 AS varchar) AS cdr_change,
+       cast(nwbv_v1 AS varchar) || ' -> ' || cast(nwbv_v2 AS varchar) AS nwbv_change, cdr_worsened_after_v2
+FROM features"""))
+def q_trajectory_change_table(spark, sf):
+    return feat.trajectory_change_table(features(spark, sf))
+
+
+@query("delta_inspection", sql(*BASE, body="""
+SELECT subject_id, participant_group, mmse_delta_v1_v2, nwbv_delta_v1_v2, cdr_delta_v1_v2, age_delta_v1_v2, cdr_worsened_after_v2
+FROM features WHERE participant_group = 'Converted'"""))
+def q_delta_inspection(spark, sf):
+    return feat.delta_inspection(features(spark, sf), "Converted")
+
+
+@query("feature_build_report", sql(*PANEL_ONLY, O.ROLLUP_CTE.format(src="panel"), body="""
+, st_ AS (SELECT s.subject_id,
+                 CASE WHEN a.subject_id IS NULL OR b.subject_id IS NULL THEN 'no_v1_or_v2'
+                      WHEN f.subject_id IS NULL THEN 'no_followup' ELSE 'included' END AS status,
+                 cast(coalesce(f.max_after > b.cdr, false) AS integer) AS y
+          FROM subj_ s LEFT JOIN v1_ a USING (subject_id) LEFT JOIN v2_ b USING (subject_id) LEFT JOIN after_ f USING (subject_id))
+SELECT status, count(*) AS subjects, count(*) FILTER (WHERE status = 'included' AND y = 1) AS label_1,
+       count(*) FILTER (WHERE status = 'included' AND y = 0) AS label_0 FROM st_ GROUP BY status"""))
+def q_feature_build_report(spark, sf):
+    return feat.feature_build_report(panel(spark, sf))
+
+
+def boosted_model(spark, sf, **kw):
+    tr, te = train_test(spark, sf)
+    return bst.fit_boosted(tr, **kw), te
+
+
+@query("boosted_trees_score")
+def q_boosted_trees_score(spark, sf):
+    model, te = boosted_model(spark, sf)
+    return bst.score_boosted(model, te)
+
+
+@query("feature_importance_topk")
+def q_feature_importance_topk(spark, sf):
+    model, _ = boosted_model(spark, sf)
+    return bst.feature_importance_topk(model, 10)
+
+
+def joint_model(spark, sf):
+    tr_all, te = train_test(spark, sf)
+    v = spl.train_validation_split(tr_all)
+    tr, va = v.where("split = 'train'").drop("split"), v.where("split = 'validation'").drop("split")
+    w = feat.class_weight_value(tr)
+    (trp, [vap, tep]) = je.prepare_features(tr, [va, te])
+    return je.JointEmbeddingEstimator().fit(trp, vap, w), tep
+
+
+@query("joint_embedding_score")
+def q_joint_embedding_score(spark, sf):
+    model, tep = joint_model(spark, sf)
+    return model.transform(tep)
+
+
+@query("visit_embedding")
+def q_visit_embedding(spark, sf):
+    model, tep = joint_model(spark, sf)
+    return model.embeddings(tep, 1)
