@@ -617,11 +617,11 @@ PRIORS_VALUES = ", ".join(
     "(" + ", ".join([f"'{g}'"] + [repr(float(p[f])) for f in aug.PRIOR_FIELDS]) + ")" for g, p in aug.GROUP_PRIORS.items())
 BASELINE_CTE = f"""
 pri_ AS (SELECT * FROM (VALUES {PRIORS_VALUES}) t(participant_group, {", ".join(aug.PRIOR_FIELDS)})),
-gbase AS (
+gbase_raw AS (
   SELECT s.subject_index, s.subject_id, s.participant_group, s.n_visits,
          cast(floor({_clip(_nd("1|age", "age_mean", "age_std"), 60.0, 96.0)}) AS integer) AS age0,
-         round({_clip(_nd("1|mmse", "mmse_v1_mean", "mmse_v1_std"), 0.0, 30.0)}, 6) AS mmse0,
-         round({_clip(_nd("1|nwbv", "nwbv_v1_mean", "nwbv_v1_std"), 0.60, 0.85)}, 6) AS nwbv0,
+         {_clip(_nd("1|mmse", "mmse_v1_mean", "mmse_v1_std"), 0.0, 30.0)} AS mmse0,
+         {_clip(_nd("1|nwbv", "nwbv_v1_mean", "nwbv_v1_std"), 0.60, 0.85)} AS nwbv0,
          cast(floor({_clip(_nd("1|etiv", "etiv_mean", "etiv_std"), 1100.0, 1900.0)}) AS integer) AS etiv,
          round(1430.0 / floor({_clip(_nd("1|etiv", "etiv_mean", "etiv_std"), 1100.0, 1900.0)}), 3) AS asf,
          CASE WHEN s.participant_group = 'Demented'
@@ -631,8 +631,50 @@ gbase AS (
               ELSE 0.0 END AS cdr0,
          cast(floor({_clip(_nd("1|educ", "educ_mean", "educ_std"), 6.0, 23.0)}) AS integer) AS educ,
          {_clip("round_even(" + _nd("1|ses", "ses_mean", "ses_std") + ", 0)", 1.0, 5.0)} AS ses,
-         CASE WHEN {O.U("'42|' || subject_id || '|sex'")} < female_prob THEN 'F' ELSE 'M' END AS sex
-  FROM gsub s JOIN pri_ USING (participant_group))"""
+         CASE WHEN {O.U("'42|' || subject_id || '|sex'")} < female_prob THEN 'F' ELSE 'M' END AS sex,
+         mmse_annual_delta_mean AS mmu_, mmse_annual_delta_std AS msd_, nwbv_annual_delta_mean AS nmu_,
+         nwbv_annual_delta_std AS nsd_
+  FROM gsub s JOIN pri_ USING (participant_group)),
+gbase AS (SELECT subject_index, subject_id, participant_group, n_visits, age0, round(mmse0, 6) AS mmse0,
+                 round(nwbv0, 6) AS nwbv0, etiv, asf, cdr0, educ, ses, sex FROM gbase_raw)"""
+
+DRAWS_CTE = f"""
+gdraw_ AS (
+  SELECT subject_id, k,
+         cast(floor({_clip(_nd("' || k || '|interval", 730.0, 180.0), 365.0, 1460.0)}) AS integer) AS iv_,
+         {_nd("' || k || '|mmse_step", 0.0, 1.0)} AS zm_,
+         {_nd("' || k || '|nwbv_step", 0.0, 1.0)} AS zn_,
+         {O.U("'42|' || subject_id || '|' || k || '|cdr'")} AS uc_
+  FROM gsub, range(2, n_visits + 1) t(k)),
+walk_ AS (
+  WITH RECURSIVE w(subject_id, participant_group, n_visits, mmu_, msd_, nmu_, nsd_, visit, days, mmse, nwbv, cdr) AS (
+    SELECT subject_id, participant_group, n_visits, mmu_, msd_, nmu_, nsd_, 1, 0, mmse0, nwbv0, cdr0 FROM gbase_raw
+    UNION ALL
+    SELECT w.subject_id, w.participant_group, w.n_visits, w.mmu_, w.msd_, w.nmu_, w.nsd_, d.k, w.days + d.iv_,
+           least(greatest(w.mmse + w.mmu_ * (d.iv_::double / 365.0::double)
+                          + w.msd_ * sqrt(d.iv_::double / 365.0::double) * d.zm_, 0.0), 30.0),
+           least(greatest(w.nwbv + w.nmu_ * (d.iv_::double / 365.0::double)
+                          + w.nsd_ * sqrt(d.iv_::double / 365.0::double) * d.zn_, 0.60), 0.85),
+           CASE WHEN w.participant_group = 'Converted' THEN
+                     CASE WHEN w.cdr = 0.0 AND d.uc_ < 0.4::double + (d.k::double / w.n_visits::double) * 0.4::double THEN 0.5
+                          WHEN w.cdr >= 0.5 AND d.uc_ < 0.15::double AND w.cdr IN (0.0, 0.5, 1.0)
+                               THEN CASE w.cdr WHEN 0.0 THEN 0.5 WHEN 0.5 THEN 1.0 ELSE 2.0 END
+                          WHEN w.cdr >= 0.5 AND d.uc_ < 0.15::double AND w.cdr NOT IN (0.0, 0.5, 1.0, 2.0) THEN 1.0
+                          ELSE w.cdr END
+                WHEN w.participant_group = 'Demented' THEN
+                     CASE WHEN d.uc_ < 0.20::double AND w.cdr IN (0.0, 0.5, 1.0)
+                               THEN CASE w.cdr WHEN 0.0 THEN 0.5 WHEN 0.5 THEN 1.0 ELSE 2.0 END
+                          WHEN d.uc_ < 0.20::double AND w.cdr NOT IN (0.0, 0.5, 1.0, 2.0) THEN 1.0
+                          ELSE w.cdr END
+                ELSE CASE WHEN d.uc_ < 0.03::double THEN 0.5 ELSE w.cdr END END
+    FROM w JOIN gdraw_ d ON d.subject_id = w.subject_id AND d.k = w.visit + 1)
+  SELECT * FROM w),
+gpanel AS (
+  SELECT w.subject_id, w.subject_id || '_MR' || cast(w.visit AS varchar) AS visit_id, w.participant_group AS grp,
+         cast(w.visit AS integer) AS visit, cast(w.days AS integer) AS mr_delay, b.sex, 'R' AS hand,
+         cast(b.age0 + cast(floor(w.days / 365) AS integer) AS integer) AS age, b.educ, b.ses,
+         round(w.mmse, 1) AS mmse, w.cdr, b.etiv, round(w.nwbv, 3) AS nwbv, b.asf, true AS synthetic
+  FROM walk_ w JOIN gbase_raw b USING (subject_id))"""
 GEN = [O.PANEL_CTE, N_CTE, SUBJECTS_CTE]
 
 
@@ -670,17 +712,20 @@ def q_generate_visit_times(spark, sf):
                     F.sum("interval_days").over(w).cast("int").alias("cumulative_days"))
 
 
-@query("generate_panel")
+@query("generate_panel", sql(*GEN, BASELINE_CTE, DRAWS_CTE, body="SELECT * FROM gpanel"))
 def q_generate_panel(spark, sf):
     return aug.generate_panel(spark, n_subjects(spark, sf))
 
 
-@query("union_real_generated")
+@query("union_real_generated", sql(*GEN, BASELINE_CTE, DRAWS_CTE, body="""
+SELECT subject_id, visit_id, grp, visit, mr_delay, sex, hand, age, educ, ses, mmse, cdr, etiv, nwbv, asf, false AS synthetic FROM panel
+UNION ALL SELECT * FROM gpanel"""))
 def q_union_real_generated(spark, sf):
     return aug.union_real_generated(panel(spark, sf), aug.generate_panel(spark, n_subjects(spark, sf)))
 
 
-@query("group_row_counts_augmented")
+@query("group_row_counts_augmented", sql(*GEN, BASELINE_CTE, DRAWS_CTE, body="""
+SELECT grp, count(*) AS n_rows FROM (SELECT grp FROM panel UNION ALL SELECT grp FROM gpanel) WHERE grp IS NOT NULL GROUP BY grp"""))
 def q_group_row_counts_augmented(spark, sf):
     """A2 on the augmented panel (real rows flagged, generated rows appended)."""
     return prof.group_row_counts(aug.union_real_generated(panel(spark, sf), aug.generate_panel(spark, n_subjects(spark, sf))))
