@@ -340,13 +340,10 @@ class JointEmbeddingEstimator:
                 yield pd.DataFrame({"n": [len(pdf)], "steps": [t - t0], "loss": [loss_sum],
                                     "state": [np.concatenate([flatten(w), m, v]).tobytes()]})
 
-            parts_out = tr.mapInPandas(train_part, "n long, steps long, loss double, state binary").collect()
-            tot = sum(r["n"] for r in parts_out)
-            # partition states, summed in a fixed order so reruns repeat bit for bit
-            parts_out = sorted(parts_out, key=lambda r: r["state"][:64])
-            state = sum(np.frombuffer(r["state"], dtype=np.float64) * (r["n"] / tot) for r in parts_out)
-            step_count += max(r["steps"] for r in parts_out)
-            train_loss = sum(r["loss"] for r in parts_out) / tot
+            outs = tr.mapInPandas(train_part, "n long, steps long, loss double, state binary")
+            state, steps, loss_sum, tot = self._average(outs, parts)
+            step_count += steps
+            train_loss = loss_sum / tot
             val_loss = self._val_loss(va, state[:N_PARAMS], pos_weight)
             history.append((epoch + 1, train_loss, val_loss, lr))
             if val_loss < sched_best * (1 - 1e-4):
@@ -364,6 +361,47 @@ class JointEmbeddingEstimator:
         return JointEmbeddingModel(unflatten(best_state if best_state is not None else state[:N_PARAMS]),
                                    history=history)
 
+    @staticmethod
+    def _average(outs: DataFrame, parts: int, collect_limit: int = 64, blocks: int = 32):
+        """Row-weighted mean of the partition states.  Up to ``collect_limit`` partitions the
+        states are collected (each ~255 KB); above it each state is cut into ``blocks`` slices
+        and every slice is summed on an executor (groupBy(block)), so the driver receives one
+        summed state, not one per partition.  Sums run in a fixed order, so reruns repeat."""
+        if parts <= collect_limit:
+            rows = sorted(outs.collect(), key=lambda r: r["state"][:64])
+            tot = sum(r["n"] for r in rows)
+            state = sum(np.frombuffer(r["state"], dtype=np.float64) * (r["n"] / tot) for r in rows)
+            return state, max(r["steps"] for r in rows), sum(r["loss"] for r in rows), tot
+        outs = outs.persist()
+        try:
+            agg = outs.agg(F.sum("n").alias("n"), F.max("steps").alias("steps"), F.sum("loss").alias("loss")).first()
+            tot = agg["n"]
+            size = 3 * N_PARAMS
+            edges = np.linspace(0, size, blocks + 1).astype(int)
+
+            def cut(it):
+                import pandas as pd
+                for pdf in it:
+                    for n, st in zip(pdf["n"], pdf["state"]):
+                        v = np.frombuffer(st, dtype=np.float64) * (n / tot)
+                        for b in range(blocks):
+                            yield pd.DataFrame({"block": [b], "key": [st[:64]],
+                                                "part": [v[edges[b]:edges[b + 1]].tobytes()]})
+
+            def add(pdf):
+                import pandas as pd
+                pdf = pdf.sort_values("key")
+                total = sum(np.frombuffer(x, dtype=np.float64) for x in pdf["part"])
+                return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "part": [total.tobytes()]})
+
+            sliced = outs.mapInPandas(cut, "block int, key binary, part binary")
+            summed = sliced.groupBy("block").applyInPandas(add, "block int, part binary").collect()
+            state = np.concatenate([np.frombuffer(r["part"], dtype=np.float64)
+                                    for r in sorted(summed, key=lambda r: r["block"])])
+            return state, agg["steps"], agg["loss"], tot
+        finally:
+            outs.unpersist()
+
     @staticmethod
     def _val_loss(va: DataFrame, flat: np.ndarray, pos_weight: float) -> float:
         bc = va.sparkSession.sparkContext.broadcast(flat)

@@ -100,3 +100,13 @@ def test_joint_embedding_learns_planted_signal(spark):
     model = je.JointEmbeddingEstimator(epochs=40, patience=8).fit(tr, va, 1.0)
     auc = ev.auc_roc(model.transform(te)).first()["auc_roc"]
     assert auc > 0.8
+
+
+def test_state_average_blockwise_equals_collect(spark):
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    rows = [(int(n), 2, float(rng.random()), rng.normal(size=3 * je.N_PARAMS).tobytes()) for n in (5, 9, 2, 11)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["n", "steps", "loss", "state"]))
+    a = je.JointEmbeddingEstimator._average(df, parts=4, collect_limit=64)
+    b = je.JointEmbeddingEstimator._average(df, parts=4, collect_limit=0, blocks=7)
+    assert np.allclose(a[0], b[0], rtol=0, atol=1e-12) and a[1:] == b[1:]
