@@ -51,13 +51,14 @@ def with_weights(train: DataFrame) -> tuple[DataFrame, float]:
 
 
 def fit_boosted(train: DataFrame, **kw) -> PipelineModel:
-    """M1: fit on the training frame (persisted once: boosting reads it every round)."""
+    """M1: fit on the training frame.  Boosting reads it every round, so it is written once to
+    the shared checkpoint folder: the rounds scan a plain file instead of re-running the
+    feature / split lineage, and a lost executor does not recompute it."""
+    from panelspark.session import checkpoint_dir
+    checkpoint_dir(train.sparkSession)
     weighted, _ = with_weights(train)
-    weighted = weighted.withColumn(LABEL, F.col(LABEL).cast("double")).persist()
-    try:
-        return boosted_pipeline(**kw).fit(weighted)
-    finally:
-        weighted.unpersist()
+    weighted = weighted.withColumn(LABEL, F.col(LABEL).cast("double")).checkpoint()
+    return boosted_pipeline(**kw).fit(weighted)
 
 
 def score_boosted(model: PipelineModel, df: DataFrame, model_name: str = "boosted") -> DataFrame:
