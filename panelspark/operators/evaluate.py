@@ -26,7 +26,7 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
     )
 
 
-def score_points(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
+def score_points(pred: DataFrame, n_buckets: int = 64, materialize: bool = True) -> DataFrame:
     """Per (model, distinct score): pos, neg, and pos_above / neg_above = counts at strictly
     higher scores, plus the (pos, neg) of the next lower distinct score (NULL on the last).
 
@@ -37,6 +37,12 @@ def score_points(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
     y = F.col(Y)
     d = pred.where(F.col(SCORE).isNotNull()).groupBy(MODEL, SCORE).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    if materialize:
+        # read three times below (bounds, bucket totals, in-bucket sums): write it once to the
+        # shared checkpoint folder so the upstream plan runs once
+        from panelspark.session import checkpoint_dir
+        checkpoint_dir(d.sparkSession)
+        d = d.checkpoint()
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = d.groupBy(MODEL).agg(F.percentile_approx(SCORE, probs, 10000).alias("_bounds"))
     # one row per model (the models compared): small, broadcast

@@ -49,6 +49,11 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, stratum: str = G
     rest, an exact ``test_fraction`` per stratum (by the quotas above) goes to ``first`` too."""
     f = forced if forced is not None else F.lit(False)
     d = df.withColumn("_forced", F.coalesce(f, F.lit(False)))
+    # read four times (quotas, the two selection branches, forced rows): one row per subject,
+    # written once to the shared checkpoint folder so the upstream plan runs once
+    from panelspark.session import checkpoint_dir
+    checkpoint_dir(d.sparkSession)
+    d = d.checkpoint()
     rest = d.where(~F.col("_forced"))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), F.col(id_col).cast("string")))
     rest = rest.withColumn("_h", h)

@@ -86,19 +86,19 @@ PREDICTION_MODELS = ("text", "boosted", "joint")
 
 def predictions(features: DataFrame) -> DataFrame:
     """Long prediction table (model, subject_id, participant_group, y, yhat, score) with a
-    hard-label ``text`` model and two scored models with tied scores."""
-    base = features.select("subject_id", "participant_group", F.col("cdr_worsened_after_v2").alias("y"))
-    y = F.col("y")
-    u_text = keyed_uniform("text", F.col("subject_id"))
+    hard-label ``text`` model and two scored models with tied scores.
+
+    One pass over the features: each row emits one struct per model and ``inline`` expands
+    them, so the feature plan is not repeated per model (as a union of selects would do).
+    """
+    y = F.col("cdr_worsened_after_v2")
+    sid = F.col("subject_id")
+    u_text = keyed_uniform("text", sid)
     hard = F.when(u_text < F.lit(0.4) + F.lit(0.2) * y, 1).otherwise(0)
-    text = base.select(F.lit("text").alias("model"), "subject_id", "participant_group", "y",
-                       hard.alias("yhat"), hard.cast("double").alias("score"))
-    out = [text]
+    rows = [F.struct(F.lit("text").alias("model"), hard.alias("yhat"), hard.cast("double").alias("score"))]
     for m in ("boosted", "joint"):
-        s = F.floor((F.lit(0.7) * keyed_uniform(m, F.col("subject_id")) + F.lit(0.3) * y) * 1000) / F.lit(1000.0)
-        out.append(base.select(F.lit(m).alias("model"), "subject_id", "participant_group", "y",
-                               F.when(s >= 0.5, 1).otherwise(0).alias("yhat"), s.cast("double").alias("score")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+        s = F.floor((F.lit(0.7) * keyed_uniform(m, sid) + F.lit(0.3) * y) * 1000) / F.lit(1000.0)
+        rows.append(F.struct(F.lit(m).alias("model"), F.when(s >= 0.5, 1).otherwise(0).alias("yhat"),
+                             s.cast("double").alias("score")))
+    out = features.select("subject_id", "participant_group", y.alias("y"), F.inline(F.array(*rows)))
+    return out.select("model", "subject_id", "participant_group", "y", "yhat", "score")
