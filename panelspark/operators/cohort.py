@@ -74,6 +74,20 @@ def converter_summary(panel: DataFrame, spec: PanelSpec = PANEL, converted: str
         (F.col("_f.m") - F.col("_l.m")).alias("mmse_drop_baseline_to_final"))
 
 
+def first_last_visit(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
+    """First and last visit of every subject in (visit, visit_id) order, via min_by/max_by
+    (partial aggregation, no sort of the trajectory)."""
+    order = F.struct(F.col(spec.visit), F.col(spec.visit_id))
+    row = F.struct(F.col(spec.visit).alias("visit"), F.col(spec.visit_id).alias("visit_id"),
+                   F.col(spec.mmse).alias("mmse"), F.col(spec.cdr).alias("cdr"))
+    agg = panel.groupBy(spec.subject).agg(F.min_by(row, order).alias("_f"), F.max_by(row, order).alias("_l"))
+    return agg.select(F.col(spec.subject).alias("subject_id"),
+                      F.col("_f.visit").alias("first_visit"), F.col("_f.visit_id").alias("first_visit_id"),
+                      F.col("_f.mmse").alias("first_mmse"), F.col("_f.cdr").alias("first_cdr"),
+                      F.col("_l.visit").alias("last_visit"), F.col("_l.visit_id").alias("last_visit_id"),
+                      F.col("_l.mmse").alias("last_mmse"), F.col("_l.cdr").alias("last_cdr"))
+
+
 def _visit_bucket(spec: PanelSpec, width: int):
     return F.floor(F.col(spec.visit) / F.lit(width)).cast("long")
 

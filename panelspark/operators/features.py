@@ -86,6 +86,41 @@ def participant_features(panel: DataFrame, spec: PanelSpec = PANEL, first: int =
     return r.select(*cols)
 
 
+def features_wide(panel: DataFrame, spec: PanelSpec = PANEL, first: int = 1, second: int = 2) -> DataFrame:
+    """one row per subject with both visit numbers: visit-1 / visit-2 fields, the visit-2
+    delay and the static fields (no label requirement)."""
+    r = subject_rollup(panel, spec, first, second).where(F.col("_v1").isNotNull() & F.col("_v2").isNotNull())
+    a, b = F.col("_v1"), F.col("_v2")
+    cols = [F.col(spec.subject).alias("subject_id"), F.col(GROUP)]
+    cols += [a[src].alias(f"{stem}_v1") for src, stem in VISIT_FIELDS]
+    cols += [b[src].alias(f"{stem}_v2") for src, stem in VISIT_FIELDS]
+    cols += [b["delay"].alias("mr_delay_v2"), a["educ"].alias("education_years"), a["ses"].alias("ses"),
+             a["sex"].alias("sex"), a["hand"].alias("handedness")]
+    return r.select(*cols)
+
+
+def delta_features(wide: DataFrame) -> DataFrame:
+    """visit-2 minus visit-1 for MMSE, nWBV, CDR and age (NULL propagates)."""
+    return wide.select("*", *[(F.col(f"{c}_v2") - F.col(f"{c}_v1")).alias(f"{c}_delta_v1_v2")
+                              for c in ("mmse", "nwbv", "cdr", "age")])
+
+
+def worsened_after_cutoff(panel: DataFrame, spec: PanelSpec = PANEL, cutoff: int = 2,
+                          horizon: int | None = None) -> DataFrame:
+    """per subject with a visit ``cutoff`` and at least one later visit: 1 if the maximum
+    severity after the cutoff exceeds the severity at the cutoff, else 0 (NULLs give 0)."""
+    v = F.col(spec.visit)
+    after = v > cutoff if horizon is None else (v > cutoff) & (v <= horizon)
+    at = F.min_by(F.col(spec.cdr), F.when(v == cutoff, F.col(spec.visit_id)))
+    has = F.count_if(v == cutoff)
+    agg = panel.groupBy(spec.subject).agg(at.alias("_at"), has.alias("_has"),
+                                          F.max(F.when(after, F.col(spec.cdr))).alias("_max"),
+                                          F.count_if(after).alias("_n"))
+    return agg.where((F.col("_has") > 0) & (F.col("_n") > 0)).select(
+        F.col(spec.subject).alias("subject_id"),
+        F.coalesce(F.col("_max") > F.col("_at"), F.lit(False)).cast("int").alias(LABEL))
+
+
 def feature_build_report(panel: DataFrame, spec: PanelSpec = PANEL, **kw) -> DataFrame:
     """Subjects per status and, for included subjects, per label value."""
     r = subject_rollup(panel, spec, **kw)
