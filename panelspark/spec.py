@@ -38,6 +38,10 @@ class PanelSpec:
 
 PANEL = PanelSpec()
 
+# The events binding keeps the table's own names; only the roles are mapped.
+EVENTS = PanelSpec(subject="user_id", visit_id="event_id", group="event_type", visit="visit", delay="day",
+                   mmse="value", cdr="value", nwbv="value")
+
 PANEL_SCHEMA = T.StructType(
     [
         T.StructField("subject_id", T.StringType(), False),
