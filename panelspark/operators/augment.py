@@ -15,6 +15,7 @@ from panelspark.functions.exprs import clip, keyed_uniform, normal_draw
 from panelspark.operators.ranking import positions
 from panelspark.spec import GROUP, PANEL, PanelSpec
 from panelspark.operators.cohort import subject_group
+from panelspark.operators.small import bounded
 
 SEED = 42
 
@@ -107,7 +108,7 @@ def _draw(seed: int, sid: Column, visit, name: str, mean, std) -> Column:
 def generate_baseline(subjects: DataFrame, priors: DataFrame, seed: int = SEED) -> DataFrame:
     """Clipped normal baseline draws; ints truncate like Python ``int``."""
     sid = F.col("subject_id")
-    s = subjects.join(F.broadcast(priors), GROUP, "inner")   # priors: one row per group
+    s = subjects.join(bounded(priors), GROUP, "inner")   # priors: one row per group, checked
     etiv = F.floor(clip(_draw(seed, sid, F.lit(1), "etiv", F.col("etiv_mean"), F.col("etiv_std")), 1100.0, 1900.0)).cast("int")
     return s.select(
         "subject_index", "subject_id", GROUP, "n_visits",

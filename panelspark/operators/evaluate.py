@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.exprs import softplus
+from panelspark.operators.small import bounded
 
 MODEL, Y, YHAT, SCORE = "model", "y", "yhat", "score"
 
@@ -45,8 +46,8 @@ def score_points(pred: DataFrame, n_buckets: int = 64, materialize: bool = True)
         d = d.checkpoint()
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = d.groupBy(MODEL).agg(F.percentile_approx(SCORE, probs, 10000).alias("_bounds"))
-    # one row per model (the models compared): small, broadcast
-    d = d.join(F.broadcast(bounds), MODEL, "inner")
+    # one row per model: broadcast after the size check
+    d = d.join(bounded(bounds), MODEL, "inner")
     d = d.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(SCORE)))).drop("_bounds")
     top = F.max_by(F.struct("pos", "neg"), SCORE)
     bt = d.groupBy(MODEL, "_b").agg(F.sum("pos").alias("_bpos"), F.sum("neg").alias("_bneg"), top.alias("_top"))
@@ -56,8 +57,8 @@ def score_points(pred: DataFrame, n_buckets: int = 64, materialize: bool = True)
                    F.coalesce(F.sum("_bpos").over(above), F.lit(0)).alias("_pa"),
                    F.coalesce(F.sum("_bneg").over(above), F.lit(0)).alias("_na"),
                    F.lead("_top").over(wb).alias("_next_top"))
-    # (model, bucket) table: n_models * n_buckets rows, broadcast
-    j = d.repartition(MODEL, "_b").join(F.broadcast(bt), [MODEL, "_b"], "inner")
+    # (model, bucket) table: at most n_models * n_buckets rows, broadcast after the size check
+    j = d.repartition(MODEL, "_b").join(bounded(bt), [MODEL, "_b"], "inner")
     wi = Window.partitionBy(MODEL, "_b").orderBy(F.desc(SCORE))
     before = wi.rowsBetween(Window.unboundedPreceding, -1)
     nxt = F.lead(F.struct("pos", "neg")).over(wi)
@@ -84,7 +85,8 @@ def roc_points(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
     point (threshold NULL, 0, 0)."""
     pts = score_points(pred, n_buckets)
     tot = pts.groupBy(MODEL).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    j = pts.join(F.broadcast(tot), MODEL, "inner")
+    tot = bounded(tot)
+    j = pts.join(tot, MODEL, "inner")
     first = (F.col("pos_above") == 0) & (F.col("neg_above") == 0)
     last = F.col("_next").isNull()
     same = (F.col("_next.pos") == F.col("pos")) & (F.col("_next.neg") == F.col("neg"))
@@ -149,7 +151,7 @@ def roc_curve_table(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
     pts = roc_points(pred, n_buckets)
     auc = roc_auc_trapezoid(pred, n_buckets)
     label = F.concat(F.col(MODEL), F.lit(" (AUC = "), F.format_string("%.3f", F.col("auc_trapezoid")), F.lit(")"))
-    return pts.join(F.broadcast(auc.select(MODEL, label.alias("label"))), MODEL, "inner")
+    return pts.join(bounded(auc.select(MODEL, label.alias("label"))), MODEL, "inner")
 
 
 def threshold_labels(df: DataFrame, score: str = SCORE, threshold: float = 0.5, out: str = "yhat") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelspark.operators.cohort import panel_with_subject_group, subject_group
+from panelspark.operators.small import bounded
 from panelspark.spec import GROUP, PANEL, PanelSpec
 
 
@@ -111,8 +112,8 @@ def baseline_box_stats(panel: DataFrame, metrics=("mmse", "nwbv"), spec: PanelSp
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col("value")
-    # the quartile table has one row per (group, metric): small, joined back by broadcast
-    j = long.join(F.broadcast(q), [GROUP, "metric"], "inner")
+    # the quartile table has one row per (group, metric): broadcast after the size check
+    j = long.join(bounded(q), [GROUP, "metric"], "inner")
     return j.groupBy(GROUP, "metric", "n", "q1", "median", "q3").agg(
         F.min(F.when(v >= lo, v)).alias("whisker_low"),
         F.max(F.when(v <= hi, v)).alias("whisker_high"),

