@@ -81,6 +81,4 @@ def test_bounded_broadcast_fallback(spark):
     from panelspark.operators.small import bounded
     df = spark.range(10)
     assert bounded(df, 100).count() == 10
-    assert "BroadcastExchange" not in bounded(df, 5).join(spark.range(3), "id")._jdf.queryExecution().executedPlan().toString() \
-        or True
     assert bounded(df, 5) is df          # above the bound: untouched, the planner decides
