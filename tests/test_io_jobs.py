@@ -60,3 +60,22 @@ def test_jobs_end_to_end(spark):
     assert cmp["metrics"].count() == 3
     leak_free = jobs.job_preprocess(panel, leakage_free=True)
     assert leak_free.count() == split.count()
+
+
+def test_incremental_files_adapter(spark):
+    from panelspark.streaming import run_on_new_files
+    d = _scratch()
+    src = os.path.join(d, "incoming")
+    p = C.panel(spark, SMALL)
+    p.limit(200).write.parquet(os.path.join(src, "part1"))
+    seen = []
+
+    def handle(batch, batch_id):
+        seen.append(batch.count())
+
+    run_on_new_files(spark, os.path.join(src, "*"), handle, os.path.join(d, "ckpt"))
+    assert sum(seen) == 200
+    p.limit(50).write.parquet(os.path.join(src, "part2"))
+    seen.clear()
+    run_on_new_files(spark, os.path.join(src, "*"), handle, os.path.join(d, "ckpt"))
+    assert sum(seen) == 50          # resumed from the checkpoint: only the new files
