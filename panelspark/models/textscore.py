@@ -34,12 +34,26 @@ def mmse_rule_predictor_factory() -> Predictor:
     return predict
 
 
+def _exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
+
+
 def score_prompts(prompts: DataFrame, factory: Callable[[], Predictor] = mmse_rule_predictor_factory,
                   prompt_col: str = "prompt", batch_size: int = 64, pause: float = 0.0,
-                  partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
-    """(prompt_hash, response) for each distinct prompt of ``prompts``."""
+                  partitions: int | None = None, checkpoint: bool = True, store: str | None = None) -> DataFrame:
+    """(prompt_hash, response) for each distinct prompt of ``prompts``.
+
+    With ``store`` (a parquet folder on shared storage) answers are kept keyed by prompt hash:
+    prompts already answered are anti-joined away, only new ones reach the predictor, and
+    their answers are appended - a rerun after a failure does not call the predictor again.
+    """
     distinct = prompts.select(F.sha2(F.col(prompt_col), 256).alias("prompt_hash"), F.col(prompt_col).alias("prompt")) \
         .dropDuplicates(["prompt_hash"])
+    spark = prompts.sparkSession
+    if store and _exists(spark, store):
+        distinct = distinct.join(spark.read.parquet(store).select("prompt_hash"), "prompt_hash", "left_anti")
     if partitions:
         distinct = distinct.repartition(partitions, "prompt_hash")
 
@@ -56,6 +70,10 @@ def score_prompts(prompts: DataFrame, factory: Callable[[], Predictor] = mmse_ru
             yield pd.DataFrame({"prompt_hash": pdf["prompt_hash"], "response": responses})
 
     scored = distinct.mapInPandas(run, "prompt_hash string, response string")
+    if store:
+        scored.write.mode("append").parquet(store)
+        return spark.read.parquet(store).join(distinct.select("prompt_hash").unionByName(
+            prompts.select(F.sha2(F.col(prompt_col), 256).alias("prompt_hash"))).distinct(), "prompt_hash", "left_semi")
     return scored.checkpoint() if checkpoint else scored
 
 

@@ -79,3 +79,30 @@ def test_incremental_files_adapter(spark):
     seen.clear()
     run_on_new_files(spark, os.path.join(src, "*"), handle, os.path.join(d, "ckpt"))
     assert sum(seen) == 50          # resumed from the checkpoint: only the new files
+
+
+def test_text_scoring_store_skips_answered_prompts(spark):
+    from panelspark.models import textscore
+    calls = []
+
+    def counting_factory():
+        inner = textscore.mmse_rule_predictor_factory()
+
+        def predict(prompts):
+            calls.append(len(prompts))
+            return inner(prompts)
+        return predict
+
+    store = os.path.join(_scratch(), "responses")
+    f = C.features(spark, SMALL)
+    first = textscore.score_text_batch(f, counting_factory, store=store).select("subject_id", "text_prediction")
+    a = {r[0]: r[1] for r in first.collect()}
+    def refusing_factory():
+        def predict(prompts):
+            if prompts:
+                raise AssertionError("predictor called for an answered prompt")
+            return []
+        return predict
+
+    again = textscore.score_text_batch(f, refusing_factory, store=store).select("subject_id", "text_prediction")
+    assert {r[0]: r[1] for r in again.collect()} == a
