@@ -1,1059 +1,17 @@
 """The registered queries: Spark implementation + equivalent SQL oracle (where SQL can say it).
 
-Every query reads the driver's tables through the panel binding, so its work grows with them.
+The queries live in ``panelspark.plans.queries`` (one module per area); importing this module
+registers all of them in ``REGISTRY``.
 """
 
-from __future__ import annotations
-
-from typing import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from panelspark.operators import features as feat
-from panelspark.plans import oracle as O
-from panelspark.sources import bindings
-
-REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        REGISTRY[name] = (fn, sql)
-        return fn
-    return deco
-
-
-# ── shared inputs ────────────────────────────────────────────────────────────
-
-def panel(spark, sf):
-    return bindings.panel(spark, sf)
-
-
-def ipanel(spark, sf):
-    p = panel(spark, sf)
-    return feat.GroupMedianImputer(("mmse", "ses")).fit(p).transform(p)
-
-
-def features(spark, sf, **kw):
-    return feat.participant_features(ipanel(spark, sf), **kw)
-
-
-def raw_features(spark, sf, **kw):
-    return feat.participant_features(panel(spark, sf), **kw)
-
-
-def predictions(spark, sf):
-    return bindings.predictions(raw_features(spark, sf))
-
-
-def sql(*ctes: str, body: str) -> str:
-    return O.with_ctes(*ctes) + "\n" + body
-
-
-BASE = O.base_ctes()
-BASE_SYN = O.base_ctes(extra=", a.synthetic AS synthetic")
-PRED = O.prediction_ctes()
-PANEL_ONLY = [O.PANEL_CTE]
-IPANEL = [O.PANEL_CTE, O.IMPUTED_CTE]
-
-
-# ── S1 / F4 / F5 / A12 ───────────────────────────────────────────────────────
-
-@query("read_panel", sql(*PANEL_ONLY, body="SELECT * FROM panel"))
-def q_read_panel(spark, sf):
-    return panel(spark, sf)
-
-
-@query("participant_features", sql(*BASE, body="SELECT * FROM features"))
-def q_participant_features(spark, sf):
-    return features(spark, sf)
-
-
-@query("impute_group_median", sql(*IPANEL, body="SELECT * FROM ipanel"))
-def q_impute(spark, sf):
-    return ipanel(spark, sf)
-
-
-# ── profile (A1-A9, A19-A21, P10) ────────────────────────────────────────────
-
-from panelspark.operators import cohort as coh  # noqa: E402
-from panelspark.operators import profile as prof  # noqa: E402
-
-SUBJ = [O.PANEL_CTE, O.SUBJ_CTE]
-
-
-@query("dataset_structure")
-def q_dataset_structure(spark, sf):
-    return prof.dataset_structure(panel(spark, sf))
-
-
-@query("group_row_counts", sql(*PANEL_ONLY, body="SELECT grp, count(*) AS n_rows FROM panel WHERE grp IS NOT NULL GROUP BY grp"))
-def q_group_row_counts(spark, sf):
-    return prof.group_row_counts(panel(spark, sf))
-
-
-@query("subject_group", sql(*SUBJ, body="SELECT subject_id, participant_group FROM sg_"))
-def q_subject_group(spark, sf):
-    return coh.subject_group(panel(spark, sf))
-
-
-@query("subject_group_counts", sql(*SUBJ, body="SELECT participant_group, count(*) AS n_subjects FROM sg_ GROUP BY participant_group"))
-def q_subject_group_counts(spark, sf):
-    return prof.subject_group_counts(panel(spark, sf))
-
-
-@query("visit_counts", sql(*PANEL_ONLY, body="SELECT subject_id, count(visit) AS num_visits FROM panel GROUP BY subject_id"))
-def q_visit_counts(spark, sf):
-    return prof.visit_counts(panel(spark, sf))
-
-
-@query("visit_count_distribution", sql(*PANEL_ONLY, body="""
-SELECT num_visits, count(*) AS n_subjects
-FROM (SELECT subject_id, count(visit) AS num_visits FROM panel GROUP BY subject_id)
-GROUP BY ROLLUP (num_visits)"""))
-def q_visit_count_distribution(spark, sf):
-    return prof.visit_count_distribution(panel(spark, sf))
-
-
-@query("converter_summary", sql(*PANEL_ONLY, body="""
-SELECT subject_id, count(*) AS total_visits,
-       first(mmse ORDER BY visit, visit_id) AS baseline_mmse, first(cdr ORDER BY visit, visit_id) AS baseline_cdr,
-       last(mmse ORDER BY visit, visit_id) AS final_mmse, last(cdr ORDER BY visit, visit_id) AS final_cdr,
-       first(mmse ORDER BY visit, visit_id) - last(mmse ORDER BY visit, visit_id) AS mmse_drop_baseline_to_final
-FROM panel GROUP BY subject_id HAVING bool_or(grp = 'Converted')"""))
-def q_converter_summary(spark, sf):
-    return coh.converter_summary(panel(spark, sf))
-
-
-@query("missing_value_audit", sql(*PANEL_ONLY, body=O.missing_audit_sql("panel", O.PANEL_COLUMNS)))
-def q_missing_value_audit(spark, sf):
-    return prof.missing_value_audit(panel(spark, sf))
-
-
-@query("exploration_summary", sql(*PANEL_ONLY, body="""
-SELECT count(*) AS n_subjects, sum(r) AS n_rows, count(*) FILTER (WHERE conv) AS n_converters,
-       count(*) FILTER (WHERE v >= 3) AS n_subjects_3plus_visits, sum(miss) AS n_missing_mmse,
-       (SELECT array_to_string(list_sort(list(DISTINCT grp)), ', ') FROM panel) AS group_labels
-FROM (SELECT subject_id, count(*) AS r, count(visit) AS v, bool_or(grp = 'Converted') AS conv,
-             count(*) FILTER (WHERE mmse IS NULL) AS miss FROM panel GROUP BY subject_id)"""))
-def q_exploration_summary(spark, sf):
-    return prof.exploration_summary(panel(spark, sf))
-
-
-@query("split_nulls_check", sql(*IPANEL, body="""
-SELECT count(*) FILTER (WHERE mmse IS NULL) AS mmse_nulls, count(*) FILTER (WHERE ses IS NULL) AS ses_nulls FROM ipanel"""))
-def q_split_nulls_check(spark, sf):
-    return prof.split_nulls_check(ipanel(spark, sf))
-
-
-@query("panel_cohort_counts", sql(*PANEL_ONLY, body="""
-SELECT CASE WHEN GROUPING(synthetic) = 1 THEN 'combined' WHEN synthetic THEN 'generated' ELSE 'real' END AS cohort,
-       count(DISTINCT subject_id) AS n_subjects, sum(r) AS n_rows
-FROM (SELECT synthetic, subject_id, count(*) AS r FROM panel GROUP BY synthetic, subject_id)
-GROUP BY ROLLUP (synthetic)"""))
-def q_panel_cohort_counts(spark, sf):
-    return prof.panel_cohort_counts(panel(spark, sf))
-
-
-@query("baseline_box_stats", sql(*SUBJ, body="""
-, q_ AS (SELECT participant_group, metric, count(*) AS n,
-               quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
-        FROM l_ GROUP BY participant_group, metric)
-SELECT q_.participant_group, q_.metric, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-       min(value) FILTER (WHERE value >= round(q1, 6) - 1.5 * (round(q3, 6) - round(q1, 6))) AS whisker_low,
-       max(value) FILTER (WHERE value <= round(q3, 6) + 1.5 * (round(q3, 6) - round(q1, 6))) AS whisker_high,
-       count(*) FILTER (WHERE value < round(q1, 6) - 1.5 * (round(q3, 6) - round(q1, 6))
-                        OR value > round(q3, 6) + 1.5 * (round(q3, 6) - round(q1, 6))) AS n_outliers
-FROM l_ JOIN q_ USING (participant_group, metric)
-GROUP BY ALL""").replace("\n, q_ AS", ",\nl_ AS (SELECT participant_group, 'mmse' AS metric, mmse AS value FROM lpanel WHERE visit = 1 AND mmse IS NOT NULL UNION ALL SELECT participant_group, 'nwbv', nwbv FROM lpanel WHERE visit = 1 AND nwbv IS NOT NULL)\n, q_ AS", 1))
-def q_baseline_box_stats(spark, sf):
-    return prof.baseline_box_stats(panel(spark, sf))
-
-
-@query("first_n_inspection", sql(*PANEL_ONLY, body="SELECT * FROM panel ORDER BY subject_id, visit, visit_id LIMIT 10"))
-def q_first_n_inspection(spark, sf):
-    return prof.first_n_inspection(panel(spark, sf))
-
-
-# ── cohort (J1, J4, P1-P4, U4, W1, W3, C6, C7) ───────────────────────────────
-
-@query("panel_with_subject_group", sql(*SUBJ, body="SELECT * FROM lpanel"))
-def q_panel_with_subject_group(spark, sf):
-    return coh.panel_with_subject_group(panel(spark, sf))
-
-
-@query("visit_rows", sql(*PANEL_ONLY, body="SELECT * FROM panel WHERE visit = 1 QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY visit_id) = 1"))
-def q_visit_rows(spark, sf):
-    return coh.visit_rows(panel(spark, sf), 1)
-
-
-@query("baseline_visits", sql(*SUBJ, body="SELECT * FROM lpanel WHERE visit = 1"))
-def q_baseline_visits(spark, sf):
-    return coh.baseline_visits(panel(spark, sf))
-
-
-@query("after_cutoff", sql(*PANEL_ONLY, body="SELECT * FROM panel WHERE visit > 2"))
-def q_after_cutoff(spark, sf):
-    return coh.after_cutoff(panel(spark, sf))
-
-
-@query("converter_rows", sql(*PANEL_ONLY, body="SELECT * FROM panel WHERE grp = 'Converted'"))
-def q_converter_rows(spark, sf):
-    return coh.converter_rows(panel(spark, sf))
-
-
-@query("distinct_subjects", sql(*PANEL_ONLY, body="SELECT DISTINCT subject_id FROM panel WHERE grp = 'Converted'"))
-def q_distinct_subjects(spark, sf):
-    return coh.distinct_subjects(panel(spark, sf))
-
-
-@query("subject_trajectories", sql(*PANEL_ONLY, O.features_cte("rawfeatures", imputed=False),
-                                   body="SELECT * FROM panel WHERE subject_id IN (SELECT subject_id FROM rawfeatures WHERE cdr_worsened_after_v2 = 1)"))
-def q_subject_trajectories(spark, sf):
-    p = panel(spark, sf)
-    pos = feat.participant_features(p).where("cdr_worsened_after_v2 = 1")
-    return coh.subject_trajectories(p, pos)
-
-
-@query("ordered_trajectory", sql(*PANEL_ONLY, body="SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY visit, visit_id) AS visit_rank FROM panel"))
-def q_ordered_trajectory(spark, sf):
-    return coh.ordered_trajectory(panel(spark, sf))
-
-
-@query("visit_interval", sql(*PANEL_ONLY, body="""
-SELECT subject_id, visit, visit_id, row_number() OVER w AS visit_rank,
-       mr_delay - lag(mr_delay) OVER w AS interval_days,
-       (mr_delay - lag(mr_delay) OVER w) / 365.0 AS interval_years, mr_delay AS cumulative_days
-FROM panel WINDOW w AS (PARTITION BY subject_id ORDER BY visit, visit_id)"""))
-def q_visit_interval(spark, sf):
-    return coh.visit_interval(panel(spark, sf))
-
-
-@query("metric_trajectories", sql(*SUBJ, body="""
-SELECT participant_group, subject_id, visit, 'mmse' AS metric, mmse AS value FROM lpanel
-UNION ALL SELECT participant_group, subject_id, visit, 'nwbv', nwbv FROM lpanel"""))
-def q_metric_trajectories(spark, sf):
-    return coh.metric_trajectories(panel(spark, sf))
-
-
-@query("converter_trajectories", sql(*PANEL_ONLY, body="""
-SELECT subject_id, visit, mmse FROM panel WHERE subject_id IN (SELECT subject_id FROM panel WHERE grp = 'Converted')"""))
-def q_converter_trajectories(spark, sf):
-    return coh.converter_trajectories(panel(spark, sf))
-
-
-# ── split (T1-T3, A11, P7) ───────────────────────────────────────────────────
-
-from pyspark.sql import functions as F  # noqa: E402
-
-from panelspark.operators import split as spl  # noqa: E402
-
-FORCED = "(NOT coalesce(synthetic, false) AND cdr_worsened_after_v2 = 1)"
-SPLIT = BASE_SYN + [O.split_ctes("features", "split1", 0.2, FORCED, "test", "test", "train")]
-VSPLIT = SPLIT + [
-    "trainonly AS (SELECT * EXCLUDE (split) FROM split1 WHERE split = 'train')",
-    O.split_ctes("trainonly", "split2", 0.15, "false", "validation", "validation", "train"),
-]
-
-
-def split_features(spark, sf):
-    return spl.train_test_split(features(spark, sf, extra_static=("synthetic",)))
-
-
-@query("participant_features_synthetic", sql(*BASE_SYN, body="SELECT * FROM features"))
-def q_features_synthetic(spark, sf):
-    return features(spark, sf, extra_static=("synthetic",))
-
-
-@query("real_positive_mask", sql(*BASE_SYN, body=f"SELECT subject_id, coalesce({FORCED}, false) AS real_positive FROM features"))
-def q_real_positive_mask(spark, sf):
-    f = features(spark, sf, extra_static=("synthetic",))
-    return f.select("subject_id", F.coalesce(spl.real_positive_mask(f), F.lit(False)).alias("real_positive"))
-
-
-@query("stratified_split_forced", sql(*SPLIT, body="SELECT * FROM split1"))
-def q_stratified_split_forced(spark, sf):
-    return split_features(spark, sf)
-
-
-@query("train_validation_split", sql(*VSPLIT, body="SELECT * FROM split2"))
-def q_train_validation_split(spark, sf):
-    s = split_features(spark, sf)
-    return spl.train_validation_split(s.where("split = 'train'").drop("split"))
-
-
-@query("split_breakdown", sql(*SPLIT, body="""
-SELECT split, participant_group, count(*) AS n, count(*) FILTER (WHERE cdr_worsened_after_v2 = 1) AS n_label_1,
-       count(*) FILTER (WHERE cdr_worsened_after_v2 = 0) AS n_label_0
-FROM split1 GROUP BY ROLLUP (split, participant_group) HAVING split IS NOT NULL"""))
-def q_split_breakdown(spark, sf):
-    return spl.split_breakdown(split_features(spark, sf))
-
-
-@query("group_quotas", sql(*PANEL_ONLY, body="""
-SELECT n AS n_total, n - cast(floor(n * cast(0.2 AS double)) AS bigint) - cast(floor(n * cast(0.4 AS double)) AS bigint) AS n_nondemented,
-       cast(floor(n * cast(0.4 AS double)) AS bigint) AS n_demented, cast(floor(n * cast(0.2 AS double)) AS bigint) AS n_converted
-FROM (SELECT count(DISTINCT subject_id) AS n FROM panel)"""))
-def q_group_quotas(spark, sf):
-    n = panel(spark, sf).agg(F.count_distinct("subject_id").alias("n"))
-    return spl.group_quotas(n)
-
-
-# ── evaluation (A15-A18, W4, W5, U3, C2, C10, M7, M8, P11) ───────────────────
-
-from panelspark.operators import compare as cmpo  # noqa: E402
-from panelspark.operators import evaluate as ev  # noqa: E402
-
-POINTS_CTE = """
-sc_ AS (SELECT model, score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
-        FROM predictions WHERE score IS NOT NULL GROUP BY model, score),
-pt_ AS (SELECT model, score, pos, neg,
-               coalesce(sum(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pa,
-               coalesce(sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS na,
-               lead(pos) OVER (PARTITION BY model ORDER BY score DESC) AS np_,
-               lead(neg) OVER (PARTITION BY model ORDER BY score DESC) AS nn_,
-               sum(pos) OVER (PARTITION BY model) AS P_, sum(neg) OVER (PARTITION BY model) AS N_
-        FROM sc_),
-roc_ AS (SELECT model, NULL::double AS threshold, 0.0::double AS fpr, 0.0::double AS tpr FROM (SELECT DISTINCT model FROM sc_)
-         UNION ALL
-         SELECT model, score, (na + neg) / N_::double, (pa + pos) / P_::double FROM pt_
-         WHERE (pa = 0 AND na = 0) OR np_ IS NULL OR NOT (np_ = pos AND nn_ = neg)),
-trap_ AS (SELECT model, sum((fpr - pf) * (tpr + pt) / 2) AS auc_trapezoid
-          FROM (SELECT *, lag(fpr) OVER w AS pf, lag(tpr) OVER w AS pt FROM roc_
-                WINDOW w AS (PARTITION BY model ORDER BY threshold DESC NULLS FIRST))
-          GROUP BY model),
-auc_ AS (SELECT model, round(sum(neg * (pa + pos / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc_roc FROM pt_ GROUP BY model),
-cm_ AS (SELECT model, count(*) FILTER (WHERE y = 0 AND yhat = 0) AS true_negatives,
-               count(*) FILTER (WHERE y = 0 AND yhat = 1) AS false_positives,
-               count(*) FILTER (WHERE y = 1 AND yhat = 0) AS false_negatives,
-               count(*) FILTER (WHERE y = 1 AND yhat = 1) AS true_positives FROM predictions GROUP BY model),
-met_ AS (SELECT model,
-                CASE WHEN true_positives + true_negatives + false_positives + false_negatives = 0 THEN 0.0
-                     ELSE (true_positives + true_negatives)::double / (true_positives + true_negatives + false_positives + false_negatives)::double END AS accuracy,
-                CASE WHEN 2 * true_positives + false_positives + false_negatives = 0 THEN 0.0
-                     ELSE (2 * true_positives)::double / (2 * true_positives + false_positives + false_negatives)::double END AS f1,
-                CASE WHEN true_positives + false_negatives = 0 THEN 0.0
-                     ELSE true_positives::double / (true_positives + false_negatives)::double END AS sensitivity,
-                CASE WHEN true_negatives + false_positives = 0 THEN 0.0
-                     ELSE true_negatives::double / (true_negatives + false_positives)::double END AS specificity,
-                true_positives, false_positives, true_negatives, false_negatives, auc_roc
-         FROM cm_ LEFT JOIN auc_ USING (model))"""
-EVAL = PRED + [POINTS_CTE]
-
-
-@query("confusion_matrix", sql(*EVAL, body="SELECT * FROM cm_"))
-def q_confusion_matrix(spark, sf):
-    return ev.confusion_matrix(predictions(spark, sf))
-
-
-@query("auc_roc", sql(*EVAL, body="SELECT * FROM auc_"))
-def q_auc_roc(spark, sf):
-    return ev.auc_roc(predictions(spark, sf)).select("model", F.round("auc_roc", 6).alias("auc_roc"))
-
-
-@query("roc_points", sql(*EVAL, body="SELECT * FROM roc_"))
-def q_roc_points(spark, sf):
-    return ev.roc_points(predictions(spark, sf))
-
-
-@query("roc_auc_trapezoid", sql(*EVAL, body="SELECT model, round(auc_trapezoid, 6) AS auc_trapezoid FROM trap_"))
-def q_roc_auc_trapezoid(spark, sf):
-    return ev.roc_auc_trapezoid(predictions(spark, sf)).select("model", F.round("auc_trapezoid", 6).alias("auc_trapezoid"))
-
-
-@query("classification_metrics", sql(*EVAL, body="SELECT * FROM met_"))
-def q_classification_metrics(spark, sf):
-    return ev.classification_metrics(predictions(spark, sf))
-
-
-@query("union_metrics", sql(*EVAL, body="SELECT * FROM met_"))
-def q_union_metrics(spark, sf):
-    # hard-label model scored by its labels (score = yhat in the binding), all models in one aggregate
-    p = predictions(spark, sf)
-    p = p.withColumn("score", F.when(F.col("model") == "text", F.col("yhat").cast("double")).otherwise(F.col("score")))
-    return ev.classification_metrics(p)
-
-
-@query("metrics_summary", sql(*EVAL, body="""
-SELECT model, round(auc_roc, 3) AS auc_roc, round(accuracy, 3) AS accuracy, round(sensitivity, 3) AS sensitivity,
-       round(specificity, 3) AS specificity, round(f1, 3) AS f1 FROM met_"""))
-def q_metrics_summary(spark, sf):
-    return ev.metrics_summary(predictions(spark, sf))
-
-
-@query("accuracy_by_group", sql(*PRED, body="""
-SELECT participant_group, count(*) AS n, count(*) FILTER (WHERE yhat = y) AS n_correct,
-       count(*) FILTER (WHERE yhat = y) / count(*) AS accuracy
-FROM predictions WHERE model = 'text' GROUP BY ROLLUP (participant_group)"""))
-def q_accuracy_by_group(spark, sf):
-    return ev.accuracy_by_group(predictions(spark, sf), "text")
-
-
-@query("roc_curve_table", sql(*EVAL, body="""
-SELECT r.*, model || ' (AUC = ' || printf('%.3f', auc_trapezoid) || ')' AS label FROM roc_ r JOIN trap_ USING (model)"""))
-def q_roc_curve_table(spark, sf):
-    return ev.roc_curve_table(predictions(spark, sf))
-
-
-@query("threshold_labels", sql(*PRED, body="""
-SELECT model, subject_id, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS yhat_t FROM predictions WHERE model = 'joint'"""))
-def q_threshold_labels(spark, sf):
-    p = predictions(spark, sf).where("model = 'joint'").select("model", "subject_id", "score")
-    return ev.threshold_labels(p, "score", 0.5, "yhat_t")
-
-
-@query("weighted_bce", sql(*PRED, body="""
-, cw_ AS (SELECT model, count(*) FILTER (WHERE y = 0)::double / count(*) FILTER (WHERE y = 1)::double AS w FROM predictions GROUP BY model),
-z_ AS (SELECT p.model, p.y, cw_.w, ln(least(greatest(score, 1e-6), 1 - 1e-6) / (1 - least(greatest(score, 1e-6), 1 - 1e-6))) AS z
-       FROM predictions p JOIN cw_ USING (model))
-SELECT model, round(avg(w * y * (greatest(-z, 0) + ln(1 + exp(-abs(z)))) + (1 - y) * (greatest(z, 0) + ln(1 + exp(-abs(z))))), 6) AS bce,
-       count(*) AS n FROM z_ GROUP BY model"""))
-def q_weighted_bce(spark, sf):
-    p = predictions(spark, sf)
-    cw = p.groupBy("model").agg((F.count_if(F.col("y") == 0).cast("double") / F.count_if(F.col("y") == 1).cast("double")).alias("w"))
-    pc = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    from panelspark.operators.small import bounded
-    z = p.join(bounded(cw), "model").withColumn("z", F.log(pc / (F.lit(1.0) - pc)))
-    return ev.weighted_bce(z, "z", "y", "w")
-
-
-@query("rounded_scores", sql(*PRED, body="SELECT model, subject_id, participant_group, y, yhat, round(score, 3) AS score FROM predictions"))
-def q_rounded_scores(spark, sf):
-    return ev.rounded_scores(predictions(spark, sf))
-
-
-# ── comparison (J2, P8, P9, C1, C3-C5, C8, C9, W7) ───────────────────────────
-
-CMP_CTE = """
-cmp AS (SELECT t.subject_id, t.participant_group, t.y AS cdr_worsened_after_v2,
-               t.yhat AS text_prediction, t.score AS text_score, b.yhat AS boosted_prediction, b.score AS boosted_score,
-               j.yhat AS joint_prediction, j.score AS joint_score
-        FROM predictions t JOIN predictions b ON b.subject_id = t.subject_id AND b.model = 'boosted'
-             JOIN predictions j ON j.subject_id = t.subject_id AND j.model = 'joint'
-        WHERE t.model = 'text')"""
-CMP = PRED + [CMP_CTE]
-CMP_P = [O.PANEL_CTE, O.features_cte("rawfeatures", imputed=False), O.PREDICTIONS_CTE, CMP_CTE]
-
-
-def comparison(spark, sf):
-    return cmpo.compare_predictions(predictions(spark, sf))
-
-
-@query("compare_predictions", sql(*CMP, body="SELECT * FROM cmp"))
-def q_compare_predictions(spark, sf):
-    return comparison(spark, sf)
-
-
-@query("positive_negative_cases", sql(*CMP, body="SELECT * FROM cmp WHERE cdr_worsened_after_v2 = 1"))
-def q_positive_cases(spark, sf):
-    return cmpo.positive_cases(comparison(spark, sf))
-
-
-@query("all_models_missed", sql(*CMP, body="""
-SELECT * FROM cmp WHERE cdr_worsened_after_v2 = 1 AND text_prediction = 0 AND boosted_prediction = 0 AND joint_prediction = 0"""))
-def q_all_models_missed(spark, sf):
-    return cmpo.all_models_missed(comparison(spark, sf))
-
-
-@query("comparison_notes", sql(*CMP, body="""
-SELECT subject_id, participant_group, cdr_worsened_after_v2, text_prediction, boosted_prediction, joint_prediction,
-       CASE WHEN text_prediction <> cdr_worsened_after_v2 AND boosted_prediction <> cdr_worsened_after_v2
-                 AND joint_prediction <> cdr_worsened_after_v2 THEN 'all models wrong'
-            WHEN text_prediction <> cdr_worsened_after_v2 AND boosted_prediction = cdr_worsened_after_v2
-                 AND joint_prediction = cdr_worsened_after_v2 THEN 'text wrong, others right'
-            WHEN NOT (text_prediction = boosted_prediction AND boosted_prediction = joint_prediction)
-                 AND cdr_worsened_after_v2 = 1 THEN 'models disagree on positive case'
-            ELSE '' END AS note
-FROM cmp"""))
-def q_comparison_notes(spark, sf):
-    return cmpo.comparison_notes(comparison(spark, sf))
-
-
-@query("positive_case_outcomes", sql(*CMP, body="""
-SELECT subject_id, participant_group,
-       CASE WHEN text_prediction = 1 THEN 'correct' ELSE 'MISSED' END AS text_result,
-       CASE WHEN boosted_prediction = 1 THEN 'correct' ELSE 'MISSED' END AS boosted_result,
-       CASE WHEN joint_prediction = 1 THEN 'correct' ELSE 'MISSED' END AS joint_result
-FROM cmp WHERE cdr_worsened_after_v2 = 1"""))
-def q_positive_case_outcomes(spark, sf):
-    return cmpo.positive_case_outcomes(comparison(spark, sf))
-
-
-@query("false_alarms", sql(*CMP, body="""
-SELECT subject_id, participant_group,
-       concat_ws(', ', CASE WHEN text_prediction = 1 THEN 'text' END, CASE WHEN boosted_prediction = 1 THEN 'boosted' END,
-                 CASE WHEN joint_prediction = 1 THEN 'joint' END) AS false_alarm_from
-FROM cmp WHERE cdr_worsened_after_v2 = 0 AND (text_prediction = 1 OR boosted_prediction = 1 OR joint_prediction = 1)"""))
-def q_false_alarms(spark, sf):
-    return cmpo.false_alarms(comparison(spark, sf))
-
-
-@query("disagreements_on_positives", sql(*CMP, body="""
-SELECT subject_id, participant_group, text_prediction, boosted_prediction, joint_prediction FROM cmp
-WHERE cdr_worsened_after_v2 = 1 AND NOT (text_prediction = boosted_prediction AND boosted_prediction = joint_prediction)"""))
-def q_disagreements_on_positives(spark, sf):
-    return cmpo.disagreements_on_positives(comparison(spark, sf))
-
-
-@query("sorted_by_group", sql(*CMP, body="SELECT * FROM cmp ORDER BY participant_group, subject_id"))
-def q_sorted_by_group(spark, sf):
-    return cmpo.sorted_by_group(comparison(spark, sf))
-
-
-@query("positive_case_trajectories", sql(*CMP_P, body="""
-, pos_ AS (SELECT subject_id, participant_group, text_prediction, boosted_prediction, joint_prediction FROM cmp WHERE cdr_worsened_after_v2 = 1),
-rows_ AS (SELECT subject_id, visit, mmse FROM panel WHERE subject_id IN (SELECT subject_id FROM pos_)),
-mins_ AS (SELECT subject_id, min(mmse) AS min_mmse FROM rows_ GROUP BY subject_id)
-SELECT p.subject_id, p.participant_group, r.visit, r.mmse, r.visit > 2 AS after_cutoff, m.min_mmse,
-       CASE WHEN text_prediction = 1 THEN '✓' ELSE '✗' END AS text_mark,
-       CASE WHEN boosted_prediction = 1 THEN '✓' ELSE '✗' END AS boosted_mark,
-       CASE WHEN joint_prediction = 1 THEN '✓' ELSE '✗' END AS joint_mark,
-       m.min_mmse IS NULL AS no_raw_data
-FROM pos_ p LEFT JOIN rows_ r USING (subject_id) LEFT JOIN mins_ m USING (subject_id)"""))
-def q_positive_case_trajectories(spark, sf):
-    return cmpo.positive_case_trajectories(comparison(spark, sf), panel(spark, sf))
-
-
-@query("missed_case_signals", sql(*CMP_P, body="""
-, m_ AS (SELECT subject_id, participant_group FROM cmp
-         WHERE cdr_worsened_after_v2 = 1 AND text_prediction = 0 AND boosted_prediction = 0 AND joint_prediction = 0),
-r_ AS (SELECT p.*, m_.participant_group FROM panel p JOIN m_ USING (subject_id))
-SELECT subject_id, participant_group, 'mmse' AS signal, visit, mmse AS value, visit > 2 AS after_cutoff, visit IN (1, 2) AS annotated FROM r_
-UNION ALL SELECT subject_id, participant_group, 'nwbv', visit, nwbv, visit > 2, visit IN (1, 2) FROM r_
-UNION ALL SELECT subject_id, participant_group, 'cdr', visit, cdr, visit > 2, visit IN (1, 2) FROM r_"""))
-def q_missed_case_signals(spark, sf):
-    return cmpo.missed_case_signals(comparison(spark, sf), panel(spark, sf))
-
-
-# ── text (L1-L3) ─────────────────────────────────────────────────────────────
-
-from panelspark.functions import text as txt  # noqa: E402
-from panelspark.models import textscore  # noqa: E402
-
-PY_WS_RE2 = r"\t\n\x0B\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-STRIPPED = f"regexp_replace(text, '^[{PY_WS_RE2}]+|[{PY_WS_RE2}]+$', '', 'g')"
-
-
-def _duck_plain(c):
-    return f"coalesce(cast({c} AS varchar), 'nan')"
-
-
-def _duck_fmt(c, spec):
-    nan = "+nan" if spec.startswith("%+") else "nan"
-    return f"CASE WHEN {c} IS NULL THEN '{nan}' ELSE printf('{spec}', {c}) END"
-
-
-PROMPT_SQL = "printf('" + txt.PROMPT_TEMPLATE.replace("'", "''") + "', " + ", ".join([
-    _duck_plain("age_v1"), _duck_plain("mmse_v1"), _duck_plain("cdr_v1"), _duck_fmt("nwbv_v1", "%.4f"),
-    _duck_plain("education_years"), "coalesce(sex, 'nan')", _duck_plain("mr_delay_v2"), _duck_plain("age_v2"),
-    _duck_plain("mmse_v2"), _duck_plain("cdr_v2"), _duck_fmt("nwbv_v2", "%.4f"),
-    _duck_fmt("mmse_delta_v1_v2", "%+.1f"), _duck_fmt("nwbv_delta_v1_v2", "%+.4f"), _duck_fmt("cdr_delta_v1_v2", "%+.1f"),
-]) + ")"
-
-
-@query("clinical_prompt", sql(*BASE, body=f"SELECT subject_id, {PROMPT_SQL} AS prompt FROM features"))
-def q_clinical_prompt(spark, sf):
-    return txt.clinical_prompt(features(spark, sf)).select("subject_id", "prompt")
-
-
-@query("parse_response", f"""
-SELECT doc_id,
-       CASE WHEN text IS NULL THEN 0 WHEN {STRIPPED} = '1' THEN 1 WHEN {STRIPPED} = '0' THEN 0
-            WHEN instr({STRIPPED}, '1') > 0 THEN 1 WHEN instr({STRIPPED}, '0') > 0 THEN 0 ELSE 0 END AS prediction,
-       CASE WHEN text IS NULL THEN 'missing' WHEN {STRIPPED} IN ('0', '1') THEN 'clean'
-            WHEN instr({STRIPPED}, '1') > 0 OR instr({STRIPPED}, '0') > 0 THEN 'noisy' ELSE 'unparseable' END AS parse_status
-FROM documents""")
-def q_parse_response(spark, sf):
-    d = bindings.read_table(spark, sf, "documents").select("doc_id", "text")
-    pred, status = txt.parse_response(F.col("text"))
-    return d.select("doc_id", pred.alias("prediction"), status.alias("parse_status"))
-
-
-@query("score_text_batch", sql(*BASE, body="""
-SELECT subject_id, participant_group, cdr_worsened_after_v2,
-       CASE WHEN cast(printf('%+.1f', mmse_delta_v1_v2) AS double) < -2 THEN 1 ELSE 0 END AS text_prediction,
-       'clean' AS parse_status
-FROM features"""))
-def q_score_text_batch(spark, sf):
-    s = textscore.score_text_batch(features(spark, sf))
-    return s.select("subject_id", "participant_group", "cdr_worsened_after_v2", "text_prediction", "parse_status")
-
-
-# ── augmentation (A22, G1-G7, U1) ────────────────────────────────────────────
-
-from panelspark.operators import augment as aug  # noqa: E402
-
-
-def n_subjects(spark, sf) -> int:
-    """Generated cohort size = number of real subjects, so the generator's work grows with the tables."""
-    return panel(spark, sf).select("subject_id").distinct().count()
-
-
-N_CTE = "nsub_ AS (SELECT count(DISTINCT subject_id) AS n FROM panel)"
-SUBJECTS_CTE = f"""
-gsub_ AS (
-  SELECT i AS subject_index, printf('SYN_%04d', i + 1000) AS subject_id,
-         CASE WHEN i < n - cast(floor(n * 0.2) AS bigint) - cast(floor(n * 0.4) AS bigint) THEN 'Nondemented'
-              WHEN i < n - cast(floor(n * 0.2) AS bigint) THEN 'Demented' ELSE 'Converted' END AS participant_group
-  FROM nsub_, range(n) t(i)),
-gsub AS (
-  SELECT *, cast(CASE WHEN participant_group IN ('Converted', 'Demented')
-                      THEN CASE WHEN {O.U("'42|' || subject_id || '|n_visits'")} < 0.5 THEN 3
-                                WHEN {O.U("'42|' || subject_id || '|n_visits'")} < 0.5 + 0.35 THEN 4 ELSE 5 END
-                      ELSE CASE WHEN {O.U("'42|' || subject_id || '|n_visits'")} < 0.7 THEN 3 ELSE 4 END END AS integer) AS n_visits
-  FROM gsub_)"""
-
-
-def _nd(key, mean, std):
-    ua = O.U(f"'42|' || subject_id || '|{key}|a'")
-    ub = O.U(f"'42|' || subject_id || '|{key}|b'")
-    return f"({mean} + {std} * sqrt(-2.0 * ln(1.0 - {ua})) * cos({2.0 * 3.141592653589793!r} * {ub}))"
-
-
-def _clip(x, lo, hi):
-    return f"least(greatest({x}, {lo}), {hi})"
-
-
-PRIORS_VALUES = ", ".join(
-    "(" + ", ".join([f"'{g}'"] + [repr(float(p[f])) for f in aug.PRIOR_FIELDS]) + ")" for g, p in aug.GROUP_PRIORS.items())
-BASELINE_CTE = f"""
-pri_ AS (SELECT * FROM (VALUES {PRIORS_VALUES}) t(participant_group, {", ".join(aug.PRIOR_FIELDS)})),
-gbase_raw AS (
-  SELECT s.subject_index, s.subject_id, s.participant_group, s.n_visits,
-         cast(floor({_clip(_nd("1|age", "age_mean", "age_std"), 60.0, 96.0)}) AS integer) AS age0,
-         {_clip(_nd("1|mmse", "mmse_v1_mean", "mmse_v1_std"), 0.0, 30.0)} AS mmse0,
-         {_clip(_nd("1|nwbv", "nwbv_v1_mean", "nwbv_v1_std"), 0.60, 0.85)} AS nwbv0,
-         cast(floor({_clip(_nd("1|etiv", "etiv_mean", "etiv_std"), 1100.0, 1900.0)}) AS integer) AS etiv,
-         round(1430.0 / floor({_clip(_nd("1|etiv", "etiv_mean", "etiv_std"), 1100.0, 1900.0)}), 3) AS asf,
-         CASE WHEN s.participant_group = 'Demented'
-              THEN CASE WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 THEN 0.5
-                        WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 + 0.30 THEN 1.0
-                        WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 + 0.30 + 0.05 THEN 2.0 ELSE 2.0 END
-              ELSE 0.0 END AS cdr0,
-         cast(floor({_clip(_nd("1|educ", "educ_mean", "educ_std"), 6.0, 23.0)}) AS integer) AS educ,
-         {_clip("round_even(" + _nd("1|ses", "ses_mean", "ses_std") + ", 0)", 1.0, 5.0)} AS ses,
-         CASE WHEN {O.U("'42|' || subject_id || '|sex'")} < female_prob THEN 'F' ELSE 'M' END AS sex,
-         mmse_annual_delta_mean AS mmu_, mmse_annual_delta_std AS msd_, nwbv_annual_delta_mean AS nmu_,
-         nwbv_annual_delta_std AS nsd_
-  FROM gsub s JOIN pri_ USING (participant_group)),
-gbase AS (SELECT subject_index, subject_id, participant_group, n_visits, age0, round(mmse0, 6) AS mmse0,
-                 round(nwbv0, 6) AS nwbv0, etiv, asf, cdr0, educ, ses, sex FROM gbase_raw)"""
-
-DRAWS_CTE = f"""
-gdraw_ AS (
-  SELECT subject_id, k,
-         cast(floor({_clip(_nd("' || k || '|interval", 730.0, 180.0), 365.0, 1460.0)}) AS integer) AS iv_,
-         {_nd("' || k || '|mmse_step", 0.0, 1.0)} AS zm_,
-         {_nd("' || k || '|nwbv_step", 0.0, 1.0)} AS zn_,
-         {O.U("'42|' || subject_id || '|' || k || '|cdr'")} AS uc_
-  FROM gsub, range(2, n_visits + 1) t(k)),
-walk_ AS (
-  WITH RECURSIVE w(subject_id, participant_group, n_visits, mmu_, msd_, nmu_, nsd_, visit, days, mmse, nwbv, cdr) AS (
-    SELECT subject_id, participant_group, n_visits, mmu_, msd_, nmu_, nsd_, 1, 0, mmse0, nwbv0, cdr0 FROM gbase_raw
-    UNION ALL
-    SELECT w.subject_id, w.participant_group, w.n_visits, w.mmu_, w.msd_, w.nmu_, w.nsd_, d.k, w.days + d.iv_,
-           least(greatest(w.mmse + w.mmu_ * (d.iv_::double / 365.0::double)
-                          + w.msd_ * sqrt(d.iv_::double / 365.0::double) * d.zm_, 0.0), 30.0),
-           least(greatest(w.nwbv + w.nmu_ * (d.iv_::double / 365.0::double)
-                          + w.nsd_ * sqrt(d.iv_::double / 365.0::double) * d.zn_, 0.60), 0.85),
-           CASE WHEN w.participant_group = 'Converted' THEN
-                     CASE WHEN w.cdr = 0.0 AND d.uc_ < 0.4::double + (d.k::double / w.n_visits::double) * 0.4::double THEN 0.5
-                          WHEN w.cdr >= 0.5 AND d.uc_ < 0.15::double AND w.cdr IN (0.0, 0.5, 1.0)
-                               THEN CASE w.cdr WHEN 0.0 THEN 0.5 WHEN 0.5 THEN 1.0 ELSE 2.0 END
-                          WHEN w.cdr >= 0.5 AND d.uc_ < 0.15::double AND w.cdr NOT IN (0.0, 0.5, 1.0, 2.0) THEN 1.0
-                          ELSE w.cdr END
-                WHEN w.participant_group = 'Demented' THEN
-                     CASE WHEN d.uc_ < 0.20::double AND w.cdr IN (0.0, 0.5, 1.0)
-                               THEN CASE w.cdr WHEN 0.0 THEN 0.5 WHEN 0.5 THEN 1.0 ELSE 2.0 END
-                          WHEN d.uc_ < 0.20::double AND w.cdr NOT IN (0.0, 0.5, 1.0, 2.0) THEN 1.0
-                          ELSE w.cdr END
-                ELSE CASE WHEN d.uc_ < 0.03::double THEN 0.5 ELSE w.cdr END END
-    FROM w JOIN gdraw_ d ON d.subject_id = w.subject_id AND d.k = w.visit + 1)
-  SELECT * FROM w),
-gpanel AS (
-  SELECT w.subject_id, w.subject_id || '_MR' || cast(w.visit AS varchar) AS visit_id, w.participant_group AS grp,
-         cast(w.visit AS integer) AS visit, cast(w.days AS integer) AS mr_delay, b.sex, 'R' AS hand,
-         cast(b.age0 + cast(floor(w.days / 365) AS integer) AS integer) AS age, b.educ, b.ses,
-         round(w.mmse, 1) AS mmse, w.cdr, b.etiv, round(w.nwbv, 3) AS nwbv, b.asf, true AS synthetic
-  FROM walk_ w JOIN gbase_raw b USING (subject_id))"""
-GEN = [O.PANEL_CTE, N_CTE, SUBJECTS_CTE]
-
-
-@query("generate_subjects", sql(*GEN, body="SELECT * FROM gsub"))
-def q_generate_subjects(spark, sf):
-    return aug.generate_subjects(spark, n_subjects(spark, sf))
-
-
-def _baseline(spark, sf):
-    b = aug.generate_baseline(aug.generate_subjects(spark, n_subjects(spark, sf)), aug.priors_frame(spark))
-    return b.select("subject_index", "subject_id", "participant_group", "n_visits", "age0",
-                    F.round("mmse0", 6).alias("mmse0"), F.round("nwbv0", 6).alias("nwbv0"), "etiv", "asf", "cdr0",
-                    "educ", "ses", "sex")
-
-
-@query("generate_baseline", sql(*GEN, BASELINE_CTE, body="SELECT * FROM gbase"))
-def q_generate_baseline(spark, sf):
-    return _baseline(spark, sf)
-
-
-@query("generate_visit_times", sql(*GEN, body=f"""
-, v_ AS (SELECT subject_id, v AS visit,
-                CASE WHEN v = 1 THEN 0 ELSE cast(floor({_clip(_nd("' || v || '|interval", 730.0, 180.0), 365.0, 1460.0)}) AS integer) END AS interval_days
-         FROM gsub, range(1, n_visits + 1) t(v))
-SELECT subject_id, visit, interval_days, interval_days / 365.0 AS years,
-       cast(sum(interval_days) OVER (PARTITION BY subject_id ORDER BY visit) AS integer) AS cumulative_days
-FROM v_"""))
-def q_generate_visit_times(spark, sf):
-    from pyspark.sql import Window
-    b = aug.generate_baseline(aug.generate_subjects(spark, n_subjects(spark, sf)), aug.priors_frame(spark))
-    v = aug.generate_visit_times(b)
-    # a generated subject has at most 5 visits: this window's partitions are bounded
-    w = Window.partitionBy("subject_id").orderBy("visit")
-    return v.select("subject_id", "visit", "interval_days", (F.col("interval_days") / 365.0).alias("years"),
-                    F.sum("interval_days").over(w).cast("int").alias("cumulative_days"))
-
-
-@query("generate_panel", sql(*GEN, BASELINE_CTE, DRAWS_CTE, body="SELECT * FROM gpanel"))
-def q_generate_panel(spark, sf):
-    return aug.generate_panel(spark, n_subjects(spark, sf))
-
-
-@query("union_real_generated", sql(*GEN, BASELINE_CTE, DRAWS_CTE, body="""
-SELECT subject_id, visit_id, grp, visit, mr_delay, sex, hand, age, educ, ses, mmse, cdr, etiv, nwbv, asf, false AS synthetic FROM panel
-UNION ALL SELECT * FROM gpanel"""))
-def q_union_real_generated(spark, sf):
-    return aug.union_real_generated(panel(spark, sf), aug.generate_panel(spark, n_subjects(spark, sf)))
-
-
-@query("group_row_counts_augmented", sql(*GEN, BASELINE_CTE, DRAWS_CTE, body="""
-SELECT grp, count(*) AS n_rows FROM (SELECT grp FROM panel UNION ALL SELECT grp FROM gpanel) WHERE grp IS NOT NULL GROUP BY grp"""))
-def q_group_row_counts_augmented(spark, sf):
-    """A2 on the augmented panel (real rows flagged, generated rows appended)."""
-    return prof.group_row_counts(aug.union_real_generated(panel(spark, sf), aug.generate_panel(spark, n_subjects(spark, sf))))
-
-
-PRIOR_SQL = """
-, base_ AS (SELECT * FROM lpanel WHERE visit = 1),
-st_ AS (SELECT participant_group,
-               avg(age::double) AS age_mean, stddev_samp(age::double) AS age_std,
-               avg(mmse) AS mmse_v1_mean, stddev_samp(mmse) AS mmse_v1_std,
-               avg(nwbv) AS nwbv_v1_mean, stddev_samp(nwbv) AS nwbv_v1_std,
-               avg(etiv::double) AS etiv_mean, stddev_samp(etiv::double) AS etiv_std,
-               avg(educ::double) AS educ_mean, stddev_samp(educ::double) AS educ_std,
-               avg(ses) AS ses_mean, stddev_samp(ses) AS ses_std,
-               avg(CASE WHEN sex = 'F' THEN 1.0 WHEN sex IS NOT NULL THEN 0.0 END) AS female_prob
-        FROM base_ GROUP BY participant_group),
-pr_ AS (SELECT participant_group, (mr_delay - lag(mr_delay) OVER w) / 365.0 AS y_,
-               mmse - lag(mmse) OVER w AS dm_, nwbv - lag(nwbv) OVER w AS dn_
-        FROM lpanel WINDOW w AS (PARTITION BY subject_id ORDER BY visit, visit_id)),
-ch_ AS (SELECT participant_group,
-               avg(CASE WHEN y_ > 0 THEN dm_ / y_ END) AS mmse_annual_delta_mean,
-               stddev_samp(CASE WHEN y_ > 0 THEN dm_ / sqrt(y_) END) AS mmse_annual_delta_std,
-               avg(CASE WHEN y_ > 0 THEN dn_ / y_ END) AS nwbv_annual_delta_mean,
-               stddev_samp(CASE WHEN y_ > 0 THEN dn_ / sqrt(y_) END) AS nwbv_annual_delta_std
-        FROM pr_ GROUP BY participant_group)
-SELECT participant_group, """ + ", ".join(f"round({c}, 6) AS {c}" for c in aug.PRIOR_FIELDS) + """
-FROM st_ LEFT JOIN ch_ USING (participant_group)"""
-
-
-@query("fit_generation_priors", sql(*SUBJ, body=PRIOR_SQL))
-def q_fit_generation_priors(spark, sf):
-    return aug.fit_generation_priors(panel(spark, sf))
-
-
-@query("baseline_cdr_frequencies", sql(*SUBJ, body="""
-SELECT participant_group, cdr, count(*) AS n,
-       round(count(*) / sum(count(*)) OVER (PARTITION BY participant_group), 6) AS share
-FROM lpanel WHERE visit = 1 GROUP BY participant_group, cdr"""))
-def q_baseline_cdr_frequencies(spark, sf):
-    return aug.baseline_cdr_frequencies(panel(spark, sf))
-
-
-# ── model side (A13, A14, F6-F9, P5, P6, M1-M6) ──────────────────────────────
-
-from panelspark.models import boosted as bst  # noqa: E402
-from panelspark.models import jointembed as je  # noqa: E402
-
-TRAIN = SPLIT + ["train_ AS (SELECT * FROM split1 WHERE split = 'train')",
-                 "test_ AS (SELECT * FROM split1 WHERE split = 'test')"]
-
-
-def train_test(spark, sf):
-    s = split_features(spark, sf)
-    return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
-
-
-@query("class_weight", sql(*TRAIN, body="""
-SELECT count(*) FILTER (WHERE cdr_worsened_after_v2 = 0) AS n_negative, count(*) FILTER (WHERE cdr_worsened_after_v2 = 1) AS n_positive,
-       count(*) FILTER (WHERE cdr_worsened_after_v2 = 0)::double / count(*) FILTER (WHERE cdr_worsened_after_v2 = 1)::double AS class_weight
-FROM train_"""))
-def q_class_weight(spark, sf):
-    return feat.class_weight(train_test(spark, sf)[0])
-
-
-MOMENT_SQL = " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, round(avg({c}::double), 6) AS mean, round(stddev_samp({c}::double), 6) AS std FROM train_"
-    for c in feat.STANDARDISED_COLUMNS)
-
-
-@query("column_moments", sql(*TRAIN, body=MOMENT_SQL))
-def q_column_moments(spark, sf):
-    m = feat.column_moments(train_test(spark, sf)[0])
-    return m.select(F.col("column").alias("column_name"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
-
-
-@query("label_encode", sql(*TRAIN, body="""
-, codes_ AS (SELECT sex, dense_rank() OVER (ORDER BY sex) - 1 AS sex_encoded FROM (SELECT DISTINCT sex FROM train_ WHERE sex IS NOT NULL))
-SELECT s.subject_id, s.sex, c.sex_encoded FROM split1 s JOIN codes_ c USING (sex)"""))
-def q_label_encode(spark, sf):
-    tr, _ = train_test(spark, sf)
-    enc = feat.LabelEncoder("sex", "sex_encoded").fit(tr)
-    return enc.transform(split_features(spark, sf)).select("subject_id", "sex", F.col("sex_encoded").cast("long").alias("sex_encoded"))
-
-
-STD_SQL = ", ".join(
-    f"round(CASE WHEN (SELECT stddev_samp({c}::double) FROM train_) > 0 THEN ({c}::double - (SELECT avg({c}::double) FROM train_)) / "
-    f"(SELECT stddev_samp({c}::double) FROM train_) ELSE {c}::double END, 6) AS {c}" for c in feat.STANDARDISED_COLUMNS)
-
-
-@query("standardise", sql(*TRAIN, body=f"SELECT subject_id, split, {STD_SQL} FROM split1"))
-def q_standardise(spark, sf):
-    tr, _ = train_test(spark, sf)
-    std = feat.Standardiser().fit(tr)
-    out = std.transform(split_features(spark, sf))
-    return out.select("subject_id", "split", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in feat.STANDARDISED_COLUMNS])
-
-
-@query("feature_projection", sql(*BASE, body=f"SELECT subject_id, {', '.join(feat.NUMERIC_FEATURES + ['sex', 'handedness'])}, cdr_worsened_after_v2 FROM features"))
-def q_feature_projection(spark, sf):
-    return feat.visit_feature_projection(features(spark, sf))
-
-
-_MOD_ROWS = " UNION ALL ".join(
-    f"SELECT subject_id, '{name}' AS modality, {v} AS visit, {i + 1} AS pos, cast({c} AS float) AS value FROM enc_"
-    for name, (c1, c2) in feat.MODALITIES.items() for v, cols in ((1, c1), (2, c2)) for i, c in enumerate(cols))
-
-
-@query("modality_arrays", sql(*BASE, body=f"""
-, codes_ AS (SELECT sex, dense_rank() OVER (ORDER BY sex) - 1 AS sex_encoded FROM (SELECT DISTINCT sex FROM features WHERE sex IS NOT NULL)),
-enc_ AS (SELECT f.*, c.sex_encoded FROM features f JOIN codes_ c USING (sex))
-{_MOD_ROWS}"""))
-def q_modality_arrays(spark, sf):
-    f = features(spark, sf)
-    f = feat.LabelEncoder("sex", "sex_encoded").fit(f).transform(f)
-    arr = feat.modality_arrays(f)
-    cols = []
-    for name in feat.MODALITIES:
-        for v in (1, 2):
-            cols.append(F.struct(F.lit(name).alias("modality"), F.lit(v).alias("visit"), F.col(f"{name}_v{v}").alias("a")))
-    long = arr.select("subject_id", F.explode(F.array(*cols)).alias("m"))
-    return long.select("subject_id", "m.modality", "m.visit",
-                       F.posexplode("m.a").alias("p", "value")).select(
-        "subject_id", "modality", "visit", (F.col("p") + 1).alias("pos"), "value")
-
-
-@query("trajectory_change_table", sql(*BASE, body="""
-SELECT subject_id, participant_group, cast(mmse_v1 AS varchar) || ' -> ' || cast(mmse_v2 AS varchar) AS mmse_change,
-       cast(cdr_v1 AS varchar) || ' -> ' || cast(cdr_v2 AS varchar) AS cdr_change,
-       cast(nwbv_v1 AS varchar) || ' -> ' || cast(nwbv_v2 AS varchar) AS nwbv_change, cdr_worsened_after_v2
-FROM features"""))
-def q_trajectory_change_table(spark, sf):
-    return feat.trajectory_change_table(features(spark, sf))
-
-
-@query("delta_inspection", sql(*BASE, body="""
-SELECT subject_id, participant_group, mmse_delta_v1_v2, nwbv_delta_v1_v2, cdr_delta_v1_v2, age_delta_v1_v2, cdr_worsened_after_v2
-FROM features WHERE participant_group = 'Converted'"""))
-def q_delta_inspection(spark, sf):
-    return feat.delta_inspection(features(spark, sf), "Converted")
-
-
-@query("feature_build_report", sql(*PANEL_ONLY, O.ROLLUP_CTE.format(src="panel"), body="""
-, st_ AS (SELECT s.subject_id,
-                 CASE WHEN a.subject_id IS NULL OR b.subject_id IS NULL THEN 'no_v1_or_v2'
-                      WHEN f.subject_id IS NULL THEN 'no_followup' ELSE 'included' END AS status,
-                 cast(coalesce(f.max_after > b.cdr, false) AS integer) AS y
-          FROM subj_ s LEFT JOIN v1_ a USING (subject_id) LEFT JOIN v2_ b USING (subject_id) LEFT JOIN after_ f USING (subject_id))
-SELECT status, count(*) AS subjects, count(*) FILTER (WHERE status = 'included' AND y = 1) AS label_1,
-       count(*) FILTER (WHERE status = 'included' AND y = 0) AS label_0 FROM st_ GROUP BY status"""))
-def q_feature_build_report(spark, sf):
-    return feat.feature_build_report(panel(spark, sf))
-
-
-def boosted_model(spark, sf, **kw):
-    tr, te = train_test(spark, sf)
-    return bst.fit_boosted(tr, **kw), te
-
-
-@query("boosted_trees_score")
-def q_boosted_trees_score(spark, sf):
-    model, te = boosted_model(spark, sf)
-    return bst.score_boosted(model, te)
-
-
-@query("feature_importance_topk")
-def q_feature_importance_topk(spark, sf):
-    model, _ = boosted_model(spark, sf)
-    return bst.feature_importance_topk(model, 10)
-
-
-def joint_model(spark, sf):
-    tr_all, te = train_test(spark, sf)
-    v = spl.train_validation_split(tr_all)
-    tr, va = v.where("split = 'train'").drop("split"), v.where("split = 'validation'").drop("split")
-    w = feat.class_weight_value(tr)
-    (trp, [vap, tep]) = je.prepare_features(tr, [va, te])
-    return je.JointEmbeddingEstimator().fit(trp, vap, w), tep
-
-
-@query("joint_embedding_score")
-def q_joint_embedding_score(spark, sf):
-    model, tep = joint_model(spark, sf)
-    return model.transform(tep)
-
-
-@query("visit_embedding")
-def q_visit_embedding(spark, sf):
-    model, tep = joint_model(spark, sf)
-    return model.embeddings(tep, 1)
-
-
-# ── inventory rows reachable on their own (J3, A10, W2, U2, F1-F3, G4-G6, M1, M6) ──
-
-@query("impute_join", sql(*IPANEL, body="SELECT * FROM ipanel"))
-def q_impute_join(spark, sf):
-    """J3 in its join form: medians kept as a DataFrame and joined back (left) on the group."""
-    p = panel(spark, sf)
-    return feat.GroupMedianImputer(("mmse", "ses"), max_groups=0).fit(p).transform(p)
-
-
-@query("group_medians", sql(*PANEL_ONLY, body="""
-SELECT grp, median(mmse) AS median_mmse, median(ses) AS median_ses FROM panel WHERE grp IS NOT NULL GROUP BY grp"""))
-def q_group_medians(spark, sf):
-    return feat.group_medians(panel(spark, sf))
-
-
-@query("first_last_visit", sql(*PANEL_ONLY, body="""
-SELECT subject_id,
-       first(visit ORDER BY visit, visit_id) AS first_visit, first(visit_id ORDER BY visit, visit_id) AS first_visit_id,
-       first(mmse ORDER BY visit, visit_id) AS first_mmse, first(cdr ORDER BY visit, visit_id) AS first_cdr,
-       last(visit ORDER BY visit, visit_id) AS last_visit, last(visit_id ORDER BY visit, visit_id) AS last_visit_id,
-       last(mmse ORDER BY visit, visit_id) AS last_mmse, last(cdr ORDER BY visit, visit_id) AS last_cdr
-FROM panel GROUP BY subject_id"""))
-def q_first_last_visit(spark, sf):
-    return coh.first_last_visit(panel(spark, sf))
-
-
-@query("union_forced_test", sql(*SPLIT, body=f"""
-SELECT subject_id, participant_group, cdr_worsened_after_v2, coalesce({FORCED}, false) AS forced FROM split1 WHERE split = 'test'"""))
-def q_union_forced_test(spark, sf):
-    s = split_features(spark, sf).where("split = 'test'")
-    return s.select("subject_id", "participant_group", "cdr_worsened_after_v2",
-                    F.coalesce(spl.real_positive_mask(s), F.lit(False)).alias("forced"))
-
-
-WIDE_SQL = """
-SELECT a.subject_id, s.participant_group,
-       a.age AS age_v1, a.mmse AS mmse_v1, a.cdr AS cdr_v1, a.nwbv AS nwbv_v1, a.etiv AS etiv_v1, a.asf AS asf_v1,
-       b.age AS age_v2, b.mmse AS mmse_v2, b.cdr AS cdr_v2, b.nwbv AS nwbv_v2, b.etiv AS etiv_v2, b.asf AS asf_v2,
-       b.mr_delay AS mr_delay_v2, a.educ AS education_years, a.ses AS ses, a.sex AS sex, a.hand AS handedness{extra}
-FROM v1_ a JOIN v2_ b USING (subject_id) JOIN subj_ s USING (subject_id)"""
-DELTAS = (", b.mmse - a.mmse AS mmse_delta_v1_v2, b.nwbv - a.nwbv AS nwbv_delta_v1_v2, "
-          "b.cdr - a.cdr AS cdr_delta_v1_v2, b.age - a.age AS age_delta_v1_v2")
-
-
-@query("features_wide", sql(*IPANEL, O.ROLLUP_CTE.format(src="ipanel"), body=WIDE_SQL.format(extra="")))
-def q_features_wide(spark, sf):
-    return feat.features_wide(ipanel(spark, sf))
-
-
-@query("delta_features", sql(*IPANEL, O.ROLLUP_CTE.format(src="ipanel"), body=WIDE_SQL.format(extra=DELTAS)))
-def q_delta_features(spark, sf):
-    return feat.delta_features(feat.features_wide(ipanel(spark, sf)))
-
-
-@query("worsened_after_cutoff", sql(*PANEL_ONLY, O.ROLLUP_CTE.format(src="panel"), body="""
-SELECT b.subject_id, cast(coalesce(f.max_after > b.cdr, false) AS integer) AS cdr_worsened_after_v2
-FROM v2_ b JOIN after_ f USING (subject_id)"""))
-def q_worsened_after_cutoff(spark, sf):
-    return feat.worsened_after_cutoff(panel(spark, sf))
-
-
-def _gen(spark, sf):
-    return aug.generate_panel(spark, n_subjects(spark, sf))
-
-
-@query("generate_signal_walk", sql(*GEN, BASELINE_CTE, DRAWS_CTE, body="SELECT subject_id, visit, mr_delay, mmse, nwbv FROM gpanel"))
-def q_generate_signal_walk(spark, sf):
-    return _gen(spark, sf).select("subject_id", "visit", "mr_delay", "mmse", "nwbv")
-
-
-@query("generate_stage_chain", sql(*GEN, BASELINE_CTE, DRAWS_CTE, body="SELECT subject_id, visit, cdr FROM gpanel"))
-def q_generate_stage_chain(spark, sf):
-    return _gen(spark, sf).select("subject_id", "visit", "cdr")
-
-
-@query("generate_visit_group", sql(*GEN, BASELINE_CTE, DRAWS_CTE, body="SELECT subject_id, visit_id, visit, grp FROM gpanel"))
-def q_generate_visit_group(spark, sf):
-    return _gen(spark, sf).select("subject_id", "visit_id", "visit", "grp")
-
-
-@query("boosted_trees_fit")
-def q_boosted_trees_fit(spark, sf):
-    """M1: the fitted ensemble as rows (tree index, weight, nodes, depth)."""
-    model, _ = boosted_model(spark, sf)
-    gbt = model.stages[-1]
-    rows = [(i, float(w), int(t.numNodes), int(t.depth)) for i, (w, t) in enumerate(zip(gbt.treeWeights, gbt.trees))]
-    return spark.createDataFrame(rows, "tree int, weight double, num_nodes int, depth int")
-
-
-@query("joint_embedding_fit")
-def q_joint_embedding_fit(spark, sf):
-    """M6: training history (epoch, train loss, validation loss, learning rate)."""
-    model, _ = joint_model(spark, sf)
-    return spark.createDataFrame(model.history, "epoch int, train_loss double, val_loss double, lr double")
-
-
-# ── the same operators on a second panel with other column names (events) ────
-
-from panelspark.spec import EVENTS  # noqa: E402
-
-EVENTS_CTE = """
-epanel AS (
-  SELECT user_id, event_id, event_type,
-         cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS integer) AS visit,
-         cast(date_diff('day', cast(min(ts) OVER (PARTITION BY user_id) AS date), cast(ts AS date)) AS integer) AS day,
-         value
-  FROM events)"""
-
-
-@query("events_panel", sql(EVENTS_CTE, body="SELECT * FROM epanel"))
-def q_events_panel(spark, sf):
-    return bindings.events_panel(spark, sf)
-
-
-@query("events_visit_interval", sql(EVENTS_CTE, body="""
-SELECT user_id, visit, event_id, row_number() OVER w AS visit_rank, day - lag(day) OVER w AS interval_days,
-       (day - lag(day) OVER w) / 365.0 AS interval_years, day AS cumulative_days
-FROM epanel WINDOW w AS (PARTITION BY user_id ORDER BY visit, event_id)"""))
-def q_events_visit_interval(spark, sf):
-    return coh.visit_interval(bindings.events_panel(spark, sf), EVENTS)
-
-
-@query("events_subject_group", sql(EVENTS_CTE, body="""
-SELECT user_id, CASE WHEN bool_or(event_type = 'Converted') THEN 'Converted'
-                     ELSE first(event_type ORDER BY visit, event_id) END AS participant_group
-FROM epanel GROUP BY user_id"""))
-def q_events_subject_group(spark, sf):
-    return coh.subject_group(bindings.events_panel(spark, sf), EVENTS)
-
-
-@query("events_converter_summary", sql(EVENTS_CTE, body="""
-SELECT user_id AS subject_id, count(*) AS total_visits,
-       first(value ORDER BY visit, event_id) AS baseline_mmse, first(value ORDER BY visit, event_id) AS baseline_cdr,
-       last(value ORDER BY visit, event_id) AS final_mmse, last(value ORDER BY visit, event_id) AS final_cdr,
-       first(value ORDER BY visit, event_id) - last(value ORDER BY visit, event_id) AS mmse_drop_baseline_to_final
-FROM epanel GROUP BY user_id HAVING bool_or(event_type = 'purchase')"""))
-def q_events_converter_summary(spark, sf):
-    """A7 with another 'converter' label: users with any purchase event."""
-    return coh.converter_summary(bindings.events_panel(spark, sf), EVENTS, converted="purchase")
+from panelspark.plans.queries import (  # noqa: F401  (import registers the queries)
+    evaluation, events, generator, inventory, models, panel as panel_queries, split, text,
+)
+from panelspark.plans.queries.common import (  # noqa: F401
+    REGISTRY, features, ipanel, panel, predictions, raw_features, split_features, train_test,
+)
+from panelspark.plans.queries.generator import n_subjects  # noqa: F401
+from panelspark.plans.queries.models import boosted_model, joint_model  # noqa: F401
+from panelspark.plans.queries.panel import q_participant_features  # noqa: F401
+from panelspark.plans.queries.text import q_score_text_batch  # noqa: F401
+from panelspark.plans.queries.models import q_boosted_trees_score, q_joint_embedding_score  # noqa: F401
