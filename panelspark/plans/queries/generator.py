@@ -61,7 +61,7 @@ gbase_raw AS (
               THEN CASE WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 THEN 0.5
                         WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 + 0.30 THEN 1.0
                         WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 + 0.30 + 0.05 THEN 2.0 ELSE 2.0 END
-              ELSE 0.0 END AS cdr0,
+              ELSE 0.0 END::double AS cdr0,
          cast(floor({_clip(_nd("1|educ", "educ_mean", "educ_std"), 6.0, 23.0)}) AS integer) AS educ,
          {_clip("round_even(" + _nd("1|ses", "ses_mean", "ses_std") + ", 0)", 1.0, 5.0)} AS ses,
          CASE WHEN {O.U("'42|' || subject_id || '|sex'")} < female_prob THEN 'F' ELSE 'M' END AS sex,
@@ -106,7 +106,7 @@ gpanel AS (
   SELECT w.subject_id, w.subject_id || '_MR' || cast(w.visit AS varchar) AS visit_id, w.participant_group AS grp,
          cast(w.visit AS integer) AS visit, cast(w.days AS integer) AS mr_delay, b.sex, 'R' AS hand,
          cast(b.age0 + cast(floor(w.days / 365) AS integer) AS integer) AS age, b.educ, b.ses,
-         round(w.mmse, 1) AS mmse, w.cdr, b.etiv, round(w.nwbv, 3) AS nwbv, b.asf, true AS synthetic
+         round(w.mmse, 1) AS mmse, cast(w.cdr AS double) AS cdr, b.etiv, round(w.nwbv, 3) AS nwbv, b.asf, true AS synthetic
   FROM walk_ w JOIN gbase_raw b USING (subject_id))"""
 GEN = [O.PANEL_CTE, N_CTE, SUBJECTS_CTE]
 
@@ -132,7 +132,7 @@ def q_generate_baseline(spark, sf):
 , v_ AS (SELECT subject_id, v AS visit,
                 CASE WHEN v = 1 THEN 0 ELSE cast(floor({_clip(_nd("' || v || '|interval", 730.0, 180.0), 365.0, 1460.0)}) AS integer) END AS interval_days
          FROM gsub, range(1, n_visits + 1) t(v))
-SELECT subject_id, visit, interval_days, interval_days / 365.0 AS years,
+SELECT subject_id, cast(visit AS integer) AS visit, interval_days, interval_days / 365.0 AS years,
        cast(sum(interval_days) OVER (PARTITION BY subject_id ORDER BY visit) AS integer) AS cumulative_days
 FROM v_"""))
 def q_generate_visit_times(spark, sf):

@@ -84,8 +84,8 @@ def q_missing_value_audit(spark, sf):
 
 
 @query("exploration_summary", sql(*PANEL_ONLY, body="""
-SELECT count(*) AS n_subjects, sum(r) AS n_rows, count(*) FILTER (WHERE conv) AS n_converters,
-       count(*) FILTER (WHERE v >= 3) AS n_subjects_3plus_visits, sum(miss) AS n_missing_mmse,
+SELECT count(*) AS n_subjects, cast(sum(r) AS bigint) AS n_rows, count(*) FILTER (WHERE conv) AS n_converters,
+       count(*) FILTER (WHERE v >= 3) AS n_subjects_3plus_visits, cast(sum(miss) AS bigint) AS n_missing_mmse,
        (SELECT array_to_string(list_sort(list(DISTINCT grp)), ', ') FROM panel) AS group_labels
 FROM (SELECT subject_id, count(*) AS r, count(visit) AS v, bool_or(grp = 'Converted') AS conv,
              count(*) FILTER (WHERE mmse IS NULL) AS miss FROM panel GROUP BY subject_id)"""))
@@ -101,7 +101,7 @@ def q_split_nulls_check(spark, sf):
 
 @query("panel_cohort_counts", sql(*PANEL_ONLY, body="""
 SELECT CASE WHEN GROUPING(synthetic) = 1 THEN 'combined' WHEN synthetic THEN 'generated' ELSE 'real' END AS cohort,
-       count(DISTINCT subject_id) AS n_subjects, sum(r) AS n_rows
+       count(DISTINCT subject_id) AS n_subjects, cast(sum(r) AS bigint) AS n_rows
 FROM (SELECT synthetic, subject_id, count(*) AS r FROM panel GROUP BY synthetic, subject_id)
 GROUP BY ROLLUP (synthetic)"""))
 def q_panel_cohort_counts(spark, sf):
