@@ -82,3 +82,19 @@ def test_bounded_broadcast_fallback(spark):
     df = spark.range(10)
     assert bounded(df, 100).count() == 10
     assert bounded(df, 5) is df          # above the bound: untouched, the planner decides
+
+
+def test_positive_trajectories_flag_missing_raw_data(spark):
+    from panelspark.operators import compare as cmpo
+    from tests.conftest import make_panel
+    cmp = spark.createDataFrame(
+        [("a", "N", 1, 1, 0.9, 0, 0.2, 1, 0.8), ("ghost", "N", 1, 0, 0.0, 1, 0.7, 0, 0.1), ("b", "N", 0, 0, 0.0, 0, 0.1, 0, 0.2)],
+        "subject_id string, participant_group string, cdr_worsened_after_v2 int, text_prediction int, text_score double, "
+        "boosted_prediction int, boosted_score double, joint_prediction int, joint_score double")
+    panel = make_panel(spark, [("a", 1, 0.0, "N", 29.0), ("a", 2, 0.0, "N", 27.0), ("a", 3, 0.5, "N", 25.0)])
+    rows = cmpo.positive_case_trajectories(cmp, panel).collect()
+    ghost = [r for r in rows if r["subject_id"] == "ghost"]
+    assert len(ghost) == 1 and ghost[0]["no_raw_data"] and ghost[0]["visit"] is None
+    a = sorted((r for r in rows if r["subject_id"] == "a"), key=lambda r: r["visit"])
+    assert [r["after_cutoff"] for r in a] == [False, False, True] and a[0]["min_mmse"] == 25.0
+    assert a[0]["text_mark"] == "✓" and a[0]["boosted_mark"] == "✗"
