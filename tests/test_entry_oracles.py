@@ -59,3 +59,25 @@ def test_oracle(spark, duck, name):
     dtypes = {r[0]: r[1] for r in duck.execute(f"DESCRIBE ({E.oracle_sql()[name]})").fetchall()}
     stypes = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
     assert stypes == dtypes
+
+
+def test_driver_style_run_from_another_folder(tmp_path):
+    """A plain session in a process started elsewhere: executors' Python workers must still
+    import the package (it is shipped with addPyFile)."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import importlib.util, sys\n"
+        f"spec = importlib.util.spec_from_file_location('entry_mod', {os.path.join(repo, '__spark_entry__.py')!r})\n"
+        "E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert E.entry(spark).count() > 0\n"
+        f"n = E.queries()['score_text_batch'](spark, {SMALL!r}).count()\n"
+        "print('OK', n)\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env, capture_output=True, text=True, timeout=600)
+    assert "OK" in out.stdout, out.stderr[-2000:]
