@@ -15,7 +15,6 @@ halves after 5 epochs without improvement; training stops after 15 and keeps the
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -100,10 +99,6 @@ def keyed_uniforms(keys: np.ndarray, *salts: int, width: int = 1) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def subject_key(sid: str) -> int:
-    return int(hashlib.md5(sid.encode()).hexdigest()[:16], 16)
-
-
 # ── forward / backward ───────────────────────────────────────────────────────
 
 def _ln_fwd(h, g, be):

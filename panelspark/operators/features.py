@@ -296,14 +296,6 @@ class LabelEncoder:
         return df.withColumn(self.output, code.cast("int"))
 
 
-def label_encode_rank(df: DataFrame, column: str, reference: DataFrame | None = None) -> DataFrame:
-    """F6 in pure SQL form: code = dense rank of the value among the reference's distinct values."""
-    ref = (reference if reference is not None else df).select(column).where(F.col(column).isNotNull()).distinct()
-    # the distinct-category table is small; a global window over it is safe
-    codes = ref.select(column, (F.dense_rank().over(Window.orderBy(column)) - 1).alias(f"{column}_code"))
-    return df.join(codes, column, "left")
-
-
 # ── F8 / F9 / P6 ─────────────────────────────────────────────────────────────
 
 def trajectory_change_table(features: DataFrame) -> DataFrame:

@@ -80,15 +80,23 @@ def job_text_scoring(test: DataFrame, factory=textscore.mmse_rule_predictor_fact
     return {"scored": scored, "predictions": pred, "accuracy_by_group": ev.accuracy_by_group(pred, "text")}
 
 
-def job_boosted(train: DataFrame, test: DataFrame, **kw) -> dict:
+def _persist_results(res: dict, out: str | None) -> dict:
+    """Long predictions partitioned by model, one metrics row per model."""
+    if out:
+        io.write_predictions(res["predictions"], f"{out.rstrip('/')}/predictions")
+        io.write_metrics(res["metrics"], f"{out.rstrip('/')}/metrics")
+    return res
+
+
+def job_boosted(train: DataFrame, test: DataFrame, out: str | None = None, **kw) -> dict:
     """Fit, score, metrics, feature importance."""
     model = bst.fit_boosted(train, **kw)
     pred = bst.score_boosted(model, test)
-    return {"model": model, "predictions": pred, "metrics": ev.classification_metrics(pred),
-            "importance": bst.feature_importance_topk(model)}
+    return _persist_results({"model": model, "predictions": pred, "metrics": ev.classification_metrics(pred),
+                             "importance": bst.feature_importance_topk(model)}, out)
 
 
-def job_joint_embedding(train_all: DataFrame, test: DataFrame, **kw) -> dict:
+def job_joint_embedding(train_all: DataFrame, test: DataFrame, out: str | None = None, **kw) -> dict:
     """standardise/encode on train, validation cut, fit with early stopping, score, metrics."""
     v = spl.train_validation_split(train_all)
     tr, va = v.where("split = 'train'").drop("split"), v.where("split = 'validation'").drop("split")
@@ -96,7 +104,7 @@ def job_joint_embedding(train_all: DataFrame, test: DataFrame, **kw) -> dict:
     trp, (vap, tep) = je.prepare_features(tr, [va, test])
     model = je.JointEmbeddingEstimator(**kw).fit(trp, vap, w)
     pred = model.transform(tep)
-    return {"model": model, "predictions": pred, "metrics": ev.classification_metrics(pred)}
+    return _persist_results({"model": model, "predictions": pred, "metrics": ev.classification_metrics(pred)}, out)
 
 
 def job_comparison(pred: DataFrame, panel: DataFrame, models=cmpo.MODELS, out: str | None = None) -> dict[str, DataFrame]:

@@ -51,8 +51,11 @@ def test_jobs_end_to_end(spark):
     tr, te = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
     text = jobs.job_text_scoring(te)
     assert text["accuracy_by_group"].where("participant_group IS NULL").first()["n"] == te.count()
-    boosted = jobs.job_boosted(tr, te, n_trees=10)
+    boosted = jobs.job_boosted(tr, te, out=os.path.join(d, "boosted"), n_trees=10)
     assert boosted["metrics"].first()["auc_roc"] is not None
+    written = spark.read.parquet(os.path.join(d, "boosted", "predictions"))
+    assert written.where("model = 'boosted'").count() == te.count()
+    assert spark.read.parquet(os.path.join(d, "boosted", "metrics")).count() == 1
     joint = jobs.job_joint_embedding(tr, te, epochs=5)
     preds = text["predictions"].unionByName(boosted["predictions"]).unionByName(joint["predictions"])
     cmp = jobs.job_comparison(preds, panel, out=os.path.join(d, "cmp"))
