@@ -10,11 +10,11 @@ from panelspark.spec import GROUP, PANEL, PanelSpec
 
 
 def dataset_structure(df: DataFrame) -> DataFrame:
-    """A1: (position, column, dtype, n_rows, n_columns).  Types come from the schema; the row
-    count is one distributed count."""
+    """A1: (position, column_name, dtype, n_rows, n_columns).  Types come from the schema (one row
+    per column); the row count is one distributed count."""
     n = df.count()
     rows = [(i, f.name, f.dataType.simpleString(), n, len(df.columns)) for i, f in enumerate(df.schema.fields)]
-    schema = "position int, column string, dtype string, n_rows long, n_columns int"
+    schema = "position int, column_name string, dtype string, n_rows long, n_columns int"
     return df.sparkSession.createDataFrame(rows, schema)
 
 

@@ -35,7 +35,15 @@ def q_impute(spark, sf):
 
 
 
-@query("dataset_structure")
+# SQL type names -> Spark type names.
+SQL_TO_SPARK_TYPES = {"VARCHAR": "string", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean"}
+_TYPE_CASE = "CASE column_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SQL_TO_SPARK_TYPES.items()) + " ELSE lower(column_type) END"
+
+
+@query("dataset_structure", sql(*PANEL_ONLY, body=f"""
+SELECT cast(row_number() OVER () - 1 AS integer) AS position, column_name, {_TYPE_CASE} AS dtype,
+       (SELECT count(*) FROM panel) AS n_rows, cast((SELECT count(*) FROM (DESCRIBE panel)) AS integer) AS n_columns
+FROM (DESCRIBE panel)"""))
 def q_dataset_structure(spark, sf):
     return prof.dataset_structure(panel(spark, sf))
 
