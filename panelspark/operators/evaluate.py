@@ -27,7 +27,19 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
     )
 
 
+MAX_MODELS = 10000
+
+
+def _hint(small: bool):
+    """Broadcast hint for per-model tables when the model count is proven small."""
+    return F.broadcast if small else (lambda df: df)
+
+
 def score_points(pred: DataFrame, n_buckets: int = 64, materialize: bool = True) -> DataFrame:
+    return _score_points(pred, n_buckets, materialize)[0]
+
+
+def _score_points(pred: DataFrame, n_buckets: int = 64, materialize: bool = True):
     """Per (model, distinct score): pos, neg, and pos_above / neg_above = counts at strictly
     higher scores, plus the (pos, neg) of the next lower distinct score (NULL on the last).
 
@@ -44,10 +56,13 @@ def score_points(pred: DataFrame, n_buckets: int = 64, materialize: bool = True)
         from panelspark.session import checkpoint_dir
         checkpoint_dir(d.sparkSession)
         d = d.checkpoint()
+    # one count proves the size of every per-model table below: bounds and totals have one row
+    # per model, the bucket table at most n_buckets rows per model
+    small = d.select(MODEL).distinct().limit(MAX_MODELS + 1).count() <= MAX_MODELS
+    hint = _hint(small)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = d.groupBy(MODEL).agg(F.percentile_approx(SCORE, probs, 10000).alias("_bounds"))
-    # one row per model: broadcast after the size check
-    d = d.join(bounded(bounds), MODEL, "inner")
+    d = d.join(hint(bounds), MODEL, "inner")
     d = d.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(SCORE)))).drop("_bounds")
     top = F.max_by(F.struct("pos", "neg"), SCORE)
     bt = d.groupBy(MODEL, "_b").agg(F.sum("pos").alias("_bpos"), F.sum("neg").alias("_bneg"), top.alias("_top"))
@@ -57,17 +72,17 @@ def score_points(pred: DataFrame, n_buckets: int = 64, materialize: bool = True)
                    F.coalesce(F.sum("_bpos").over(above), F.lit(0)).alias("_pa"),
                    F.coalesce(F.sum("_bneg").over(above), F.lit(0)).alias("_na"),
                    F.lead("_top").over(wb).alias("_next_top"))
-    # (model, bucket) table: at most n_models * n_buckets rows, broadcast after the size check
-    j = d.repartition(MODEL, "_b").join(bounded(bt), [MODEL, "_b"], "inner")
+    j = d.repartition(MODEL, "_b").join(hint(bt), [MODEL, "_b"], "inner")
     wi = Window.partitionBy(MODEL, "_b").orderBy(F.desc(SCORE))
     before = wi.rowsBetween(Window.unboundedPreceding, -1)
     nxt = F.lead(F.struct("pos", "neg")).over(wi)
-    return j.select(
+    pts = j.select(
         MODEL, SCORE, "pos", "neg",
         (F.col("_pa") + F.coalesce(F.sum("pos").over(before), F.lit(0))).alias("pos_above"),
         (F.col("_na") + F.coalesce(F.sum("neg").over(before), F.lit(0))).alias("neg_above"),
         F.coalesce(nxt, F.col("_next_top")).alias("_next"),
     )
+    return pts, small
 
 
 def auc_roc(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
@@ -83,10 +98,9 @@ def roc_points(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
     """(model, threshold, fpr, tpr) at each distinct score, descending, collinear points
     dropped (a point is kept if the next point's (pos, neg) step differs), plus the start
     point (threshold NULL, 0, 0)."""
-    pts = score_points(pred, n_buckets)
+    pts, small = _score_points(pred, n_buckets)
     tot = pts.groupBy(MODEL).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    tot = bounded(tot)
-    j = pts.join(tot, MODEL, "inner")
+    j = pts.join(_hint(small)(tot), MODEL, "inner")
     first = (F.col("pos_above") == 0) & (F.col("neg_above") == 0)
     last = F.col("_next").isNull()
     same = (F.col("_next.pos") == F.col("pos")) & (F.col("_next.neg") == F.col("neg"))
