@@ -98,3 +98,10 @@ def test_positive_trajectories_flag_missing_raw_data(spark):
     a = sorted((r for r in rows if r["subject_id"] == "a"), key=lambda r: r["visit"])
     assert [r["after_cutoff"] for r in a] == [False, False, True] and a[0]["min_mmse"] == 25.0
     assert a[0]["text_mark"] == "✓" and a[0]["boosted_mark"] == "✗"
+
+
+def test_hard_label_auc_is_mean_of_sensitivity_and_specificity(spark):
+    rows = [(1, 1), (1, 0), (1, 1), (0, 0), (0, 1), (0, 0), (0, 0)]
+    p = _pred(spark, [(y, float(h)) for y, h in rows])
+    m = ev.classification_metrics(p).first()
+    assert abs(m["auc_roc"] - (m["sensitivity"] + m["specificity"]) / 2) < 1e-6

@@ -110,3 +110,14 @@ def test_state_average_blockwise_equals_collect(spark):
     a = je.JointEmbeddingEstimator._average(df, parts=4, collect_limit=64)
     b = je.JointEmbeddingEstimator._average(df, parts=4, collect_limit=0, blocks=7)
     assert np.allclose(a[0], b[0], rtol=0, atol=1e-12) and a[1:] == b[1:]
+
+
+def test_prompt_signed_zero_and_nulls(spark):
+    row = dict(age_v1=80, mmse_v1=None, cdr_v1=0.5, nwbv_v1=0.7, education_years=12, sex="F", mr_delay_v2=700,
+               age_v2=82, mmse_v2=21.1, cdr_v2=1.0, nwbv_v2=0.69, mmse_delta_v1_v2=-0.04, nwbv_delta_v1_v2=None,
+               cdr_delta_v1_v2=0.0)
+    df = spark.createDataFrame([row], "age_v1 int, mmse_v1 double, cdr_v1 double, nwbv_v1 double, education_years int, "
+                                      "sex string, mr_delay_v2 int, age_v2 int, mmse_v2 double, cdr_v2 double, nwbv_v2 double, "
+                                      "mmse_delta_v1_v2 double, nwbv_delta_v1_v2 double, cdr_delta_v1_v2 double")
+    p = txt.clinical_prompt(df).first()["prompt"]
+    assert "- MMSE change: -0.0\n" in p and "- MMSE: nan\n" in p and "nWBV change: +nan" in p and "CDR change: +0.0" in p
