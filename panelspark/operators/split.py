@@ -56,11 +56,14 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, stratum: str = G
     d = d.checkpoint()
     rest = d.where(~F.col("_forced"))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), F.col(id_col).cast("string")))
-    rest = rest.withColumn("_h", h)
-    counts = rest.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    quotas = stratum_quotas(counts, stratum, test_fraction)
-    picked = first_k_by_hash(rest, stratum, "_h", quotas, id_col)
-    chosen = picked.withColumn(out, F.when(F.col("_selected"), first).otherwise(second)).drop("_selected", "_h")
+    # the stratum is wrapped in a one-field struct: a NULL stratum is then a stratum of its own
+    # (structs with NULL fields group and join as equal)
+    key = "_stratum"
+    rest = rest.withColumn("_h", h).withColumn(key, F.struct(F.col(stratum).alias("v")))
+    counts = rest.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    quotas = stratum_quotas(counts, key, test_fraction)
+    picked = first_k_by_hash(rest, key, "_h", quotas, id_col)
+    chosen = picked.withColumn(out, F.when(F.col("_selected"), first).otherwise(second)).drop("_selected", "_h", key)
     forced_rows = d.where(F.col("_forced")).withColumn(out, F.lit(first))
     return forced_rows.unionByName(chosen).drop("_forced")
 

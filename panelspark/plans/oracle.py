@@ -145,11 +145,11 @@ def split_ctes(src: str, name: str, frac: float, forced: str, salt: str, first:
          FROM {p}cnt),
 {p}b AS (SELECT *, (n * ntr_) // total_ AS fl_, (n * ntr_) % total_ AS rem_ FROM {p}a),
 {p}c AS (SELECT *, ntr_ - sum(fl_) OVER () AS short_,
-                row_number() OVER (ORDER BY rem_ DESC, participant_group) AS r_ FROM {p}b),
+                row_number() OVER (ORDER BY rem_ DESC, participant_group NULLS FIRST) AS r_ FROM {p}b),
 {p}q AS (SELECT participant_group, n - (fl_ + CASE WHEN r_ <= short_ THEN 1 ELSE 0 END) AS quota FROM {p}c),
 {name} AS (
   SELECT * EXCLUDE (h_, quota, rk_), CASE WHEN rk_ <= quota THEN '{first}' ELSE '{second}' END AS split
   FROM (SELECT r.*, q.quota, row_number() OVER (PARTITION BY r.participant_group ORDER BY r.h_, r.subject_id) AS rk_
-        FROM {p}rest r JOIN {p}q q USING (participant_group))
+        FROM {p}rest r JOIN {p}q q ON r.participant_group IS NOT DISTINCT FROM q.participant_group)
   UNION ALL
   SELECT *, '{first}' AS split FROM {src} WHERE coalesce({forced}, false))"""

@@ -105,3 +105,14 @@ def test_hard_label_auc_is_mean_of_sensitivity_and_specificity(spark):
     p = _pred(spark, [(y, float(h)) for y, h in rows])
     m = ev.classification_metrics(p).first()
     assert abs(m["auc_roc"] - (m["sensitivity"] + m["specificity"]) / 2) < 1e-6
+
+
+def test_null_stratum_is_its_own_stratum(spark):
+    f = _features(spark, 500).withColumn(
+        "participant_group", F.when(F.col("subject_id") < "S00100", F.lit(None)).otherwise(F.col("participant_group")))
+    s = spl.stratified_split(f, 0.2, "participant_group", None, salt="t")
+    rows = s.collect()
+    assert len(rows) == 500
+    nulls = [r for r in rows if r["participant_group"] is None]
+    assert len(nulls) == 100 and 15 <= sum(r["split"] == "test" for r in nulls) <= 25
+    assert sum(r["split"] == "test" for r in rows) == 100
