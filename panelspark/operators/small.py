@@ -12,6 +12,12 @@ def bounded(df: DataFrame, max_rows: int = 100000) -> DataFrame:
     driver.  Above the bound the caller's join is left to the planner (shuffle join, with
     adaptive skew splitting), never forced to broadcast.
     """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() == "LocalRelation":
+        # already a driver-side table (made from local rows): its size is known, no job needed
+        if plan.data().size() <= max_rows:
+            return F.broadcast(df)
+        return df
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return df
