@@ -109,3 +109,28 @@ def test_text_scoring_store_skips_answered_prompts(spark):
 
     again = textscore.score_text_batch(f, refusing_factory, store=store).select("subject_id", "text_prediction")
     assert {r[0]: r[1] for r in again.collect()} == a
+
+
+def test_study_csv_flow(spark):
+    """The switch-over path: a study CSV with its own header goes through every job."""
+    import csv
+    import importlib.util
+    d = _scratch()
+    rows = C.panel(spark, SMALL).where("subject_id < '300'").orderBy("subject_id", "visit").collect()
+    header = [" Subject ID", "MRI ID", "Group", "Visit", "MR Delay", "M/F", "Hand", "Age", "EDUC", "SES", "MMSE",
+              "CDR", "eTIV", "nWBV", "ASF "]
+    path = os.path.join(d, "study.csv")
+    with open(path, "w", newline="") as fh:
+        w = csv.writer(fh)
+        w.writerow(header)
+        for r in rows:
+            w.writerow([r["subject_id"], r["visit_id"], r["grp"], r["visit"], r["mr_delay"], r["sex"], r["hand"],
+                        r["age"], r["educ"], "" if r["ses"] is None else r["ses"], "" if r["mmse"] is None else r["mmse"],
+                        r["cdr"], r["etiv"], r["nwbv"], r["asf"]])
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spec = importlib.util.spec_from_file_location("study_flow", os.path.join(here, "examples", "study_flow.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    res = mod.run(spark, path, os.path.join(d, "out"), n_trees=5, epochs=3)
+    assert res["metrics"].count() == 3
+    assert spark.read.parquet(os.path.join(d, "out", "comparison")).count() == res["comparison"].count() > 0
