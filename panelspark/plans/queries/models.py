@@ -114,11 +114,29 @@ def q_feature_build_report(spark, sf):
     return feat.feature_build_report(panel(spark, sf))
 
 
-def boosted_model(spark, sf, **kw):
+# Fitted models per (application, data folder): the fit, score and importance reports of one
+# model share a single training run instead of training it once per report.
+_FITTED: dict = {}
+
+
+def _fitted(kind: str, spark, sf, build):
+    key = (kind, spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
+def _fit_boosted(spark, sf, **kw):
     tr, te = train_test(spark, sf)
     return bst.fit_boosted(tr, **kw), te
 
 
+def boosted_model(spark, sf, **kw):
+    if kw:
+        return _fit_boosted(spark, sf, **kw)
+    return _fitted("boosted", spark, sf, lambda: _fit_boosted(spark, sf))
+
+
 @query("boosted_trees_score")
 def q_boosted_trees_score(spark, sf):
     model, te = boosted_model(spark, sf)
@@ -132,6 +150,10 @@ def q_feature_importance_topk(spark, sf):
 
 
 def joint_model(spark, sf):
+    return _fitted("joint", spark, sf, lambda: _fit_joint(spark, sf))
+
+
+def _fit_joint(spark, sf):
     tr_all, te = train_test(spark, sf)
     v = spl.train_validation_split(tr_all)
     tr, va = v.where("split = 'train'").drop("split"), v.where("split = 'validation'").drop("split")
