@@ -41,7 +41,7 @@ def boosted_pipeline(n_trees: int = N_TREES, max_depth: int = MAX_DEPTH, step: f
     stages.append(GBTClassifier(featuresCol="features", labelCol=LABEL, weightCol="_w", maxIter=n_trees,
                                 maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
                                 featureSubsetStrategy=str(colsample), seed=seed, lossType="logistic",
-                                checkpointInterval=checkpoint_interval, cacheNodeIds=True))
+                                checkpointInterval=checkpoint_interval, cacheNodeIds=False))
     return Pipeline(stages=stages)
 
 
