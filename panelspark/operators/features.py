@@ -142,12 +142,25 @@ def visit_feature_projection(features: DataFrame, include_categorical: bool = Tr
 
 def group_medians(panel: DataFrame, columns=("mmse", "ses"), spec: PanelSpec = PANEL,
                   approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """A10: median of each column per visit-row group, NULLs skipped (linear interpolation)."""
-    aggs = []
-    for c in columns:
-        col = F.col(spec.signal(c))
-        aggs.append((F.percentile_approx(col, 0.5, accuracy) if approx else F.median(col)).alias(f"median_{c}"))
-    return panel.where(F.col(spec.group).isNotNull()).groupBy(spec.group).agg(*aggs)
+    """A10: median of each column per visit-row group, NULLs skipped (linear interpolation).
+
+    Exact by default through the bucketed ranking (no group's values meet in one task);
+    ``approx`` uses ``percentile_approx``.  Groups whose values are all NULL keep a NULL median.
+    """
+    from panelspark.operators.ranking import exact_quantiles
+    g = spec.group
+    rows = panel.where(F.col(g).isNotNull())
+    if approx:
+        return rows.groupBy(g).agg(*[F.percentile_approx(F.col(spec.signal(c)), 0.5, accuracy).alias(f"median_{c}")
+                                     for c in columns])
+    # all columns in one pass: unpivot to (group, column, value), one exact_quantiles call
+    long = rows.select(g, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(spec.signal(c)).cast("double").alias("_val")) for c in columns
+    ])).alias("_m")).select(g, "_m._col", "_m._val")
+    q = exact_quantiles(long, [g, "_col"], "_val", [0.5])
+    wide = q.groupBy(g).agg(*[F.max(F.when(F.col("_col") == c, F.col("q0"))).alias(f"median_{c}") for c in columns])
+    # one row per group on both sides; groups with only NULL values keep NULL medians
+    return rows.select(g).distinct().join(wide, g, "left")
 
 
 class GroupMedianImputer:

@@ -103,12 +103,17 @@ def baseline_box_stats(panel: DataFrame, metrics=("mmse", "nwbv"), spec: PanelSp
     long = base.select(GROUP, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(spec.signal(m)).cast("double").alias("value")) for m in metrics
     ])).alias("_m")).select(GROUP, "_m.metric", "_m.value").where(F.col("value").isNotNull())
-    pct = (F.percentile_approx("value", [0.25, 0.5, 0.75], 10000) if approx
-           else F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    q = long.groupBy(GROUP, "metric").agg(pct.alias("_q"), F.count(F.lit(1)).alias("n"))
+    counts = long.groupBy(GROUP, "metric").agg(F.count(F.lit(1)).alias("n"))
+    if approx:
+        qs = long.groupBy(GROUP, "metric").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q")) \
+            .select(GROUP, "metric", *[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
+    else:
+        # exact quartiles without one task per (group, metric) holding all its values
+        from panelspark.operators.ranking import exact_quantiles
+        qs = exact_quantiles(long, [GROUP, "metric"], "value", [0.25, 0.5, 0.75])
     # quartiles rounded to 6 decimals: interpolation formulas differ in the last bit between engines
-    q = q.select(GROUP, "metric", "n", F.round(F.col("_q")[0], 6).alias("q1"),
-                 F.round(F.col("_q")[1], 6).alias("median"), F.round(F.col("_q")[2], 6).alias("q3"))
+    q = counts.join(qs, [GROUP, "metric"], "inner").select(
+        GROUP, "metric", "n", F.round("q0", 6).alias("q1"), F.round("q1", 6).alias("median"), F.round("q2", 6).alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col("value")

@@ -78,3 +78,55 @@ def first_k_by_hash(df: DataFrame, key: str, h: str, quota: DataFrame, tie: str,
     wl = Window.partitionBy(key, "_hb").orderBy(F.col(h), F.col(tie))
     part = part.withColumn("_selected", F.row_number().over(wl) <= F.col("_need"))
     return whole.unionByName(part).drop("_hb", "_cross", "_need")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], n_buckets: int = 64,
+                    max_keys: int = 100000) -> DataFrame:
+    """Exact percentiles of ``value`` per ``keys`` (linear interpolation), one column ``q<i>`` per
+    probability, with the interpolation of Spark's ``percentile``:
+    ``(hi - pos) * v[lo] + (pos - lo) * v[hi]`` at ``pos = p * (n - 1)``.
+
+    ``percentile`` keeps every distinct value of a group in one task; here no task holds more
+    than one value bucket of one key: values are counted per (key, value), cut into buckets
+    by per-key approximate quantiles, running counts over the small bucket table locate the
+    target ranks, and only the buckets that hold a target rank are ranked locally.  Keys with no
+    non-NULL value get no row.
+    """
+    from panelspark.operators.small import bounded
+    v = F.col(value)
+    vc = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    inner = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = bounded(vc.groupBy(*keys).agg(F.percentile_approx(value, inner, 10000).alias("_bounds")), max_keys)
+    vb = vc.join(bounds, keys, "inner").withColumn(
+        "_b", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
+    bt = vb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    wk = Window.partitionBy(*keys)
+    bt = bt.withColumn("_before", F.sum("_bc").over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))) \
+        .withColumn("_before", F.coalesce(F.col("_before"), F.lit(0))) \
+        .withColumn("_n", F.sum("_bc").over(wk))
+    # target ranks (0-based) per key and probability
+    targets = bt.select(*keys, "_n").distinct().select(
+        *keys, "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
+                                          for i, p in enumerate(probs)])).alias("_t"))
+    pos = F.col("_t.p") * (F.col("_n") - 1).cast("double")
+    targets = targets.select(*keys, F.col("_t.i").alias("_i"), pos.alias("_pos"),
+                             F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"))
+    ranks = targets.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
+    # buckets holding a target rank (at most 2 per probability and key): small
+    need = ranks.join(bt, keys, "inner").where(
+        (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bc"))).select(*keys, "_b", "_before")
+    need = bounded(need.distinct(), max_keys * 2 * len(probs))
+    local = vb.join(need, [*keys, "_b"], "inner")
+    wb = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = local.withColumn("_end", F.col("_before") + F.sum("_c").over(wb)) \
+        .withColumn("_start", F.col("_end") - F.col("_c"))
+    at = ranks.join(local, keys, "inner").where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end"))) \
+        .select(*keys, "_r", v.cast("double").alias("_v"))
+    lo = at.select(*keys, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
+    hi = at.select(*keys, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
+    t = targets.join(lo, [*keys, "_lo"], "inner").join(hi, [*keys, "_hi"], "inner")
+    interp = F.when((F.col("_hi") == F.col("_lo")) | (F.col("_vhi") == F.col("_vlo")), F.col("_vlo")).otherwise(
+        (F.col("_hi").cast("double") - F.col("_pos")) * F.col("_vlo")
+        + (F.col("_pos") - F.col("_lo").cast("double")) * F.col("_vhi"))
+    t = t.select(*keys, "_i", interp.alias("_q"))
+    return t.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))])

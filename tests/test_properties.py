@@ -52,3 +52,16 @@ def test_positions_brute_force(spark, rows):
     a = {r["visit_id"]: (r["position"], r["prev_val"]) for r in ours.collect()}
     b = {r["visit_id"]: (r["position"], r["prev_val"]) for r in ref.collect()}
     assert a == b
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.floats(-50, 50, allow_nan=False))),
+                min_size=1, max_size=120),
+       st.lists(st.floats(0, 1), min_size=1, max_size=3))
+def test_exact_quantiles_equal_percentile(spark, rows, probs):
+    from panelspark.operators.ranking import exact_quantiles
+    df = spark.createDataFrame(rows, "g int, x double")
+    ours = exact_quantiles(df, ["g"], "x", probs, n_buckets=4)
+    ref = df.where("x IS NOT NULL").groupBy("g").agg(
+        *[F.percentile("x", p).alias(f"q{i}") for i, p in enumerate(probs)])
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ref.collect()))
