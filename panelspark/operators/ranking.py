@@ -81,7 +81,7 @@ def first_k_by_hash(df: DataFrame, key: str, h: str, quota: DataFrame, tie: str,
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], n_buckets: int = 64,
-                    max_keys: int = 100000) -> DataFrame:
+                    max_keys: int = 100000, max_distinct: int = 100000) -> DataFrame:
     """Exact percentiles of ``value`` per ``keys`` (linear interpolation), one column ``q<i>`` per
     probability, with the interpolation of Spark's ``percentile``:
     ``(hi - pos) * v[lo] + (pos - lo) * v[hi]`` at ``pos = p * (n - 1)``.
@@ -91,12 +91,29 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     by per-key approximate quantiles, running counts over the small bucket table locate the
     target ranks, and only the buckets that hold a target rank are ranked locally.  Keys with no
     non-NULL value get no row.
+
+    When every key has at most ``max_distinct`` distinct values (checked in the same pass that
+    computes the bucket bounds), the buckets are not needed: ``percentile`` with the counts as
+    frequencies runs over the (key, value) table, holding at most that many entries per task.
     """
-    from panelspark.operators.small import bounded
     v = F.col(value)
     vc = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    # read four times below (bounds, bucket totals, local ranks, final): one row per distinct
+    # (key, value), written once to the shared checkpoint folder so the input plan runs once
+    from panelspark.session import checkpoint_dir
+    checkpoint_dir(vc.sparkSession)
+    vc = vc.checkpoint()
     inner = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = bounded(vc.groupBy(*keys).agg(F.percentile_approx(value, inner, 10000).alias("_bounds")), max_keys)
+    per_key = vc.groupBy(*keys).agg(F.percentile_approx(value, inner, 10000).alias("_bounds"),
+                                    F.count(F.lit(1)).alias("_distinct"))
+    rows = per_key.limit(max_keys + 1).collect()
+    if len(rows) > max_keys:
+        raise ValueError(f"more than {max_keys} quantile keys")
+    if all(r["_distinct"] <= max_distinct for r in rows):
+        # every key's value table is proven small: one aggregate, Spark's own interpolation
+        return vc.groupBy(*keys).agg(*[F.percentile(value, F.lit(float(p)), F.col("_c")).alias(f"q{i}")
+                                       for i, p in enumerate(probs)])
+    bounds = F.broadcast(df.sparkSession.createDataFrame(rows, per_key.schema).drop("_distinct"))
     vb = vc.join(bounds, keys, "inner").withColumn(
         "_b", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
     bt = vb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
@@ -112,10 +129,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     targets = targets.select(*keys, F.col("_t.i").alias("_i"), pos.alias("_pos"),
                              F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"))
     ranks = targets.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    # buckets holding a target rank (at most 2 per probability and key): small
+    # buckets holding a target rank: at most 2 per probability and key, and the key count was
+    # checked above, so this table is proven small
     need = ranks.join(bt, keys, "inner").where(
         (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bc"))).select(*keys, "_b", "_before")
-    need = bounded(need.distinct(), max_keys * 2 * len(probs))
+    need = F.broadcast(need.distinct())
     local = vb.join(need, [*keys, "_b"], "inner")
     wb = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = local.withColumn("_end", F.col("_before") + F.sum("_c").over(wb)) \
