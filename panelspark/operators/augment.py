@@ -61,12 +61,17 @@ PRIOR_FIELDS = ["age_mean", "age_std", "mmse_v1_mean", "mmse_v1_std", "mmse_annu
 
 
 def priors_frame(spark: SparkSession, priors: dict = GROUP_PRIORS) -> DataFrame:
-    """Priors as a small DataFrame (one row per group)."""
-    rows = [(g, *[float(p[f]) for f in PRIOR_FIELDS], [float(x) for x in p["cdr_v1_options"]],
-             [float(x) for x in p["cdr_v1_probs"]]) for g, p in priors.items()]
-    schema = ", ".join([f"{GROUP} string"] + [f"{f} double" for f in PRIOR_FIELDS]
-                       + ["cdr_v1_options array<double>", "cdr_v1_probs array<double>"])
-    return spark.createDataFrame(rows, schema)
+    """Priors as a small inline table (one row per group; a local relation, so its size is known
+    without a job)."""
+    def lit_array(xs):
+        return "array(" + ", ".join(f"CAST({float(x)!r} AS DOUBLE)" for x in xs) + ")"
+    rows = []
+    for g, p in priors.items():
+        vals = [f"'{g}'"] + [f"CAST({float(p[f])!r} AS DOUBLE)" for f in PRIOR_FIELDS] \
+            + [lit_array(p["cdr_v1_options"]), lit_array(p["cdr_v1_probs"])]
+        rows.append("(" + ", ".join(vals) + ")")
+    cols = ", ".join([GROUP] + PRIOR_FIELDS + ["cdr_v1_options", "cdr_v1_probs"])
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({cols})")
 
 
 def _choice(u: Column, values, probs) -> Column:
