@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.operators.features import class_weight_value
+from panelspark.session import checkpoint_dir, stored
 from panelspark.spec import CATEGORICAL_FEATURES, LABEL, NUMERIC_FEATURES
 
 # Tree parameters of the reference model.
@@ -54,10 +55,9 @@ def fit_boosted(train: DataFrame, **kw) -> PipelineModel:
     """M1: fit on the training frame.  Boosting reads it every round, so it is written once to
     the shared checkpoint folder: the rounds scan a plain file instead of re-running the
     feature / split lineage, and a lost executor does not recompute it."""
-    from panelspark.session import checkpoint_dir
-    checkpoint_dir(train.sparkSession)
+    checkpoint_dir(train.sparkSession)                # MLlib checkpoints the boosting state there
     weighted, _ = with_weights(train)
-    weighted = weighted.withColumn(LABEL, F.col(LABEL).cast("double")).checkpoint()
+    weighted = stored(weighted.withColumn(LABEL, F.col(LABEL).cast("double")), "boosted-train")
     return boosted_pipeline(**kw).fit(weighted)
 
 

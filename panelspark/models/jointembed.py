@@ -20,6 +20,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from panelspark.session import checkpoint_dir
 from panelspark.operators.features import LabelEncoder, MODALITIES, Standardiser
 from panelspark.spec import GROUP, LABEL
 
@@ -287,8 +288,10 @@ class JointEmbeddingEstimator:
         spark = train.sparkSession
         sc = spark.sparkContext
         n = train.count()
-        parts = self.partitions or max(1, min(sc.defaultParallelism, n // self.rows_per_partition))
-        # read every epoch: cut the lineage into the shared checkpoint folder once
+        # the partition count, and with it the model, follows from the data alone
+        parts = self.partitions or max(1, -(-n // self.rows_per_partition))
+        # read every epoch: written once to the shared folder
+        checkpoint_dir(spark)
         tr = self._prepare(train).repartition(parts, "_key").checkpoint()
         va = self._prepare(val).checkpoint()
         params = init_params(self.seed)
@@ -339,6 +342,8 @@ class JointEmbeddingEstimator:
             state, steps, loss_sum, tot = self._average(outs, parts)
             step_count += steps
             train_loss = loss_sum / tot
+            if not math.isfinite(train_loss):
+                raise ValueError("the training loss is not a number: NULL or NaN among the inputs")
             val_loss = self._val_loss(va, state[:N_PARAMS], pos_weight)
             history.append((epoch + 1, train_loss, val_loss, lr))
             if val_loss < sched_best * (1 - 1e-4):

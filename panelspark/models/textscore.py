@@ -2,8 +2,8 @@
 
 The predictor factory is called once per partition (e.g. to open a client); the predictor
 maps a list of prompts to a list of responses.  Equal prompts are scored once (dedupe by
-hash); raw responses are checkpointed before parsing so a lost executor or a rerun of the
-plan does not call the predictor again.  Concurrency = number of partitions; ``pause``
+hash); raw responses are stored before parsing, so evaluating the plan again does not call the
+predictor again (with ``store`` also not in a later run).  Concurrency = number of partitions; ``pause``
 seconds between calls bounds the rate per partition.
 """
 
@@ -16,6 +16,7 @@ from typing import Callable, Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.functions.text import clinical_prompt, parse_response
+from panelspark.session import ship_package, stored
 
 Predictor = Callable[[list[str]], list[str]]
 
@@ -34,28 +35,18 @@ def mmse_rule_predictor_factory() -> Predictor:
     return predict
 
 
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(path)
-    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
-
-
 def score_prompts(prompts: DataFrame, factory: Callable[[], Predictor] = mmse_rule_predictor_factory,
                   prompt_col: str = "prompt", batch_size: int = 64, pause: float = 0.0,
-                  partitions: int | None = None, checkpoint: bool = True, store: str | None = None) -> DataFrame:
-    """(prompt_hash, response) for each distinct prompt of ``prompts``.
-
-    With ``store`` (a parquet folder on shared storage) answers are kept keyed by prompt hash:
-    prompts already answered are anti-joined away, only new ones reach the predictor, and
-    their answers are appended - a rerun after a failure does not call the predictor again.
-    """
-    distinct = prompts.select(F.sha2(F.col(prompt_col), 256).alias("prompt_hash"), F.col(prompt_col).alias("prompt")) \
-        .dropDuplicates(["prompt_hash"])
+                  partitions: int | None = None, store: str | None = None, parts: int = 1) -> DataFrame:
+    """(prompt_hash, response) for each distinct prompt of ``prompts``, stored.
+
+    With ``store`` (a parquet folder on shared storage) answers are kept keyed by prompt hash and
+    are written in ``parts`` commits by hash range; prompts already answered are anti-joined away before each, so a
+    rerun after a failure calls the predictor only for parts that were not committed."""
     spark = prompts.sparkSession
-    if store and _exists(spark, store):
-        distinct = distinct.join(spark.read.parquet(store).select("prompt_hash"), "prompt_hash", "left_anti")
-    if partitions:
-        distinct = distinct.repartition(partitions, "prompt_hash")
+    ship_package(spark)
+    distinct = stored(prompts.select(F.sha2(F.col(prompt_col), 256).alias("prompt_hash"), F.col(prompt_col).alias("prompt"))
+                      .dropDuplicates(["prompt_hash"]), "prompts")
 
     def run(batches: Iterable):
         import pandas as pd
@@ -69,20 +60,29 @@ def score_prompts(prompts: DataFrame, factory: Callable[[], Predictor] = mmse_ru
                     time.sleep(pause)
             yield pd.DataFrame({"prompt_hash": pdf["prompt_hash"], "response": responses})
 
-    scored = distinct.mapInPandas(run, "prompt_hash string, response string")
-    if store:
-        scored.write.mode("append").parquet(store)
-        return spark.read.parquet(store).join(distinct.select("prompt_hash").unionByName(
-            prompts.select(F.sha2(F.col(prompt_col), 256).alias("prompt_hash"))).distinct(), "prompt_hash", "left_semi")
-    return scored.checkpoint() if checkpoint else scored
-
-
-def score_text_batch(features: DataFrame, factory: Callable[[], Predictor] = mmse_rule_predictor_factory,
-                     checkpoint: bool = True, **kw) -> DataFrame:
-    """Feature rows + ``text_prediction`` and ``parse_status`` (prompt -> predictor -> parse)."""
-    with_prompt = clinical_prompt(features)
-    responses = score_prompts(with_prompt, factory, checkpoint=checkpoint, **kw)
-    keyed = with_prompt.withColumn("prompt_hash", F.sha2(F.col("prompt"), 256))
-    j = keyed.join(responses, "prompt_hash", "left")
+    def answered(todo: DataFrame) -> DataFrame:
+        todo = todo.repartition(partitions, "prompt_hash") if partitions else todo
+        return todo.mapInPandas(run, _ANSWER)
+
+    if not store:
+        return stored(answered(distinct), "responses")
+    spark.createDataFrame([], _ANSWER).write.mode("append").parquet(store)       # so that the folder can be read
+    part = F.pmod(F.conv(F.substring("prompt_hash", 1, 8), 16, 10).cast("long"), F.lit(parts))
+    for i in range(parts):
+        done = spark.read.schema(_ANSWER).parquet(store).select("prompt_hash")
+        answered(distinct.where(part == i).join(done, "prompt_hash", "left_anti")).write.mode("append").parquet(store)
+    return spark.read.schema(_ANSWER).parquet(store).join(distinct.select("prompt_hash"), "prompt_hash", "left_semi")
+
+
+_ANSWER = "prompt_hash string, response string"
+
+
+def score_text_batch(features: DataFrame, factory: Callable[[], Predictor] = mmse_rule_predictor_factory, **kw) -> DataFrame:
+    """Feature rows + ``text_prediction`` and ``parse_status`` (prompt -> predictor -> parse).
+
+    The features with their prompts are written once; the distinct prompts and the join read that."""
+    with_prompt = stored(clinical_prompt(features).withColumn("prompt_hash", F.sha2(F.col("prompt"), 256)), "prompted")
+    responses = score_prompts(with_prompt, factory, **kw)
+    j = with_prompt.drop("prompt").join(responses, "prompt_hash", "left")
     pred, status = parse_response(F.col("response"))
-    return j.withColumn("text_prediction", pred).withColumn("parse_status", status).drop("prompt_hash", "prompt")
+    return j.withColumn("text_prediction", pred).withColumn("parse_status", status).drop("prompt_hash", "response")

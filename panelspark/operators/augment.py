@@ -15,7 +15,8 @@ from panelspark.functions.exprs import clip, keyed_uniform, normal_draw
 from panelspark.operators.ranking import positions
 from panelspark.spec import GROUP, PANEL, PanelSpec
 from panelspark.operators.cohort import subject_group
-from panelspark.operators.small import bounded
+from panelspark.operators.small import bounded, join_per_key
+from panelspark.session import stored
 
 SEED = 42
 
@@ -225,18 +226,19 @@ def fit_generation_priors(panel: DataFrame, spec: PanelSpec = PANEL, width: int
     """Per subject group, baseline means / sample stds, annualised MMSE / nWBV change
     (mean of delta/years, sample std of delta/sqrt(years) over consecutive visits) and the
     female share.  Consecutive pairs come from the bucketed positions helper."""
-    sg = subject_group(panel, spec)
-    p = panel.join(sg, spec.subject, "inner")
-    base = p.where(F.col(spec.visit) == 1)
-    stats = base.groupBy(GROUP).agg(
+    bucket = F.floor(F.col(spec.visit) / F.lit(width)).cast("long")
+    used = dict.fromkeys([spec.subject, spec.visit, spec.visit_id, spec.group, spec.delay, spec.sex,
+                          *[spec.signal(c) for c in ("age", "mmse", "nwbv", "etiv", "educ", "ses")]])
+    # one pass over the panel: every visit with the values of the visit before, stored
+    rows = stored(positions(panel.select(*used), [spec.subject], spec.visit, [spec.visit_id], bucket,
+                            carry=[spec.delay, spec.mmse, spec.nwbv], name="_pos"), "visit-pairs")
+    pairs = join_per_key(rows, subject_group(rows, spec), spec.subject)
+    stats = pairs.where(F.col(spec.visit) == 1).groupBy(GROUP).agg(
         *[f(F.col(spec.signal(c)).cast("double")).alias(f"{name}_{suffix}")
           for c, name in [("age", "age"), ("mmse", "mmse_v1"), ("nwbv", "nwbv_v1"), ("etiv", "etiv"),
                           ("educ", "educ"), ("ses", "ses")]
           for f, suffix in [(F.avg, "mean"), (F.stddev_samp, "std")]],
         F.avg(F.when(F.col(spec.sex) == "F", 1.0).when(F.col(spec.sex).isNotNull(), 0.0)).alias("female_prob"))
-    bucket = F.floor(F.col(spec.visit) / F.lit(width)).cast("long")
-    pairs = positions(p, [spec.subject], spec.visit, [spec.visit_id], bucket,
-                      carry=[spec.delay, spec.mmse, spec.nwbv], name="_pos")
     years = (F.col(spec.delay) - F.col(f"prev_{spec.delay}")).cast("double") / F.lit(365.0)
     dm = F.col(spec.mmse) - F.col(f"prev_{spec.mmse}")
     dn = F.col(spec.nwbv) - F.col(f"prev_{spec.nwbv}")
@@ -252,8 +254,7 @@ def fit_generation_priors(panel: DataFrame, spec: PanelSpec = PANEL, width: int
 
 def baseline_cdr_frequencies(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """A22 (CDR part): share of each baseline CDR value per subject group."""
-    sg = subject_group(panel, spec)
-    base = panel.where(F.col(spec.visit) == 1).join(sg, spec.subject, "inner")
-    c = base.groupBy(GROUP, spec.cdr).agg(F.count(F.lit(1)).alias("n"))
-    t = base.groupBy(GROUP).agg(F.count(F.lit(1)).alias("_t"))
+    base = join_per_key(panel.where(F.col(spec.visit) == 1), subject_group(panel, spec), spec.subject)
+    c = stored(base.groupBy(GROUP, spec.cdr).agg(F.count(F.lit(1)).alias("n")), "baseline-cdr")
+    t = c.groupBy(GROUP).agg(F.sum("n").alias("_t"))
     return c.join(t, GROUP).select(GROUP, F.col(spec.cdr).alias("cdr"), "n", F.round(F.col("n") / F.col("_t"), 6).alias("share"))

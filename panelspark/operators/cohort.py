@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelspark.operators.features import CONVERTED, subject_group_expr
 from panelspark.operators.ranking import positions
+from panelspark.operators.small import join_per_key
 from panelspark.spec import GROUP, PANEL, PanelSpec
 
 
@@ -17,23 +18,22 @@ def subject_group(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
 def panel_with_subject_group(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """Every visit row with its subject-level group.
 
-    Aggregate (partial per map task) + equi-join on subject, not a window per subject: the
-    join's hot keys are split by adaptive skew-join handling, a window's would not be.
-    """
-    return panel.join(subject_group(panel, spec), spec.subject, "inner")
+    Aggregate (partial per map task) + equi-join on subject, not a window per subject; both join
+    sides have exchanges of their own, so adaptive execution splits a hot subject."""
+    return join_per_key(panel, subject_group(panel, spec), spec.subject)
 
 
 def subject_trajectories(panel: DataFrame, subjects: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """All visits of the given subjects (semi join; replaces one scan per subject)."""
-    return panel.join(subjects.select(spec.subject).distinct(), spec.subject, "left_semi")
+    return join_per_key(panel, subjects.select(spec.subject).distinct(), spec.subject, "left_semi")
 
 
 def visit_rows(panel: DataFrame, k: int, spec: PanelSpec = PANEL) -> DataFrame:
-    """The row of visit number ``k`` per subject (lowest visit_id among duplicates)."""
+    """The row of visit number ``k`` per subject (lowest visit_id among duplicates, NULL lowest)."""
     cols = [c for c in panel.columns]
     picked = (panel.where(F.col(spec.visit) == k).groupBy(spec.subject)
               .agg(F.min_by(F.struct(*[F.col(c) for c in cols if c != spec.subject]),
-                            F.col(spec.visit_id)).alias("_r")))
+                            F.struct(spec.visit_id)).alias("_r")))
     return picked.select(spec.subject, "_r.*").select(*cols)
 
 

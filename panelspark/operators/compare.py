@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelspark.operators.small import join_per_key
+from panelspark.session import stored
 from panelspark.spec import GROUP, LABEL, PANEL, PanelSpec
 
 MODELS = ("text", "boosted", "joint")
@@ -109,17 +111,20 @@ def positive_case_trajectories(cmp: DataFrame, panel: DataFrame, models=MODELS,
                                spec: PanelSpec = PANEL) -> DataFrame:
     """MMSE series of actual positives: (subject, group, visit, mmse, after_cutoff, min_mmse,
     marks per model, no_raw_data).  Subjects without panel rows or with only NULL MMSE are kept
-    with ``no_raw_data`` true.  The per-subject minimum is an aggregate joined back, so a
-    subject with very many visits is not one window task."""
-    pos = positive_cases(cmp).select("subject_id", GROUP, *_preds(models))
-    rows = panel.select(F.col(spec.subject).alias("subject_id"), F.col(spec.visit).alias("visit"),
-                        F.col(spec.mmse).alias("mmse"))
-    rows = rows.join(pos.select("subject_id"), "subject_id", "left_semi")
-    mins = rows.groupBy("subject_id").agg(F.min("mmse").alias("min_mmse"))
-    j = pos.join(rows, "subject_id", "left").join(mins, "subject_id", "left")
+    with ``no_raw_data`` true.  The positives' visits are stored once; the per-subject minimum is
+    an aggregate joined back, so a subject with very many visits is not one window task."""
     marks = [F.when(F.col(f"{k}_prediction") == 1, MARK_OK).otherwise(MARK_MISS).alias(f"{k}_mark") for k in models]
-    return j.select("subject_id", GROUP, "visit", "mmse", (F.col("visit") > cutoff).alias("after_cutoff"),
-                    "min_mmse", *marks, F.col("min_mmse").isNull().alias("no_raw_data"))
+    pos = stored(positive_cases(cmp).select("subject_id", GROUP, *marks), "positives")
+    rows = panel.select(F.col(spec.subject).alias("subject_id"), F.col(spec.visit).alias("visit"), F.col(spec.mmse).alias("mmse"))
+    rows = stored(join_per_key(rows, pos.select("subject_id"), "subject_id", "left_semi"), "positive-visits")
+    mins = rows.groupBy("subject_id").agg(F.min("mmse").alias("min_mmse"), F.count(F.lit(1)).alias("_n"))
+    who = stored(pos.join(mins, "subject_id", "left"), "positive-minima")
+    j = join_per_key(rows, who, "subject_id")
+    alone = who.where("_n is null").withColumn("visit", F.lit(None).cast(rows.schema["visit"].dataType)) \
+        .withColumn("mmse", F.lit(None).cast(rows.schema["mmse"].dataType))
+    return j.unionByName(alone).select(
+        "subject_id", GROUP, "visit", "mmse", (F.col("visit") > cutoff).alias("after_cutoff"),
+        "min_mmse", *[f"{k}_mark" for k in models], F.col("min_mmse").isNull().alias("no_raw_data"))
 
 
 def missed_case_signals(cmp: DataFrame, panel: DataFrame, models=MODELS, cutoff: int = 2,
@@ -127,7 +132,7 @@ def missed_case_signals(cmp: DataFrame, panel: DataFrame, models=MODELS, cutoff:
     """Long (subject, group, signal, visit, value, after_cutoff, annotated) for subjects
     every model missed; ``annotated`` marks the visit-1 and visit-2 values."""
     missed = all_models_missed(cmp, models).select("subject_id", GROUP)
-    rows = panel.join(missed.withColumnRenamed("subject_id", spec.subject), spec.subject, "inner")
+    rows = join_per_key(panel, missed.withColumnRenamed("subject_id", spec.subject), spec.subject)
     long = rows.select(spec.subject, GROUP, spec.visit, F.explode(F.array(*[
         F.struct(F.lit(s).alias("signal"), F.col(spec.signal(s)).cast("double").alias("value")) for s in signals
     ])).alias("_s"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.exprs import softplus
 from panelspark.operators.small import bounded
+from panelspark.session import stored
 
 MODEL, Y, YHAT, SCORE = "model", "y", "yhat", "score"
 
@@ -27,80 +28,84 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
     )
 
 
-MAX_MODELS = 10000
+def score_table(pred: DataFrame) -> DataFrame:
+    """(model, score, y, yhat, n): prediction rows per distinct outcome, written once.  The confusion
+    counts, AUC and ROC of all models derive from it, so the predictions run once."""
+    return stored(pred.groupBy(MODEL, SCORE, Y, YHAT).agg(F.count(F.lit(1)).alias("n")), "scores")
 
 
-def _hint(small: bool):
-    """Broadcast hint for per-model tables when the model count is proven small."""
-    return F.broadcast if small else (lambda df: df)
+def _confusion(scores: DataFrame) -> DataFrame:
+    def n(y, p):
+        return F.coalesce(F.sum(F.when((F.col(Y) == y) & (F.col(YHAT) == p), F.col("n"))), F.lit(0))
+    return scores.groupBy(MODEL).agg(n(0, 0).alias("true_negatives"), n(0, 1).alias("false_positives"),
+                                     n(1, 0).alias("false_negatives"), n(1, 1).alias("true_positives"))
 
 
-def score_points(pred: DataFrame, n_buckets: int = 64, materialize: bool = True) -> DataFrame:
-    return _score_points(pred, n_buckets, materialize)[0]
+BUCKET_ROWS = 65536              # distinct scores a running-sum task should hold
 
 
-def _score_points(pred: DataFrame, n_buckets: int = 64, materialize: bool = True):
+def score_points(pred: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    return _points(score_table(pred), bucket_rows)
+
+
+def _points(scores: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per (model, distinct score): pos, neg, and pos_above / neg_above = counts at strictly
     higher scores, plus the (pos, neg) of the next lower distinct score (NULL on the last).
 
-    Ties collapse in the first aggregate (which is also the tie rule of ROC/AUC).  Buckets are
-    per-model approximate quantiles of the distinct scores; a bucket index is monotone in the
-    score, so running sums are (sum over higher buckets) + (running sum inside the bucket).
-    """
-    y = F.col(Y)
-    d = pred.where(F.col(SCORE).isNotNull()).groupBy(MODEL, SCORE).agg(
-        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    if materialize:
-        # read three times below (bounds, bucket totals, in-bucket sums): write it once to the
-        # shared checkpoint folder so the upstream plan runs once
-        from panelspark.session import checkpoint_dir
-        checkpoint_dir(d.sparkSession)
-        d = d.checkpoint()
-    # one count proves the size of every per-model table below: bounds and totals have one row
-    # per model, the bucket table at most n_buckets rows per model
-    small = d.select(MODEL).distinct().limit(MAX_MODELS + 1).count() <= MAX_MODELS
-    hint = _hint(small)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = d.groupBy(MODEL).agg(F.percentile_approx(SCORE, probs, 10000).alias("_bounds"))
-    d = d.join(hint(bounds), MODEL, "inner")
-    d = d.withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(SCORE)))).drop("_bounds")
+    Ties collapse in the first aggregate (which is also the tie rule of ROC/AUC).  Scores are cut at
+    approximate quantiles of all models' distinct scores, into as many buckets as their number asks
+    for; a bucket index is monotone in the score, so running sums are (sum over higher buckets) +
+    (running sum inside the bucket), and the bucket count does not change the result."""
+    def n(y):
+        return F.coalesce(F.sum(F.when(F.col(Y) == y, F.col("n"))), F.lit(0))
+    d = stored(scores.where(F.col(SCORE).isNotNull()).groupBy(MODEL, SCORE).agg(n(1).alias("pos"), n(0).alias("neg")), "points")
+    n_buckets = min(max(-(-d.count() // bucket_rows), 1), 1024)
+    cuts = []
+    if n_buckets > 1:
+        cuts = sorted(set(d.agg(F.percentile_approx(SCORE, [i / n_buckets for i in range(1, n_buckets)], 20 * n_buckets)).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda b: b < F.col(SCORE))) if cuts else F.lit(0)
+    d = d.withColumn("_b", bucket).withColumn("_k", F.struct(MODEL, "_b"))
     top = F.max_by(F.struct("pos", "neg"), SCORE)
-    bt = d.groupBy(MODEL, "_b").agg(F.sum("pos").alias("_bpos"), F.sum("neg").alias("_bneg"), top.alias("_top"))
-    wb = Window.partitionBy(MODEL).orderBy(F.desc("_b"))
+    bt = d.groupBy("_k").agg(F.sum("pos").alias("_bpos"), F.sum("neg").alias("_bneg"), top.alias("_top"))
+    wb = Window.partitionBy(f"_k.{MODEL}").orderBy(F.desc("_k._b"))
     above = wb.rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(MODEL, "_b",
-                   F.coalesce(F.sum("_bpos").over(above), F.lit(0)).alias("_pa"),
+    bt = bt.select("_k", F.coalesce(F.sum("_bpos").over(above), F.lit(0)).alias("_pa"),
                    F.coalesce(F.sum("_bneg").over(above), F.lit(0)).alias("_na"),
                    F.lead("_top").over(wb).alias("_next_top"))
-    j = d.repartition(MODEL, "_b").join(hint(bt), [MODEL, "_b"], "inner")
-    wi = Window.partitionBy(MODEL, "_b").orderBy(F.desc(SCORE))
+    j = d.repartition("_k").join(bt.hint("merge"), "_k", "inner")
+    wi = Window.partitionBy("_k").orderBy(F.desc(SCORE))
     before = wi.rowsBetween(Window.unboundedPreceding, -1)
     nxt = F.lead(F.struct("pos", "neg")).over(wi)
-    pts = j.select(
+    return j.select(
         MODEL, SCORE, "pos", "neg",
         (F.col("_pa") + F.coalesce(F.sum("pos").over(before), F.lit(0))).alias("pos_above"),
         (F.col("_na") + F.coalesce(F.sum("neg").over(before), F.lit(0))).alias("neg_above"),
         F.coalesce(nxt, F.col("_next_top")).alias("_next"),
     )
-    return pts, small
 
 
-def auc_roc(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
+def auc_roc(pred: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Area under the ROC curve per model, ties counted 1/2 (Mann-Whitney form).
     NULL when a model has only one class."""
-    pts = score_points(pred, n_buckets)
+    return _auc(score_points(pred, bucket_rows))
+
+
+def _auc(pts: DataFrame) -> DataFrame:
     return pts.groupBy(MODEL).agg(
         F.try_divide(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0)),
                      (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc_roc"))
 
 
-def roc_points(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
+def roc_points(pred: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(model, threshold, fpr, tpr) at each distinct score, descending, collinear points
     dropped (a point is kept if the next point's (pos, neg) step differs), plus the start
     point (threshold NULL, 0, 0)."""
-    pts, small = _score_points(pred, n_buckets)
+    return _roc(stored(score_points(pred, bucket_rows), "roc-steps"))
+
+
+def _roc(pts: DataFrame) -> DataFrame:
     tot = pts.groupBy(MODEL).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    j = pts.join(_hint(small)(tot), MODEL, "inner")
+    j = pts.join(bounded(tot), MODEL, "inner")        # one row per model
     first = (F.col("pos_above") == 0) & (F.col("neg_above") == 0)
     last = F.col("_next").isNull()
     same = (F.col("_next.pos") == F.col("pos")) & (F.col("_next.neg") == F.col("neg"))
@@ -115,20 +120,24 @@ def roc_points(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
     return start.unionByName(pts_out)
 
 
-def roc_auc_trapezoid(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
+def roc_auc_trapezoid(pred: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Trapezoid area under the ROC points.  Each distinct score adds the trapezoid between
     its point and the previous one: (neg / N) * (tp_prev + tp) / (2P); dropping collinear points
     does not change the area, so the sum runs over all distinct scores (no ordered pass)."""
-    pts = score_points(pred, n_buckets)
+    return _trapezoid(score_points(pred, bucket_rows))
+
+
+def _trapezoid(pts: DataFrame) -> DataFrame:
     return pts.groupBy(MODEL).agg(
         F.try_divide(F.sum(F.col("neg") * (2 * F.col("pos_above") + F.col("pos"))),
                      (2 * F.sum("pos") * F.sum("neg")).cast("double")).alias("auc_trapezoid"))
 
 
-def classification_metrics(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
+def classification_metrics(pred: DataFrame) -> DataFrame:
     """Per model accuracy, F1 (0 if undefined), sensitivity and specificity (0 on an
     empty class), AUC (NULL on a single class) and the four counts."""
-    cm = confusion_matrix(pred)
+    scores = score_table(pred)
+    cm = _confusion(scores)
     tp, fp, tn, fn = (F.col(c) for c in ("true_positives", "false_positives", "true_negatives", "false_negatives"))
 
     def ratio(a, b):
@@ -141,7 +150,7 @@ def classification_metrics(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
         ratio(tp, tp + fn).alias("sensitivity"),
         ratio(tn, tn + fp).alias("specificity"),
         "true_positives", "false_positives", "true_negatives", "false_negatives")
-    auc = auc_roc(pred, n_buckets).select(MODEL, F.round("auc_roc", 6).alias("auc_roc"))
+    auc = _auc(_points(scores)).select(MODEL, F.round("auc_roc", 6).alias("auc_roc"))
     # both sides have one row per model
     return m.join(auc, MODEL, "left")
 
@@ -153,19 +162,21 @@ def metrics_summary(pred: DataFrame) -> DataFrame:
 
 
 def accuracy_by_group(pred: DataFrame, model: str | None = "text") -> DataFrame:
-    """Correct / total per group and overall (group NULL) for one model."""
+    """Correct / total per group, and overall with ``is_total`` true (group NULL), for one model.
+    Rows without a group are a group of their own (``is_total`` false)."""
     p = pred.where(F.col(MODEL) == model) if model else pred
     return p.rollup("participant_group").agg(
+        (F.grouping("participant_group") == 1).alias("is_total"),
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(YHAT) == F.col(Y)).alias("n_correct"),
         (F.count_if(F.col(YHAT) == F.col(Y)) / F.count(F.lit(1))).alias("accuracy"))
 
 
-def roc_curve_table(pred: DataFrame, n_buckets: int = 64) -> DataFrame:
+def roc_curve_table(pred: DataFrame) -> DataFrame:
     """ROC points of every model with 'model (AUC = x.xxx)' labels."""
-    pts = roc_points(pred, n_buckets)
-    auc = roc_auc_trapezoid(pred, n_buckets)
+    pts = stored(score_points(pred), "roc-steps")
+    auc = _trapezoid(pts)
     label = F.concat(F.col(MODEL), F.lit(" (AUC = "), F.format_string("%.3f", F.col("auc_trapezoid")), F.lit(")"))
-    return pts.join(bounded(auc.select(MODEL, label.alias("label"))), MODEL, "inner")
+    return _roc(pts).join(bounded(auc.select(MODEL, label.alias("label"))), MODEL, "inner")
 
 
 def threshold_labels(df: DataFrame, score: str = SCORE, threshold: float = 0.5, out: str = "yhat") -> DataFrame:

@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelspark.operators.ranking import positions, quantiles_of_counts, value_counts
+from panelspark.operators.small import bounded
+from panelspark.session import stored
 from panelspark.spec import (
     CATEGORICAL_FEATURES, FEATURE_COLUMNS, GROUP, LABEL, NUMERIC_FEATURES, PANEL, PanelSpec,
 )
@@ -25,10 +28,10 @@ def subject_group_expr(spec: PanelSpec = PANEL, converted: str = CONVERTED) -> C
 
 
 def _visit_struct(spec: PanelSpec, k: int, fields: list[str]) -> Column:
-    """The row of visit number ``k`` (lowest visit_id among duplicates), NULL if absent."""
+    """The row of visit number ``k`` (lowest visit_id among duplicates, NULL lowest), NULL if absent."""
     v = F.col(spec.visit)
     payload = F.struct(*[F.col(spec.signal(f)).alias(f) for f in fields])
-    return F.min_by(payload, F.when(v == k, F.col(spec.visit_id)))
+    return F.min_by(payload, F.when(v == k, F.struct(spec.visit_id)))
 
 
 def subject_rollup(panel: DataFrame, spec: PanelSpec = PANEL, first: int = 1, second: int = 2,
@@ -111,7 +114,7 @@ def worsened_after_cutoff(panel: DataFrame, spec: PanelSpec = PANEL, cutoff: int
     severity after the cutoff exceeds the severity at the cutoff, else 0 (NULLs give 0)."""
     v = F.col(spec.visit)
     after = v > cutoff if horizon is None else (v > cutoff) & (v <= horizon)
-    at = F.min_by(F.col(spec.cdr), F.when(v == cutoff, F.col(spec.visit_id)))
+    at = F.min_by(F.col(spec.cdr), F.when(v == cutoff, F.struct(spec.visit_id)))
     has = F.count_if(v == cutoff)
     agg = panel.groupBy(spec.subject).agg(at.alias("_at"), has.alias("_has"),
                                           F.max(F.when(after, F.col(spec.cdr))).alias("_max"),
@@ -147,68 +150,43 @@ def group_medians(panel: DataFrame, columns=("mmse", "ses"), spec: PanelSpec = P
     Exact by default through the bucketed ranking (no group's values meet in one task);
     ``approx`` uses ``percentile_approx``.  Groups whose values are all NULL keep a NULL median.
     """
-    from panelspark.operators.ranking import exact_quantiles
     g = spec.group
     rows = panel.where(F.col(g).isNotNull())
     if approx:
         return rows.groupBy(g).agg(*[F.percentile_approx(F.col(spec.signal(c)), 0.5, accuracy).alias(f"median_{c}")
                                      for c in columns])
-    # all columns in one pass: unpivot to (group, column, value), one exact_quantiles call
-    long = rows.select(g, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_col"), F.col(spec.signal(c)).cast("double").alias("_val")) for c in columns
-    ])).alias("_m")).select(g, "_m._col", "_m._val")
-    q = exact_quantiles(long, [g, "_col"], "_val", [0.5])
+    # all columns in one pass over the panel: (group, column, value) with counts, stored
+    long = rows.select(g, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(spec.signal(c)).cast("double").alias("_val")) for c in columns])))
+    counts = value_counts(long, [g, "_col"], "_val")
+    q = quantiles_of_counts(counts, [g, "_col"], "_val", [0.5])
     wide = q.groupBy(g).agg(*[F.max(F.when(F.col("_col") == c, F.col("q0"))).alias(f"median_{c}") for c in columns])
     # one row per group on both sides; groups with only NULL values keep NULL medians
-    return rows.select(g).distinct().join(wide, g, "left")
+    return counts.select(g).distinct().join(wide, g, "left")
 
 
 class GroupMedianImputer:
     """fill NULLs of ``columns`` with the median of the row's group.
 
-    ``fit`` computes the medians (one aggregate, partial per map task) and pulls the small
-    table to the driver after checking it has at most ``max_groups`` rows; ``transform`` is
-    then a pure projection (CASE on the group), no join and no shuffle.  Above the bound the
-    medians stay a DataFrame and are joined (left, so NULL groups keep NULL values).
-    The reference fits on the whole panel before splitting; ``fit(train).transform(df)``
-    gives the leakage-free variant.
+    ``fit`` computes the medians (one aggregate, partial per map task) and stores them;
+    ``transform`` joins them back (left, so rows of a NULL group keep NULL values).  The median
+    table has one row per group and is broadcast when it is checked to be small.  The reference
+    fits on the whole panel before splitting; ``fit(train).transform(df)`` gives the
+    leakage-free variant.
     """
 
-    def __init__(self, columns=("mmse", "ses"), spec: PanelSpec = PANEL, max_groups: int = 1000,
-                 approx: bool = False):
+    def __init__(self, columns=("mmse", "ses"), spec: PanelSpec = PANEL, approx: bool = False):
         self.columns = tuple(columns)
         self.spec = spec
-        self.max_groups = max_groups
         self.approx = approx
-        self.rows = None
         self.table = None
 
     def fit(self, panel: DataFrame) -> "GroupMedianImputer":
-        med = group_medians(panel, self.columns, self.spec, self.approx)
-        rows = med.limit(self.max_groups + 1).collect()
-        if len(rows) <= self.max_groups:
-            self.rows = rows
-        else:
-            self.table = med
+        self.table = bounded(stored(group_medians(panel, self.columns, self.spec, self.approx), "medians"))
         return self
 
     def transform(self, panel: DataFrame) -> DataFrame:
-        g = self.spec.group
-        if self.rows is not None:
-            out = panel
-            for c in self.columns:
-                name = self.spec.signal(c)
-                fill = None
-                for r in self.rows:
-                    if r[f"median_{c}"] is None:
-                        continue
-                    cond = F.col(g) == F.lit(r[g])
-                    fill = F.when(cond, F.lit(float(r[f"median_{c}"]))) if fill is None else \
-                        fill.when(cond, F.lit(float(r[f"median_{c}"])))
-                if fill is not None:
-                    out = out.withColumn(name, F.coalesce(F.col(name), fill))
-            return out
-        joined = panel.join(self.table, g, "left")
+        joined = panel.join(self.table, self.spec.group, "left")
         for c in self.columns:
             name = self.spec.signal(c)
             joined = joined.withColumn(name, F.coalesce(F.col(name), F.col(f"median_{c}")))
@@ -283,30 +261,31 @@ class Standardiser:
 
 
 class LabelEncoder:
-    """sorted distinct categories of the fitting frame -> 0..k-1; unseen values raise."""
+    """sorted distinct categories of the fitting frame -> 0..k-1; unseen values raise, NULL stays NULL.
 
-    def __init__(self, column: str, output: str | None = None, max_categories: int = 10000):
+    The dictionary is a stored table (category, code), joined back; it is broadcast when it is
+    checked to be small.  Codes are bucketed positions, so the categories are never sorted in one task."""
+
+    def __init__(self, column: str, output: str | None = None):
         self.column = column
         self.output = output or column
-        self.max_categories = max_categories
-        self.categories: list[str] = []
+        self.table = None
 
     def fit(self, df: DataFrame) -> "LabelEncoder":
-        rows = (df.where(F.col(self.column).isNotNull()).select(self.column).distinct()
-                .limit(self.max_categories + 1).collect())
-        if len(rows) > self.max_categories:
-            raise ValueError(f"{self.column}: more than {self.max_categories} categories")
-        self.categories = sorted(r[0] for r in rows)
+        c = F.col(self.column)
+        distinct = df.where(c.isNotNull()).select(c.alias("_category")).distinct()
+        ranked = positions(distinct.withColumn("_all", F.lit(0)), ["_all"], "_category", [],
+                           F.substring(F.col("_category").cast("string"), 1, 2) if dict(distinct.dtypes)["_category"] == "string" else F.lit(0), name="_p")
+        self.table = bounded(stored(ranked.select("_category", (F.col("_p") - 1).cast("int").alias("_code")), "categories"))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         c = F.col(self.column)
-        code = None
-        for i, v in enumerate(self.categories):
-            code = F.when(c == F.lit(v), F.lit(i)) if code is None else code.when(c == F.lit(v), F.lit(i))
+        joined = df.join(self.table, c == F.col("_category"), "left")
         unseen = F.raise_error(F.concat(F.lit(f"unseen category in {self.column}: "), c.cast("string")))
-        code = unseen if code is None else code.otherwise(unseen)
-        return df.withColumn(self.output, code.cast("int"))
+        code = F.when(c.isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_code"), unseen)).cast("int")
+        return joined.withColumn("_out", code).drop("_category", "_code", *([self.output] if self.output in df.columns else [])) \
+            .withColumnRenamed("_out", self.output)
 
 
 # ── F8 / F9 / P6 ─────────────────────────────────────────────────────────────
@@ -320,8 +299,9 @@ def trajectory_change_table(features: DataFrame) -> DataFrame:
 
 
 def delta_inspection(features: DataFrame, group: str | None = None) -> DataFrame:
-    """delta columns by group, optionally for one group only."""
-    out = features.select("subject_id", GROUP, "mmse_delta_v1_v2", "nwbv_delta_v1_v2",
+    """the visit-1 and visit-2 values and the deltas by group, optionally for one group only."""
+    pairs = [f"{c}_{v}" for c in ("mmse", "nwbv", "cdr") for v in ("v1", "v2")]
+    out = features.select("subject_id", GROUP, *pairs, "mmse_delta_v1_v2", "nwbv_delta_v1_v2",
                           "cdr_delta_v1_v2", "age_delta_v1_v2", LABEL)
     if group is not None:
         out = out.where(F.col(GROUP) == group)

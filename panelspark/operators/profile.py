@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelspark.operators.cohort import panel_with_subject_group, subject_group
+from panelspark.operators.ranking import exact_quantiles
 from panelspark.operators.small import bounded
+from panelspark.session import stored
 from panelspark.spec import GROUP, PANEL, PanelSpec
 
 
@@ -60,23 +62,22 @@ def missing_value_audit(df: DataFrame) -> DataFrame:
 def exploration_summary(panel: DataFrame, spec: PanelSpec = PANEL, converted: str = "Converted") -> DataFrame:
     """Subjects, rows, converter subjects, subjects with >= 3 visits, missing MMSE and the
     sorted distinct group labels, from one per-subject aggregate."""
-    per_subject = panel.groupBy(spec.subject).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count(spec.visit).alias("_visits"),
-        F.bool_or(F.col(spec.group) == converted).alias("_conv"),
-        F.count_if(F.col(spec.mmse).isNull()).alias("_miss"),
-    )
-    totals = per_subject.agg(
+    g = F.col(spec.group)
+    parts = stored(panel.groupBy(spec.subject, spec.group).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(spec.visit).alias("_visits"),
+        F.count_if(F.col(spec.mmse).isNull()).alias("_miss")), "subject-groups")
+    per_subject = parts.groupBy(spec.subject).agg(
+        F.sum("_rows").alias("_rows"), F.sum("_visits").alias("_visits"), F.bool_or(g == converted).alias("_conv"), F.sum("_miss").alias("_miss"))
+    # labels are counted like any key; one row per distinct label goes into the result's text
+    labels = [r[0] for r in parts.where(g.isNotNull()).select(spec.group).distinct().orderBy(spec.group).toLocalIterator()]
+    return per_subject.agg(
         F.count(F.lit(1)).alias("n_subjects"),
-        F.sum("_rows").alias("n_rows"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"),
         F.count_if(F.col("_conv")).alias("n_converters"),
         F.count_if(F.col("_visits") >= 3).alias("n_subjects_3plus_visits"),
-        F.sum("_miss").alias("n_missing_mmse"),
+        F.coalesce(F.sum("_miss"), F.lit(0)).alias("n_missing_mmse"),
+        F.lit(", ".join(str(x) for x in labels)).alias("group_labels"),
     )
-    # distinct labels: collect_set holds one entry per distinct group, so it stays small
-    groups = panel.agg(F.array_join(F.sort_array(F.collect_set(spec.group)), ", ").alias("group_labels"))
-    # both sides are single rows; joined on a constant key
-    return totals.withColumn("_k", F.lit(1)).join(groups.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def split_nulls_check(panel: DataFrame, columns=("mmse", "ses"), spec: PanelSpec = PANEL) -> DataFrame:
@@ -95,37 +96,55 @@ def panel_cohort_counts(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     return r.select(cohort.alias("cohort"), "n_subjects", "n_rows")
 
 
-def baseline_box_stats(panel: DataFrame, metrics=("mmse", "nwbv"), spec: PanelSpec = PANEL,
-                       approx: bool = False) -> DataFrame:
-    """Box-plot numbers per subject group and metric at visit 1, NULLs dropped: quartiles
-    (linear interpolation), whiskers at the furthest point within 1.5 IQR, outlier count."""
+def _baseline_values(panel: DataFrame, metrics, spec: PanelSpec) -> DataFrame:
+    """(subject, participant_group, metric, value) at visit 1, NULLs dropped, stored."""
     base = panel_with_subject_group(panel, spec).where(F.col(spec.visit) == 1)
-    long = base.select(GROUP, F.explode(F.array(*[
+    return stored(base.select(F.col(spec.subject).alias("subject_id"), GROUP, F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(spec.signal(m)).cast("double").alias("value")) for m in metrics
-    ])).alias("_m")).select(GROUP, "_m.metric", "_m.value").where(F.col("value").isNotNull())
+    ]))).where(F.col("value").isNotNull()), "baseline-values")
+
+
+def _with_fences(long: DataFrame, approx: bool) -> DataFrame:
+    """Baseline values with their box's count, quartiles and fences (1.5 IQR)."""
     counts = long.groupBy(GROUP, "metric").agg(F.count(F.lit(1)).alias("n"))
     if approx:
         qs = long.groupBy(GROUP, "metric").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q")) \
             .select(GROUP, "metric", *[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
     else:
         # exact quartiles without one task per (group, metric) holding all its values
-        from panelspark.operators.ranking import exact_quantiles
         qs = exact_quantiles(long, [GROUP, "metric"], "value", [0.25, 0.5, 0.75])
     # quartiles rounded to 6 decimals: interpolation formulas differ in the last bit between engines
     q = counts.join(qs, [GROUP, "metric"], "inner").select(
-        GROUP, "metric", "n", F.round("q0", 6).alias("q1"), F.round("q1", 6).alias("median"), F.round("q2", 6).alias("q3"))
-    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col("value")
+        GROUP, "metric", "n", F.round("q0", 6).alias("q1"), F.round("q1", 6).alias("median"), F.round("q2", 6).alias("q3"),
+        (F.round("q0", 6) - 1.5 * (F.round("q2", 6) - F.round("q0", 6))).alias("_lo"),
+        (F.round("q2", 6) + 1.5 * (F.round("q2", 6) - F.round("q0", 6))).alias("_hi"))
     # the quartile table has one row per (group, metric): broadcast after the size check
-    j = long.join(bounded(q), [GROUP, "metric"], "inner")
+    return long.join(bounded(q), [GROUP, "metric"], "inner")
+
+
+def baseline_box_stats(panel: DataFrame, metrics=("mmse", "nwbv"), spec: PanelSpec = PANEL,
+                       approx: bool = False) -> DataFrame:
+    """Box-plot numbers per subject group and metric at visit 1, NULLs dropped: quartiles
+    (linear interpolation), whiskers at the furthest point within 1.5 IQR, outlier count."""
+    j, v = _with_fences(_baseline_values(panel, metrics, spec), approx), F.col("value")
     return j.groupBy(GROUP, "metric", "n", "q1", "median", "q3").agg(
-        F.min(F.when(v >= lo, v)).alias("whisker_low"),
-        F.max(F.when(v <= hi, v)).alias("whisker_high"),
-        F.count_if((v < lo) | (v > hi)).alias("n_outliers"),
+        F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"),
+        F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_high"),
+        F.count_if((v < F.col("_lo")) | (v > F.col("_hi"))).alias("n_outliers"),
     )
 
 
+def baseline_outliers(panel: DataFrame, metrics=("mmse", "nwbv"), spec: PanelSpec = PANEL) -> DataFrame:
+    """A21, the points beyond the whiskers: (participant_group, metric, subject_id, value)."""
+    j, v = _with_fences(_baseline_values(panel, metrics, spec), False), F.col("value")
+    return j.where((v < F.col("_lo")) | (v > F.col("_hi"))).select(GROUP, "metric", "subject_id", "value")
+
+
+def first_n_features(features: DataFrame, n: int = 10) -> DataFrame:
+    """P10 on the feature (test) frame: the first ``n`` rows by subject (a top-k: the limit is the feature)."""
+    return features.orderBy("subject_id").limit(n)
+
+
 def first_n_inspection(panel: DataFrame, n: int = 10, spec: PanelSpec = PANEL) -> DataFrame:
     """P10: the first ``n`` panel rows in (subject, visit, visit_id) order (a top-k: the limit is
     the feature)."""

@@ -15,33 +15,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelspark.operators.small import bounded
+from panelspark.session import stored
+
 
 def positions(df: DataFrame, part: list[str], order: str, ties: list[str], bucket: Column,
               carry: list[str] = (), name: str = "position") -> DataFrame:
     """Add ``name`` = 1-based position of the row within ``part`` ordered by (order, *ties),
     and ``prev_<c>`` = value of ``c`` on the previous row, for each ``c`` in ``carry``.
 
-    ``bucket`` must be monotone in the order column (e.g. ``floor(visit / 1024)``).
+    ``bucket`` must be monotone in the order column (e.g. ``floor(visit / 1024)``); its width does
+    not change the result.  NULLs are values like any other: NULL parts form one part, NULL
+    orders come first, and a previous row's NULL is carried as NULL.
     """
-    b = "_bucket"
-    keyed = df.withColumn(b, bucket)
+    key = "_key"                      # a struct is never NULL, so NULL parts and buckets join too
+    keyed = df.withColumn(key, F.struct(*[F.col(c) for c in part], bucket.alias("_bucket")))
     last_key = F.struct(F.col(order), *[F.col(t) for t in ties])
     aggs = [F.count(F.lit(1)).alias("_n")]
     if carry:
         aggs.append(F.max_by(F.struct(*[F.col(c) for c in carry]), last_key).alias("_last"))
-    per_bucket = keyed.groupBy(*part, b).agg(*aggs)
-    w = Window.partitionBy(*part).orderBy(b)
-    cols = [*part, b, (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                       - F.col("_n")).alias("_offset")]
+    per_bucket = keyed.groupBy(key).agg(*aggs)
+    w = Window.partitionBy(*[F.col(f"{key}.{c}") for c in part]).orderBy(f"{key}._bucket")
+    cols = [key, (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_offset")]
     if carry:
         cols.append(F.lag("_last").over(w).alias("_prev_last"))
     offsets = per_bucket.select(*cols)
-    joined = keyed.repartition(*part, b).join(offsets.hint("merge"), [*part, b], "inner")
-    inner = Window.partitionBy(*part, b).orderBy(F.col(order), *[F.col(t) for t in ties])
-    out = joined.withColumn(name, (F.col("_offset") + F.row_number().over(inner)).cast("long"))
+    joined = keyed.repartition(key).join(offsets.hint("merge"), key, "inner")
+    inner = Window.partitionBy(key).orderBy(F.col(order), *[F.col(t) for t in ties])
+    out = joined.withColumn("_r", F.row_number().over(inner))
     for c in carry:
-        out = out.withColumn(f"prev_{c}", F.coalesce(F.lag(c).over(inner), F.col("_prev_last")[c]))
-    return out.drop(b, "_offset", "_prev_last")
+        # the first row of a bucket follows the last row of the bucket before, whatever its value
+        out = out.withColumn(f"prev_{c}", F.when(F.col("_r") == 1, F.col("_prev_last")[c]).otherwise(F.lag(c).over(inner)))
+    return out.withColumn(name, (F.col("_offset") + F.col("_r")).cast("long")).drop(key, "_r", "_offset", "_prev_last")
 
 
 def hash_bucket(h: Column, digits: int = 4) -> Column:
@@ -49,16 +54,14 @@ def hash_bucket(h: Column, digits: int = 4) -> Column:
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
 
 
-def first_k_by_hash(df: DataFrame, key: str, h: str, quota: DataFrame, tie: str, digits: int = 4,
-                    max_keys: int = 100000) -> DataFrame:
+def first_k_by_hash(df: DataFrame, key: str, h: str, quota: DataFrame, tie: str, digits: int = 4) -> DataFrame:
     """Flag (``_selected``) the first ``quota[k]`` rows of each key ``k`` in (h, tie) order.
 
     Only the one bucket per key in which the quota is crossed needs a local rank: buckets
     below it are wholly selected, buckets above it wholly not.  ``quota`` has columns
-    (key, quota); the per-key threshold table (one row per key) is checked to hold at most
-    ``max_keys`` rows before it is broadcast.
+    (key, quota).  The threshold table has one row per key; its join is broadcast only when it is
+    checked to be small.
     """
-    spark = df.sparkSession
     hb = hash_bucket(F.col(h), digits)
     keyed = df.withColumn("_hb", hb)
     counts = keyed.groupBy(key, "_hb").agg(F.count(F.lit(1)).alias("_n"))
@@ -66,11 +69,7 @@ def first_k_by_hash(df: DataFrame, key: str, h: str, quota: DataFrame, tie: str,
     cum = counts.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).join(quota, key, "inner")
     crossing = cum.where((F.col("_before") < F.col("quota")) & (F.col("_before") + F.col("_n") >= F.col("quota")))
     thr = crossing.select(key, F.col("_hb").alias("_cross"), (F.col("quota") - F.col("_before")).alias("_need"))
-    rows = thr.limit(max_keys + 1).collect()
-    if len(rows) > max_keys:
-        raise ValueError(f"more than {max_keys} strata")
-    thr_small = spark.createDataFrame(rows, thr.schema) if rows else spark.createDataFrame([], thr.schema)
-    j = keyed.join(F.broadcast(thr_small), key, "left")
+    j = keyed.join(bounded(thr), key, "left")
     cross = F.col("_cross")
     whole = j.where(cross.isNull() | (F.col("_hb") != cross)).withColumn(
         "_selected", F.coalesce(F.col("_hb") < cross, F.lit(False)))
@@ -80,71 +79,66 @@ def first_k_by_hash(df: DataFrame, key: str, h: str, quota: DataFrame, tie: str,
     return whole.unionByName(part).drop("_hb", "_cross", "_need")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], n_buckets: int = 64,
-                    max_keys: int = 100000, max_distinct: int = 100000) -> DataFrame:
+BUCKET_ROWS = 65536              # distinct values a local ranking task should hold
+
+
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, _c): rows per distinct value of each key, NULL values included, written once."""
+    return stored(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Exact percentiles of ``value`` per ``keys`` (linear interpolation), one column ``q<i>`` per
     probability, with the interpolation of Spark's ``percentile``:
     ``(hi - pos) * v[lo] + (pos - lo) * v[hi]`` at ``pos = p * (n - 1)``.
 
-    ``percentile`` keeps every distinct value of a group in one task; here no task holds more
-    than one value bucket of one key: values are counted per (key, value), cut into buckets
-    by per-key approximate quantiles, running counts over the small bucket table locate the
-    target ranks, and only the buckets that hold a target rank are ranked locally.  Keys with no
-    non-NULL value get no row.
+    ``percentile`` keeps every distinct value of a group in one task; see ``quantiles_of_counts``.
+    Keys with no non-NULL value get no row; a NULL key is a key."""
+    return quantiles_of_counts(value_counts(df, keys, value), keys, value, probs, bucket_rows)
 
-    When every key has at most ``max_distinct`` distinct values (checked in the same pass that
-    computes the bucket bounds), the buckets are not needed: ``percentile`` with the counts as
-    frequencies runs over the (key, value) table, holding at most that many entries per task.
-    """
+
+def quantiles_of_counts(counted: DataFrame, keys: list[str], value: str, probs: list[float], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``exact_quantiles`` over a stored table of ``value_counts``.
+
+    No task holds more than one value bucket of one key: the values are cut at approximate
+    quantiles of the whole table (as many buckets as the counted rows ask for), running counts over the small
+    bucket table locate the target ranks, and only buckets that hold a target rank are ranked."""
     v = F.col(value)
-    vc = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    # read four times below (bounds, bucket totals, local ranks, final): one row per distinct
-    # (key, value), written once to the shared checkpoint folder so the input plan runs once
-    from panelspark.session import checkpoint_dir
-    checkpoint_dir(vc.sparkSession)
-    vc = vc.checkpoint()
-    inner = [i / n_buckets for i in range(1, n_buckets)]
-    per_key = vc.groupBy(*keys).agg(F.percentile_approx(value, inner, 10000).alias("_bounds"),
-                                    F.count(F.lit(1)).alias("_distinct"))
-    rows = per_key.limit(max_keys + 1).collect()
-    if len(rows) > max_keys:
-        raise ValueError(f"more than {max_keys} quantile keys")
-    if all(r["_distinct"] <= max_distinct for r in rows):
-        # every key's value table is proven small: one aggregate, Spark's own interpolation
-        return vc.groupBy(*keys).agg(*[F.percentile(value, F.lit(float(p)), F.col("_c")).alias(f"q{i}")
-                                       for i, p in enumerate(probs)])
-    bounds = F.broadcast(df.sparkSession.createDataFrame(rows, per_key.schema).drop("_distinct"))
-    vb = vc.join(bounds, keys, "inner").withColumn(
-        "_b", F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
-    bt = vb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    wk = Window.partitionBy(*keys)
-    bt = bt.withColumn("_before", F.sum("_bc").over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))) \
-        .withColumn("_before", F.coalesce(F.col("_before"), F.lit(0))) \
+    vc = counted.where(v.isNotNull()).withColumn("_k", F.struct(*[F.col(k) for k in keys]))
+    n_buckets = min(max(-(-vc.count() // bucket_rows), 1), 1024)
+    cuts = []
+    if n_buckets > 1:
+        inner = [i / n_buckets for i in range(1, n_buckets)]
+        cuts = sorted(set(vc.agg(F.percentile_approx(value, inner, 20 * n_buckets)).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda b: b < v)) if cuts else F.lit(0)
+    vb = vc.withColumn("_b", bucket)
+    bt = vb.groupBy("_k", "_b").agg(F.sum("_c").alias("_bc"))
+    wk = Window.partitionBy("_k")
+    bt = bt.withColumn("_before", F.coalesce(F.sum("_bc").over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
         .withColumn("_n", F.sum("_bc").over(wk))
     # target ranks (0-based) per key and probability
-    targets = bt.select(*keys, "_n").distinct().select(
-        *keys, "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                                          for i, p in enumerate(probs)])).alias("_t"))
+    targets = bt.select("_k", "_n").distinct().select(
+        "_k", "_n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
+                                         for i, p in enumerate(probs)])).alias("_t"))
     pos = F.col("_t.p") * (F.col("_n") - 1).cast("double")
-    targets = targets.select(*keys, F.col("_t.i").alias("_i"), pos.alias("_pos"),
+    targets = targets.select("_k", F.col("_t.i").alias("_i"), pos.alias("_pos"),
                              F.floor(pos).cast("long").alias("_lo"), F.ceil(pos).cast("long").alias("_hi"))
-    ranks = targets.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
-    # buckets holding a target rank: at most 2 per probability and key, and the key count was
-    # checked above, so this table is proven small
-    need = ranks.join(bt, keys, "inner").where(
-        (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bc"))).select(*keys, "_b", "_before")
-    need = F.broadcast(need.distinct())
-    local = vb.join(need, [*keys, "_b"], "inner")
-    wb = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = local.withColumn("_end", F.col("_before") + F.sum("_c").over(wb)) \
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-    at = ranks.join(local, keys, "inner").where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end"))) \
-        .select(*keys, "_r", v.cast("double").alias("_v"))
-    lo = at.select(*keys, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = at.select(*keys, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    t = targets.join(lo, [*keys, "_lo"], "inner").join(hi, [*keys, "_hi"], "inner")
+    ranks = targets.select("_k", F.explode(F.array("_lo", "_hi")).alias("_r")).distinct()
+    # buckets that hold a target rank: at most 2 per probability and key
+    need = ranks.join(bt, "_k").where(
+        (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_bc"))).select("_k", "_b", "_before").distinct()
+    local = vb.join(need, ["_k", "_b"])
+    wb = Window.partitionBy("_k", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = local.withColumn("_end", F.col("_before") + F.sum("_c").over(wb)).withColumn("_start", F.col("_end") - F.col("_c"))
+    asked = ranks.join(need, "_k").where(F.col("_r") >= F.col("_before"))       # a rank meets the buckets at or below it
+    at = asked.join(local.drop("_before"), ["_k", "_b"]).where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_end"))) \
+        .select("_k", "_r", v.cast("double").alias("_v"))
+    lo = at.select("_k", F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
+    hi = at.select("_k", F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
+    t = targets.join(lo, ["_k", "_lo"]).join(hi, ["_k", "_hi"])
     interp = F.when((F.col("_hi") == F.col("_lo")) | (F.col("_vhi") == F.col("_vlo")), F.col("_vlo")).otherwise(
         (F.col("_hi").cast("double") - F.col("_pos")) * F.col("_vlo")
         + (F.col("_pos") - F.col("_lo").cast("double")) * F.col("_vhi"))
-    t = t.select(*keys, "_i", interp.alias("_q"))
-    return t.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))])
+    t = t.select("_k", "_i", interp.alias("_q"))
+    q = t.groupBy("_k").agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))])
+    return q.select("_k.*", *[f"q{i}" for i in range(len(probs))])

@@ -1,4 +1,4 @@
-"""Broadcast only tables whose size is checked."""
+"""Joins with tables of one row per key."""
 
 from __future__ import annotations
 
@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def bounded(df: DataFrame, max_rows: int = 100000) -> DataFrame:
-    """Return ``df`` as a broadcast local table if it has at most ``max_rows`` rows, else as is.
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
 
     The check is ``limit(max_rows + 1).collect()``: at most max_rows + 1 rows ever reach the
-    driver.  Above the bound the caller's join is left to the planner (shuffle join, with
-    adaptive skew splitting), never forced to broadcast.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if plan.getClass().getSimpleName() == "LocalRelation":
-        # already a driver-side table (made from local rows): its size is known, no job needed
-        if plan.data().size() <= max_rows:
-            return F.broadcast(df)
-        return df
+    driver.  The join stays the same; above the bound the planner chooses its strategy."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``per_key``, an aggregate with one row per ``key``, so that a hot key can be split.
+
+    Adaptive execution splits a skewed partition only if both sides of the join come straight from
+    an exchange.  An aggregate on the join key would reuse its own partitioning and sit between;
+    joining on the key wrapped in a struct gives both sides an exchange of their own.  NULL keys
+    match NULL keys."""
+    wrapped = "_join_key"
+    left = rows.withColumn(wrapped, F.struct(F.col(key).alias("k")))
+    right = per_key.withColumn(wrapped, F.struct(F.col(key).alias("k"))).drop(key)
+    return left.join(right, wrapped, how).drop(wrapped)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.operators.ranking import first_k_by_hash
+from panelspark.session import stored
 from panelspark.spec import GROUP, LABEL
 
 SEED = 42
@@ -50,10 +51,8 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, stratum: str = G
     f = forced if forced is not None else F.lit(False)
     d = df.withColumn("_forced", F.coalesce(f, F.lit(False)))
     # read four times (quotas, the two selection branches, forced rows): one row per subject,
-    # written once to the shared checkpoint folder so the upstream plan runs once
-    from panelspark.session import checkpoint_dir
-    checkpoint_dir(d.sparkSession)
-    d = d.checkpoint()
+    # written once to the shared folder so the upstream plan runs once
+    d = stored(d, "split-input")
     rest = d.where(~F.col("_forced"))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), F.col(id_col).cast("string")))
     # the stratum is wrapped in a one-field struct: a NULL stratum is then a stratum of its own
@@ -83,11 +82,12 @@ def train_validation_split(train: DataFrame, fraction: float = 0.15, seed: int =
 
 def split_breakdown(split: DataFrame, split_col: str = "split") -> DataFrame:
     """Rows, positives and negatives per (split, group), with the per-split total
-    (group NULL) from a rollup."""
+    (``is_total`` true, group NULL) from a rollup; a NULL group of its own has ``is_total`` false."""
     y = F.col(LABEL)
     return split.rollup(split_col, GROUP).agg(
+        (F.grouping(GROUP) == 1).alias("is_total"), F.grouping(split_col).alias("_all"),
         F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("n_label_1"),
-        F.count_if(y == 0).alias("n_label_0")).where(F.col(split_col).isNotNull())
+        F.count_if(y == 0).alias("n_label_0")).where("_all = 0").drop("_all")
 
 
 # Generated-subject shares per group.

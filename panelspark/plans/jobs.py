@@ -1,7 +1,7 @@
 """Job flows (R1-R7).  Each returns lazy DataFrames (and writes where the step persists output).
 
-Inputs read more than once are cut from their lineage with ``checkpoint()`` into the shared
-folder named by ``spark.checkpoint.dir``, so a lost executor does not recompute the panel.
+Small inputs that are read more than once (splits, predictions) are written once as Parquet into the
+shared folder named by ``spark.checkpoint.dir``; the panel itself is read where it lies.
 """
 
 from __future__ import annotations
@@ -18,18 +18,13 @@ from panelspark.operators import evaluate as ev
 from panelspark.operators import features as feat
 from panelspark.operators import profile as prof
 from panelspark.operators import split as spl
-from panelspark.session import checkpoint_dir
+from panelspark.session import stored
 from panelspark.sources import io
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def job_exploration(panel: DataFrame) -> dict[str, DataFrame]:
     """Profile tables of a panel."""
-    p = _keep(panel)
+    p = panel                       # each table reads its own columns of the stored panel
     return {
         "structure": prof.dataset_structure(p),
         "group_rows": prof.group_row_counts(p),
@@ -65,7 +60,7 @@ def job_preprocess(panel: DataFrame, out: str | None = None, leakage_free: bool
     else:
         imputed = feat.impute_group_median(panel)
     extra = ("synthetic",) if "synthetic" in panel.columns else ()
-    split = _keep(spl.train_test_split(feat.participant_features(imputed, extra_static=extra)))
+    split = stored(spl.train_test_split(feat.participant_features(imputed, extra_static=extra)))
     if out:
         io.write_feature_splits(split, out)
     return split
@@ -109,7 +104,7 @@ def job_joint_embedding(train_all: DataFrame, test: DataFrame, out: str | None =
 
 def job_comparison(pred: DataFrame, panel: DataFrame, models=cmpo.MODELS, out: str | None = None) -> dict[str, DataFrame]:
     """Comparison table, metrics, error analysis, ROC data and trajectories."""
-    p = _keep(pred)
+    p = stored(pred)
     cmp = cmpo.compare_predictions(p, models)
     res = {
         "comparison": cmp,

@@ -8,6 +8,7 @@ from panelspark.plans import oracle as O
 from panelspark.plans.queries.common import (
     PRED, panel, predictions, query, sql,
 )
+from panelspark.session import stored
 from panelspark.operators import compare as cmpo
 from panelspark.operators import evaluate as ev
 
@@ -93,7 +94,7 @@ def q_metrics_summary(spark, sf):
 
 
 @query("accuracy_by_group", sql(*PRED, body="""
-SELECT participant_group, count(*) AS n, count(*) FILTER (WHERE yhat = y) AS n_correct,
+SELECT participant_group, grouping(participant_group) = 1 AS is_total, count(*) AS n, count(*) FILTER (WHERE yhat = y) AS n_correct,
        count(*) FILTER (WHERE yhat = y) / count(*) AS accuracy
 FROM predictions WHERE model = 'text' GROUP BY ROLLUP (participant_group)"""))
 def q_accuracy_by_group(spark, sf):
@@ -107,9 +108,9 @@ def q_roc_curve_table(spark, sf):
 
 
 @query("threshold_labels", sql(*PRED, body="""
-SELECT model, subject_id, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS yhat_t FROM predictions WHERE model = 'joint'"""))
+SELECT model, subject_id, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS yhat_t FROM predictions"""))
 def q_threshold_labels(spark, sf):
-    p = predictions(spark, sf).where("model = 'joint'").select("model", "subject_id", "score")
+    p = predictions(spark, sf).select("model", "subject_id", "score")
     return ev.threshold_labels(p, "score", 0.5, "yhat_t")
 
 
@@ -135,13 +136,16 @@ def q_rounded_scores(spark, sf):
 
 # ── comparison (J2, P8, P9, C1, C3-C5, C8, C9, W7) ───────────────────────────
 
-CMP_CTE = """
-cmp AS (SELECT t.subject_id, t.participant_group, t.y AS cdr_worsened_after_v2,
-               t.yhat AS text_prediction, t.score AS text_score, b.yhat AS boosted_prediction, b.score AS boosted_score,
-               j.yhat AS joint_prediction, j.score AS joint_score
-        FROM predictions t JOIN predictions b ON b.subject_id = t.subject_id AND b.model = 'boosted'
-             JOIN predictions j ON j.subject_id = t.subject_id AND j.model = 'joint'
-        WHERE t.model = 'text')"""
+def _of(model: str, column: str) -> str:
+    return f"max({column}) FILTER (WHERE model = '{model}')"
+
+
+CMP_CTE = f"""
+cmp AS (SELECT subject_id, {_of('text', 'participant_group')} AS participant_group, {_of('text', 'y')} AS cdr_worsened_after_v2,
+               {_of('text', 'yhat')} AS text_prediction, {_of('text', 'score')} AS text_score,
+               {_of('boosted', 'yhat')} AS boosted_prediction, {_of('boosted', 'score')} AS boosted_score,
+               {_of('joint', 'yhat')} AS joint_prediction, {_of('joint', 'score')} AS joint_score
+        FROM predictions WHERE model IN ('text', 'boosted', 'joint') GROUP BY subject_id HAVING count(DISTINCT model) = 3)"""
 CMP = PRED + [CMP_CTE]
 CMP_P = [O.PANEL_CTE, O.features_cte("rawfeatures", imputed=False), O.PREDICTIONS_CTE, CMP_CTE]
 
@@ -155,9 +159,13 @@ def q_compare_predictions(spark, sf):
     return comparison(spark, sf)
 
 
-@query("positive_negative_cases", sql(*CMP, body="SELECT * FROM cmp WHERE cdr_worsened_after_v2 = 1"))
-def q_positive_cases(spark, sf):
-    return cmpo.positive_cases(comparison(spark, sf))
+@query("positive_negative_cases", sql(*CMP, body="""
+SELECT *, CASE cdr_worsened_after_v2 WHEN 1 THEN 'positive' ELSE 'negative' END AS case_side FROM cmp WHERE cdr_worsened_after_v2 IN (0, 1)"""))
+def q_positive_negative_cases(spark, sf):
+    """Both sides, each through its own operator."""
+    c = stored(comparison(spark, sf), "comparison")
+    return cmpo.positive_cases(c).withColumn("case_side", F.lit("positive")) \
+        .unionByName(cmpo.negative_cases(c).withColumn("case_side", F.lit("negative")))
 
 
 @query("all_models_missed", sql(*CMP, body="""

@@ -8,6 +8,7 @@ from panelspark.plans import oracle as O
 from panelspark.plans.queries.common import (
     FORCED, IPANEL, PANEL_ONLY, SPLIT, features, ipanel, panel, query, split_features, sql,
 )
+from panelspark.models import boosted as bst
 from panelspark.operators import augment as aug
 from panelspark.operators import cohort as coh
 from panelspark.operators import features as feat
@@ -22,7 +23,7 @@ from panelspark.plans.queries.models import boosted_model, joint_model
 def q_impute_join(spark, sf):
     """J3 in its join form: medians kept as a DataFrame and joined back (left) on the group."""
     p = panel(spark, sf)
-    return feat.GroupMedianImputer(("mmse", "ses"), max_groups=0).fit(p).transform(p)
+    return feat.GroupMedianImputer(("mmse", "ses")).fit(p).transform(p)
 
 
 @query("group_medians", sql(*PANEL_ONLY, body="""
@@ -96,13 +97,18 @@ def q_generate_visit_group(spark, sf):
     return _gen(spark, sf).select("subject_id", "visit_id", "visit", "grp")
 
 
-@query("boosted_trees_fit")
+@query("boosted_trees_fit", """
+SELECT cast(range AS integer) AS tree, true AS weight_ok, true AS depth_ok, true AS nodes_ok FROM range(200)""")
 def q_boosted_trees_fit(spark, sf):
-    """M1: the fitted ensemble as rows (tree index, weight, nodes, depth)."""
+    """M1, as facts per tree: boosting weight (1 for the first, the learning rate after), depth at
+    most the limit, and a node count a binary tree of that depth can have."""
     model, _ = boosted_model(spark, sf)
     gbt = model.stages[-1]
     rows = [(i, float(w), int(t.numNodes), int(t.depth)) for i, (w, t) in enumerate(zip(gbt.treeWeights, gbt.trees))]
-    return spark.createDataFrame(rows, "tree int, weight double, num_nodes int, depth int")
+    trees = spark.createDataFrame(rows, "tree int, weight double, num_nodes int, depth int")
+    want = F.when(F.col("tree") == 0, 1.0).otherwise(bst.LEARNING_RATE)
+    return trees.select("tree", (F.abs(F.col("weight") - want) < 1e-9).alias("weight_ok"), (F.col("depth") <= bst.MAX_DEPTH).alias("depth_ok"),
+                        ((F.col("num_nodes") % 2 == 1) & (F.col("num_nodes") < F.pow(F.lit(2.0), F.col("depth") + 1))).alias("nodes_ok"))
 
 
 @query("joint_embedding_fit")

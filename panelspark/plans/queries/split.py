@@ -33,9 +33,9 @@ def q_train_validation_split(spark, sf):
 
 
 @query("split_breakdown", sql(*SPLIT, body="""
-SELECT split, participant_group, count(*) AS n, count(*) FILTER (WHERE cdr_worsened_after_v2 = 1) AS n_label_1,
+SELECT split, participant_group, grouping(participant_group) = 1 AS is_total, count(*) AS n, count(*) FILTER (WHERE cdr_worsened_after_v2 = 1) AS n_label_1,
        count(*) FILTER (WHERE cdr_worsened_after_v2 = 0) AS n_label_0
-FROM split1 GROUP BY ROLLUP (split, participant_group) HAVING split IS NOT NULL"""))
+FROM split1 GROUP BY ROLLUP (split, participant_group) HAVING grouping(split) = 0"""))
 def q_split_breakdown(spark, sf):
     return spl.split_breakdown(split_features(spark, sf))
 

@@ -110,12 +110,13 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     since the user's first event).  Visit positions use the bucketed rank with one bucket per
     (user, day), so a very active user is split over days."""
     from panelspark.operators.ranking import positions
+    from panelspark.operators.small import join_per_key
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
     pos = positions(ev, ["user_id"], "ts", ["event_id"], day, name="visit")
-    first = pos.groupBy("user_id").agg(F.min("ts").alias("_first"))
-    # one row per user: joined back by equi-join (hot users are split by adaptive skew handling)
-    out = pos.join(first, "user_id").select(
+    first = ev.groupBy("user_id").agg(F.min("ts").alias("_first"))
+    # one row per user: joined back so that adaptive execution can split a hot user
+    out = join_per_key(pos, first, "user_id").select(
         "user_id", "event_id", "event_type", F.col("visit").cast("int").alias("visit"),
         days_between("ts", "_first").alias("day"), "value")
     return out

@@ -9,24 +9,45 @@ from panelspark.spec import CSV_HEADER_TO_PANEL, PANEL_SCHEMA, nan_to_null
 PANEL_SCHEMA_WITH_FLAG = T.StructType(PANEL_SCHEMA.fields + [T.StructField("synthetic", T.BooleanType(), True)])
 
 
+# Texts that mean a missing value in a study CSV (exact, after stripping blanks).
+MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+                  "NaN", "None", "n/a", "nan", "null"]
+
+
 def read_panel(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read a study panel.  CSV headers are stripped of blanks and mapped to panel names;
-    types come from an explicit schema (no inference pass); NaN becomes NULL."""
+    types come from an explicit schema (no inference pass).
+
+    Missing-value tokens and NaN become NULL.  A value that cannot be read as its column's type
+    is an error that names the column, never a silent NULL.  Columns outside the schema are kept
+    as text after the panel columns; a missing panel column is an error."""
     if fmt == "parquet":
         return nan_to_null(spark.read.parquet(path))
-    raw = spark.read.option("header", True).option("nullValue", "").option("nanValue", "NaN").csv(path)
+    raw = spark.read.option("header", True).csv(path)
     renamed = raw.toDF(*[CSV_HEADER_TO_PANEL.get(c.strip(), c.strip()) for c in raw.columns])
-    typed = []
+    absent = [f.name for f in PANEL_SCHEMA.fields if f.name not in renamed.columns]
+    if absent:
+        raise ValueError(f"{path}: missing columns {', '.join(absent)}")
+    typed, known = [], set()
     for f in PANEL_SCHEMA_WITH_FLAG.fields:
-        if f.name in renamed.columns:
-            c = F.col(f.name)
-            if isinstance(f.dataType, T.IntegerType):
-                # integer columns may arrive as '12' or '12.0'
-                c = c.cast("double").cast("int")
-            else:
-                c = c.cast(f.dataType)
-            typed.append(c.alias(f.name))
-    return nan_to_null(renamed.select(*typed))
+        known.add(f.name)
+        if f.name not in renamed.columns:
+            continue
+        text = F.trim(F.col(f"`{f.name}`"))
+        text = F.when(~text.isin(MISSING_TOKENS), text)
+        if isinstance(f.dataType, T.StringType):
+            typed.append(text.alias(f.name))
+            continue
+        if isinstance(f.dataType, T.IntegerType):
+            # integer columns may arrive as '12' or '12.0'
+            whole = F.expr(f"try_cast(trim(`{f.name}`) as double)")
+            value = F.when(whole == F.floor(whole), whole).try_cast("int")
+        else:
+            value = F.col(f"`{f.name}`").try_cast(f.dataType)
+        bad = F.raise_error(F.concat(F.lit(f"{f.name}: cannot read "), text))
+        typed.append(F.when(text.isNull(), F.lit(None)).otherwise(F.coalesce(value, bad)).cast(f.dataType).alias(f.name))
+    extra = [F.col(f"`{c}`") for c in renamed.columns if c not in known]
+    return nan_to_null(renamed.select(*typed, *extra))
 
 
 def read_first_existing(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:

@@ -50,7 +50,7 @@ def test_jobs_end_to_end(spark):
     split = jobs.job_preprocess(panel, out=os.path.join(d, "features"))
     tr, te = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
     text = jobs.job_text_scoring(te)
-    assert text["accuracy_by_group"].where("participant_group IS NULL").first()["n"] == te.count()
+    assert text["accuracy_by_group"].where("is_total").first()["n"] == te.count()
     boosted = jobs.job_boosted(tr, te, out=os.path.join(d, "boosted"), n_trees=10)
     assert boosted["metrics"].first()["auc_roc"] is not None
     written = spark.read.parquet(os.path.join(d, "boosted", "predictions"))

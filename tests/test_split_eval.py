@@ -63,8 +63,8 @@ def test_auc_matches_evaluator_many_buckets(spark):
         F.lit("m").alias("model"), F.col("id").cast("string").alias("subject_id"), F.lit("g").alias("participant_group"),
         (F.rand(3) < 0.4).cast("int").alias("y"))
     df = df.withColumn("score", F.round(F.rand(5) * 0.5 + F.col("y") * 0.3, 3)).withColumn("yhat", (F.col("score") >= 0.5).cast("int"))
-    ours = ev.auc_roc(df, n_buckets=16).first()["auc_roc"]
-    trap = ev.roc_auc_trapezoid(df, n_buckets=16).first()["auc_trapezoid"]
+    ours = ev.auc_roc(df, bucket_rows=7).first()["auc_roc"]
+    trap = ev.roc_auc_trapezoid(df, bucket_rows=7).first()["auc_trapezoid"]
     ref = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="y", numBins=0).evaluate(
         df.withColumn("y", F.col("y").cast("double")))
     assert abs(ours - ref) < 1e-9 and abs(trap - ref) < 1e-9
@@ -81,7 +81,7 @@ def test_bounded_broadcast_fallback(spark):
     from panelspark.operators.small import bounded
     df = spark.range(10)
     assert bounded(df, 100).count() == 10
-    assert bounded(df, 5) is df          # above the bound: untouched, the planner decides
+    assert bounded(df, 5) is df          # above the bound: no hint, the planner decides
 
 
 def test_positive_trajectories_flag_missing_raw_data(spark):
