@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import (bagminhash, decontam, lang_ppm, packing, quality_llr, recompress, secrets, slots, token_prefix,
+from panelspark.llm import (bagminhash, decontam, lang_ppm, oracle, packing, quality_llr, recompress, secrets, slots, token_prefix,
                             url_aliases)
 from panelspark.llm.scratch import table
 
@@ -60,12 +60,12 @@ def op10_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_language_ppm": (op1_language_ppm, None),
     "op2_token_prefix": (op2_token_prefix, None),
-    "op3_recompression": (op3_recompression, None),
+    "op3_recompression": (op3_recompression, oracle.OP3),
     "op4_virtual_slots": (op4_virtual_slots, None),
-    "op5_url_aliases": (op5_url_aliases, None),
-    "op6_prefix_join": (op6_prefix_join, None),
+    "op5_url_aliases": (op5_url_aliases, oracle.OP5),
+    "op6_prefix_join": (op6_prefix_join, oracle.OP6),
     "op7_randomness": (op7_randomness, None),
     "op8_concat_cut": (op8_concat_cut, None),
-    "op9_bagminhash": (op9_bagminhash, None),
+    "op9_bagminhash": (op9_bagminhash, oracle.OP9),
     "op10_llr": (op10_llr, None),
 }

@@ -49,8 +49,9 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return text, verdict
 
 
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_CANONICAL, _REFRESH = r"(?i)\brel\s*=\s*[\"']?canonical\b", r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"
+_HREF, _URL = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def absolute(target: Column, url: Column) -> Column:
@@ -66,7 +67,9 @@ def page_edges(pages: DataFrame) -> DataFrame:
 
     Relative targets that are neither scheme- nor root-relative have no node and give no edge."""
     url = F.col("url")
-    targets = F.array_union(F.regexp_extract_all("html", F.lit(_LINK), 1), F.regexp_extract_all("html", F.lit(_REFRESH), 1))
+    tags = F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))
+    targets = F.concat(F.transform(F.filter(tags, lambda t: t.rlike(_CANONICAL)), lambda t: F.regexp_extract(t, _HREF, 1)),
+                       F.transform(F.filter(tags, lambda t: t.rlike(_REFRESH)), lambda t: F.regexp_extract(t, _URL, 1)))
     low = F.lower(F.col("html"))
     return (pages.where("url is not null").where(low.contains("canonical") | low.contains("refresh"))
             .select(url, F.explode(targets).alias("t"))
