@@ -7,6 +7,7 @@ registers all of them in ``REGISTRY``.
 from panelspark.plans.queries import (  # noqa: F401  (import registers the queries)
     evaluation, events, generator, inventory, models, panel as panel_queries, split, text,
 )
+from panelspark.plans.queries import sources as source_queries  # noqa: F401  (after the queries whose SQL it shares)
 from panelspark.plans.queries.common import (  # noqa: F401
     REGISTRY, features, ipanel, panel, predictions, raw_features, split_features, train_test,
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from panelspark.spec import CSV_HEADER_TO_PANEL, PANEL_SCHEMA, nan_to_null
@@ -51,13 +52,13 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 
 def read_first_existing(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
-    """Read the first path that exists (Hadoop file system check, works on any store)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Read the first path that exists, on any store Spark can read."""
     for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        if hp.getFileSystem(conf).exists(hp):
+        try:
             return read_panel(spark, p, fmt)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     raise FileNotFoundError(f"none of {paths} exists")
 
 
