@@ -5,8 +5,9 @@ its characters (lower or upper hex, base 32, base 64 or its URL form, alphanumer
 random over that alphabet" must not reject: chi-squared over the alphabet (in equal bins, so that short runs are
 tested fairly), the number of runs above and below the alphabet's middle, and the serial
 correlation of neighbours.  A text's words pass such tests when they are short, so the discovery itself is a test
-against words: under ``words``, neighbours differ in character class (digit, capital, small) with
-probability at most ``CHANGE``, and the p-value is the binomial tail of the class changes seen.
+against words: in words, names and identifiers neighbours change their character class (digit,
+capital, small; a capital followed by a small letter is no change, nor is a separator) with
+probability at most ``CHANGE``, and the p-value is the binomial tail of the changes seen.
 It falls with length, so short runs cannot be discovered by luck.  Benjamini and Hochberg's rule over all
 candidates of the whole table then bounds the false-discovery rate: a histogram of log p-values
 gives the one threshold, however many candidates there are.
@@ -96,7 +97,8 @@ def battery(run: bytes) -> tuple[str | None, float]:
 def word_p(run: bytes) -> float:
     """-log10 of the chance that words show as many class changes in a run of this length."""
     c = _CLASS[np.frombuffer(run, np.uint8)]
-    n, k = len(run) - 1, int((c[1:] != c[:-1]).sum())
+    a, b = c[:-1], c[1:]                # a capital before small letters begins a word, a separator parts two
+    n, k = len(run) - 1, int(((a != b) & (a > 0) & (b > 0) & ~((a == 2) & (b == 3))).sum())
     if k == 0:
         return 0.0
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(CHANGE) + (n - i) * math.log1p(-CHANGE)

