@@ -3,6 +3,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelspark.session import ship_package
+
 # The clinical prompt.  Placeholders are filled in this order:
 # age_v1, mmse_v1, cdr_v1, nwbv_v1 (.4f), education_years, sex, mr_delay_v2, age_v2, mmse_v2,
 # cdr_v2, nwbv_v2 (.4f), mmse_delta (+.1f), nwbv_delta (+.4f), cdr_delta (+.1f).
@@ -66,6 +68,7 @@ def _fmt(c: str, spec: str) -> Column:
 
 def clinical_prompt(features: DataFrame, template: str = PROMPT_TEMPLATE, out: str = "prompt") -> DataFrame:
     """L1: feature row -> fixed prompt text (format_string, JVM side)."""
+    ship_package(features.sparkSession)             # the formatting runs in the executors' Python workers
     parts = [
         _plain("age_v1"), _plain("mmse_v1"), _plain("cdr_v1"), _fmt("nwbv_v1", "%.4f"),
         _plain("education_years"), F.coalesce(F.col("sex"), F.lit("nan")),
