@@ -16,11 +16,12 @@ Search.  Documents with equal multisets share one representative.  Bands of four
 representatives into buckets; 32 bands miss a pair at similarity 0.8 with probability below 5e-8.
 In each bucket everybody is verified against one leader first, the member whose buckets are the
 fullest: in a group of copies that is the text the others come from.  So a group costs one
-comparison a member and bucket.  What is then still in different classes of one bucket is compared in a
-closing step: members outside the bucket's largest class against all members of other classes,
-without those pairs that cannot reach the threshold: shingles that no other candidate
-has bound the overlap from above.  So no link between classes is lost, and pairs inside a class
-are not spelled out.  Every candidate is verified on its whole multisets.
+comparison a member and bucket.  What is then still in different classes of one bucket is compared
+in a closing step by rare shingles, those that at most ``RARE`` of these documents have.  Two
+documents overlap at most in the rare shingles they share (counted exactly) and the fewer of their
+frequent ones; pairs of different classes that could so reach the threshold are candidates, those
+without a shared rare shingle in their first common bucket.  So no link between classes is lost, and pairs inside a class are not
+spelled out.  Every candidate is verified on its whole multisets.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ REGISTERS = 128
 BAND = 4                          # registers in a band
 _SPARE = 4.0                      # e**-4 of the documents need a later time limit
 _PLACE = 48                       # bits of an element's name inside a block
+RARE = 64                         # documents of the closing step that a rare shingle occurs in, at most
 _NO_ID = -(1 << 63)               # stands for a NULL doc_id
 
 
@@ -165,7 +167,7 @@ def _similar(threshold: float):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = np.searchsorted(a, b)
                 both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                keep.append(both >= threshold * (len(a) + len(b) - both))
+                keep.append(both + 1e-9 >= threshold * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -178,7 +180,7 @@ def _names(batches):
             part = vec[a:a + 256]
             n = np.array([len(x) // 8 for x in part])
             row = pa.array(np.repeat(np.arange(a, a + len(part)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.frombuffer(b"".join(part), np.int64))], ["node", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.frombuffer(b"".join(part), np.int64))], ["vid", "name"])
 
 
 _NODE = "struct<did: bigint, uid: bigint>"
@@ -187,7 +189,7 @@ _NODE = "struct<did: bigint, uid: bigint>"
 def node_of() -> Column:
     """A row's key: its id and its content, so that ids given twice do not merge different texts."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).cast("long"))
-    return F.struct(did.alias("did"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("uid"))
+    return F.struct(did.alias("did"), F.xxhash64("doc_id", "text").alias("uid"))      # a NULL text is not an empty one here
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float, name: str) -> DataFrame:
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, registers: in
                   .select("u", F.col("node").alias("v")).distinct(), "star")
     needed = members.select("node").distinct()
     vectors = stored(rows.join(needed, "node").select("node", "text").mapInArrow(_vectors, f"node {_NODE}, vec binary")
-                     .dropDuplicates(["node"]), "vectors")
+                     .dropDuplicates(["node"]).withColumn("vid", F.monotonically_increasing_id()), "vectors")
     links = _verified(star, vectors, threshold, "star-links")
 
     # closing step: buckets that still hold several classes
@@ -238,18 +240,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, registers: in
     mixed = stored(by_class.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("largest"))
                    .where("k > 1").select("bucket", "largest"), "mixed")
     open_ = stored(placed.join(mixed, "bucket"), "open")
-    names = vectors.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_names, f"node {_NODE}, name long")
-    alone = (names.groupBy("name").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
-             .groupBy("node").agg(F.count("*").alias("own")))
-    bound = open_.join(alone, "node", "left").select("bucket", "node", "n", "root", "largest",
-                                                     (F.col("n") - F.coalesce("own", F.lit(0))).alias("may"))
-    bound = stored(bound.where(F.col("may") >= threshold * F.col("n")), "bounded")
-    u = bound.where("root <> largest").select("bucket", *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "root", "largest", "may")])
-    v = bound.select("bucket", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "root", "may")])
-    overlap = F.least("u_may", "v_may")
+    names = vectors.select("vid", "vec").mapInArrow(_names, "vid long, name long")
+    few = names.groupBy("name").agg(F.count("*").alias("c")).where(F.col("c") <= RARE)
+    rare = stored(names.join(few, "name"), "rare-names")
+    own = rare.groupBy("vid").agg(F.count("*").alias("own"))
+    facts = stored(open_.select("node", "n", "root").distinct().join(vectors.select("node", "vid"), "node").join(own, "vid", "left")
+                   .withColumn("may", F.col("n") - F.coalesce("own", F.lit(0))), "open-nodes")
+
+    def reaches(overlap: Column) -> Column:
+        return overlap + 1e-9 >= threshold * (F.col("u_n") + F.col("v_n") - overlap)
+
+    shared = rare.where("c > 1").join(facts, "vid")
+    x, y = (shared.select("name", *[F.col(c).alias(f"{i}_{c}") for c in ("node", "n", "root", "may")]) for i in "uv")
+    differ = (F.col("u_node") < F.col("v_node")) & (F.col("u_root") != F.col("v_root")) & reaches(F.least("u_n", "v_n"))
+    by_rare = (x.join(y, "name").where(differ).groupBy("u_node", "v_node", "u_n", "v_n", "u_may", "v_may").agg(F.count("*").alias("both"))
+               .where(reaches(F.col("both") + F.least("u_may", "v_may"))).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
+
+    able = facts.where(F.col("may") + 1e-9 >= threshold * F.col("n")).select("node", "may")
+    bound = open_.join(able, "node").join(reps.select("node", "bands"), "node")
+    bound = stored(bound.select("bucket", "node", "n", "root", "largest", "may", "bands"), "bounded")
+    x = bound.where("root <> largest").select("bucket", *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "root", "largest", "may", "bands")])
+    y = bound.select("bucket", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "root", "may", "bands")])
     pair = ((F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("u_largest")) | (F.col("u_node") < F.col("v_node")))
-            & (overlap >= threshold * (F.col("u_n") + F.col("v_n") - overlap)))
-    closing = stored(u.join(v, "bucket").where(pair).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct(), "closing")
+            & reaches(F.least("u_may", "v_may"))
+            & (F.element_at(F.array_intersect("u_bands", "v_bands"), 1) == F.col("bucket")))      # once, in their first common bucket
+    by_bound = x.join(y, "bucket").where(pair).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    closing = stored(by_rare.union(by_bound).distinct(), "closing")
     more = _verified(closing, vectors, threshold, "closing-links")
     if not more.isEmpty():
         classes = components(links.union(more), "u", "v")
