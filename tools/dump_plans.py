@@ -11,14 +11,14 @@ from panelspark.session import get_session  # noqa: E402
 
 NOTES = {
     "read_panel": "Orders are counted per (customer, day), the small per-day table gets running offsets per customer, and the order rows are hash-partitioned on (customer, day) for the final row_number: a hot customer is split over its days.",
-    "participant_features": "The binding plan followed by one aggregate on subject (partial + final). The imputer's median table was fitted beforehand and is applied as a CASE projection (no join).",
-    "stratified_split_forced": "The split input is checkpointed (one row per subject). Only rows in each stratum's crossing hash bucket reach the local window; the threshold table is a size-checked local relation.",
-    "classification_metrics": "Confusion counts and the bucketed AUC, one row per model each.",
-    "roc_points": "Distinct scores (checkpointed) -> per-model quantile buckets -> running sums per bucket (small) + inside the bucket.",
+    "participant_features": "The binding plan followed by one aggregate on subject (partial + final). The imputer's median table was fitted beforehand, stored, and joined back (broadcast after a size check).",
+    "stratified_split_forced": "The split input is stored as Parquet (one row per subject). Only rows in each stratum's crossing hash bucket reach the local window; the threshold table is a size-checked local relation.",
+    "classification_metrics": "Confusion counts and the bucketed AUC from one stored table of distinct outcomes, one row per model each.",
+    "roc_points": "Distinct scores (stored) -> quantile buckets -> running sums per bucket (small) + inside the bucket.",
     "compare_predictions": "One conditional aggregate on subject over the long predictions (no chained joins).",
     "fit_generation_priors": "Baseline stats per group, plus consecutive-visit pairs from the bucketed positions helper.",
     "generate_panel": "spark.range -> keyed draws -> fold over the visit array -> inline: no exchange.",
-    "score_text_batch": "Prompt (JVM format_string + Python number formatting) -> distinct prompts -> mapInPandas predictor -> checkpoint -> join back.",
+    "score_text_batch": "Prompt (JVM format_string + Python number formatting) -> distinct prompts -> mapInPandas predictor -> stored answers -> join back.",
 }
 
 
