@@ -18,7 +18,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from panelspark.llm import arrays as A
 from panelspark.llm.scratch import ready, task_input, task_output, task_rest, task_text
@@ -170,25 +169,33 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int =
 
     The sample takes, for each language, the rows of least hash of their id until ``sample_bytes``
     of text or the language's even share of ``sample_rows`` is reached (its first row always
-    counts).  So at most sample_rows * (ORDER + 1) * sample_bytes-bounded counts reach the driver,
-    whatever the table's size.  No labelled row: None."""
+    counts).  Rows of all languages are compared by their expected rank in their language (hash times
+    the language's row count), so one top-k over the table finds them and no language is sorted in
+    one task.  At most 2 * sample_rows ids, and counts bounded by sample_bytes a language, reach the
+    driver, whatever the table's size.  No labelled row: None."""
     rows = labelled.where("lang is not null and text is not null and text <> ''")
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().select("lang").limit(sample_rows).collect())
+    ids = rows.groupBy("lang", "doc_id").agg(F.min(F.octet_length("text")).alias("size"))      # an id given often counts once
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n_lang")).orderBy(F.desc("n_lang"), "lang").limit(sample_rows).collect()
+    langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return None
+    spark = labelled.sparkSession
     share = max(1, sample_rows // len(langs))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = (rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size"))
-              .withColumn("r", rank).where(F.col("r") <= share).orderBy("lang", "r").collect())   # at most sample_rows
-    ids, used = set(), {}
+    counted = F.broadcast(spark.createDataFrame(sizes, "lang string, n_lang long"))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    picked = (ids.join(counted, "lang")
+              .select("lang", "doc_id", "size", (h * F.col("n_lang")).alias("rank"))
+              .orderBy("rank", "lang", "doc_id").limit(2 * sample_rows).collect())
+    chosen, used = set(), {}
     for r in picked:
-        if r["lang"] not in used or used[r["lang"]] + r["size"] <= sample_bytes:
-            used[r["lang"]] = used.get(r["lang"], 0) + r["size"]
-            ids.add((r["lang"], r["doc_id"]))
-    spark = labelled.sparkSession
-    keep = spark.createDataFrame([(x, i, langs.index(x)) for x, i in sorted(ids, key=str)], "lang string, doc_id long, lang_no int")
+        n, size = used.get(r["lang"], (0, 0))
+        if not n or n < share and size + r["size"] <= sample_bytes:
+            used[r["lang"]] = (n + 1, size + r["size"])
+            chosen.add((r["lang"], r["doc_id"]))
+    keep = spark.createDataFrame([(x, i, langs.index(x)) for x, i in sorted(chosen, key=str)], "lang string, doc_id long, lang_no int")
     text = (rows.alias("r").join(F.broadcast(keep).alias("s"), F.expr("r.lang = s.lang and r.doc_id <=> s.doc_id"))
-            .select("r.text", "s.lang_no"))
+            .groupBy("s.lang_no", "r.doc_id").agg(F.min("r.text").alias("text")).select("text", "lang_no")
+            .coalesce(max(1, len(langs) // 8)))        # a task counts the sample of eight languages: at most 8 * sample_bytes
     got = (text.mapInArrow(_count_grams, "lang_no int, k int, gram long, n long")
            .groupBy("lang_no", "k", "gram").agg(F.sum("n").alias("n")).toArrow())
     lang, k, gram, n = (got.column(i).to_numpy() for i in range(4))
