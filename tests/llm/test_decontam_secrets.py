@@ -125,3 +125,21 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert [got[n - 3].text, got[n - 2].text, got[n - 1].text] == ["é [SECRET] end", "[SECRET]", "x [SECRET] y"]
     assert got[n - 3].n_chars == len("é [SECRET] end")
     assert all(got[i].text == texts[i] for i in range(n - 3) if not brute_base(texts[i]))
+
+
+def test_battery_discovers_keys_of_one_class_and_in_parts(spark):
+    rng = random.Random(9)
+    low, dec = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def key(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    texts = [f"here {key(low, 60)} there" for _ in range(30)] + [f"here {key(low.upper(), 60)} there" for _ in range(30)]
+    texts += [f"here the_session_of_the_user_and_the_house_{key(low + dec, 40)} there" for _ in range(30)]
+    spans = ["random:5:65"] * 60 + ["random:43:83"] * 30
+    words = ["donaudampfschifffahrtsgesellschaft", "counterrevolutionaries", "0000001000000200000030000004", "2024011510300020240115103000", "INTERNATIONALISATION"]
+    got = {r.doc_id: r.spans for r in X.find_secrets(frame(spark, texts + [f"see {w} there" for w in words * 20])).collect()}
+    for lo in range(0, 90, 30):
+        assert sum(spans[i] == got[i] for i in range(lo, lo + 30)) >= 27, (lo, [got[i] for i in range(lo, lo + 30)])
+    assert all(got[i] == "" for i in range(90, len(got)))
+    assert X.battery(b"31415926535897932384")[0] == "decimal" and X.battery(b"qwertzuiopasdfghjklyx")[0] == "lower"
