@@ -54,7 +54,7 @@ def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_llr.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_llr.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=None)
 
 
 REGISTRY = {
