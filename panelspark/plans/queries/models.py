@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from panelspark.plans import oracle as O
 from panelspark.plans.queries.common import (
@@ -148,12 +150,18 @@ def q_feature_importance_topk(spark, sf):
                    (F.bool_and(F.col("importance") >= 0) & (F.sum("importance") <= 1 + 1e-9)).alias("shares"))
 
 
-def joint_model(spark, sf):
+def joint_frames(spark, sf):
+    """(training, validation, test) rows as the network takes them, and the positive-class weight."""
     tr_all, te = train_test(spark, sf)
     v = spl.train_validation_split(tr_all)
     tr, va = v.where("split = 'train'").drop("split"), v.where("split = 'validation'").drop("split")
     w = feat.class_weight_value(tr)
     (trp, [vap, tep]) = je.prepare_features(tr, [va, te])
+    return trp, vap, tep, w
+
+
+def joint_model(spark, sf):
+    trp, vap, tep, w = joint_frames(spark, sf)
     return je.JointEmbeddingEstimator().fit(trp, vap, w), tep
 
 
@@ -165,5 +173,9 @@ def q_joint_embedding_score(spark, sf):
 
 @query("visit_embedding")
 def q_visit_embedding(spark, sf):
-    model, tep = joint_model(spark, sf)
-    return model.embeddings(tep, 1)
+    """M4 on visits 1 and 2 of every split row, training, validation and test."""
+    trp, vap, tep, w = joint_frames(spark, sf)
+    model = je.JointEmbeddingEstimator().fit(trp, vap, w)
+    rows = reduce(DataFrame.unionByName, [d.select("subject_id", *je.INPUT_COLS) for d in (trp, vap, tep)])
+    visits = [model.embeddings(rows, v).select("subject_id", F.lit(v).alias("visit"), "embedding") for v in (1, 2)]
+    return visits[0].unionByName(visits[1])

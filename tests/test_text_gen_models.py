@@ -121,3 +121,17 @@ def test_prompt_signed_zero_and_nulls(spark):
                                       "mmse_delta_v1_v2 double, nwbv_delta_v1_v2 double, cdr_delta_v1_v2 double")
     p = txt.clinical_prompt(df).first()["prompt"]
     assert "- MMSE change: -0.0\n" in p and "- MMSE: nan\n" in p and "nWBV change: +nan" in p and "CDR change: +0.0" in p
+
+
+def test_visit_embedding_covers_both_visits_of_all_split_rows(spark, monkeypatch):
+    from functools import partial
+    from panelspark.plans.queries import models
+    from panelspark.plans.queries.common import split_features
+    from tests.conftest import SMALL
+    monkeypatch.setattr(models.je, "JointEmbeddingEstimator", partial(je.JointEmbeddingEstimator, epochs=1))
+    got = models.q_visit_embedding(spark, SMALL).collect()
+    subjects = [r.subject_id for r in split_features(spark, SMALL).select("subject_id").collect()]
+    assert sorted((r.subject_id, r.visit) for r in got) == sorted((s, v) for s in subjects for v in (1, 2))
+    assert all(len(r.embedding) == 48 for r in got)
+    by = {(r.subject_id, r.visit): r.embedding for r in got}
+    assert any(by[s, 1] != by[s, 2] for s in subjects)
