@@ -54,18 +54,34 @@ _CANONICAL, _REFRESH = r"(?i)\brel\s*=\s*[\"']?canonical\b", r"(?i)\bhttp-equiv\
 _HREF, _URL = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root on with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    parts = F.slice(parts, F.lit(2), F.size(parts))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: (
+        F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))))
+    last = F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))
+
+
 def absolute(target: Column, url: Column) -> Column:
-    """``target`` as an absolute URL, seen from ``url`` (scheme-relative and root-relative forms)."""
+    """``target`` as an absolute URL, seen from ``url``; NULL for an empty one and for schemes without ``://``."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    return (F.when(target.contains("://"), target)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    query = F.regexp_extract(target, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    base = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    merged = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(base == "", F.lit("/")).otherwise(base), own))
+    origin = F.concat(scheme, F.lit("://"), host_of(url))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
             .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), target)))
+            .when(target.startswith("#"), url)
+            .when(own == "", F.concat(origin, path_of(url), query))
+            .otherwise(F.concat(origin, _without_dots(merged), query)))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): edges from a page's URL to its canonical link and to its redirect target.
-
-    Relative targets that are neither scheme- nor root-relative have no node and give no edge."""
+    """(a, b): edges from a page's URL to its canonical link and to its redirect target."""
     url = F.col("url")
     tags = F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))
     targets = F.concat(F.transform(F.filter(tags, lambda t: t.rlike(_CANONICAL)), lambda t: F.regexp_extract(t, _HREF, 1)),

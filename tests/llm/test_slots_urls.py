@@ -126,3 +126,23 @@ def test_extra_redirects(spark):
     pages = spark.createDataFrame([(1, "http://n.net/a", None), (2, "http://n.net/b", None)], "page_id long, url string, html string")
     edges = spark.createDataFrame([("http://n.net/a", "http://b.com/de/1"), (None, "http://n.net/b")], "a string, b string")
     assert {r.page_id: r.verdict for r in U.judge(pages, edges=edges).collect()} == {1: "block", 2: "allow"}
+
+
+def test_relative_links_are_resolved(spark):
+    from urllib.parse import urljoin
+    from pyspark.sql import functions as F
+    bases = ["http://n.net/a/b/c?x=1#f", "http://n.net", "http://n.net/a/", "https://n.net/a/./d"]
+    targets = ["page2", "../x", "?p=1", "./", "..", "../../../y/../z?q=../w", "#top", "/r/../s", "//m.org/a", "http://m.org/b", "q/.", "?u=http://m.org/"]
+    rows = [(b, t) for b in bases for t in targets]
+    df = spark.createDataFrame(rows, "u string, t string")
+    got = df.select("u", "t", U.node_of(U.absolute(F.col("t"), F.col("u"))).alias("n")).collect()
+    for r in got:
+        want = urljoin(r.u, r.t).split("#")[0].split("://", 1)[1]
+        assert r.n == want, (r.u, r.t, r.n, want)
+    empty = spark.createDataFrame([("http://n.net/a/b", "d//e")], "u string, t string")                # RFC 3986 keeps empty segments, urljoin does not
+    assert empty.select(U.absolute(F.col("t"), F.col("u"))).first()[0] == "http://n.net/a/d//e"
+    none = spark.createDataFrame([("http://n.net/a", t) for t in ("", "mailto:a@n.net", "javascript:x()")], "u string, t string")
+    assert [r.n for r in none.select(U.absolute(F.col("t"), F.col("u")).alias("n")).collect()] == [None] * 3
+    pages = spark.createDataFrame([(1, "http://n.net/a/1", "<link rel=canonical href='../b/2'>"), (2, "http://n.net/b/2", "<link rel=canonical href='http://b.com/de/1'>")],
+                                  "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in U.judge(pages).collect()} == {1: "block", 2: "block"}
