@@ -1,5 +1,8 @@
 """SQL for the operators whose results SQL can express (DuckDB over the same tables)."""
 
+import math
+
+from panelspark.llm import licenses
 from panelspark.llm.url_aliases import RULES
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -91,3 +94,80 @@ root AS (SELECT node, min(seen) AS class_id FROM reach GROUP BY node)
 SELECT w.doc_id, root.class_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles
 FROM w JOIN root ON root.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
+
+_KEPT = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11 = f"""
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_KEPT}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM pos p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+     AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def _lloyd(rounds: int = 6, size: int = 8) -> str:
+    """Lloyd rounds as a chain of assignments a0, a1, ... and codebooks c0, c1, ..."""
+    gap = "list_sum(list_transform(list_zip(p.s, c.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    mean = ", ".join(f"(sum(s[{j}]) - ((sum(s[{j}]) % count(*)) + count(*)) % count(*)) // count(*)" for j in range(1, size + 1))
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT p.rid, p.part, min({{'d': {gap}, 'e': c.e}}) AS m FROM p JOIN c{r} c USING (part) GROUP BY p.rid, p.part)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT part, m.e AS e, list_transform([{mean}], lambda x: CAST(x AS BIGINT)) AS s FROM a{r} JOIN p USING (rid, part) GROUP BY 1, 2)")
+            steps.append(f"c{r + 1} AS (SELECT c.part, c.e, coalesce(m.s, c.s) AS s FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.e = c.e)")
+    return ",\n".join(steps)
+
+
+OP12 = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+                  list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_KEPT}),
+p AS (SELECT rid, part, v[part * 8 + 1:part * 8 + 8] AS s FROM k, range(8) t(part)),
+c0 AS (SELECT part, rid - 1 AS e, s FROM p WHERE rid <= 16),
+{_lloyd()},
+coded AS (SELECT k.vec_id, k.label, string_agg(printf('%02x', a.m.e), '' ORDER BY a.part) AS code, CAST(sum(a.m.d) AS BIGINT) AS error
+          FROM a6 a JOIN k USING (rid) GROUP BY k.rid, k.vec_id, k.label),
+book AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, book
+"""
+
+
+def _contained() -> tuple[str, int]:
+    """Rows (label, tokens, need) of the license templates, and the words of the longest one."""
+    rows = []
+    for label, text in licenses.TEMPLATES:
+        tokens = sorted(set(text.split()))
+        rows.append(f"('{label}', {tokens}, {math.ceil(licenses.THRESHOLD * len(tokens) - 1e-9)})")
+    return ", ".join(rows), max(len(text.split()) for _, text in licenses.TEMPLATES)
+
+
+def _phrases() -> str:
+    rows = ", ".join(f"({phrase.split()}, '{label}')" for phrase, label in licenses.PHRASES)
+    return f"(VALUES {rows}) f(ws, label)"
+
+
+_TEMPLATES, _STEP = _contained()
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_FOLDED}') AS w FROM documents),
+place AS (SELECT rid, f.label, unnest(range(0, len(w))) AS i, w, f.ws FROM d, {_phrases()} WHERE list_has_all(w, f.ws)),
+hit AS (SELECT rid, label, i FROM place WHERE w[i + 1:i + len(ws)] = ws),
+b AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM hit GROUP BY rid),
+block AS (SELECT rid, list_distinct(w[x * {_STEP} + 1:x * {_STEP} + 2 * {_STEP}]) AS s
+          FROM (SELECT rid, w, unnest(range(0, greatest(CAST(ceil(len(w) / {_STEP}) AS BIGINT) - 2, 0) + 1)) AS x FROM d)),
+found AS (SELECT rid, t.label, len(list_intersect(t.tokens, s)) / len(t.tokens) AS score
+          FROM block, (VALUES {_TEMPLATES}) t(label, tokens, need) WHERE len(list_intersect(t.tokens, s)) >= t.need),
+m AS (SELECT rid, list(DISTINCT label) AS labels, max(score) AS best FROM found GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, b.lo AS first_word, b.hi AS last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.best, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN m USING (rid)
+"""

@@ -1,12 +1,12 @@
-"""Registered queries of the ten operators and their SQL (where SQL can express the result)."""
+"""Registered queries of the operators and their SQL (where SQL can express the result)."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import (bagminhash, decontam, lang_ppm, oracle, packing, quality_llr, recompress, secrets, slots, token_prefix,
-                            url_aliases)
+from panelspark.llm import (bagminhash, covertree, decontam, gnat, lang_ppm, licenses, oracle, packing, quality_llr, recompress, secrets, slots,
+                            token_prefix, url_aliases)
 from panelspark.llm.scratch import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,6 +57,19 @@ def op10_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=None)
 
 
+def op11_gnat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.mine(gnat.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op12_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = covertree.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_language_ppm": (op1_language_ppm, None),
     "op2_token_prefix": (op2_token_prefix, None),
@@ -68,4 +81,7 @@ REGISTRY = {
     "op8_concat_cut": (op8_concat_cut, None),
     "op9_bagminhash": (op9_bagminhash, oracle.OP9),
     "op10_llr": (op10_llr, None),
+    "op11_gnat": (op11_gnat, oracle.OP11),
+    "op12_cover_tree": (op12_cover_tree, oracle.OP12),
+    "op13_license_join": (op13_license_join, oracle.OP13),
 }

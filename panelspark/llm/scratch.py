@@ -10,9 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from panelspark.session import checkpoint_dir, ship_package
 
 
+BATCH_BYTES = 4 << 20           # of an Arrow batch (one longer row is its own batch)
+
+
 def ready(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers."""
+    """Make this package importable in the executors' Python workers, and bound Arrow batches by bytes.
+
+    Spark's own bound is 10,000 rows or 64 MB; whole texts and blocks of vectors need the smaller one.
+    The setting stays in the session, since plans run after the operator has returned."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
