@@ -343,7 +343,8 @@ def _best(index: Index, queries: DataFrame, same: bool, k: int, near: int | None
     sent = (queries.select("grp", "vec_id", "label", "key", "q", "windows").repartition("grp").sortWithinPartitions("grp")
             .mapInArrow(_send(index.tree, index.parts, near), _SENT))
     block = index.blocks.select("leaf", "part", *[F.col(c).alias(f"b_{c}") for c in ("ids", "labels", "keys", "q")])
-    pairs = sent.join(block, ["leaf", "part"]).select("ids", "labels", "keys", "q", "windows", "b_ids", "b_labels", "b_keys", "b_q")
+    # a merge join: what is sent is far larger than the queries, from which the planner would take its size for a broadcast
+    pairs = sent.hint("merge").join(block, ["leaf", "part"]).select("ids", "labels", "keys", "q", "windows", "b_ids", "b_labels", "b_keys", "b_q")
     found = pairs.mapInArrow(_compare(index.dim, same, k), _FOUND)
     rank = F.row_number().over(Window.partitionBy(*_WINDOW).orderBy(F.desc("score"), "id"))
     return stored(found.withColumn("rank", rank).where(F.col("rank") <= k), name)
