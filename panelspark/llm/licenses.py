@@ -10,7 +10,7 @@ words.  The join works on tokens in one global order, the rarest in the corpus f
 over all texts):
 
 - prefix: an overlap of ``need = ceil(threshold * |T|)`` tokens must touch the first ``|T| - need + 1`` tokens of T, so
-  only these, the rarest, are join keys;
+  only these, the rarest, are join keys, and only texts that hold one of them are cut into blocks;
 - length: a block with fewer than ``need`` template words is left out;
 - position: with the pair's first common token at place i of T and j of the block, at most
   ``1 + min(|T| - i - 1, |B| - j - 1)`` tokens can be common;
@@ -69,6 +69,15 @@ def _pattern(phrase: str) -> str:
     return rf"(?i)(?<!{_WORD}){words}(?!{_WORD})"
 
 
+def _any_word(words: list[str]) -> str:
+    """Any of the words as a whole word, A-Z in either case; words share their first letter's branch."""
+    first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        first.setdefault(w[0], []).append(w[1:])
+    branches = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items())
+    return f"(?i)(?:^|{_GAP})(?:{branches})(?:{_GAP}|$)"
+
+
 def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
@@ -103,8 +112,10 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float
     if sum(len(w) for _, w in words) > MAX_WORDS:
         raise ValueError(f"the templates hold more than {MAX_WORDS} words")
     vocabulary = sorted({t for _, w in words for t in w})
-    known = F.array(*[F.lit(t) for t in vocabulary]).cast("array<string>")
-    counted = (docs.select(F.explode(F.array_intersect(known, _words())).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    # counts of the template words over all texts; they order the tokens, and any order gives the same result
+    token = F.lower(F.col("token")).alias("token")
+    counted = (docs.select(F.explode(F.split(_text(), f"{_GAP}+")).alias("token")).where(token.isin(vocabulary))
+               .groupBy(token).agg(F.count("*").alias("n")))
     seen = {r.token: r.n for r in counted.collect()}                     # one row for each template word at most
     order = sorted(vocabulary, key=lambda t: (seen.get(t, 0), t))
     place = {t: i for i, t in enumerate(order)}
@@ -120,7 +131,8 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float
     keys = sorted({p[0] for p in prefix})
     ordered = F.array(*[F.lit(t) for t in order]).cast("array<string>")
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("words") / step).cast("int") - 2, F.lit(0)))
-    blocks = (docs.select("doc_id", F.xxhash64("text").alias("uid"), _words().alias("words"))
+    some = docs.where(F.col("text").rlike(_any_word(keys))) if keys else docs.where("false")
+    blocks = (some.select("doc_id", F.xxhash64("text").alias("uid"), _words().alias("words"))
               .select("doc_id", "uid", F.posexplode(F.transform(starts, lambda b: F.array_intersect(ordered, F.slice("words", b * step + 1, 2 * step)))))
               .select("doc_id", "uid", F.col("pos").alias("block"), F.col("col").alias("b")).where(F.size("b") >= least))
     keyed = F.array_intersect("b", F.array(*[F.lit(t) for t in keys]).cast("array<string>"))
