@@ -16,12 +16,18 @@ Search.  Documents with equal multisets share one representative.  Bands of four
 representatives into buckets; 32 bands miss a pair at similarity 0.8 with probability below 5e-8.
 In each bucket everybody is verified against one leader first, the member whose buckets are the
 fullest: in a group of copies that is the text the others come from.  So a group costs one
-comparison a member and bucket.  What is then still in different classes of one bucket is compared
-in a closing step by rare shingles, those that at most ``RARE`` of these documents have.  Two
-documents overlap at most in the rare shingles they share (counted exactly) and the fewer of their
-frequent ones; pairs of different classes that could so reach the threshold are candidates, those
-without a shared rare shingle in their first common bucket.  So no link between classes is lost, and pairs inside a class are not
-spelled out.  Every candidate is verified on its whole multisets.
+comparison a member and bucket.
+
+Closing step.  Members of buckets that still hold several classes meet in a prefix index.  A multiset is
+taken as the set of its named occurrences, in one global order, the rarest first (counts of hashed
+names over all members).  Two multisets of n >= m occurrences that reach the threshold t share one
+among the first n - ceil(t n) + 1 of the longer and the first m - ceil(2 t m / (1 + t)) + 1 of the
+shorter one; a pair whose places there leave too few occurrences behind is no candidate (positional bound).
+Only names that two classes have are joined, and only members of different classes: the class that
+holds a name most often is met by the others, never by itself.  So no link between classes is lost, pairs inside a class
+are not spelled out, and copies that differ in occurrences of their own meet nobody.  Every
+candidate is verified on its whole multisets; new links join classes, so a second search for components runs over
+classes only.
 """
 
 from __future__ import annotations
@@ -40,14 +46,14 @@ REGISTERS = 128
 BAND = 4                          # registers in a band
 _SPARE = 4.0                      # e**-4 of the documents need a later time limit
 _PLACE = 48                       # bits of an element's name inside a block
-RARE = 64                         # documents of the closing step that a rare shingle occurs in, at most
+SLOTS = 1 << 20                   # counters of hashed occurrence names; they order the prefixes
 _NO_ID = -(1 << 63)               # stands for a NULL doc_id
 
 
 def shingle_prints(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(shingle fingerprints, offsets per row)."""
     s, e, wo = A.word_spans(data, off)
-    h = A.word_hashes(data, s, e)
+    h, g = A.word_hashes(data, s, e, both=True)
     n = np.diff(wo)
     count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     out_off = np.concatenate([[0], np.cumsum(count)])
@@ -56,7 +62,7 @@ def shingle_prints(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tu
     whole = np.repeat(n >= size, count)
     out[whole] = A.window_prints(h, size)[start[whole]]
     short = np.flatnonzero((n > 0) & (n < size))
-    out[out_off[short]] = A.span_prints(h, wo[short], wo[short + 1])[0]
+    out[out_off[short]] = A.span_prints(h, g, wo[short], wo[short + 1])[0]
     return out, out_off
 
 
@@ -159,28 +165,65 @@ def _vectors(batches):
 
 
 def _similar(threshold: float):
+    """Rows whose last two columns, two vectors, reach the threshold, without these columns."""
     def run(batches):
         for batch in batches:
-            u, v = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            u, v = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             keep = []
-            for x, y in zip(u, v):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i in range(batch.num_rows):
+                a, b = np.frombuffer(u[i].as_buffer(), np.uint64), np.frombuffer(v[i].as_buffer(), np.uint64)
                 at = np.searchsorted(a, b)
                 both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
                 keep.append(both + 1e-9 >= threshold * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], batch.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def _names(batches):
-    """One row per occurrence of a vector."""
+def _slot(name: np.ndarray) -> np.ndarray:
+    return (name >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _counted(batches):
+    """Per task: how many occurrences fall on each slot."""
+    total = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        vec = batch.column(1).to_pylist()
-        for a in range(0, len(vec), 256):
-            part = vec[a:a + 256]
-            n = np.array([len(x) // 8 for x in part])
-            row = pa.array(np.repeat(np.arange(a, a + len(part)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.frombuffer(b"".join(part), np.int64))], ["vid", "name"])
+        data, _ = A.text_buffers(batch.column(0))
+        total += np.bincount(_slot(data.view(np.uint64)), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+
+def prefix_sizes(n: int, threshold: float) -> tuple[int, int]:
+    """(occurrences of a multiset of n that meet shorter ones, those that meet longer ones)."""
+    least = lambda x: int(np.ceil(x - 1e-6))
+    return n - max(least(threshold * n), 1) + 1, n - max(least(2 * threshold * n / (1 + threshold)), 1) + 1
+
+
+def _prefixes(counts, threshold: float):
+    """Rows (name, i, short, node, n, root): the prefix of each vector; ``short``: it also meets longer ones there."""
+    def run(batches):
+        count = counts.value
+        for batch in batches:
+            name, place, short, size = [], [], [], []
+            for vec in batch.column(3):
+                v = np.frombuffer(vec.as_buffer(), np.uint64)
+                probe, index = prefix_sizes(len(v), threshold)
+                c = count[_slot(v)]
+                if probe < len(v):                                # only what may be among the first
+                    some = np.flatnonzero(c <= np.partition(c, probe - 1)[probe - 1])
+                    v, c = v[some], c[some]
+                order = np.lexsort((v, c))[:probe]
+                name.append(v[order])
+                place.append(np.arange(len(order)))
+                short.append(np.arange(len(order)) < index)
+                size.append(len(order))
+            if not size:
+                continue
+            row = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            yield pa.RecordBatch.from_arrays(
+                [A.as_long(np.concatenate(name)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(short)),
+                 *(batch.column(k).take(row) for k in range(3))], ["name", "i", "short", "node", "n", "root"])
+    return run
 
 
 _NODE = "struct<did: bigint, uid: bigint>"
@@ -192,12 +235,38 @@ def node_of() -> Column:
     return F.struct(did.alias("did"), F.xxhash64("doc_id", "text").alias("uid"))      # a NULL text is not an empty one here
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float, name: str) -> DataFrame:
-    """The (u, v) pairs whose multisets reach the threshold."""
+def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float, name: str, out: str = "u v") -> DataFrame:
+    """The ``out`` columns of the pairs (u, v) whose multisets reach the threshold."""
     left = vectors.select(F.col("node").alias("u"), F.col("vec").alias("uv"))
     right = vectors.select(F.col("node").alias("v"), F.col("vec").alias("vv"))
-    rows = pairs.join(right, "v").join(left, "u").select("u", "v", "uv", "vv")
-    return stored(rows.mapInArrow(_similar(threshold), f"u {_NODE}, v {_NODE}"), name)
+    cols = out.split()
+    rows = pairs.join(right, "v").join(left, "u").select(*cols, "uv", "vv")
+    return stored(rows.mapInArrow(_similar(threshold), ", ".join(f"{c} {_NODE}" for c in cols)), name)
+
+
+def _closing(open_: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, u_root, v_root): candidates among members (node, n, root) of different classes."""
+    spark = open_.sparkSession
+    got = vectors.select("vec").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()    # SLOTS rows at most
+    counts = np.zeros(SLOTS, np.int64)
+    counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(counts)                       # 8 MB
+    rows = stored(open_.join(vectors, "node").select("node", "n", "root", "vec").mapInArrow(
+        _prefixes(shared, threshold), f"name long, i int, short boolean, node {_NODE}, n long, root {_NODE}"), "prefixes")
+    by_class = rows.groupBy("name", "root").agg(F.count("*").alias("c"))
+    mixed = stored(by_class.groupBy("name").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("largest"))
+                   .where("k > 1").select("name", "largest"), "mixed-names")
+    rows = stored(rows.join(mixed, "name").withColumn("main", F.col("root") == F.col("largest")).drop("largest"), "shared-prefixes")
+    # side 0: a longer vector of any class meets shorter ones outside the largest; side 1: outside the largest, it meets the largest
+    sides = F.when(F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    x = rows.select("name", F.explode(sides).alias("side"), *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "root", "i")])
+    y = (rows.where("short").withColumn("side", F.col("main").cast("int"))
+         .select("name", "side", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "root", "i")]))
+    longer = (F.col("u_n") > F.col("v_n")) | ((F.col("u_n") == F.col("v_n")) & (F.col("u_node") > F.col("v_node")))
+    most = F.least(F.col("u_n") - F.col("u_i"), F.col("v_n") - F.col("v_i"))
+    able = most + 1e-9 >= threshold * (F.col("u_n") + F.col("v_n") - most)
+    pairs = x.join(y, ["name", "side"]).where(longer & (F.col("u_root") != F.col("v_root")) & able)
+    return stored(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), "u_root", "v_root").distinct(), "closing")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, registers: int = REGISTERS) -> DataFrame:
@@ -228,47 +297,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, registers: in
                   .select("u", F.col("node").alias("v")).distinct(), "star")
     needed = members.select("node").distinct()
     vectors = stored(rows.join(needed, "node").select("node", "text").mapInArrow(_vectors, f"node {_NODE}, vec binary")
-                     .dropDuplicates(["node"]).withColumn("vid", F.monotonically_increasing_id()), "vectors")
+                     .dropDuplicates(["node"]), "vectors")
     links = _verified(star, vectors, threshold, "star-links")
 
     # closing step: buckets that still hold several classes
     classes = components(links, "u", "v")
-    placed = (members.select("bucket", "node", "n").join(classes, "node", "left")
-              .select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
-    placed = stored(placed, "placed")
-    by_class = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    mixed = stored(by_class.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("largest"))
-                   .where("k > 1").select("bucket", "largest"), "mixed")
-    open_ = stored(placed.join(mixed, "bucket"), "open")
-    names = vectors.select("vid", "vec").mapInArrow(_names, "vid long, name long")
-    few = names.groupBy("name").agg(F.count("*").alias("c")).where(F.col("c") <= RARE)
-    rare = stored(names.join(few, "name"), "rare-names")
-    own = rare.groupBy("vid").agg(F.count("*").alias("own"))
-    facts = stored(open_.select("node", "n", "root").distinct().join(vectors.select("node", "vid"), "node").join(own, "vid", "left")
-                   .withColumn("may", F.col("n") - F.coalesce("own", F.lit(0))), "open-nodes")
-
-    def reaches(overlap: Column) -> Column:
-        return overlap + 1e-9 >= threshold * (F.col("u_n") + F.col("v_n") - overlap)
-
-    shared = rare.where("c > 1").join(facts, "vid")
-    x, y = (shared.select("name", *[F.col(c).alias(f"{i}_{c}") for c in ("node", "n", "root", "may")]) for i in "uv")
-    differ = (F.col("u_node") < F.col("v_node")) & (F.col("u_root") != F.col("v_root")) & reaches(F.least("u_n", "v_n"))
-    by_rare = (x.join(y, "name").where(differ).groupBy("u_node", "v_node", "u_n", "v_n", "u_may", "v_may").agg(F.count("*").alias("both"))
-               .where(reaches(F.col("both") + F.least("u_may", "v_may"))).select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
-
-    able = facts.where(F.col("may") + 1e-9 >= threshold * F.col("n")).select("node", "may")
-    bound = open_.join(able, "node").join(reps.select("node", "bands"), "node")
-    bound = stored(bound.select("bucket", "node", "n", "root", "largest", "may", "bands"), "bounded")
-    x = bound.where("root <> largest").select("bucket", *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "root", "largest", "may", "bands")])
-    y = bound.select("bucket", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "root", "may", "bands")])
-    pair = ((F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("u_largest")) | (F.col("u_node") < F.col("v_node")))
-            & reaches(F.least("u_may", "v_may"))
-            & (F.element_at(F.array_intersect("u_bands", "v_bands"), 1) == F.col("bucket")))      # once, in their first common bucket
-    by_bound = x.join(y, "bucket").where(pair).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    closing = stored(by_rare.union(by_bound).distinct(), "closing")
-    more = _verified(closing, vectors, threshold, "closing-links")
-    if not more.isEmpty():
-        classes = components(links.union(more), "u", "v")
+    placed = stored(members.select("bucket", "node", "n").join(classes, "node", "left")
+                    .select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
+    mixed = (placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket"))
+    open_ = placed.join(stored(mixed, "mixed"), "bucket").select("node", "n", "root").dropDuplicates(["node"])
+    more = _verified(_closing(open_, vectors, threshold), vectors, threshold, "closing-links", "u_root v_root")
+    if not more.isEmpty():                                              # new links join classes
+        merged = components(more, "u_root", "v_root").select(F.col("node").alias("old"), F.col("root").alias("top"))
+        every = classes.union(more.select(F.explode(F.array("u_root", "v_root")).alias("node")).select("node", F.col("node").alias("root")))
+        classes = stored(every.join(merged, F.col("root") == F.col("old"), "left")
+                         .groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root")), "classes")
 
     out = (signed.select(node, "n", "p", "q").join(same.withColumnRenamed("node", "rep"), ["n", "p", "q"], "left")
            .join(classes.withColumnRenamed("node", "rep"), "rep", "left"))

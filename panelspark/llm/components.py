@@ -3,41 +3,53 @@
 Alternating large-star and small-star rounds: every vertex links its larger (or its smaller and
 equal) neighbours to the least vertex it sees, until nothing changes.  The number of rounds grows
 with the logarithm of the largest component's size.  A hub is never gathered: its minimum is a partial
-aggregate, and the joins that give it to its neighbours read stored tables, so adaptive execution
-can split them.  Every round is a stored table, so a lost executor costs one round.
+aggregate that is joined back on a wrapped key, so both sides of the join come straight from an exchange
+and adaptive execution can split a hub's edges (``operators.small.join_per_key``).  Every round is a stored
+table, so a lost executor costs one round.  Whether a round changed anything is seen from its row
+count and two 64-bit sums over its edges, which the write of the round itself gathers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from panelspark.llm.scratch import stored
+from panelspark.operators.small import join_per_key
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round; edges are (u, v) with u > v, each once."""
+    """One star round; edges are (u, v) with u > v.  The large star may repeat edges."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         # v > u is linked to u's least neighbour; the edge's larger end is v, so join on the smaller end
-        linked = edges.select(F.col("v").alias("c"), F.col("u").alias("x")).join(least.withColumnRenamed("u", "c"), "c")
-        return linked.select(F.col("x").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        linked = join_per_key(edges.select(F.col("v").alias("c"), F.col("u").alias("x")), least, "c")
+        return linked.select(F.col("x").alias("u"), F.col("m").alias("v")).where("u > v")
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-    return linked.union(least.select("u", F.col("m").alias("v"))).distinct()
+    linked = join_per_key(edges, least, "u").select("u", "v", "m")
+    to = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
+    return linked.select(to).select("e.u", "e.v").where("u > v").distinct()
+
+
+def _round(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The stored edges, and what tells them from others: their number and two sums over them."""
+    seen = Observation()
+    sums = [F.bit_xor(F.xxhash64("u", "v", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), *sums), name)
+    got = seen.get
+    return out, (got["n"], got["x1"], got["x2"])
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge (a, b); root is the component's least node.
 
     Self-loops and NULL ends are left out; an empty edge table gives an empty result."""
-    now = stored(edges.where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`")
-                 .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    while True:
-        new = stored(_star(stored(_star(now, True), "large"), False), "small")
-        same = now.count() == new.count() and new.join(now, ["u", "v"], "left_anti").isEmpty()
-        if same:
+    now, mark = _round(edges.where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`")
+                       .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    while mark[0]:
+        now, new = _round(_star(stored(_star(now, True), "large"), False), "small")
+        if new == mark:
             break
-        now = new
+        mark = new
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
