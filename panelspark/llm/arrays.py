@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK_BYTES = 4 << 20           # text handled at once inside a task (one longer row is its own block)
-_HASH_BYTES = 1 << 20           # word hashing works through a block in pieces of this size
+BLOCK_BYTES = 1 << 20           # text handled at once inside a task (one longer row is its own block)
+_HASH_BYTES = 1 << 18           # word hashing works through a block in pieces of this size
 
 #: Separators of the whitespace words ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
@@ -118,9 +118,56 @@ def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tu
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    out = np.empty(len(starts), U64)
+_PRIME = (1 << 31) - 1
+_BASES = (1103515243, 1812433249)           # of the word hashes modulo the prime
+_PRIME_BYTE = tuple(_rng.integers(1, _PRIME, 256, dtype=np.int64).astype(U64) for _ in _BASES)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, up to a small multiple of it, in place."""
+    high = x >> U64(31)
+    x &= U64(_PRIME)
+    x += high
+    return x
+
+
+class _PrimePowers:
+    """Cached powers of a base and of its inverse modulo 2**31 - 1."""
+
+    def __init__(self, base: int):
+        self.bases = (base, pow(base, -1, _PRIME))
+        self.tables = [np.ones(1, U64), np.ones(1, U64)]
+
+    def get(self, n: int, down: bool) -> np.ndarray:
+        p, base = self.tables[down], self.bases[down]
+        while len(p) < n:
+            p = np.concatenate([p, p * U64(pow(base, len(p), _PRIME)) % U64(_PRIME)])
+        self.tables[down] = p
+        return p[:n]
+
+
+_PRIME_POWERS = tuple(_PrimePowers(b) for b in _BASES)
+
+
+def _prime_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """62-bit word hash: two polynomials modulo 2**31 - 1, which has no structure in powers of two."""
+    out = np.zeros(len(s), U64)
+    for byte, powers in zip(_PRIME_BYTE, _PRIME_POWERS):
+        cum = np.empty(len(data) + 1, U64)
+        cum[0] = 0
+        np.cumsum(_folded(byte[data] * powers.get(len(data), False)), out=cum[1:])       # terms below 2**32
+        part = (cum[e] - cum[s]) % U64(_PRIME) * powers.get(len(data), True)[s] % U64(_PRIME)
+        out = (out << U64(31)) | part
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, both: bool = False):
+    """64-bit hash of each word's bytes; with ``both`` also a second one, of another family.
+
+    A polynomial modulo 2**64 alone gives equal values to some long words that can be written down
+    (Thue-Morse words of 1,024 letters); the polynomials modulo a prime do not, and enter both hashes.
+    Together the two hashes hold 126 independent bits."""
+    out, second = np.empty(len(starts), U64), np.empty(len(starts), U64)
     i, n = 0, len(starts)
     while i < n:
         j = max(int(np.searchsorted(ends, starts[i] + _HASH_BYTES, side="right")), i + 1)
@@ -130,15 +177,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         np.cumsum(_BYTE[data[lo:hi]] * _BYTE_POWERS.up(hi - lo), out=cum[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = (cum[e] - cum[s]) * _BYTE_POWERS.down(hi - lo)[s] + (e - s).astype(U64)
+        second[i:j] = _prime_hash(data[lo:hi], s, e)
         i = j
-    return mix(out)
+    first = mix(out + mix(second))
+    return (first, second) if both else first
 
 
 def window_prints(h: np.ndarray, size: int, second: bool = False) -> np.ndarray:
     """Fingerprint of each run of ``size`` consecutive hashes (len(h) - size + 1 of them).
 
-    Windows that cross a row border are meaningless; callers mask them.  ``second`` gives an
-    independent fingerprint; both together are 128 bits."""
+    Windows that cross a row border are meaningless; callers mask them.  ``second`` gives a fingerprint
+    with another base, for the second word hash; both together are 126 bits."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
@@ -149,14 +198,14 @@ def window_prints(h: np.ndarray, size: int, second: bool = False) -> np.ndarray:
     return mix((cum[size:] - cum[:n]) * p.down(n))
 
 
-def span_prints(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints of the hash runs [start, end)."""
+def span_prints(h: np.ndarray, g: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of the word runs [start, end), one on each of the two word hashes."""
     out = []
-    for p in _WORD_POWERS:
-        cum = np.empty(len(h) + 1, U64)
+    for x, p in zip((h, g), _WORD_POWERS):
+        cum = np.empty(len(x) + 1, U64)
         cum[0] = 0
-        np.cumsum(h * p.up(len(h)), out=cum[1:])
-        out.append(mix((cum[end] - cum[start]) * p.down(len(h) + 1)[start] + (end - start).astype(U64)))
+        np.cumsum(x * p.up(len(x)), out=cum[1:])
+        out.append(mix((cum[end] - cum[start]) * p.down(len(x) + 1)[start] + (end - start).astype(U64)))
     return out[0], out[1]
 
 

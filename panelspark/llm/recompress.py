@@ -16,7 +16,7 @@ hash is the window's anchor; equal windows have the same anchor at the same plac
 
 1. one row per anchor, with the fingerprint of the 16 words there, shows which anchors occur in
    two documents (a count per key, partial on the map side);
-2. only windows of shared anchors are written, with 128-bit fingerprints, and the least document
+2. only windows of shared anchors are written, with two fingerprints on word hashes of two families, and the least document
    id of each fingerprint is found;
 3. windows with a smaller document are joined back per document, and the words they cover go.
 
@@ -138,11 +138,11 @@ def _windows_of(window: int):
             spans = batch.column(batch.schema.get_field_index("spans"))
             for i in range(batch.num_rows):
                 s, e, _ = A.word_spans(data[off[i]:off[i + 1]], np.array([0, off[i + 1] - off[i]]))
-                h = A.word_hashes(data[off[i]:off[i + 1]], s, e)
+                h, g = A.word_hashes(data[off[i]:off[i + 1]], s, e, both=True)
                 span = spans[i].values
                 lo, hi = span.field(0).to_numpy(), span.field(1).to_numpy()
                 starts = np.flatnonzero(A.covered(lo, hi - lo + 1, max(len(h) - window + 1, 0)))
-                p, q = A.window_prints(h, window)[starts], A.window_prints(h, window, True)[starts]
+                p, q = A.window_prints(h, window)[starts], A.window_prints(g, window, True)[starts]
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [A.as_long(p), A.as_long(q), pa.array(np.full(n, ids[i])), pa.array(np.full(n, uid[i])),
