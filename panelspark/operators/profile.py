@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelspark.operators.cohort import panel_with_subject_group, subject_group
 from panelspark.operators.ranking import exact_quantiles
@@ -14,7 +14,11 @@ from panelspark.spec import GROUP, PANEL, PanelSpec
 def dataset_structure(df: DataFrame) -> DataFrame:
     """A1: (position, column_name, dtype, n_rows, n_columns).  Types come from the schema (one row
     per column); the row count is one distributed count."""
-    n = df.count()
+    return structure_of(df, df.count())
+
+
+def structure_of(df: DataFrame, n: int) -> DataFrame:
+    """A1 with a known row count."""
     rows = [(i, f.name, f.dataType.simpleString(), n, len(df.columns)) for i, f in enumerate(df.schema.fields)]
     schema = "position int, column_name string, dtype string, n_rows long, n_columns int"
     return df.sparkSession.createDataFrame(rows, schema)
@@ -41,16 +45,17 @@ def visit_count_distribution(panel: DataFrame, spec: PanelSpec = PANEL) -> DataF
     return visit_counts(panel, spec).rollup("num_visits").agg(F.count(F.lit(1)).alias("n_subjects"))
 
 
+def null_count(df: DataFrame, c: str) -> Column:
+    """Aggregate: rows whose value of a column is missing (NULL, or NaN in a floating column)."""
+    col = F.col(f"`{c}`")
+    floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    return F.count_if(col.isNull() | F.isnan(col) if floating else col.isNull())
+
+
 def missing_value_audit(df: DataFrame) -> DataFrame:
     """Per column the NULL count and percentage of rows (2 decimals), columns with NULLs only.
     One scan for all columns, then an unpivot of the single result row."""
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for c in df.columns:
-        col = F.col(f"`{c}`")
-        isnull = col.isNull()
-        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
-            isnull = isnull | F.isnan(col)
-        aggs.append(F.count_if(isnull).alias(f"{c}__nulls"))
+    aggs = [F.count(F.lit(1)).alias("__n"), *[null_count(df, c).alias(f"{c}__nulls") for c in df.columns]]
     wide = df.agg(*aggs)
     stack = ", ".join(f"'{c}', `{c}__nulls`" for c in df.columns)
     long = wide.selectExpr("__n", f"stack({len(df.columns)}, {stack}) as (column_name, null_count)")
@@ -62,21 +67,29 @@ def missing_value_audit(df: DataFrame) -> DataFrame:
 def exploration_summary(panel: DataFrame, spec: PanelSpec = PANEL, converted: str = "Converted") -> DataFrame:
     """Subjects, rows, converter subjects, subjects with >= 3 visits, missing MMSE and the
     sorted distinct group labels, from one per-subject aggregate."""
-    g = F.col(spec.group)
     parts = stored(panel.groupBy(spec.subject, spec.group).agg(
         F.count(F.lit(1)).alias("_rows"), F.count(spec.visit).alias("_visits"),
         F.count_if(F.col(spec.mmse).isNull()).alias("_miss")), "subject-groups")
+    return summary_of(parts, spec, converted)
+
+
+def summary_of(parts: DataFrame, spec: PanelSpec = PANEL, converted: str = "Converted") -> DataFrame:
+    """A9 from a rollup by (subject, group) with _rows, _visits and _miss.
+
+    The labels are counted like any key and joined to one text by the same aggregate that makes the result's row;
+    nothing but that row is as long as they are."""
+    g = F.col(spec.group)
     per_subject = parts.groupBy(spec.subject).agg(
         F.sum("_rows").alias("_rows"), F.sum("_visits").alias("_visits"), F.bool_or(g == converted).alias("_conv"), F.sum("_miss").alias("_miss"))
-    # labels are counted like any key; one row per distinct label goes into the result's text
-    labels = [r[0] for r in parts.where(g.isNotNull()).select(spec.group).distinct().orderBy(spec.group).toLocalIterator()]
-    return per_subject.agg(
-        F.count(F.lit(1)).alias("n_subjects"),
+    labels = parts.where(g.isNotNull()).select(g.cast("string").alias("_label")).distinct()
+    both = per_subject.select(F.lit(1).alias("_one"), "_rows", "_visits", "_conv", "_miss").unionByName(labels, allowMissingColumns=True)
+    return both.agg(
+        F.count("_one").alias("n_subjects"),
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"),
         F.count_if(F.col("_conv")).alias("n_converters"),
         F.count_if(F.col("_visits") >= 3).alias("n_subjects_3plus_visits"),
         F.coalesce(F.sum("_miss"), F.lit(0)).alias("n_missing_mmse"),
-        F.lit(", ".join(str(x) for x in labels)).alias("group_labels"),
+        F.array_join(F.array_sort(F.collect_list("_label")), ", ").alias("group_labels"),
     )
 
 
@@ -87,7 +100,11 @@ def split_nulls_check(panel: DataFrame, columns=("mmse", "ses"), spec: PanelSpec
 
 def panel_cohort_counts(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """Subjects and rows for real / generated panel rows and combined."""
-    per = panel.groupBy(spec.synthetic, spec.subject).agg(F.count(F.lit(1)).alias("_rows"))
+    return cohorts_of(panel.groupBy(spec.synthetic, spec.subject).agg(F.count(F.lit(1)).alias("_rows")), spec)
+
+
+def cohorts_of(per: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
+    """A20 from any rollup that holds the generated flag, the subject and _rows."""
     r = per.rollup(spec.synthetic).agg(F.count_distinct(spec.subject).alias("n_subjects"),
                                        F.sum("_rows").alias("n_rows"),
                                        F.grouping(spec.synthetic).alias("_total"))
@@ -97,8 +114,12 @@ def panel_cohort_counts(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
 
 
 def _baseline_values(panel: DataFrame, metrics, spec: PanelSpec) -> DataFrame:
+    return baseline_values_of(panel_with_subject_group(panel, spec), metrics, spec)
+
+
+def baseline_values_of(labelled: DataFrame, metrics, spec: PanelSpec = PANEL) -> DataFrame:
     """(subject, participant_group, metric, value) at visit 1, NULLs dropped, stored."""
-    base = panel_with_subject_group(panel, spec).where(F.col(spec.visit) == 1)
+    base = labelled.where(F.col(spec.visit) == 1)
     return stored(base.select(F.col(spec.subject).alias("subject_id"), GROUP, F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(spec.signal(m)).cast("double").alias("value")) for m in metrics
     ]))).where(F.col("value").isNotNull()), "baseline-values")
@@ -126,7 +147,12 @@ def baseline_box_stats(panel: DataFrame, metrics=("mmse", "nwbv"), spec: PanelSp
                        approx: bool = False) -> DataFrame:
     """Box-plot numbers per subject group and metric at visit 1, NULLs dropped: quartiles
     (linear interpolation), whiskers at the furthest point within 1.5 IQR, outlier count."""
-    j, v = _with_fences(_baseline_values(panel, metrics, spec), approx), F.col("value")
+    return box_stats_of(_baseline_values(panel, metrics, spec), approx)
+
+
+def box_stats_of(long: DataFrame, approx: bool = False) -> DataFrame:
+    """A21 from baseline values."""
+    j, v = _with_fences(long, approx), F.col("value")
     return j.groupBy(GROUP, "metric", "n", "q1", "median", "q3").agg(
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"),
         F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_high"),

@@ -12,31 +12,18 @@ from panelspark.models import boosted as bst
 from panelspark.models import jointembed as je
 from panelspark.models import textscore
 from panelspark.operators import augment as aug
-from panelspark.operators import cohort as coh
 from panelspark.operators import compare as cmpo
 from panelspark.operators import evaluate as ev
 from panelspark.operators import features as feat
-from panelspark.operators import profile as prof
 from panelspark.operators import split as spl
+from panelspark.operators.exploration import Exploration
 from panelspark.session import stored
 from panelspark.sources import io
 
 
 def job_exploration(panel: DataFrame) -> dict[str, DataFrame]:
-    """Profile tables of a panel."""
-    p = panel                       # each table reads its own columns of the stored panel
-    return {
-        "structure": prof.dataset_structure(p),
-        "group_rows": prof.group_row_counts(p),
-        "subject_groups": prof.subject_group_counts(p),
-        "visit_distribution": prof.visit_count_distribution(p),
-        "converters": coh.converter_summary(p),
-        "missing": prof.missing_value_audit(p),
-        "summary": prof.exploration_summary(p),
-        "trajectories": coh.metric_trajectories(p),
-        "converter_trajectories": coh.converter_trajectories(p),
-        "baseline_box": prof.baseline_box_stats(p),
-    }
+    """Profile tables of a panel, from two scans of it."""
+    return Exploration(panel).tables()
 
 
 def job_augment(real: DataFrame, n: int | None = None, seed: int = 42, out: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ through the library's reader, and returns what it read."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from panelspark.plans import jobs
 from panelspark.plans.queries.common import PANEL_ONLY, PRED, REGISTRY, SPLIT, panel, predictions, query, split_features, sql
 from panelspark.plans.queries.evaluation import comparison
 from panelspark.operators import evaluate as ev
-from panelspark.session import checkpoint_dir
+from panelspark.session import checkpoint_dir, stored
 from panelspark.sources import io
 from panelspark.spec import CSV_HEADER_TO_PANEL
 
@@ -54,18 +55,22 @@ def q_augmented_panel(spark, sf):
 
 @query("predictions_round_trip", sql(*PRED, body="SELECT model, subject_id, participant_group, y, yhat, score FROM predictions"))
 def q_predictions(spark, sf):
-    """Long predictions, one folder per model."""
+    """Long predictions, one folder per model; written model by model, as the jobs do, and one of them twice."""
     path = _folder(spark, "predictions")
-    io.write_predictions(predictions(spark, sf), path)
-    return spark.read.parquet(path).select("model", "subject_id", "participant_group", "y", "yhat", "score")
+    every = predictions(spark, sf)
+    for model in ("text", "boosted", "joint", "boosted"):
+        io.write_predictions(every.where(F.col("model") == model), path)
+    return io.read_predictions(spark, path).select("model", "subject_id", "participant_group", "y", "yhat", "score")
 
 
 @query("metrics_round_trip", REGISTRY["classification_metrics"][1])
 def q_metrics(spark, sf):
     """One metrics row per model."""
     path = _folder(spark, "metrics")
-    io.write_metrics(ev.classification_metrics(predictions(spark, sf)), path)
-    return spark.read.parquet(path)
+    metrics = stored(ev.classification_metrics(predictions(spark, sf)), "metrics")
+    for model in ("text", "boosted", "joint"):
+        io.write_metrics(metrics.where(F.col("model") == model), path)
+    return io.read_metrics(spark, path)
 
 
 @query("comparison_round_trip", REGISTRY["compare_predictions"][1])
@@ -92,6 +97,43 @@ def q_job_preprocess(spark, sf):
     return io.read_feature_splits(spark, path)
 
 
+# (table of the job, registered query with the same rows, item, measures); items and measures are SQL of both engines
+EXPLORATION = [
+    ("structure", "dataset_structure", "column_name", ["position", "n_rows", "n_columns"]),
+    ("group_rows", "group_row_counts", "grp", ["n_rows"]),
+    ("subject_groups", "subject_group_counts", "participant_group", ["n_subjects"]),
+    ("visit_counts", "visit_counts", "subject_id", ["num_visits"]),
+    ("visit_distribution", "visit_count_distribution", "coalesce(cast(num_visits as {text}), 'total')", ["n_subjects"]),
+    ("converters", "converter_summary", "subject_id", ["total_visits", "baseline_mmse", "baseline_cdr", "final_mmse", "final_cdr",
+                                                       "mmse_drop_baseline_to_final"]),
+    ("missing", "missing_value_audit", "column_name", ["null_count", "null_pct"]),
+    ("summary", "exploration_summary", "group_labels", ["n_subjects", "n_rows", "n_converters", "n_subjects_3plus_visits", "n_missing_mmse"]),
+    ("cohorts", "panel_cohort_counts", "cohort", ["n_subjects", "n_rows"]),
+    ("baseline_box", "baseline_box_stats", "participant_group || '|' || metric",
+     ["n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]),
+    ("trajectories", "metric_trajectories", "participant_group || '|' || subject_id || '|' || cast(visit as {text}) || '|' || metric", ["value"]),
+    ("converter_trajectories", "converter_trajectories", "subject_id || '|' || cast(visit as {text})", ["mmse"]),
+]
+
+
+def _exploration_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS report, {item.format(text='varchar')} AS item, '{m}' AS measure, round(cast({m} AS double), 6) AS value\n"
+        f"FROM ({REGISTRY[key][1]})" for name, key, item, measures in EXPLORATION for m in measures)
+
+
+@query("job_exploration", _exploration_sql())
+def q_job_exploration(spark, sf):
+    """All tables of the exploration job in long form (report, item, measure, value)."""
+    tables = jobs.job_exploration(panel(spark, sf))
+    out = []
+    for name, _, item, measures in EXPLORATION:
+        pairs = ", ".join(f"'{m}', cast({m} as double)" for m in measures)
+        out.append(tables[name].selectExpr(f"'{name}' as report", f"{item.format(text='string')} as item",
+                                           f"stack({len(measures)}, {pairs}) as (measure, value)").withColumn("value", F.round("value", 6)))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @query("job_comparison", REGISTRY["comparison_notes"][1])
 def q_job_comparison(spark, sf):
     """The comparison job; its notes."""

@@ -79,13 +79,30 @@ def write_augmented_panel(panel: DataFrame, path: str, fmt: str = "parquet") ->
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:
-    """Long predictions partitioned by model."""
-    pred.write.mode("overwrite").partitionBy("model").parquet(path)
+    """Long predictions partitioned by model.
+
+    Only the models in ``pred`` are replaced; other models' folders stay.  Writing without rows replaces nothing."""
+    pred.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
+
+
+PREDICTION_SCHEMA = "subject_id string, participant_group string, y int, yhat int, score double, model string"
+
+
+def read_predictions(spark: SparkSession, path: str, models: list[str] | None = None) -> DataFrame:
+    """S5 back: the predictions of all models in the folder, or of some (partition pruning)."""
+    df = spark.read.schema(PREDICTION_SCHEMA).parquet(path)
+    return df.where(F.col("model").isin(models)) if models is not None else df
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """One metrics row per model."""
-    metrics.coalesce(1).write.mode("overwrite").parquet(path)
+    """One metrics row per model; as with predictions, only the models written are replaced."""
+    metrics.withColumn("_model", F.col("model")).coalesce(1).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("_model").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """S6 back: the rows of all models in the folder."""
+    return spark.read.parquet(path).drop("_model")
 
 
 def write_comparison(cmp: DataFrame, path: str) -> None:

@@ -53,10 +53,10 @@ def test_jobs_end_to_end(spark):
     assert text["accuracy_by_group"].where("is_total").first()["n"] == te.count()
     boosted = jobs.job_boosted(tr, te, out=os.path.join(d, "boosted"), n_trees=10)
     assert boosted["metrics"].first()["auc_roc"] is not None
-    written = spark.read.parquet(os.path.join(d, "boosted", "predictions"))
-    assert written.where("model = 'boosted'").count() == te.count()
-    assert spark.read.parquet(os.path.join(d, "boosted", "metrics")).count() == 1
-    joint = jobs.job_joint_embedding(tr, te, epochs=5)
+    joint = jobs.job_joint_embedding(tr, te, out=os.path.join(d, "boosted"), epochs=5)
+    written = io.read_predictions(spark, os.path.join(d, "boosted", "predictions"))       # both models are there after two writes
+    assert {r["model"]: r["count"] for r in written.groupBy("model").count().collect()} == {"boosted": te.count(), "joint": te.count()}
+    assert io.read_metrics(spark, os.path.join(d, "boosted", "metrics")).count() == 2
     preds = text["predictions"].unionByName(boosted["predictions"]).unionByName(joint["predictions"])
     cmp = jobs.job_comparison(preds, panel, out=os.path.join(d, "cmp"))
     assert cmp["comparison"].count() == te.count()
@@ -134,3 +134,16 @@ def test_study_csv_flow(spark):
     res = mod.run(spark, path, os.path.join(d, "out"), n_trees=5, epochs=3)
     assert res["metrics"].count() == 3
     assert spark.read.parquet(os.path.join(d, "out", "comparison")).count() == res["comparison"].count() > 0
+
+
+def test_predictions_of_one_model_replace_only_their_own(spark):
+    path = os.path.join(_scratch(), "predictions")
+    ddl = "model string, subject_id string, participant_group string, y int, yhat int, score double"
+    rows = lambda m, n, s: spark.createDataFrame([(m, str(i), None, 0, 1, s) for i in range(n)], ddl)
+    io.write_predictions(rows("a", 3, 0.5), path)
+    io.write_predictions(rows("b", 2, 0.25), path)
+    io.write_predictions(rows("a", 1, 0.75), path)
+    io.write_predictions(rows("a", 0, 0.0), path)
+    got = sorted((r.model, r.subject_id, r.score) for r in io.read_predictions(spark, path).collect())
+    assert got == [("a", "0", 0.75), ("b", "0", 0.25), ("b", "1", 0.25)]
+    assert io.read_predictions(spark, path, ["b"]).count() == 2
