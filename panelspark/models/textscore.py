@@ -3,8 +3,9 @@
 The predictor factory is called once per partition (e.g. to open a client); the predictor
 maps a list of prompts to a list of responses.  Equal prompts are scored once (dedupe by
 hash); raw responses are stored before parsing, so evaluating the plan again does not call the
-predictor again (with ``store`` also not in a later run).  Concurrency = number of partitions; ``pause``
-seconds between calls bounds the rate per partition.
+predictor again.  With ``store`` every batch of answers is kept as soon as it is given
+(``sources.responses``), so neither a failed task nor a later run asks for it again.  Concurrency = number
+of partitions; ``pause`` seconds between calls bounds the rate per partition.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelspark.functions.text import clinical_prompt, parse_response
 from panelspark.session import ship_package, stored
+from panelspark.sources import responses
 
 Predictor = Callable[[list[str]], list[str]]
 
@@ -37,12 +39,10 @@ def mmse_rule_predictor_factory() -> Predictor:
 
 def score_prompts(prompts: DataFrame, factory: Callable[[], Predictor] = mmse_rule_predictor_factory,
                   prompt_col: str = "prompt", batch_size: int = 64, pause: float = 0.0,
-                  partitions: int | None = None, store: str | None = None, parts: int = 1) -> DataFrame:
+                  partitions: int | None = None, store: str | None = None) -> DataFrame:
     """(prompt_hash, response) for each distinct prompt of ``prompts``, stored.
 
-    With ``store`` (a parquet folder on shared storage) answers are kept keyed by prompt hash and
-    are written in ``parts`` commits by hash range; prompts already answered are anti-joined away before each, so a
-    rerun after a failure calls the predictor only for parts that were not committed."""
+    With ``store`` (a folder on shared storage) answers are kept keyed by prompt hash across tasks and runs."""
     spark = prompts.sparkSession
     ship_package(spark)
     distinct = stored(prompts.select(F.sha2(F.col(prompt_col), 256).alias("prompt_hash"), F.col(prompt_col).alias("prompt"))
@@ -52,13 +52,13 @@ def score_prompts(prompts: DataFrame, factory: Callable[[], Predictor] = mmse_ru
         import pandas as pd
         predict = factory()
         for pdf in batches:
-            responses = []
+            got = []
             texts = pdf["prompt"].tolist()
             for i in range(0, len(texts), batch_size):
-                responses.extend(predict(texts[i:i + batch_size]))
+                got.extend(predict(texts[i:i + batch_size]))
                 if pause:
                     time.sleep(pause)
-            yield pd.DataFrame({"prompt_hash": pdf["prompt_hash"], "response": responses})
+            yield pd.DataFrame({"prompt_hash": pdf["prompt_hash"], "response": got})
 
     def answered(todo: DataFrame) -> DataFrame:
         todo = todo.repartition(partitions, "prompt_hash") if partitions else todo
@@ -66,12 +66,8 @@ def score_prompts(prompts: DataFrame, factory: Callable[[], Predictor] = mmse_ru
 
     if not store:
         return stored(answered(distinct), "responses")
-    spark.createDataFrame([], _ANSWER).write.mode("append").parquet(store)       # so that the folder can be read
-    part = F.pmod(F.conv(F.substring("prompt_hash", 1, 8), 16, 10).cast("long"), F.lit(parts))
-    for i in range(parts):
-        done = spark.read.schema(_ANSWER).parquet(store).select("prompt_hash")
-        answered(distinct.where(part == i).join(done, "prompt_hash", "left_anti")).write.mode("append").parquet(store)
-    return spark.read.schema(_ANSWER).parquet(store).join(distinct.select("prompt_hash"), "prompt_hash", "left_semi")
+    responses.ask(distinct, store, factory, batch_size, pause, partitions)
+    return responses.answers(spark, store).join(distinct.select("prompt_hash"), "prompt_hash", "left_semi")
 
 
 _ANSWER = "prompt_hash string, response string"
@@ -82,7 +78,7 @@ def score_text_batch(features: DataFrame, factory: Callable[[], Predictor] = mms
 
     The features with their prompts are written once; the distinct prompts and the join read that."""
     with_prompt = stored(clinical_prompt(features).withColumn("prompt_hash", F.sha2(F.col("prompt"), 256)), "prompted")
-    responses = score_prompts(with_prompt, factory, **kw)
-    j = with_prompt.drop("prompt").join(responses, "prompt_hash", "left")
+    got = score_prompts(with_prompt, factory, **kw)
+    j = with_prompt.drop("prompt").join(got, "prompt_hash", "left")
     pred, status = parse_response(F.col("response"))
     return j.withColumn("text_prediction", pred).withColumn("parse_status", status).drop("prompt_hash", "response")

@@ -5,6 +5,7 @@ Every query reads the driver's tables through the panel binding, so its work gro
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelspark.operators import features as feat
 from panelspark.operators import split as spl
 from panelspark.plans import oracle as O
+from panelspark.session import checkpoint_dir
 from panelspark.sources import bindings
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -47,6 +49,11 @@ def predictions(spark, sf):
     return bindings.predictions(raw_features(spark, sf))
 
 
+def new_folder(spark, name: str) -> str:
+    """A new folder in the shared place."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def sql(*ctes: str, body: str) -> str:
     return O.with_ctes(*ctes) + "\n" + body
 

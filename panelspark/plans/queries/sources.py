@@ -5,31 +5,25 @@ through the library's reader, and returns what it read."""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from panelspark.plans import jobs
-from panelspark.plans.queries.common import PANEL_ONLY, PRED, REGISTRY, SPLIT, panel, predictions, query, split_features, sql
+from panelspark.plans.queries.common import PANEL_ONLY, PRED, REGISTRY, SPLIT, new_folder, panel, predictions, query, split_features, sql
 from panelspark.plans.queries.evaluation import comparison
 from panelspark.operators import evaluate as ev
-from panelspark.session import checkpoint_dir, stored
+from panelspark.session import stored
 from panelspark.sources import io
 from panelspark.spec import CSV_HEADER_TO_PANEL
 
 ALL_PANEL = sql(*PANEL_ONLY, body="SELECT * FROM panel")
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder in the shared place."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 @query("read_panel_csv", ALL_PANEL)
 def q_read_panel_csv(spark, sf):
     """The panel as a study CSV (padded study headers, missing values as a token) and back."""
-    path = _folder(spark, "study-csv")
+    path = new_folder(spark, "study-csv")
     header = {v: f" {k} " for k, v in CSV_HEADER_TO_PANEL.items()}
     p = panel(spark, sf)
     text = p.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(header[c]) for c in p.columns])
@@ -40,7 +34,7 @@ def q_read_panel_csv(spark, sf):
 @query("feature_splits_round_trip", sql(*SPLIT, body="SELECT * FROM split1"))
 def q_feature_splits(spark, sf):
     """Feature rows partitioned by split, read back split by split."""
-    path = _folder(spark, "feature-splits")
+    path = new_folder(spark, "feature-splits")
     io.write_feature_splits(split_features(spark, sf), path)
     return io.read_feature_splits(spark, path, "train").unionByName(io.read_feature_splits(spark, path, "test"))
 
@@ -48,7 +42,7 @@ def q_feature_splits(spark, sf):
 @query("augmented_panel_round_trip", ALL_PANEL)
 def q_augmented_panel(spark, sf):
     """Real and generated rows in one panel."""
-    path = _folder(spark, "augmented")
+    path = new_folder(spark, "augmented")
     io.write_augmented_panel(panel(spark, sf), path)
     return io.read_panel(spark, path, "parquet")
 
@@ -56,7 +50,7 @@ def q_augmented_panel(spark, sf):
 @query("predictions_round_trip", sql(*PRED, body="SELECT model, subject_id, participant_group, y, yhat, score FROM predictions"))
 def q_predictions(spark, sf):
     """Long predictions, one folder per model; written model by model, as the jobs do, and one of them twice."""
-    path = _folder(spark, "predictions")
+    path = new_folder(spark, "predictions")
     every = predictions(spark, sf)
     for model in ("text", "boosted", "joint", "boosted"):
         io.write_predictions(every.where(F.col("model") == model), path)
@@ -66,7 +60,7 @@ def q_predictions(spark, sf):
 @query("metrics_round_trip", REGISTRY["classification_metrics"][1])
 def q_metrics(spark, sf):
     """One metrics row per model."""
-    path = _folder(spark, "metrics")
+    path = new_folder(spark, "metrics")
     metrics = stored(ev.classification_metrics(predictions(spark, sf)), "metrics")
     for model in ("text", "boosted", "joint"):
         io.write_metrics(metrics.where(F.col("model") == model), path)
@@ -76,7 +70,7 @@ def q_metrics(spark, sf):
 @query("comparison_round_trip", REGISTRY["compare_predictions"][1])
 def q_comparison(spark, sf):
     """The per-subject comparison."""
-    path = _folder(spark, "comparison")
+    path = new_folder(spark, "comparison")
     io.write_comparison(comparison(spark, sf), path)
     return spark.read.parquet(path)
 
@@ -84,15 +78,15 @@ def q_comparison(spark, sf):
 @query("read_first_existing", ALL_PANEL)
 def q_read_first_existing(spark, sf):
     """The second of three paths exists."""
-    path = _folder(spark, "first-existing")
+    path = new_folder(spark, "first-existing")
     io.write_augmented_panel(panel(spark, sf), path)
-    return io.read_first_existing(spark, [_folder(spark, "absent"), path, _folder(spark, "absent")], "parquet")
+    return io.read_first_existing(spark, [new_folder(spark, "absent"), path, new_folder(spark, "absent")], "parquet")
 
 
 @query("job_preprocess", sql(*SPLIT, body="SELECT * FROM split1"))
 def q_job_preprocess(spark, sf):
     """Impute, features and label, exact split, written and read back."""
-    path = _folder(spark, "preprocessed")
+    path = new_folder(spark, "preprocessed")
     jobs.job_preprocess(panel(spark, sf), out=path)
     return io.read_feature_splits(spark, path)
 

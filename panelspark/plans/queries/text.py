@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.plans.queries.common import (
-    BASE, features, query, sql,
+    BASE, features, new_folder, query, sql,
 )
 from panelspark.sources import bindings
 from panelspark.functions import text as txt
 from panelspark.models import textscore
+from panelspark.session import stored
 
 
 # ── text (L1-L3) ─────────────────────────────────────────────────────────────
@@ -54,11 +55,21 @@ def q_parse_response(spark, sf):
     return d.select("doc_id", pred.alias("prediction"), status.alias("parse_status"))
 
 
+def _no_predictor():
+    def predict(prompts):
+        raise AssertionError("a prompt that the store answers was asked again")
+    return predict
+
+
 @query("score_text_batch", sql(*BASE, body="""
 SELECT subject_id, participant_group, cdr_worsened_after_v2,
        CASE WHEN cast(printf('%+.1f', mmse_delta_v1_v2) AS double) < -2 THEN 1 ELSE 0 END AS text_prediction,
        'clean' AS parse_status
 FROM features"""))
 def q_score_text_batch(spark, sf):
-    s = textscore.score_text_batch(features(spark, sf))
+    """L3 through the response store: scored twice, and the second run asks nothing."""
+    store = new_folder(spark, "answers")
+    scored = stored(features(spark, sf), "scored-features")
+    textscore.score_text_batch(scored, store=store)
+    s = textscore.score_text_batch(scored, _no_predictor, store=store)
     return s.select("subject_id", "participant_group", "cdr_worsened_after_v2", "text_prediction", "parse_status")
