@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.functions.exprs import clip, keyed_uniform, normal_draw
-from panelspark.operators.ranking import positions
+from panelspark.operators.ranking import BUCKET_ROWS, positions
 from panelspark.spec import GROUP, PANEL, PanelSpec
 from panelspark.operators.cohort import subject_group
 from panelspark.operators.small import bounded, join_per_key
@@ -98,7 +98,7 @@ def generate_subjects(spark: SparkSession, n: int, seed: int = SEED) -> DataFram
     nd = n - c - d
     idx = F.col("id")
     grp = F.when(idx < nd, "Nondemented").when(idx < nd + d, "Demented").otherwise("Converted")
-    sid = F.format_string(ID_FORMAT, (idx + FIRST_ID).cast("int"))
+    sid = F.format_string(ID_FORMAT, idx + FIRST_ID)
     base = spark.range(n).select(idx.alias("subject_index"), sid.alias("subject_id"), grp.alias(GROUP))
     u = keyed_uniform(str(seed), F.col("subject_id"), "n_visits")
     nv = F.when(F.col(GROUP).isin("Converted", "Demented"), _choice(u, *VISITS_PROGRESSING)) \
@@ -222,16 +222,16 @@ def union_real_generated(real: DataFrame, generated: DataFrame) -> DataFrame:
 
 # ── A22: fit the priors from a real panel ────────────────────────────────────
 
-def fit_generation_priors(panel: DataFrame, spec: PanelSpec = PANEL, width: int = 1024) -> DataFrame:
+def fit_generation_priors(panel: DataFrame, spec: PanelSpec = PANEL, width: int = 1024, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Per subject group, baseline means / sample stds, annualised MMSE / nWBV change
     (mean of delta/years, sample std of delta/sqrt(years) over consecutive visits) and the
     female share.  Consecutive pairs come from the bucketed positions helper."""
     bucket = F.floor(F.col(spec.visit) / F.lit(width)).cast("long")
     used = dict.fromkeys([spec.subject, spec.visit, spec.visit_id, spec.group, spec.delay, spec.sex,
                           *[spec.signal(c) for c in ("age", "mmse", "nwbv", "etiv", "educ", "ses")]])
-    # one pass over the panel: every visit with the values of the visit before, stored
-    rows = stored(positions(panel.select(*used), [spec.subject], spec.visit, [spec.visit_id], bucket,
-                            carry=[spec.delay, spec.mmse, spec.nwbv], name="_pos"), "visit-pairs")
+    # one pass over the panel; then every visit with the values of the visit before, stored
+    rows = stored(positions(stored(panel.select(*used), "visits"), [spec.subject], spec.visit, [spec.visit_id], bucket,
+                            carry=[spec.delay, spec.mmse, spec.nwbv], name="_pos", bucket_rows=bucket_rows), "visit-pairs")
     pairs = join_per_key(rows, subject_group(rows, spec), spec.subject)
     stats = pairs.where(F.col(spec.visit) == 1).groupBy(GROUP).agg(
         *[f(F.col(spec.signal(c)).cast("double")).alias(f"{name}_{suffix}")

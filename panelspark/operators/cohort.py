@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.operators.features import CONVERTED, subject_group_expr
-from panelspark.operators.ranking import positions
-from panelspark.operators.small import join_per_key
+from panelspark.operators.ranking import BUCKET_ROWS, positions
+from panelspark.operators.small import join_spread
+from panelspark.session import stored
 from panelspark.spec import GROUP, PANEL, PanelSpec
 
 
@@ -15,17 +16,30 @@ def subject_group(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     return panel.groupBy(spec.subject).agg(subject_group_expr(spec).alias(GROUP))
 
 
-def panel_with_subject_group(panel: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
+def panel_with_subject_group(panel: DataFrame, spec: PanelSpec = PANEL, co_located: bool = False) -> DataFrame:
     """Every visit row with its subject-level group.
 
-    Aggregate (partial per map task) + equi-join on subject, not a window per subject; both join
-    sides have exchanges of their own, so adaptive execution splits a hot subject."""
-    return join_per_key(panel, subject_group(panel, spec), spec.subject)
+    Aggregate (partial per map task) + equi-join on subject, not a window per subject.  The aggregate also counts the
+    subject's rows, and a heavy subject's rows are dealt to several groups (``join_spread``).
+    ``co_located``: the panel is a store bucketed by subject (``sources.io.read_panel_store``); both sides
+    of the join then lie where they are needed, and nothing is exchanged.  A store has no NULL subjects."""
+    if co_located:
+        return panel.join(subject_group(panel, spec), spec.subject)
+    groups = stored(panel.groupBy(spec.subject).agg(subject_group_expr(spec).alias(GROUP), F.count(F.lit(1)).alias("_n")), "subject-groups")
+    return join_spread(panel, groups, spec.subject, "_n")
 
 
-def subject_trajectories(panel: DataFrame, subjects: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
-    """All visits of the given subjects (semi join; replaces one scan per subject)."""
-    return join_per_key(panel, subjects.select(spec.subject).distinct(), spec.subject, "left_semi")
+def subject_trajectories(panel: DataFrame, subjects: DataFrame, spec: PanelSpec = PANEL, co_located: bool = False) -> DataFrame:
+    """All visits of the given subjects (semi join; replaces one scan per subject).
+
+    Heavy subjects are dealt to several groups, as in J1; ``co_located`` as there."""
+    wanted = subjects.select(spec.subject).distinct()
+    if co_located:
+        return panel.join(wanted, spec.subject, "left_semi")
+    # counts of the wanted subjects only: a join of two tables with one row per subject
+    counts = panel.groupBy(spec.subject).agg(F.count(F.lit(1)).alias("_n"))
+    counted = stored(counts.join(wanted.withColumnRenamed(spec.subject, "_wanted"), F.col(spec.subject).eqNullSafe(F.col("_wanted")), "left_semi"), "wanted-subjects")
+    return join_spread(panel, counted, spec.subject, "_n", "left_semi")
 
 
 def visit_rows(panel: DataFrame, k: int, spec: PanelSpec = PANEL) -> DataFrame:
@@ -92,17 +106,18 @@ def _visit_bucket(spec: PanelSpec, width: int):
     return F.floor(F.col(spec.visit) / F.lit(width)).cast("long")
 
 
-def ordered_trajectory(panel: DataFrame, spec: PanelSpec = PANEL, width: int = 1024) -> DataFrame:
+def ordered_trajectory(panel: DataFrame, spec: PanelSpec = PANEL, width: int = 1024, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Each visit row with its 1-based position in the subject's (visit, visit_id) order.
-    Bucketed rank, so one subject with very many rows is split over visit ranges."""
+    Bucketed rank, so one subject with very many rows is split over visit ranges, and where a range holds more than
+    ``bucket_rows`` of them (many rows of one visit number), at borders over (visit, visit_id)."""
     return positions(panel, [spec.subject], spec.visit, [spec.visit_id], _visit_bucket(spec, width),
-                     name="visit_rank")
+                     name="visit_rank", bucket_rows=bucket_rows)
 
 
-def visit_interval(panel: DataFrame, spec: PanelSpec = PANEL, width: int = 1024) -> DataFrame:
+def visit_interval(panel: DataFrame, spec: PanelSpec = PANEL, width: int = 1024, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Days and years since the previous visit (NULL on the first) and the cumulative days."""
     p = positions(panel, [spec.subject], spec.visit, [spec.visit_id], _visit_bucket(spec, width),
-                  carry=[spec.delay], name="visit_rank")
+                  carry=[spec.delay], name="visit_rank", bucket_rows=bucket_rows)
     d = F.col(spec.delay) - F.col(f"prev_{spec.delay}")
     return p.select(spec.subject, spec.visit, spec.visit_id, "visit_rank",
                     d.alias("interval_days"), (d / F.lit(365.0)).alias("interval_years"),

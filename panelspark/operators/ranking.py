@@ -19,17 +19,43 @@ from panelspark.operators.small import bounded
 from panelspark.session import stored
 
 
+def bucket_borders(keyed: DataFrame, key: str, order: list[str], rows: int) -> DataFrame | None:
+    """(key, _borders): for each key of more than ``rows`` rows, sorted values of ``order`` that cut it into pieces
+    of about ``rows`` rows (at most 1,024 pieces a key); None without such keys.
+
+    The borders are every 32nd row of a sample by content hash whose rate follows from the key's counted rows."""
+    hot = stored(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows), "hot-buckets")
+    if hot.isEmpty():
+        return None
+    every = F.greatest(F.ceil(F.col("_n") / (32 * 1024)), F.lit(max(rows // 32, 1))).cast("long")
+    at = F.struct(*[F.col(c) for c in order])
+    sample = (keyed.join(F.broadcast(hot) if hot.count() <= 100000 else hot, key)
+              .where(F.pmod(F.xxhash64(*order), every) == 0).groupBy(key).agg(F.array_sort(F.collect_set(at)).alias("_s")))
+    return stored(sample.select(key, F.filter("_s", lambda x, i: i % 32 == 16).alias("_borders")), "borders")
+
+
 def positions(df: DataFrame, part: list[str], order: str, ties: list[str], bucket: Column,
-              carry: list[str] = (), name: str = "position") -> DataFrame:
+              carry: list[str] = (), name: str = "position", bucket_rows: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of the row within ``part`` ordered by (order, *ties),
     and ``prev_<c>`` = value of ``c`` on the previous row, for each ``c`` in ``carry``.
 
     ``bucket`` must be monotone in the order column (e.g. ``floor(visit / 1024)``); its width does
-    not change the result.  NULLs are values like any other: NULL parts form one part, NULL
+    not change the result.  With ``bucket_rows``, a bucket of more rows is cut further, at borders over (order,
+    *ties) that are drawn from its rows, so that a part whose rows all share one order value is split too; this
+    costs one count of the rows.  NULLs are values like any other: NULL parts form one part, NULL
     orders come first, and a previous row's NULL is carried as NULL.
     """
     key = "_key"                      # a struct is never NULL, so NULL parts and buckets join too
-    keyed = df.withColumn(key, F.struct(*[F.col(c) for c in part], bucket.alias("_bucket")))
+    coarse = df.withColumn(key, F.struct(*[F.col(c) for c in part], bucket.alias("_bucket")))
+    borders = bucket_borders(coarse, key, [order, *ties], bucket_rows) if bucket_rows else None
+    piece = F.lit(0)
+    if borders is not None:           # at most one border for ``bucket_rows`` rows
+        coarse = coarse.join(bounded(borders), key, "left")
+        at = F.struct(F.col(order), *[F.col(t) for t in ties])
+        piece = F.coalesce(F.size(F.filter("_borders", lambda b: b <= at)), F.lit(0))
+        piece = F.when(F.col("_borders").isNotNull(), piece).otherwise(F.lit(0))
+    fields = [F.col(f"{key}.{c}").alias(c) for c in part]
+    keyed = coarse.withColumn(key, F.struct(*fields, F.struct(F.col(f"{key}._bucket").alias("b"), piece.alias("p")).alias("_bucket"))).drop("_borders")
     last_key = F.struct(F.col(order), *[F.col(t) for t in ties])
     aggs = [F.count(F.lit(1)).alias("_n")]
     if carry:
@@ -49,6 +75,23 @@ def positions(df: DataFrame, part: list[str], order: str, ties: list[str], bucke
     return out.withColumn(name, (F.col("_offset") + F.col("_r")).cast("long")).drop(key, "_r", "_offset", "_prev_last")
 
 
+def global_rank(df: DataFrame, orders: list[Column], name: str) -> DataFrame:
+    """Add ``name`` = 1-based position of each row in the order of ``orders`` over the whole table.
+
+    A window over everything would be one task.  Here the rows are dealt by ranges of the order and stored with
+    their partition's number; the partitions' sizes (one row each) give its offset, and only a partition is
+    ranked in one task.  The order must be total for the ranks to be unique."""
+    pid = "_range"
+    dealt = stored(df.repartitionByRange(*orders).withColumn(pid, F.spark_partition_id()), "ranges")
+    before, offsets = 0, []
+    for r in dealt.groupBy(pid).agg(F.count(F.lit(1)).alias("n")).orderBy(pid).collect():       # one row per partition
+        offsets.append((r[pid], before))
+        before += r["n"]
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{pid} int, _before long"))
+    local = F.row_number().over(Window.partitionBy(pid).orderBy(*orders))
+    return dealt.join(table, pid).withColumn(name, (F.col("_before") + local).cast("long")).drop(pid, "_before")
+
+
 def hash_bucket(h: Column, digits: int = 4) -> Column:
     """Integer bucket from the leading hex digits of a hex hash (monotone in the hash)."""
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")

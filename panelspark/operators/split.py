@@ -8,9 +8,11 @@ documented two-step stratified allocation: training quota per stratum by largest
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
 
-from panelspark.operators.ranking import first_k_by_hash
+from pyspark.sql import Column, DataFrame, Row, functions as F
+
+from panelspark.operators.ranking import first_k_by_hash, global_rank
 from panelspark.session import stored
 from panelspark.spec import GROUP, LABEL
 
@@ -28,19 +30,37 @@ def real_positive_mask(df: DataFrame, synthetic_col: str | None = "synthetic", p
     return real & (F.col(label) == 1)
 
 
-def stratum_quotas(counts: DataFrame, stratum: str, test_fraction: float) -> DataFrame:
-    """T3-style allocation on the small per-stratum table (stratum, n) -> (stratum, quota)."""
-    tot = Window.partitionBy()  # the per-stratum table is tiny: one row per stratum
-    n = F.sum("n").over(tot)
-    n_test = F.ceil(F.lit(float(test_fraction)) * n.cast("double"))
-    n_train = n - n_test
-    t = counts.withColumn("_total", n).withColumn("_n_train", n_train)
-    t = t.withColumn("_floor", F.expr("n * _n_train div _total")) \
-         .withColumn("_rem", F.expr("n * _n_train % _total"))
-    t = t.withColumn("_short", F.col("_n_train") - F.sum("_floor").over(tot))
-    t = t.withColumn("_r", F.row_number().over(Window.partitionBy().orderBy(F.desc("_rem"), F.col(stratum))))
-    train_q = F.col("_floor") + F.when(F.col("_r") <= F.col("_short"), 1).otherwise(0)
-    return t.select(stratum, (F.col("n") - train_q).cast("long").alias("quota"))
+SMALL_STRATA = 10000             # strata whose quotas the driver works out itself
+
+
+def stratum_quotas(counts: DataFrame, stratum: str, test_fraction: float, small: int = SMALL_STRATA) -> DataFrame:
+    """T3-style allocation on the per-stratum table (stratum, n) -> (stratum, quota).
+
+    Up to ``small`` strata (checked) come to the driver.  Any number of them is ranked by ranges of
+    (remainder, stratum) on executors (``global_rank``), with the same result; the table itself never meets in one task."""
+    counts = stored(counts.select(stratum, "n"), "strata")
+    some = counts.limit(small + 1).collect()
+    spark, schema = counts.sparkSession, f"{stratum} {counts.schema[stratum].dataType.simpleString()}, quota long"
+    if len(some) <= small:
+        total = sum(r["n"] for r in some)
+        n_train = total - math.ceil(float(test_fraction) * float(total))
+        short = n_train - sum(r["n"] * n_train // total for r in some)
+        rows = sorted(((-(r["n"] * n_train % total), _sortable(r[stratum]), r) for r in some), key=lambda x: x[:2])
+        return spark.createDataFrame([(r[stratum], r["n"] - r["n"] * n_train // total - (i < short)) for i, (_, _, r) in enumerate(rows)], schema)
+    total = max(counts.agg(F.sum("n")).first()[0] or 0, 1)
+    n_train = total - math.ceil(float(test_fraction) * float(total))
+    t = counts.withColumn("_floor", F.expr(f"cast((cast(n as decimal(38,0)) * {n_train} - pmod(cast(n as decimal(38,0)) * {n_train}, {total})) / {total} as long)"))
+    t = t.withColumn("_rem", F.expr(f"cast(pmod(cast(n as decimal(38,0)) * {n_train}, {total}) as long)"))
+    short = n_train - (t.agg(F.sum("_floor")).first()[0] or 0)
+    ranked = global_rank(t, [F.desc("_rem"), F.asc(stratum)], "_r")
+    train_q = F.col("_floor") + F.when(F.col("_r") <= short, 1).otherwise(0)
+    return ranked.select(stratum, (F.col("n") - train_q).cast("long").alias("quota"))
+
+
+def _sortable(v):
+    """A stratum value (a one-field row or a plain value) in Spark's order: NULL first."""
+    v = v[0] if isinstance(v, Row) else v
+    return (v is not None, v if v is not None else 0)
 
 
 def stratified_split(df: DataFrame, test_fraction: float = 0.2, stratum: str = GROUP, forced: Column | None = None,
