@@ -258,3 +258,24 @@ def baseline_cdr_frequencies(panel: DataFrame, spec: PanelSpec = PANEL) -> DataF
     c = stored(base.groupBy(GROUP, spec.cdr).agg(F.count(F.lit(1)).alias("n")), "baseline-cdr")
     t = c.groupBy(GROUP).agg(F.sum("n").alias("_t"))
     return c.join(t, GROUP).select(GROUP, F.col(spec.cdr).alias("cdr"), "n", F.round(F.col("n") / F.col("_t"), 6).alias("share"))
+
+
+def fitted_priors(panel: DataFrame, spec: PanelSpec = PANEL, published: dict = GROUP_PRIORS) -> DataFrame:
+    """Priors for ``generate_panel`` from a panel's own statistics (A22): one row per generated group.
+
+    What a group's rows do not tell is taken from the published priors of that group: a group without subjects, a
+    mean without values, a deviation of a single value, yearly changes of subjects with one visit, and the baseline
+    stages where none is on the scale.  Baseline stages are drawn with their shares among those on the scale.  Rows
+    without a group belong to none of the generated groups and shape no prior."""
+    spark = panel.sparkSession
+    fit = fit_generation_priors(panel, spec).where(F.col(GROUP).isNotNull())
+    stages = baseline_cdr_frequencies(panel, spec).where(F.col(GROUP).isNotNull() & F.col("cdr").isNotNull())
+    known = stages.where(F.col("cdr").isin(CDR_SCALE)).groupBy(GROUP).agg(             # at most one row for each stage of the scale
+        F.array_sort(F.collect_list(F.struct("cdr", "n"))).alias("_c"), F.sum("n").alias("_t"))
+    drawn = known.select(GROUP, F.transform("_c", lambda c: c["cdr"].cast("double")).alias("_options"),
+                         F.transform("_c", lambda c: F.round(c["n"] / F.col("_t"), 6)).alias("_probs"))
+    base = priors_frame(spark, published)
+    f = fit.select(F.col(GROUP).alias("_g"), *[F.col(c).alias(f"_{c}") for c in PRIOR_FIELDS])
+    joined = base.join(f, F.col(GROUP) == F.col("_g"), "left").join(drawn, GROUP, "left")
+    return joined.select(GROUP, *[F.coalesce(f"_{c}", c).alias(c) for c in PRIOR_FIELDS],
+                         F.coalesce("_options", "cdr_v1_options").alias("cdr_v1_options"), F.coalesce("_probs", "cdr_v1_probs").alias("cdr_v1_probs"))

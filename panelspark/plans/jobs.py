@@ -26,12 +26,14 @@ def job_exploration(panel: DataFrame) -> dict[str, DataFrame]:
     return Exploration(panel).tables()
 
 
-def job_augment(real: DataFrame, n: int | None = None, seed: int = 42, out: str | None = None) -> DataFrame:
-    """R2: generate ``n`` subjects (default: as many as real ones) and append them."""
+def job_augment(real: DataFrame, n: int | None = None, seed: int = 42, out: str | None = None, fitted: bool = False) -> DataFrame:
+    """R2: generate ``n`` subjects (default: as many as real ones) and append them, from the published priors or
+    (``fitted``) from the real panel's own."""
     spark = real.sparkSession
     if n is None:
         n = real.select("subject_id").distinct().count()
-    combined = aug.union_real_generated(real, aug.generate_panel(spark, n, seed))
+    priors = stored(aug.fitted_priors(real), "priors") if fitted else None
+    combined = aug.union_real_generated(real, aug.generate_panel(spark, n, seed, priors))
     if out:
         io.write_augmented_panel(combined, out)
     return combined

@@ -11,6 +11,7 @@ from panelspark.plans.queries.common import (
 from panelspark.session import stored
 from panelspark.operators import compare as cmpo
 from panelspark.operators import evaluate as ev
+from panelspark.operators import scoresketch as sk
 
 
 # ── evaluation (A15-A18, W4, W5, U3, C2, C10, M7, M8, P11) ───────────────────
@@ -242,3 +243,35 @@ UNION ALL SELECT subject_id, participant_group, 'nwbv', visit, nwbv, visit > 2,
 UNION ALL SELECT subject_id, participant_group, 'cdr', visit, cdr, visit > 2, visit IN (1, 2) FROM r_"""))
 def q_missed_case_signals(spark, sf):
     return cmpo.missed_case_signals(comparison(spark, sf), panel(spark, sf))
+
+
+# ── score sketch: W4, C10 and A17 from at most k points ──────────────────────
+
+SKETCH = [*PRED, f"""
+bins_ AS (SELECT model, cast(floor(score / {sk.WIDTH!r}::double) AS bigint) AS bin, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+          FROM predictions WHERE score IS NOT NULL GROUP BY ALL),
+grp_ AS (SELECT model, (coalesce(sum(pos + neg) OVER (PARTITION BY model ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 64)
+                       // sum(pos + neg) OVER (PARTITION BY model) AS g_, bin, pos, neg FROM bins_),
+cut_ AS (SELECT model, g_, min(bin) AS low, sum(pos) AS pos, sum(neg) AS neg FROM grp_ GROUP BY model, g_),
+acc_ AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pa, coalesce(sum(neg) OVER w, 0) AS na FROM cut_
+         WINDOW w AS (PARTITION BY model ORDER BY g_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""]
+
+
+@query("roc_sketch_points", sql(*SKETCH, body=f"""
+SELECT model, NULL::double AS threshold, 0.0::double AS fpr, 0.0::double AS tpr FROM (SELECT DISTINCT model FROM bins_)
+UNION ALL SELECT model, low * {sk.WIDTH!r}::double, (na + neg)::double / sum(neg) OVER (PARTITION BY model)::double,
+                 (pa + pos)::double / sum(pos) OVER (PARTITION BY model)::double FROM acc_"""))
+def q_roc_sketch_points(spark, sf):
+    """W4 from a sketch of at most 64 points a model, merged from two halves of the subjects."""
+    p = predictions(spark, sf)
+    half = F.pmod(F.xxhash64("subject_id"), F.lit(2))
+    return sk.sketch_points(sk.merge_sketches(sk.score_sketch(p.where(half == 0)), sk.score_sketch(p.where(half == 1))), 64)
+
+
+@query("roc_sketch_auc", sql(*SKETCH, body="""
+SELECT model, count(*) AS n_points, round(sum(neg * (pa + pos / 2.0)) / (sum(pos) * sum(neg))::double, 6) AS auc_roc,
+       round(sum(pos * neg) / 2.0 / (sum(pos) * sum(neg))::double, 6) AS max_error FROM acc_ GROUP BY model"""))
+def q_roc_sketch_auc(spark, sf):
+    """A17 from the sketch, with its error bound."""
+    a = sk.sketch_auc(sk.score_sketch(predictions(spark, sf)), 64)
+    return a.select("model", "n_points", F.round("auc_roc", 6).alias("auc_roc"), F.round("max_error", 6).alias("max_error"))

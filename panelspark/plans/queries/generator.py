@@ -10,6 +10,7 @@ from panelspark.plans.queries.common import (
 )
 from panelspark.operators import augment as aug
 from panelspark.operators import profile as prof
+from panelspark.session import stored
 
 
 # ── augmentation (A22, G1-G7, U1) ────────────────────────────────────────────
@@ -48,8 +49,18 @@ def _clip(x, lo, hi):
 
 PRIORS_VALUES = ", ".join(
     "(" + ", ".join([f"'{g}'"] + [repr(float(p[f])) for f in aug.PRIOR_FIELDS]) + ")" for g, p in aug.GROUP_PRIORS.items())
-BASELINE_CTE = f"""
-pri_ AS (SELECT * FROM (VALUES {PRIORS_VALUES}) t(participant_group, {", ".join(aug.PRIOR_FIELDS)})),
+PRIORS_CTE = f"pri_ AS (SELECT * FROM (VALUES {PRIORS_VALUES}) t(participant_group, {', '.join(aug.PRIOR_FIELDS)}))"
+STAGE_DRAW = f"""CASE WHEN s.participant_group = 'Demented'
+              THEN CASE WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 THEN 0.5
+                        WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 + 0.30 THEN 1.0
+                        WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 + 0.30 + 0.05 THEN 2.0 ELSE 2.0 END
+              ELSE 0.0 END::double"""
+
+
+def _baseline_cte(priors: str, stage: str) -> str:
+    """The baseline draws from the priors in pri_ (given as a CTE) and an expression for the first stage."""
+    return f"""
+{priors},
 gbase_raw AS (
   SELECT s.subject_index, s.subject_id, s.participant_group, s.n_visits,
          cast(floor({_clip(_nd("1|age", "age_mean", "age_std"), 60.0, 96.0)}) AS integer) AS age0,
@@ -57,11 +68,7 @@ gbase_raw AS (
          {_clip(_nd("1|nwbv", "nwbv_v1_mean", "nwbv_v1_std"), 0.60, 0.85)} AS nwbv0,
          cast(floor({_clip(_nd("1|etiv", "etiv_mean", "etiv_std"), 1100.0, 1900.0)}) AS integer) AS etiv,
          round(1430.0 / floor({_clip(_nd("1|etiv", "etiv_mean", "etiv_std"), 1100.0, 1900.0)}), 3) AS asf,
-         CASE WHEN s.participant_group = 'Demented'
-              THEN CASE WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 THEN 0.5
-                        WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 + 0.30 THEN 1.0
-                        WHEN {O.U("'42|' || subject_id || '|cdr0'")} < 0.65 + 0.30 + 0.05 THEN 2.0 ELSE 2.0 END
-              ELSE 0.0 END::double AS cdr0,
+         {stage} AS cdr0,
          cast(floor({_clip(_nd("1|educ", "educ_mean", "educ_std"), 6.0, 23.0)}) AS integer) AS educ,
          {_clip("round_even(" + _nd("1|ses", "ses_mean", "ses_std") + ", 0)", 1.0, 5.0)} AS ses,
          CASE WHEN {O.U("'42|' || subject_id || '|sex'")} < female_prob THEN 'F' ELSE 'M' END AS sex,
@@ -71,6 +78,9 @@ gbase_raw AS (
 gbase AS (SELECT subject_index, subject_id, participant_group, n_visits, age0, round(mmse0, 6) AS mmse0,
                  round(nwbv0, 6) AS nwbv0, etiv, asf, cdr0, educ, ses, sex FROM gbase_raw)"""
 
+
+BASELINE_CTE = _baseline_cte(PRIORS_CTE, STAGE_DRAW)
+
 DRAWS_CTE = f"""
 gdraw_ AS (
   SELECT subject_id, k,
@@ -199,3 +209,35 @@ SELECT participant_group, cdr, count(*) AS n,
 FROM lpanel WHERE visit = 1 GROUP BY participant_group, cdr"""))
 def q_baseline_cdr_frequencies(spark, sf):
     return aug.baseline_cdr_frequencies(panel(spark, sf))
+
+
+# priors fitted on the panel, with the published ones where a group's rows tell nothing
+_SCALE = ", ".join(repr(x) for x in aug.CDR_SCALE)
+_PUBLISHED_STAGES = ", ".join(f"('{g}', {p['cdr_v1_options']}, {p['cdr_v1_probs']})" for g, p in aug.GROUP_PRIORS.items())
+FITTED_CTE = f"""
+fit_ AS ({PRIOR_SQL.replace(', base_ AS', 'WITH base_ AS', 1)}),
+pub_ AS (SELECT * FROM (VALUES {PRIORS_VALUES}) t(participant_group, {', '.join(aug.PRIOR_FIELDS)})),
+stage_ AS (SELECT participant_group, cdr, count(*) AS n_ FROM lpanel WHERE visit = 1 AND cdr IN ({_SCALE}) GROUP BY ALL),
+drawn_ AS (SELECT participant_group, list(cdr ORDER BY cdr) AS options_, list(round(n_ / t_, 6) ORDER BY cdr) AS probs_
+           FROM (SELECT *, sum(n_) OVER (PARTITION BY participant_group) AS t_ FROM stage_) GROUP BY participant_group),
+stages_ AS (SELECT p.participant_group, coalesce(d.options_, p.o_::double[]) AS options_, coalesce(d.probs_, p.p_::double[]) AS probs_
+            FROM (VALUES {_PUBLISHED_STAGES}) p(participant_group, o_, p_) LEFT JOIN drawn_ d USING (participant_group)),
+pri_ AS (SELECT p.participant_group, {', '.join(f'coalesce(f.{c}, p.{c}) AS {c}' for c in aug.PRIOR_FIELDS)}, options_, probs_
+         FROM pub_ p LEFT JOIN fit_ f USING (participant_group) JOIN stages_ USING (participant_group))"""
+_CDR_U = O.U("'42|' || subject_id || '|cdr0'")
+FITTED_STAGE = (f"coalesce(options_[list_position(list_transform(range(1, len(probs_) + 1), lambda i: {_CDR_U} < list_sum(probs_[1:i])), true)], "
+                "options_[len(options_)])")
+GEN_FITTED = [O.PANEL_CTE, O.SUBJ_CTE, N_CTE, SUBJECTS_CTE, _baseline_cte(FITTED_CTE, FITTED_STAGE)]
+
+
+@query("fitted_priors", sql(O.PANEL_CTE, O.SUBJ_CTE, FITTED_CTE, body=f"SELECT participant_group, {', '.join(aug.PRIOR_FIELDS)} FROM pri_"))
+def q_fitted_priors(spark, sf):
+    """The priors that the panel's own statistics give the generator."""
+    return aug.fitted_priors(panel(spark, sf)).drop("cdr_v1_options", "cdr_v1_probs")
+
+
+@query("generate_panel_fitted", sql(*GEN_FITTED, DRAWS_CTE, body="SELECT * FROM gpanel"))
+def q_generate_panel_fitted(spark, sf):
+    """G7 from priors fitted on the panel."""
+    p = panel(spark, sf)
+    return aug.generate_panel(spark, n_subjects(spark, sf), priors=stored(aug.fitted_priors(p), "priors"))

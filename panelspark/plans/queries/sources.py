@@ -5,13 +5,15 @@ through the library's reader, and returns what it read."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from panelspark.plans import jobs
-from panelspark.plans.queries.common import PANEL_ONLY, PRED, REGISTRY, SPLIT, new_folder, panel, predictions, query, split_features, sql
+from panelspark.plans.queries.common import PANEL_ONLY, PRED, REGISTRY, SPLIT, SUBJ, new_folder, panel, predictions, query, split_features, sql
 from panelspark.plans.queries.evaluation import comparison
+from panelspark.operators import cohort as coh
 from panelspark.operators import evaluate as ev
 from panelspark.session import stored
 from panelspark.sources import io
@@ -31,6 +33,46 @@ def q_read_panel_csv(spark, sf):
     return io.read_panel(spark, path)
 
 
+# one cell in 17 of three columns is spoilt, by the visit's key
+SPOILT = {"age": ("old", 0), "mmse": ("2x", 5), "visit": ("first", 11)}
+
+
+def _spoilt(c: str) -> str:
+    return f"(cast(visit_id as bigint) % 17 = {SPOILT[c][1]})"
+
+
+def _spoilt_csv(spark, sf) -> str:
+    path = new_folder(spark, "spoilt-csv")
+    p = panel(spark, sf)
+    text = p.select(*[F.coalesce(F.when(F.expr(_spoilt(c)), SPOILT[c][0]) if c in SPOILT else F.lit(None), F.col(c).cast("string"), F.lit("NA"))
+                      .alias({v: k for k, v in CSV_HEADER_TO_PANEL.items()}[c]) for c in p.columns])
+    text.write.option("header", True).csv(path)
+    return path
+
+
+@query("read_panel_lenient", sql(*PANEL_ONLY, body=f"""
+SELECT * REPLACE (CASE WHEN {_spoilt('age')} THEN NULL ELSE age END AS age, CASE WHEN {_spoilt('mmse')} THEN NULL ELSE mmse END AS mmse)
+FROM panel WHERE NOT {_spoilt('visit')}"""))
+def q_read_panel_lenient(spark, sf):
+    """S1, lenient: unreadable cells are NULL, rows without a visit number are left out."""
+    return io.read_panel_with_rejects(spark, _spoilt_csv(spark, sf)).panel
+
+
+@query("read_panel_rejects", sql(*PANEL_ONLY, body=" UNION ALL ".join(
+    f"SELECT subject_id, visit_id, '{c}' AS column_name, '{text}' AS text FROM panel WHERE {_spoilt(c)}" for c, (text, _) in SPOILT.items())))
+def q_read_panel_rejects(spark, sf):
+    """S1, lenient: the rejected cells."""
+    return io.read_panel_with_rejects(spark, _spoilt_csv(spark, sf)).rejects.select("subject_id", "visit_id", "column_name", "text")
+
+
+@query("panel_store_round_trip", sql(*SUBJ, body="SELECT * FROM lpanel"))
+def q_panel_store(spark, sf):
+    """A panel store bucketed by subject, read back with its subject groups (J1) without an exchange."""
+    name = f"panel_store_{uuid.uuid4().hex}"
+    io.write_panel_store(panel(spark, sf), name, 8, new_folder(spark, "panel-store"))
+    return coh.panel_with_subject_group(io.read_panel_store(spark, name), co_located=True)
+
+
 @query("feature_splits_round_trip", sql(*SPLIT, body="SELECT * FROM split1"))
 def q_feature_splits(spark, sf):
     """Feature rows partitioned by split, read back split by split."""
