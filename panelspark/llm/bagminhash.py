@@ -18,7 +18,7 @@ In each bucket everybody is verified against one leader first, the member whose
 fullest: in a group of copies that is the text the others come from.  So a group costs one
 comparison a member and bucket.
 
-Closing step.  Members of buckets that still hold several classes meet in a prefix index.  A multiset is
+Closing step.  All members of buckets meet in a prefix index.  A multiset is
 taken as the set of its named occurrences, in one global order, the rarest first (counts of hashed
 names over all members).  Two multisets of n >= m occurrences that reach the threshold t share one
 among the first n - ceil(t n) + 1 of the longer and the first m - ceil(2 t m / (1 + t)) + 1 of the
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.llm import arrays as A
 from panelspark.llm.components import components
@@ -229,6 +229,32 @@ def _prefixes(counts, threshold: float):
 _NODE = "struct<did: bigint, uid: bigint>"
 
 
+def _contracted(batches):
+    """The edges of a task as stars around the least node of each component they make among themselves."""
+    edges = [b for b in batches if b.num_rows]
+    if not edges:
+        return
+    ends = np.concatenate([np.stack([c.field(k).to_numpy() for k in (0, 1)], 1) for i in (0, 1) for c in (b.column(i) for b in edges)])
+    nodes, at = np.unique(ends, axis=0, return_inverse=True)            # in the nodes' order
+    u, v = at.ravel()[:len(ends) // 2], at.ravel()[len(ends) // 2:]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new[label]
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    struct = lambda x: pa.StructArray.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["did", "uid"])
+    for a in range(0, len(far), 65536):
+        part = far[a:a + 65536]
+        yield pa.RecordBatch.from_arrays([struct(nodes[part]), struct(nodes[label[part]])], ["u", "v"])
+
+
 def node_of() -> Column:
     """A row's key: its id and its content, so that ids given twice do not merge different texts."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).cast("long"))
@@ -244,14 +270,15 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float, name: str,
     return stored(rows.mapInArrow(_similar(threshold), ", ".join(f"{c} {_NODE}" for c in cols)), name)
 
 
-def _closing(open_: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, u_root, v_root): candidates among members (node, n, root) of different classes."""
-    spark = open_.sparkSession
+def _closing(vectors: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, u_root, v_root): candidates among the vectors of different classes (a node without a class is its own)."""
+    spark = vectors.sparkSession
     got = vectors.select("vec").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()    # SLOTS rows at most
     counts = np.zeros(SLOTS, np.int64)
     counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
     shared = spark.sparkContext.broadcast(counts)                       # 8 MB
-    rows = stored(open_.join(vectors, "node").select("node", "n", "root", "vec").mapInArrow(
+    placed = vectors.join(classes, "node", "left").select("node", (F.octet_length("vec") / 8).cast("long").alias("n"), F.coalesce("root", "node").alias("root"), "vec")
+    rows = stored(placed.mapInArrow(
         _prefixes(shared, threshold), f"name long, i int, short boolean, node {_NODE}, n long, root {_NODE}"), "prefixes")
     by_class = rows.groupBy("name", "root").agg(F.count("*").alias("c"))
     mixed = stored(by_class.groupBy("name").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("largest"))
@@ -283,37 +310,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, registers: in
     signed = stored(rows.select("node.did", "node.uid", "text").mapInArrow(
         _sign(registers), "did long, uid long, n long, p long, q long, bands array<long>"), "signatures")
     node = F.struct("did", "uid").alias("node")
-    same = stored(signed.where("n > 0").groupBy("n", "p", "q").agg(F.min(F.struct("did", "uid")).alias("node")), "multisets")
-    reps = stored(signed.where("n > 0").select(node, "n", "bands")
-                  .join(same.select("node"), "node", "left_semi").dropDuplicates(["node"]), "representatives")
+    least = F.min_by(F.struct(node, "bands"), F.struct("did", "uid"))
+    reps = stored(signed.where("n > 0").groupBy("n", "p", "q").agg(least.alias("r")).select("n", "p", "q", "r.node", "r.bands"), "multisets")
 
-    spread = reps.select("node", "n", F.explode("bands").alias("bucket"))
+    spread = reps.select("node", F.explode("bands").alias("bucket"))
     full = stored(spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
-    members = stored(spread.join(full, "bucket"), "members")
-    score = members.groupBy("node").agg(F.sum("c").alias("score"))
-    led = (members.select("bucket", "node").join(score, "node")
-           .groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("u")))
+    whole = Window.partitionBy("node")                                  # a node has one row for each band
+    members = stored(spread.join(full, "bucket").withColumn("score", F.sum("c").over(whole)).select("bucket", "node", "score"), "members")
+    led = members.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("u"))
     star = stored(members.select("bucket", "node").join(stored(led, "leaders"), "bucket").where("u <> node")
                   .select("u", F.col("node").alias("v")).distinct(), "star")
     needed = members.select("node").distinct()
-    vectors = stored(rows.join(needed, "node").select("node", "text").mapInArrow(_vectors, f"node {_NODE}, vec binary")
-                     .dropDuplicates(["node"]), "vectors")
+    texts = rows.dropDuplicates(["node"]).join(needed, "node")          # repeated rows meet before they are sent
+    vectors = stored(texts.select("node", "text").mapInArrow(_vectors, f"node {_NODE}, vec binary"), "vectors")
     links = _verified(star, vectors, threshold, "star-links")
 
-    # closing step: buckets that still hold several classes
-    classes = components(links, "u", "v")
-    placed = stored(members.select("bucket", "node", "n").join(classes, "node", "left")
-                    .select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
-    mixed = (placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket"))
-    open_ = placed.join(stored(mixed, "mixed"), "bucket").select("node", "n", "root").dropDuplicates(["node"])
-    more = _verified(_closing(open_, vectors, threshold), vectors, threshold, "closing-links", "u_root v_root")
+    # closing step: links between classes
+    classes = components(links, "u", "v", _contracted)
+    more = _verified(_closing(vectors, classes, threshold), vectors, threshold, "closing-links", "u_root v_root")
     if not more.isEmpty():                                              # new links join classes
-        merged = components(more, "u_root", "v_root").select(F.col("node").alias("old"), F.col("root").alias("top"))
+        merged = components(more, "u_root", "v_root", _contracted).select(F.col("node").alias("old"), F.col("root").alias("top"))
         every = classes.union(more.select(F.explode(F.array("u_root", "v_root")).alias("node")).select("node", F.col("node").alias("root")))
         classes = stored(every.join(merged, F.col("root") == F.col("old"), "left")
                          .groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root")), "classes")
 
-    out = (signed.select(node, "n", "p", "q").join(same.withColumnRenamed("node", "rep"), ["n", "p", "q"], "left")
+    out = (signed.select(node, "n", "p", "q").join(reps.select("n", "p", "q", F.col("node").alias("rep")), ["n", "p", "q"], "left")
            .join(classes.withColumnRenamed("node", "rep"), "rep", "left"))
     root = F.coalesce("root", "rep", "node")
     real = lambda c: F.when(c != _NO_ID, c)
