@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.operators.ranking import positions, quantiles_of_counts, value_counts
-from panelspark.operators.small import bounded
+from panelspark.operators.small import bounded, local_or_stored
 from panelspark.session import stored
 from panelspark.spec import (
     CATEGORICAL_FEATURES, FEATURE_COLUMNS, GROUP, LABEL, NUMERIC_FEATURES, PANEL, PanelSpec,
@@ -35,9 +35,9 @@ def _visit_struct(spec: PanelSpec, k: int, fields: list[str]) -> Column:
 
 
 def subject_rollup(panel: DataFrame, spec: PanelSpec = PANEL, first: int = 1, second: int = 2,
-                   horizon: int | None = None, extra_static: tuple[str, ...] = ()) -> DataFrame:
+                   horizon: int | None = None, extra_static: tuple[str, ...] = (), keep_group: bool = False) -> DataFrame:
     """One row per subject with the visit-1 / visit-2 payloads, the follow-up maximum and a
-    ``status`` (``included``, ``no_v1_or_v2``, ``no_followup``).
+    ``status`` (``included``, ``no_v1_or_v2``, ``no_followup``).  ``keep_group``: the payloads also hold the visit's own group.
 
     A single ``groupBy(subject)``: one shuffle, partial aggregation map-side.
     """
@@ -45,6 +45,8 @@ def subject_rollup(panel: DataFrame, spec: PanelSpec = PANEL, first: int = 1, se
     after = v > second if horizon is None else (v > second) & (v <= horizon)
     f1 = ["age", "mmse", "cdr", "nwbv", "etiv", "asf", "educ", "ses", "sex", "hand", *extra_static]
     f2 = ["age", "mmse", "cdr", "nwbv", "etiv", "asf", "delay"]
+    if keep_group:
+        f1, f2 = [*f1, "group"], [*f2, "group"]
     agg = panel.groupBy(spec.subject).agg(
         subject_group_expr(spec).alias(GROUP),
         _visit_struct(spec, first, f1).alias("_v1"),
@@ -59,15 +61,29 @@ def subject_rollup(panel: DataFrame, spec: PanelSpec = PANEL, first: int = 1, se
 
 
 def participant_features(panel: DataFrame, spec: PanelSpec = PANEL, first: int = 1, second: int = 2,
-                         horizon: int | None = None, extra_static: tuple[str, ...] = ()) -> DataFrame:
+                         horizon: int | None = None, extra_static: tuple[str, ...] = (), imputer: "GroupMedianImputer | None" = None) -> DataFrame:
     """F1+F2+F3+A3: the wide participant row with deltas and the look-ahead label.
 
     Subjects need visit numbers ``first`` and ``second`` (by number, not rank) and at least one
     visit after ``second``.  Label = 1 if the maximum severity after ``second`` exceeds the
     severity at ``second``; NULL comparisons give 0.
+
+    With a fitted ``imputer`` the rows equal those over the imputed panel (F5), but only the two visits that a feature row
+    holds are imputed, on the subject's row: the visit rows do not meet the medians.  The label reads the severity, so that
+    must not be one of the imputed columns.
     """
-    r = subject_rollup(panel, spec, first, second, horizon, extra_static).where(F.col("status") == "included")
-    a, b = F.col("_v1"), F.col("_v2")
+    filled = imputer.columns if imputer else ()
+    if "cdr" in filled:
+        raise ValueError("the severity that the label compares cannot be imputed on the feature row")
+    r = subject_rollup(panel, spec, first, second, horizon, extra_static, keep_group=bool(filled)).where(F.col("status") == "included")
+    a, b = ({f: F.col(f"_v{v}")[f] for f in ("age", "mmse", "cdr", "nwbv", "etiv", "asf", *more)}
+            for v, more in ((1, ("educ", "ses", "sex", "hand", *extra_static)), (2, ("delay",))))
+    for v, fields in ((1, a), (2, b)):
+        here = [c for c in filled if c in fields]
+        if here:
+            medians = imputer.table.select(F.col(imputer.spec.group).alias(f"_g{v}"), *[F.col(f"median_{c}").alias(f"_m{v}_{c}") for c in here])
+            r = r.join(medians, F.col(f"_v{v}")["group"] == F.col(f"_g{v}"), "left")
+            fields.update({c: F.coalesce(fields[c], F.col(f"_m{v}_{c}")) for c in here})
     cols = [F.col(spec.subject).alias("subject_id"), F.col(GROUP)]
     for src, stem in VISIT_FIELDS:
         cols.append(a[src].alias(f"{stem}_v1"))
@@ -182,7 +198,7 @@ class GroupMedianImputer:
         self.table = None
 
     def fit(self, panel: DataFrame) -> "GroupMedianImputer":
-        self.table = bounded(stored(group_medians(panel, self.columns, self.spec, self.approx), "medians"))
+        self.table = local_or_stored(group_medians(panel, self.columns, self.spec, self.approx), "medians")
         return self
 
     def transform(self, panel: DataFrame) -> DataFrame:

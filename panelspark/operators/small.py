@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelspark.session import stored
+
 
 def bounded(df: DataFrame, max_rows: int = 100000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
@@ -16,6 +18,13 @@ def bounded(df: DataFrame, max_rows: int = 100000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def local_or_stored(df: DataFrame, name: str, max_rows: int = 100000) -> DataFrame:
+    """``df``, evaluated once: as a broadcast local table if it has at most ``max_rows`` rows (which are all that
+    reaches the driver), else stored."""
+    kept = df.limit(max_rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(kept, df.schema)) if len(kept) <= max_rows else stored(df, name)
+
+
 def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``per_key``, an aggregate with one row per ``key``, so that a hot key can be split.
 

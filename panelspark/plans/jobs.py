@@ -41,15 +41,14 @@ def job_augment(real: DataFrame, n: int | None = None, seed: int = 42, out: str
 
 def job_preprocess(panel: DataFrame, out: str | None = None, leakage_free: bool = False) -> DataFrame:
     """Impute -> features + labels -> exact split (-> partitioned write)."""
+    extra = ("synthetic",) if "synthetic" in panel.columns else ()
+    imputer = feat.GroupMedianImputer()
     if leakage_free:
-        f0 = feat.participant_features(panel, extra_static=("synthetic",) if "synthetic" in panel.columns else ())
-        s0 = spl.train_test_split(f0).select("subject_id", "split")
-        train_rows = panel.join(s0.where("split = 'train'"), "subject_id", "left_semi")
-        imputed = feat.GroupMedianImputer().fit(train_rows).transform(panel)
+        s0 = spl.train_test_split(feat.participant_features(panel, extra_static=extra)).select("subject_id", "split")
+        imputer.fit(panel.join(s0.where("split = 'train'"), "subject_id", "left_semi"))
     else:
-        imputed = feat.impute_group_median(panel)
-    extra = ("synthetic",) if "synthetic" in panel.columns else ()
-    split = stored(spl.train_test_split(feat.participant_features(imputed, extra_static=extra)))
+        imputer.fit(panel)
+    split = stored(spl.train_test_split(feat.participant_features(panel, extra_static=extra, imputer=imputer)))
     if out:
         io.write_feature_splits(split, out)
     return split

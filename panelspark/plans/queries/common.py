@@ -38,7 +38,8 @@ def ipanel(spark, sf):
 
 
 def features(spark, sf, **kw):
-    return feat.participant_features(ipanel(spark, sf), **kw)
+    p = panel(spark, sf)
+    return feat.participant_features(p, imputer=feat.GroupMedianImputer(("mmse", "ses")).fit(p), **kw)
 
 
 def raw_features(spark, sf, **kw):

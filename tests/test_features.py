@@ -88,3 +88,16 @@ def test_class_weight_without_positives_raises(spark):
     with pytest.raises(ValueError):
         feat.class_weight_value(df)
     assert feat.class_weight(df).first()["class_weight"] is None
+
+
+def test_imputing_the_feature_row_equals_imputing_the_panel(spark):
+    from panelspark.operators import features as feat
+    rows = [(s, v, 0.5 * (v % 3), g, m) for s, g, ms in [("A", "Demented", [None, 20.0, 21.0]), ("B", "Demented", [24.0, None, None]),
+            ("C", "Nondemented", [None, None, 29.0]), ("D", None, [None, 22.0, 23.0]), ("E", "Converted", [None, None, None])] for v, m in enumerate(ms, 1)]
+    rows += [("F", 1, 0.0, "Demented", None), ("F", 2, 0.5, "Converted", None), ("F", 3, 1.0, "Demented", 10.0)]
+    p = make_panel(spark, rows).withColumn("ses", F.when(F.col("subject_id").isin("A", "C"), F.lit(None).cast("double")).otherwise(F.col("ses")))
+    for columns in (("mmse", "ses"), ("mmse",), ("nwbv", "ses")):
+        imputer = feat.GroupMedianImputer(columns).fit(p)
+        want = feat.participant_features(imputer.transform(p))
+        got = feat.participant_features(p, imputer=imputer)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
