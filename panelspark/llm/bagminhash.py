@@ -22,7 +22,8 @@ Closing step.  All members of buckets meet in a prefix index.  A multiset is
 taken as the set of its named occurrences, in one global order, the rarest first (counts of hashed
 names over all members).  Two multisets of n >= m occurrences that reach the threshold t share one
 among the first n - ceil(t n) + 1 of the longer and the first m - ceil(2 t m / (1 + t)) + 1 of the
-shorter one; a pair whose places there leave too few occurrences behind is no candidate (positional bound).
+shorter one; a pair whose places there leave too few occurrences behind is no candidate (positional bound), nor is one
+whose parities in 256 hash classes differ in more classes than the threshold lets occurrences differ (bitmap bound).
 Only names that two classes have are joined, and only members of different classes: the class that
 holds a name most often is met by the others, never by itself.  So no link between classes is lost, pairs inside a class
 are not spelled out, and copies that differ in occurrences of their own meet nobody.  Every
@@ -200,13 +201,15 @@ def prefix_sizes(n: int, threshold: float) -> tuple[int, int]:
 
 
 def _prefixes(counts, threshold: float):
-    """Rows (name, i, short, node, n, root): the prefix of each vector; ``short``: it also meets longer ones there."""
+    """Rows (name, i, short, b0 to b3, node, n, root): the prefix of each vector; ``short``: it also meets longer ones there;
+    b0 to b3: the parities of the counts of its names in 256 hash classes."""
     def run(batches):
         count = counts.value
         for batch in batches:
-            name, place, short, size = [], [], [], []
+            name, place, short, size, bits = [], [], [], [], []
             for vec in batch.column(3):
                 v = np.frombuffer(vec.as_buffer(), np.uint64)
+                bits.append(np.packbits((np.bincount((v & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64))
                 probe, index = prefix_sizes(len(v), threshold)
                 c = count[_slot(v)]
                 if probe < len(v):                                # only what may be among the first
@@ -219,10 +222,12 @@ def _prefixes(counts, threshold: float):
                 size.append(len(order))
             if not size:
                 continue
-            row = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            row = np.repeat(np.arange(batch.num_rows), size)
+            parity = np.array(bits)[row]
             yield pa.RecordBatch.from_arrays(
                 [A.as_long(np.concatenate(name)), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(short)),
-                 *(batch.column(k).take(row) for k in range(3))], ["name", "i", "short", "node", "n", "root"])
+                 *(pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)),
+                 *(batch.column(k).take(pa.array(row)) for k in range(3))], ["name", "i", "short", "b0", "b1", "b2", "b3", "node", "n", "root"])
     return run
 
 
@@ -279,18 +284,20 @@ def _closing(vectors: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     shared = spark.sparkContext.broadcast(counts)                       # 8 MB
     placed = vectors.join(classes, "node", "left").select("node", (F.octet_length("vec") / 8).cast("long").alias("n"), F.coalesce("root", "node").alias("root"), "vec")
     rows = stored(placed.mapInArrow(
-        _prefixes(shared, threshold), f"name long, i int, short boolean, node {_NODE}, n long, root {_NODE}"), "prefixes")
+        _prefixes(shared, threshold), f"name long, i int, short boolean, b0 long, b1 long, b2 long, b3 long, node {_NODE}, n long, root {_NODE}"), "prefixes")
     by_class = rows.groupBy("name", "root").agg(F.count("*").alias("c"))
     mixed = stored(by_class.groupBy("name").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("largest"))
                    .where("k > 1").select("name", "largest"), "mixed-names")
     rows = stored(rows.join(mixed, "name").withColumn("main", F.col("root") == F.col("largest")).drop("largest"), "shared-prefixes")
     # side 0: a longer vector of any class meets shorter ones outside the largest; side 1: outside the largest, it meets the largest
+    carried = ("node", "n", "root", "i", "b0", "b1", "b2", "b3")
     sides = F.when(F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    x = rows.select("name", F.explode(sides).alias("side"), *[F.col(c).alias(f"u_{c}") for c in ("node", "n", "root", "i")])
+    x = rows.select("name", F.explode(sides).alias("side"), *[F.col(c).alias(f"u_{c}") for c in carried])
     y = (rows.where("short").withColumn("side", F.col("main").cast("int"))
-         .select("name", "side", *[F.col(c).alias(f"v_{c}") for c in ("node", "n", "root", "i")]))
+         .select("name", "side", *[F.col(c).alias(f"v_{c}") for c in carried]))
     longer = (F.col("u_n") > F.col("v_n")) | ((F.col("u_n") == F.col("v_n")) & (F.col("u_node") > F.col("v_node")))
-    most = F.least(F.col("u_n") - F.col("u_i"), F.col("v_n") - F.col("v_i"))
+    odd = sum((F.bit_count(F.col(f"u_b{k}").bitwiseXOR(F.col(f"v_b{k}"))) for k in range(4)), F.lit(0))
+    most = F.least(F.col("u_n") - F.col("u_i"), F.col("v_n") - F.col("v_i"), F.floor((F.col("u_n") + F.col("v_n") - odd) / 2))
     able = most + 1e-9 >= threshold * (F.col("u_n") + F.col("v_n") - most)
     pairs = x.join(y, ["name", "side"]).where(longer & (F.col("u_root") != F.col("v_root")) & able)
     return stored(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), "u_root", "v_root").distinct(), "closing")

@@ -99,3 +99,69 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     same_classes(spark, rows)
     assert sorted(r.doc_id for r in M.keep_one(docs).collect()) == sorted(set(classes(rows)))
+
+
+def test_prefix_sizes_lose_no_pair():
+    """Every pair at the threshold shares a name of the longer one's and of the shorter one's prefix, at able places."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        n = rng.randrange(1, 60)
+        m = rng.randrange(1, n + 1)
+        both = rng.randrange(0, m + 1)
+        if both + 1e-9 < 0.8 * (n + m - both):
+            continue
+        order = list(range(n + m - both))
+        rng.shuffle(order)
+        x = sorted(order[:n])
+        y = sorted(order[:both] + order[n:])
+        first = min(set(x) & set(y))
+        i, j = x.index(first), y.index(first)
+        most = min(n - i, m - j)
+        assert i < M.prefix_sizes(n, 0.8)[0] and j < M.prefix_sizes(m, 0.8)[1] and most + 1e-9 >= 0.8 * (n + m - most)
+
+
+def test_closing_candidates_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    """One group of copies with three edits each, of which hardly any two are near: candidates a document."""
+    made = {}
+    verified = M._verified
+
+    def watched(pairs, vectors, threshold, name, out="u v"):
+        made[name] = pairs.count()
+        return verified(pairs, vectors, threshold, name, out)
+
+    monkeypatch.setattr(M, "_verified", watched)
+    rng = random.Random(6)
+    base = sentence(rng, 120).split()
+    found = []
+    for n in (300, 1200):
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for _ in range(3):
+                w[rng.randrange(120)] = f"e{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+        M.near_duplicates(frame(spark, texts)).collect()
+        found.append(made["closing-links"] / n)
+    assert found[1] <= 2 * max(found[0], 1)
+
+
+def test_contracted_edges_keep_components():
+    import pyarrow as pa
+    rng = np.random.default_rng(7)
+    ends = rng.integers(0, 60, (80, 2))
+    struct = lambda x: pa.StructArray.from_arrays([pa.array(x // 8), pa.array(x % 8 - 4)], ["did", "uid"])
+    batches = [pa.RecordBatch.from_arrays([struct(p.max(1)), struct(p.min(1))], ["u", "v"]) for p in np.array_split(ends, 3)]
+
+    def roots(pairs):
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        return {x: find(x) for x in root}
+
+    key = lambda b: [tuple(z.values()) for z in b.to_pylist()]
+    before = roots(p for b in batches for p in zip(key(b.column(0)), key(b.column(1))))
+    after = [p for b in M._contracted(iter(batches)) for p in zip(key(b.column(0)), key(b.column(1)))]
+    assert roots(after) == {x: r for x, r in before.items() if list(before.values()).count(r) > 1} and all(u > v for u, v in after)
+    assert list(M._contracted(iter([]))) == []
