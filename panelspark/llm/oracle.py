@@ -37,16 +37,27 @@ def _parts(url: str) -> str:
             f"regexp_extract(coalesce({url}, ''), '^.*?://[^/?#]*([^#]*)', 1, 's') AS rest")
 
 
+#: a path from the root on, its ``.`` and ``..`` segments resolved one after the other
+_WITHOUT_DOTS = ("'/' || array_to_string(list_concat(list_reduce(list_transform(string_split(way, '/')[2:], lambda x: [x]), lambda acc, x: "
+                 "CASE WHEN x[1] = '..' THEN acc[1:len(acc) - 1] WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[])), "
+                 "CASE WHEN regexp_matches(way, '/\\.\\.?$') THEN [''] ELSE [] END), '/')")
+
 OP5 = f"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, {_parts('url')} FROM pages),
-tags AS (SELECT url, host, host || rest AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM p
+tags AS (SELECT url, host, path, host || rest AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM p
          WHERE contains(lower(html), 'canonical') OR contains(lower(html), 'refresh')),
-targets AS (SELECT url, host, a, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM tags
+targets AS (SELECT url, host, path, a, regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS t FROM tags
             WHERE regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')
-            UNION ALL SELECT url, host, a, regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags
+            UNION ALL SELECT url, host, path, a, regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags
             WHERE regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
-full_ AS (SELECT a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?)://', 1, 's') || ':' || t
-                    WHEN starts_with(t, '/') THEN regexp_extract(url, '^(.*?)://', 1, 's') || '://' || host || t END AS t FROM targets),
+seen_ AS (SELECT a, url, host, path, t, regexp_extract(url, '^(.*?)://', 1, 's') AS scheme, regexp_extract(t, '^([^?#]*)', 1, 's') AS own,
+                 regexp_extract(t, '^[^?#]*(\\?[^#]*)', 1, 's') AS query, regexp_replace(path, '[^/]*$', '') AS base FROM targets),
+merged_ AS (SELECT *, CASE WHEN starts_with(own, '/') THEN own ELSE CASE WHEN base = '' THEN '/' ELSE base END || own END AS way FROM seen_),
+full_ AS (SELECT a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+                         WHEN t = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                         WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '#') THEN url
+                         WHEN own = '' THEN scheme || '://' || host || path || query
+                         ELSE scheme || '://' || host || {_WITHOUT_DOTS} || query END AS t FROM merged_),
 e AS (SELECT a, host || rest AS b FROM (SELECT a, {_parts('t')} FROM full_) WHERE a <> '' AND host || rest <> ''),
 und AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 reach AS (SELECT DISTINCT a AS node, a AS seen FROM und UNION SELECT r.node, u.b FROM reach r JOIN und u ON r.seen = u.a),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.llm.components import components
 from panelspark.llm.scratch import stored
+from panelspark.operators.small import join_per_key
 
 #: (verdict, host, path) in the order given; the text form is host + path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -111,7 +112,7 @@ def judge(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> Data
     classes = members.withColumn("v", of_node)
     marked = classes.groupBy("root").agg(F.coalesce(F.max(F.col("v") == "block"), F.lit(False)).alias("blocked"),
                                          F.coalesce(F.max(F.col("v") == "allow"), F.lit(False)).alias("allowed"))
-    aliases = stored(members.join(marked, "root"), "aliases")
+    aliases = stored(join_per_key(members, marked, "root"), "aliases")                 # a large class can be split
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("own"),
                           F.when(host != "", node_of(url)).alias("node"))
     out = judged.join(aliases, "node", "left")
