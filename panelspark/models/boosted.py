@@ -7,6 +7,8 @@ n_negative / n_positive through ``weightCol``.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -61,6 +63,30 @@ def fit_boosted(train: DataFrame, **kw) -> PipelineModel:
     return boosted_pipeline(**kw).fit(weighted)
 
 
+def content_key(df: DataFrame, **parameters) -> str:
+    """A name for a training frame and parameters: equal rows, in any order, and equal parameters give equal names."""
+    cols = sorted(df.columns)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in cols])
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.bit_xor(F.xxhash64(row, F.lit(1))).alias("y"),
+               F.sum(F.pmod(row, F.lit(1 << 31))).alias("s")).first()
+    told = repr((cols, tuple(r), sorted(parameters.items())))
+    return hashlib.sha256(told.encode()).hexdigest()[:32]
+
+
+def fit_boosted_once(train: DataFrame, folder: str, **kw) -> PipelineModel:
+    """M1 with a model store: the model of this very frame and these parameters is loaded from ``folder`` if it was
+    fitted before, else fitted and written there.  A folder that was not written to its end is fitted anew."""
+    path = f"{folder.rstrip('/')}/boosted-{content_key(train, **kw)}"
+    try:
+        return PipelineModel.load(path)
+    except Exception as e:                            # MLlib reports an absent or unfinished folder in several ways
+        if not any(word in str(e) for word in ("not exist", "PATH_NOT_FOUND", "empty collection", "InvalidInput")):
+            raise
+    model = fit_boosted(train, **kw)
+    model.write().overwrite().save(path)
+    return model
+
+
 def score_boosted(model: PipelineModel, df: DataFrame, model_name: str = "boosted") -> DataFrame:
     """M2: long predictions (model, subject_id, participant_group, y, yhat, score)."""
     out = model.transform(df.withColumn("_w", F.lit(1.0)))

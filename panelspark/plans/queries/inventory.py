@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.plans import oracle as O
 from panelspark.plans.queries.common import (
-    FORCED, IPANEL, PANEL_ONLY, SPLIT, features, ipanel, panel, query, split_features, sql,
+    FORCED, IPANEL, PANEL_ONLY, SPLIT, TRAIN, features, ipanel, panel, query, split_features, sql, train_test,
 )
 from panelspark.models import boosted as bst
 from panelspark.operators import augment as aug
@@ -15,6 +15,7 @@ from panelspark.operators import features as feat
 from panelspark.operators import split as spl
 from panelspark.plans.queries.generator import BASELINE_CTE, DRAWS_CTE, GEN, n_subjects
 from panelspark.plans.queries.models import boosted_model, joint_model
+from panelspark.spec import LABEL
 
 
 # ── inventory rows reachable on their own (J3, A10, W2, U2, F1-F3, G4-G6, M1, M6) ──
@@ -97,18 +98,21 @@ def q_generate_visit_group(spark, sf):
     return _gen(spark, sf).select("subject_id", "visit_id", "visit", "grp")
 
 
-@query("boosted_trees_fit", """
-SELECT cast(range AS integer) AS tree, true AS weight_ok, true AS depth_ok, true AS nodes_ok FROM range(200)""")
+@query("boosted_trees_fit", sql(*TRAIN, body="""
+SELECT cast(range AS integer) AS tree, true AS weight_ok, true AS depth_ok, true AS nodes_ok, n_train, n_positive
+FROM range(200), (SELECT count(*) AS n_train, count(*) FILTER (WHERE cdr_worsened_after_v2 = 1) AS n_positive FROM train_)"""))
 def q_boosted_trees_fit(spark, sf):
     """M1, as facts per tree: boosting weight (1 for the first, the learning rate after), depth at
-    most the limit, and a node count a binary tree of that depth can have."""
+    most the limit, and a node count a binary tree of that depth can have; with the rows that the model has seen."""
     model, _ = boosted_model(spark, sf)
+    seen = train_test(spark, sf)[0].agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(LABEL) == 1).alias("p")).first()
     gbt = model.stages[-1]
     rows = [(i, float(w), int(t.numNodes), int(t.depth)) for i, (w, t) in enumerate(zip(gbt.treeWeights, gbt.trees))]
     trees = spark.createDataFrame(rows, "tree int, weight double, num_nodes int, depth int")
     want = F.when(F.col("tree") == 0, 1.0).otherwise(bst.LEARNING_RATE)
     return trees.select("tree", (F.abs(F.col("weight") - want) < 1e-9).alias("weight_ok"), (F.col("depth") <= bst.MAX_DEPTH).alias("depth_ok"),
-                        ((F.col("num_nodes") % 2 == 1) & (F.col("num_nodes") < F.pow(F.lit(2.0), F.col("depth") + 1))).alias("nodes_ok"))
+                        ((F.col("num_nodes") % 2 == 1) & (F.col("num_nodes") < F.pow(F.lit(2.0), F.col("depth") + 1))).alias("nodes_ok"),
+                        F.lit(seen["n"]).alias("n_train"), F.lit(seen["p"]).alias("n_positive"))
 
 
 @query("joint_embedding_fit")

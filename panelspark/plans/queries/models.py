@@ -15,7 +15,8 @@ from panelspark.models import jointembed as je
 from panelspark.operators import evaluate as ev
 from panelspark.operators import features as feat
 from panelspark.operators import split as spl
-from panelspark.session import stored
+from panelspark.session import checkpoint_dir, stored
+from panelspark.spec import LABEL
 
 
 # ── model side (A13, A14, F6-F9, P5, P6, M1-M6) ──────────────────────────────
@@ -120,9 +121,25 @@ def q_feature_build_report(spark, sf):
 
 
 def boosted_model(spark, sf, **kw):
-    """Fit on the training rows; (model, test rows).  Every query trains its own model."""
+    """(model, test rows).  The model of the training rows is kept in the shared folder under a key of their content, so the
+    queries of one application that ask for the same model fit it once."""
     tr, te = train_test(spark, sf)
-    return bst.fit_boosted(tr, **kw), te
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{spark.sparkContext.applicationId}/models"
+    return bst.fit_boosted_once(stored(tr, "boosted-rows"), folder, **kw), te
+
+
+@query("boosted_trees_score_rows")
+def q_boosted_trees_score_rows(spark, sf):
+    """M2: the score and the label of every test subject."""
+    model, te = boosted_model(spark, sf)
+    return bst.score_boosted(model, te)
+
+
+@query("feature_importance_rows")
+def q_feature_importance_rows(spark, sf):
+    """The ten most important features."""
+    model, _ = boosted_model(spark, sf)
+    return bst.feature_importance_topk(model, 10)
 
 
 @query("boosted_trees_score", sql(*TRAIN, body="""
@@ -139,13 +156,21 @@ def q_boosted_trees_score(spark, sf):
     return facts.withColumn("k", F.lit(1)).join(auc.withColumn("k", F.lit(1)), "k").drop("k")      # one row each
 
 
-@query("feature_importance_topk", """
-SELECT cast(10 AS bigint) AS n_features, true AS known, true AS descending, true AS shares""")
+@query("feature_importance_topk", sql(*TRAIN, body="""
+SELECT cast(10 AS bigint) AS n_features, true AS known, true AS descending, true AS shares, true AS none_of_constants,
+       count(*) AS n_train, count(*) FILTER (WHERE cdr_worsened_after_v2 = 1) AS n_positive FROM train_"""))
 def q_feature_importance_topk(spark, sf):
-    """W6, as facts: ten known features in descending order with shares between 0 and 1."""
+    """W6, as facts: ten known features in descending order with shares between 0 and 1, nothing for a feature that is the
+    same in all training rows, and how many rows the model has seen."""
     model, _ = boosted_model(spark, sf)
+    tr = train_test(spark, sf)[0]
     top = bst.feature_importance_topk(model, 10)
-    return top.agg(F.count(F.lit(1)).alias("n_features"), F.bool_and(F.col("feature").isin(bst.feature_names())).alias("known"),
+    seen = tr.agg(F.count(F.lit(1)).alias("n_train"), F.count_if(F.col(LABEL) == 1).alias("n_positive"),
+                  *[F.approx_count_distinct(c).alias(f"d_{c}") for c in feat.NUMERIC_FEATURES]).first()
+    constant = [c for c in feat.NUMERIC_FEATURES if seen[f"d_{c}"] <= 1]
+    top = top.withColumn("n_train", F.lit(seen["n_train"])).withColumn("n_positive", F.lit(seen["n_positive"]))
+    return top.groupBy("n_train", "n_positive").agg(F.coalesce(F.bool_and(~F.col("feature").isin(constant) | (F.col("importance") == 0)), F.lit(True)).alias("none_of_constants"),
+                   F.count(F.lit(1)).alias("n_features"), F.bool_and(F.col("feature").isin(bst.feature_names())).alias("known"),
                    (F.array_sort(F.collect_list(-F.col("importance"))) == F.collect_list(-F.col("importance"))).alias("descending"),
                    (F.bool_and(F.col("importance") >= 0) & (F.sum("importance") <= 1 + 1e-9)).alias("shares"))
 
