@@ -3,8 +3,6 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelspark.session import ship_package
-
 # The clinical prompt.  Placeholders are filled in this order:
 # age_v1, mmse_v1, cdr_v1, nwbv_v1 (.4f), education_years, sex, mr_delay_v2, age_v2, mmse_v2,
 # cdr_v2, nwbv_v2 (.4f), mmse_delta (+.1f), nwbv_delta (+.4f), cdr_delta (+.1f).
@@ -44,31 +42,38 @@ def _plain(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
 
 
-def py_format(c: Column, spec: str) -> Column:
-    """Python ``format(x, spec)`` of a double column, in Arrow batches.
-
-    Java's formatter rounds the shortest decimal form half-up (0.35 -> 0.4, 6.25 -> 6.3);
-    Python rounds the exact binary value half-even (0.3, 6.2).  The prompt must read as the
-    reference's, so fixed-precision numbers are formatted by Python itself.
-    """
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def fmt(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: "nan" if v is None or v != v else format(float(v), spec))
-
-    return fmt(c.cast("double"))
+def py_fixed(c: Column, digits: int, plus: bool = False) -> Column:
+    """Python ``format(x, ".<digits>f")`` (``plus``: ``"+.<digits>f"``) of a double column, on the JVM.
+
+    Java's formatter rounds the shortest decimal form half-up (0.35 -> 0.4, 6.25 -> 6.3); Python rounds the exact binary
+    value half-even (0.3, 6.2).  So the fraction, which is exact, is split into two parts whose products with 10**digits
+    are exact too, and their distance from the half-way point decides, a tie by the last digit's parity.  NULL and NaN
+    give ``nan``; from 2**53 on, where doubles are whole, the shortest digits are filled up with zeros."""
+    x, scale = c.cast("double"), float(10 ** digits)
+    a = F.abs(x)
+    whole = F.floor(a)
+    f = a - whole.cast("double")
+    high = f * 134217729.0
+    high = high - (high - f)                                   # the upper half of the fraction's bits
+    low = f - high
+    base = F.floor(high * scale)
+    past = (high * scale - base.cast("double") - 0.5) + low * scale
+    units = base + F.when(past > 0, 1).when(past < 0, 0).otherwise(F.pmod(base, F.lit(2)))
+    carried = units >= int(scale)
+    number = F.concat((whole + carried.cast("long")).cast("string"), F.lit("."),
+                      F.lpad(F.when(carried, units - int(scale)).otherwise(units).cast("string"), digits, "0"))
+    huge = F.concat(a.cast("decimal(38,0)").cast("string"), F.lit("." + "0" * digits))
+    number = F.when(a < 2.0 ** 53, number).when(a < 1e38, huge).otherwise("inf")
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("+" if plus else "")
+    return F.when(x.isNull() | F.isnan(x), "+nan" if plus else "nan").otherwise(F.concat(sign, number))
 
 
 def _fmt(c: str, spec: str) -> Column:
-    py_spec = spec.lstrip("%")
-    nan = "+nan" if py_spec.startswith("+") else "nan"
-    return F.when(F.col(c).isNull(), F.lit(nan)).otherwise(py_format(F.col(c), py_spec))
+    return py_fixed(F.col(c), int(spec[-2]), spec.startswith("%+"))
 
 
 def clinical_prompt(features: DataFrame, template: str = PROMPT_TEMPLATE, out: str = "prompt") -> DataFrame:
-    """L1: feature row -> fixed prompt text (format_string, JVM side)."""
-    ship_package(features.sparkSession)             # the formatting runs in the executors' Python workers
+    """L1: feature row -> fixed prompt text, on the JVM."""
     parts = [
         _plain("age_v1"), _plain("mmse_v1"), _plain("cdr_v1"), _fmt("nwbv_v1", "%.4f"),
         _plain("education_years"), F.coalesce(F.col("sex"), F.lit("nan")),

@@ -135,3 +135,22 @@ def test_visit_embedding_covers_both_visits_of_all_split_rows(spark, monkeypatch
     assert all(len(r.embedding) == 48 for r in got)
     by = {(r.subject_id, r.visit): r.embedding for r in got}
     assert any(by[s, 1] != by[s, 2] for s in subjects)
+
+
+def test_fixed_digits_like_python(spark):
+    """Ties, near-ties, carries, signed zeros and large values, digit for digit."""
+    import random
+    import struct
+
+    from panelspark.functions.text import py_fixed
+    rng = random.Random(11)
+    xs = [0.0, -0.0, 0.05, 0.15, 0.25, 0.35, 6.25, -6.25, 0.95, 9.95, 0.99995, 0.00005, -0.04, 1e-300, 2.675, 1.005, 123456789.00005, 2.0 ** 52 + 0.5, 4e15 + 0.5]
+    xs += [k / 20 for k in range(-200, 200)] + [k / 20000 for k in range(-3000, 3000, 7)] + [rng.uniform(-40, 40) for _ in range(2000)]
+    xs += [round(rng.uniform(0, 2), 5) for _ in range(2000)] + [rng.randrange(1 << 40) / 1024 for _ in range(500)]
+    near = [struct.unpack("<d", struct.pack("<q", struct.unpack("<q", struct.pack("<d", abs(x)))[0] + d))[0] for x in xs[4:600] for d in (-1, 1)]
+    df = spark.createDataFrame([(x,) for x in xs + [n for n in near if n == n]] + [(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "x double")
+    specs = [(1, True), (4, False), (4, True), (2, False)]
+    for r in df.select("x", *[py_fixed(F.col("x"), d, p).alias(f"s{d}{p}") for d, p in specs]).collect():
+        for d, p in specs:
+            want = format(float("nan") if r.x is None else r.x, f"{'+' if p else ''}.{d}f")
+            assert r[f"s{d}{p}"] == want, (r.x, d, p, r[f"s{d}{p}"], want)
