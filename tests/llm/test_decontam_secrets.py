@@ -41,8 +41,9 @@ def brute_leaks(docs, items, window=10):
 COLS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-@pytest.mark.parametrize("block", [D.ITEM_BLOCK_BYTES, 50])
-def test_leaks_equal_brute_force(spark, block):
+
+
+def test_leaks_equal_brute_force(spark):
     rng = random.Random(4)
     items = [(i, sentence(rng, rng.randrange(8, 40), 60)) for i in range(30)]
     items += [(30, "Only Three words"), (31, "x"), (32, None), (None, "a b c d e f g h i j k"), (33, ""), (34, "..."), (5, "another text of item five, which is longer than ten words are")]
@@ -55,7 +56,7 @@ def test_leaks_equal_brute_force(spark, block):
     texts += ["only THREE-words", "only three", "la la " * 12, "a-x-b", "é ß 日本 語 1 2 3 4 5 6 7 8 9"]
     docs = frame(spark, texts).repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert rows_of(D.find_leaks(docs, bench, block_bytes=block), *COLS) == brute_leaks(list(enumerate(texts)), items)
+    assert rows_of(D.find_leaks(docs, bench), *COLS) == brute_leaks(list(enumerate(texts)), items)
 
 
 def test_leaks_on_the_whole_table_and_empty_inputs(spark):
@@ -65,8 +66,29 @@ def test_leaks_on_the_whole_table_and_empty_inputs(spark):
     assert rows_of(D.find_leaks(docs, bench), *COLS) == brute_leaks(rows, items)
     assert D.find_leaks(docs, bench.where("false")).where("contaminated").count() == 0
     assert D.find_leaks(docs.where("false"), bench).count() == 0
-    carried = D.find_leaks(docs, bench, carry=True)
-    assert carried.select("row.*").columns == docs.columns and carried.count() == docs.count()
+    kept = D.remove_leaks(docs, bench)
+    dirty = {r[0] for r in brute_leaks(rows, items) if r[5]}
+    assert dirty and kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in rows if d not in dirty)
+
+
+def test_leaks_of_crowded_bitmaps_null_ids_and_repeated_rows(spark):
+    """A vocabulary of twelve words: many candidates that are none, the same rows."""
+    rng = random.Random(9)
+    items = [(str(i), sentence(rng, rng.randrange(1, 30), 12)) for i in range(40)]
+    texts = [sentence(rng, rng.randrange(0, 60), 12) for _ in range(80)]
+    want = brute_leaks(list(enumerate(texts)), items)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert rows_of(D.find_leaks(frame(spark, texts).repartition(2), bench), *COLS) == want
+    docs = frame(spark, [items[3][1], items[3][1], items[3][1], "clean", None], ids=[None, 7, 7, 7, None])
+    got = [(r.doc_id, r.contaminated) for r in D.find_leaks(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(None, True), (7, True), (7, True), (7, False), (None, False)], key=str)
+    assert sorted((r.doc_id is None, r.text is None) for r in D.remove_leaks(docs, bench).collect()) == [(False, False), (True, True)]
+
+
+def test_the_benchmark_does_not_pass_through_the_driver():
+    import inspect
+    source = inspect.getsource(D)
+    assert "toLocalIterator" not in source and ".collect()" not in source and "F.broadcast" not in source
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
