@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm import bpe as B
-from panelspark.llm.scratch import ready
+from panelspark.llm.scratch import ready, stored
+
+
+class _Wide(Exception):
+    """A difference of two counts that a signed byte cannot hold."""
 
 
 class Prefixes:
@@ -24,6 +28,8 @@ class Prefixes:
         self.counter = B.PrefixCounter(self.bpe)
         self._pieces: dict[str, int] = {}
         self._work = B.TextWork(self.bpe, self._segment, lambda s: 1)
+        self._steps: dict[str, bytes] = {}
+        self._rows = B.TextWork(self.bpe, self._segment_steps, self._special_steps)
 
     def _piece(self, piece: str) -> int:
         n = self._pieces.get(piece)
@@ -41,6 +47,45 @@ class Prefixes:
     def total(self, text: str) -> int:
         return sum(self._work.whole(text))
 
+    def _ends(self, piece: str) -> list[int]:
+        """Token counts of a piece's prefixes of whole characters, the empty one first."""
+        raw = piece.encode("utf-8")
+        counts = self.counter.counts(raw)
+        return counts if len(raw) == len(piece) else [n for i, n in enumerate(counts) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+
+    def _piece_steps(self, piece: str) -> bytes:
+        got = self._steps.get(piece)
+        if got is None:
+            got = _steps(self._ends(piece))
+            if len(piece) <= 64:
+                if len(self._steps) >= B.SEGMENT_CACHE:
+                    self._steps.clear()
+                self._steps[piece] = got
+        return got
+
+    def _segment_steps(self, text: str) -> bytes:
+        return b"".join(map(self._piece_steps, self.bpe.pieces(text)))
+
+    def _special_ends(self, s: str) -> list[int]:
+        """A special string is one token; its proper prefixes are ordinary text."""
+        return [0, *(sum(self._piece(p) for p in self.bpe.pieces(s[:j])) for j in range(1, len(s))), 1]
+
+    def _special_steps(self, s: str) -> bytes:
+        return _steps(self._special_ends(s))
+
+    def row(self, text: str) -> bytes:
+        """The stored row of a text: the differences of its prefixes' counts."""
+        try:
+            return b"\x01" + b"".join(self._rows.whole(text))
+        except _Wide:
+            out = []
+            special = self.bpe.special[0] if self.bpe.special else None
+            for i, part in enumerate(text.split(special) if special else [text]):
+                ends = [self._special_ends(special)] if i else []
+                for e in ends + [self._ends(p) for p in (self.bpe.pieces(part) if part else [])]:
+                    out += [b - a for a, b in zip(e, e[1:])]
+            return b"\x04" + np.array(out, np.int32).tobytes()
+
     def table(self, text: str) -> tuple[list[int], list[int]]:
         """Byte ends of the pieces of a text, and the token count up to each."""
         ends, counts, at, n = [], [], 0, 0
@@ -74,6 +119,18 @@ class Prefixes:
         return at, n
 
 
+def _steps(counts: list[int]) -> bytes:
+    steps = [b - a for a, b in zip(counts, counts[1:])]
+    if steps and not -128 <= min(steps) <= max(steps) <= 127:
+        raise _Wide
+    return bytes(x & 255 for x in steps)
+
+
+def counts_of(row: bytes) -> np.ndarray:
+    """Token counts of the prefixes of 1, 2, ... characters from a stored row."""
+    return np.cumsum(np.frombuffer(row, np.int8 if row[0] == 1 else np.int32, offset=1), dtype=np.int64)
+
+
 _MADE: dict[str, Prefixes] = {}
 
 
@@ -83,13 +140,26 @@ def prefixes(path: str) -> Prefixes:
     return _MADE[path]
 
 
-def _totals(path: str):
+def _write(path: str):
     def run(batches):
         work = prefixes(path)
         for batch in batches:
-            n = [work.total(x) if x else 0 for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *batch.columns[1:]],
-                                             ["n_tokens", *batch.schema.names[1:]])
+            rows = [work.row(x) if x else b"\x01" for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *batch.columns[1:]], ["counts", *batch.schema.names[1:]])
+    return run
+
+
+def _answer(limit: int):
+    def run(batches):
+        for batch in batches:
+            total, fits = [], []
+            for row in batch.column(0):
+                c = counts_of(row.as_buffer().to_pybytes())
+                within = np.flatnonzero(c <= limit)
+                total.append(int(c[-1]) if len(c) else 0)
+                fits.append(int(within[-1]) + 1 if len(within) else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(fits, pa.int64()), *batch.columns[1:]],
+                                             ["n_tokens", "fits_chars", *batch.schema.names[1:]])
     return run
 
 
@@ -105,17 +175,28 @@ def _tables(path: str, budget: int):
     return run
 
 
+def prefix_counts(docs: DataFrame, path: str) -> DataFrame:
+    """The stored table: doc_id, n_bytes, counts (see the module; NULL text: no prefix)."""
+    ready(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(text.alias("__text"), F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"))
+    return stored(rows.mapInArrow(_write(path), "counts binary, doc_id long, n_bytes long"), "prefix-counts")
+
+
+def budgets(table: DataFrame, limit: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fits_chars of every row of a stored table.
+
+    ``fits_chars``: the characters of the longest prefix of at most ``limit`` tokens."""
+    out = table.select("counts", "doc_id", "n_bytes").mapInArrow(_answer(limit), "n_tokens long, fits_chars long, doc_id long, n_bytes long")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fits_chars")
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row.
+    """doc_id, n_bytes, n_tokens, over_limit, fits_chars of every row, from the stored prefix counts.
 
     Defined results: a NULL or empty text has 0 bytes and 0 tokens; repeated rows get equal
     answers; special strings inside a text count as the library's default has them (one token)."""
-    ready(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(text.alias("__text"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.octet_length(text).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(_totals(path), "n_tokens long, doc_id long, n_bytes long")
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return budgets(prefix_counts(docs, path), limit)
 
 
 def prefix_table(docs: DataFrame, path: str, budget: int = 1024) -> DataFrame:

@@ -103,3 +103,44 @@ def test_repeated_and_null_ids(spark):
     got = packing.pack(docs, PATH).collect()
     assert sum(r.length for r in got) == sum(r.doc_tokens for r in got) and len(got) == 3
     assert T.count_tokens(docs, PATH).count() == 3
+
+
+def test_stored_prefix_counts(spark, library):
+    """Every stored count against the library's encoding of the piece's prefix, and the answers read from the table."""
+    rng = random.Random(12)
+    texts = ["", None, "a" * 300, "don't stop  now", "é日本 語 <|endoftext|> x<|endoftext|>", "internationalisation of " * 5] + fuzz(rng, 150)
+    work = T.Prefixes(PATH)
+    for t in texts:
+        if not t:
+            continue
+        want, n = [], 0
+        parts = t.split(work.bpe.special[0])
+        for i, part in enumerate(parts):
+            if i:
+                s = work.bpe.special[0]
+                want += [n + sum(len(ids_of(library, p)) for p in work.bpe.pieces(s[:j])) for j in range(1, len(s))] + [n + 1]
+                n += 1
+            for piece in work.bpe.pieces(part) if part else []:
+                want += [n + len(ids_of(library, piece[:j])) for j in range(1, len(piece) + 1)]
+                n = want[-1]
+        assert T.counts_of(work.row(t)).tolist() == want, t
+        assert len(want) == len(t) and want[-1] == len(ids_of(library, t))
+    docs = frame(spark, texts)
+    table = T.prefix_counts(docs, PATH)
+    for limit in (0, 3, 10 ** 6):
+        for r in T.budgets(table, limit).collect():
+            t = texts[r.doc_id] or ""
+            c = T.counts_of(work.row(t)).tolist() if t else []
+            assert r.n_tokens == len(ids_of(library, t)) and r.over_limit == (r.n_tokens > limit)
+            assert r.fits_chars == max([i + 1 for i, x in enumerate(c) if x <= limit], default=0)
+
+
+def test_wide_differences(monkeypatch):
+    work = T.Prefixes(PATH)
+    text = "some words <|endoftext|> and " + "x" * 90
+    narrow = T.counts_of(work.row(text)).tolist()
+    monkeypatch.setattr(work._rows, "whole", lambda t: (_ for _ in ()).throw(T._Wide()))
+    wide = work.row(text)
+    assert wide[0] == 4 and T.counts_of(wide).tolist() == narrow
+    with pytest.raises(T._Wide):
+        T._steps([0, 200])
