@@ -51,15 +51,16 @@ def build_map(slots: DataFrame, n_shards: int, version: int = 1) -> DataFrame:
 def rebalance(old: DataFrame, slots: DataFrame, n_shards: int) -> DataFrame:
     """The next version of a map for ``n_shards`` >= the old count.
 
-    Every old shard above the mean gives up its lightest slots until it is at the mean or under; the freed
-    slots go, heaviest first, each to the shard with the fewest bytes.  Slots not yet in the map
-    are placed likewise; no other slot moves."""
+    Every old shard above the mean gives up its lightest slots until it is at the mean or under, or holds its heaviest slot
+    only (a slot heavier than the mean stays where it is); the freed slots go, heaviest first, each to the shard with
+    the fewest bytes.  Slots not yet in the map are placed likewise; no other slot moves.  An empty ``old`` places every
+    slot, as version 1; without slots the new version has no rows; slots of ``old`` that hold no bytes any more are left out."""
     known = slots.join(F.broadcast(old), "vslot", "left")          # at most N_SLOTS rows
     mean = known.agg((F.sum("bytes") / F.lit(n_shards)).alias("mean"))
     by_weight = Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot")
     held = known.join(F.broadcast(mean)).withColumn("before", F.coalesce(F.sum("bytes").over(by_weight.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    stays = held.withColumn("keep", F.col("shard").isNotNull() & (F.col("before") <= F.col("mean")))
-    version = old.agg((F.max("version") + 1).alias("version"))
+    stays = held.withColumn("keep", F.col("shard").isNotNull() & ((F.col("before") <= F.col("mean")) | (F.col("before") == F.col("bytes"))))
+    version = old.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).cast(old.schema["version"].dataType).alias("version"))
     every = F.sequence(F.lit(0), F.lit(n_shards - 1))
     loads = (stays.where("keep").groupBy("shard").agg(F.sum("bytes").alias("b"))
              .agg(F.map_from_entries(F.collect_list(F.struct("shard", "b"))).alias("m"))
@@ -77,13 +78,13 @@ def rebalance(old: DataFrame, slots: DataFrame, n_shards: int) -> DataFrame:
 
 
 def save_map(slot_map: DataFrame, folder: str) -> None:
-    """Store a map under its version; older versions stay readable."""
+    """Store a map under its version; older versions stay readable.  A map without rows stores nothing."""
     slot_map.write.partitionBy("version").mode("append").parquet(folder)
 
 
 def load_map(spark, folder: str, version: int | None = None) -> DataFrame:
-    """A stored map, the latest by default."""
-    maps = spark.read.parquet(folder)
+    """A stored map, the latest by default; without rows where no such version was stored."""
+    maps = spark.read.schema("vslot int, shard int, version int").parquet(folder)
     latest = maps.agg(F.max("version").alias("version")) if version is None else None
     got = maps.where(F.col("version") == version) if latest is None else maps.join(F.broadcast(latest), "version", "left_semi")
     return got.select("version", "vslot", "shard")

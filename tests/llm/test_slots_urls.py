@@ -193,3 +193,20 @@ def test_hubs_and_large_classes_can_be_split(spark):
             assert "Exchange" in below[0] and sum("_join_key" in x for x in below if "Exchange" in x) == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_rebalancing_edge_cases(spark, tmp_path):
+    sizes = lambda rows: spark.createDataFrame(rows, "vslot int, bytes long, n long")
+    maps = lambda rows: spark.createDataFrame(rows, "version int, vslot int, shard int")
+    pairs = lambda df: sorted((r.vslot, r.shard) for r in df.collect())
+    fresh = S.rebalance(maps([]), sizes([(0, 5, 1), (1, 4, 1), (2, 3, 1)]), 2)                     # an empty map: all are placed
+    assert pairs(fresh) == [(0, 0), (1, 1), (2, 1)] and {r.version for r in fresh.collect()} == {1}
+    heavy = S.rebalance(maps([(3, 0, 0), (3, 1, 0), (3, 2, 1)]), sizes([(0, 100, 1), (1, 2, 1), (2, 3, 1)]), 3)
+    assert pairs(heavy) == [(0, 0), (1, 2), (2, 1)] and {r.version for r in heavy.collect()} == {4}   # the heavy slot stays, the light one goes
+    assert pairs(S.rebalance(maps([(1, 0, 0)]), sizes([]), 2)) == []
+    same = S.rebalance(maps([(1, 0, 0), (1, 1, 1)]), sizes([(0, 7, 1), (1, 7, 1)]), 2)
+    assert pairs(same) == [(0, 0), (1, 1)]
+    folder = str(tmp_path / "maps")
+    S.save_map(heavy, folder)
+    S.save_map(heavy.where("false"), folder)
+    assert pairs(S.load_map(spark, folder)) == pairs(heavy) and pairs(S.load_map(spark, folder, 9)) == []
