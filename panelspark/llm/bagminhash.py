@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelspark.llm import arrays as A
 from panelspark.llm.components import components
 from panelspark.llm.scratch import ready, stored
+from panelspark.operators.small import join_per_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -266,13 +267,13 @@ def node_of() -> Column:
     return F.struct(did.alias("did"), F.xxhash64("doc_id", "text").alias("uid"))      # a NULL text is not an empty one here
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float, name: str, out: str = "u v") -> DataFrame:
+def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float, out: str = "u v") -> DataFrame:
     """The ``out`` columns of the pairs (u, v) whose multisets reach the threshold."""
     left = vectors.select(F.col("node").alias("u"), F.col("vec").alias("uv"))
     right = vectors.select(F.col("node").alias("v"), F.col("vec").alias("vv"))
     cols = out.split()
     rows = pairs.join(right, "v").join(left, "u").select(*cols, "uv", "vv")
-    return stored(rows.mapInArrow(_similar(threshold), ", ".join(f"{c} {_NODE}" for c in cols)), name)
+    return rows.mapInArrow(_similar(threshold), ", ".join(f"{c} {_NODE}" for c in cols))
 
 
 def _closing(vectors: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -286,9 +287,9 @@ def _closing(vectors: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     rows = stored(placed.mapInArrow(
         _prefixes(shared, threshold), f"name long, i int, short boolean, b0 long, b1 long, b2 long, b3 long, node {_NODE}, n long, root {_NODE}"), "prefixes")
     by_class = rows.groupBy("name", "root").agg(F.count("*").alias("c"))
-    mixed = stored(by_class.groupBy("name").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("largest"))
-                   .where("k > 1").select("name", "largest"), "mixed-names")
-    rows = stored(rows.join(mixed, "name").withColumn("main", F.col("root") == F.col("largest")).drop("largest"), "shared-prefixes")
+    mixed = (by_class.groupBy("name").agg(F.count("*").alias("k"), F.max(F.struct("c", "root"))["root"].alias("largest"))
+             .where("k > 1").select("name", "largest"))
+    rows = stored(join_per_key(rows, mixed, "name").withColumn("main", F.col("root") == F.col("largest")).drop("largest"), "shared-prefixes")
     # side 0: a longer vector of any class meets shorter ones outside the largest; side 1: outside the largest, it meets the largest
     carried = ("node", "n", "root", "i", "b0", "b1", "b2", "b3")
     sides = F.when(F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
@@ -300,7 +301,7 @@ def _closing(vectors: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     most = F.least(F.col("u_n") - F.col("u_i"), F.col("v_n") - F.col("v_i"), F.floor((F.col("u_n") + F.col("v_n") - odd) / 2))
     able = most + 1e-9 >= threshold * (F.col("u_n") + F.col("v_n") - most)
     pairs = x.join(y, ["name", "side"]).where(longer & (F.col("u_root") != F.col("v_root")) & able)
-    return stored(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), "u_root", "v_root").distinct(), "closing")
+    return pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), "u_root", "v_root").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, registers: int = REGISTERS) -> DataFrame:
@@ -321,20 +322,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, registers: in
     reps = stored(signed.where("n > 0").groupBy("n", "p", "q").agg(least.alias("r")).select("n", "p", "q", "r.node", "r.bands"), "multisets")
 
     spread = reps.select("node", F.explode("bands").alias("bucket"))
-    full = stored(spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
+    full = spread.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     whole = Window.partitionBy("node")                                  # a node has one row for each band
-    members = stored(spread.join(full, "bucket").withColumn("score", F.sum("c").over(whole)).select("bucket", "node", "score"), "members")
+    members = stored(join_per_key(spread, full, "bucket").withColumn("score", F.sum("c").over(whole)).select("bucket", "node", "score"), "members")
     led = members.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("u"))
-    star = stored(members.select("bucket", "node").join(stored(led, "leaders"), "bucket").where("u <> node")
-                  .select("u", F.col("node").alias("v")).distinct(), "star")
+    star = join_per_key(members.select("bucket", "node"), led, "bucket").where("u <> node").select("u", F.col("node").alias("v")).distinct()
     needed = members.select("node").distinct()
     texts = rows.dropDuplicates(["node"]).join(needed, "node")          # repeated rows meet before they are sent
     vectors = stored(texts.select("node", "text").mapInArrow(_vectors, f"node {_NODE}, vec binary"), "vectors")
-    links = _verified(star, vectors, threshold, "star-links")
+    classes = components(_verified(star, vectors, threshold), "u", "v", _contracted)
 
     # closing step: links between classes
-    classes = components(links, "u", "v", _contracted)
-    more = _verified(_closing(vectors, classes, threshold), vectors, threshold, "closing-links", "u_root v_root")
+    more = stored(_verified(_closing(vectors, classes, threshold), vectors, threshold, "u_root v_root"), "closing-links")
     if not more.isEmpty():                                              # new links join classes
         merged = components(more, "u_root", "v_root", _contracted).select(F.col("node").alias("old"), F.col("root").alias("top"))
         every = classes.union(more.select(F.explode(F.array("u_root", "v_root")).alias("node")).select("node", F.col("node").alias("root")))

@@ -5,13 +5,13 @@ equal) neighbours to the least vertex it sees, until nothing changes.  The numbe
 with the logarithm of the largest component's size.  A hub is never gathered: its minimum is a partial
 aggregate that is joined back on a wrapped key, so both sides of the join come straight from an exchange
 and adaptive execution can split a hub's edges (``operators.small.join_per_key``).  Every round is a stored
-table, so a lost executor costs one round.  Whether a round changed anything is seen from its row
-count and two 64-bit sums over its edges, which the write of the round itself gathers.
+table, so a lost executor costs one round.  The search ends when the edges are stars: no node has two roots, and
+no root has one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.scratch import stored
 from panelspark.operators.small import join_per_key
@@ -31,13 +31,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.select(to).select("e.u", "e.v").where("u > v").distinct()
 
 
-def _round(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-    """The stored edges, and what tells them from others: their number and two sums over them."""
-    seen = Observation()
-    sums = [F.bit_xor(F.xxhash64("u", "v", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), *sums), name)
-    got = seen.get
-    return out, (got["n"], got["x1"], got["x2"])
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of the distinct edges (u, v) has one root v, and no root has one itself."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")
+    seen = edges.select(ends).groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("root"))
+    return seen.where("ups > 1 or (ups = 1 and root = 0)").isEmpty()
 
 
 def components(edges: DataFrame, a: str, b: str, contract=None) -> DataFrame:
@@ -49,12 +47,9 @@ def components(edges: DataFrame, a: str, b: str, contract=None) -> DataFrame:
     def contracted(df: DataFrame) -> DataFrame:
         return df.mapInArrow(contract, df.schema) if contract else df
 
-    now, mark = _round(contracted(edges.where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`")
-                                  .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))).distinct(), "edges")
-    while mark[0]:
-        now, new = _round(_star(stored(_star(contracted(now), True), "large"), False), "small")
-        if new == mark:
-            break
-        mark = new
+    now = stored(contracted(edges.where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`")
+                            .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))).distinct(), "edges")
+    while not _stars(now):
+        now = stored(_star(stored(_star(contracted(now), True), "large"), False), "small")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -125,9 +125,9 @@ def test_closing_candidates_of_near_copies_grow_in_proportion(spark, monkeypatch
     made = {}
     verified = M._verified
 
-    def watched(pairs, vectors, threshold, name, out="u v"):
-        made[name] = pairs.count()
-        return verified(pairs, vectors, threshold, name, out)
+    def watched(pairs, vectors, threshold, out="u v"):
+        made[out] = pairs.count()
+        return verified(pairs, vectors, threshold, out)
 
     monkeypatch.setattr(M, "_verified", watched)
     rng = random.Random(6)
@@ -141,7 +141,8 @@ def test_closing_candidates_of_near_copies_grow_in_proportion(spark, monkeypatch
                 w[rng.randrange(120)] = f"e{rng.randrange(10**9)}"
             texts.append(" ".join(w))
         M.near_duplicates(frame(spark, texts)).collect()
-        found.append(made["closing-links"] / n)
+        found.append(made["u_root v_root"] / n)
+    print("candidates a document", found)
     assert found[1] <= 2 * max(found[0], 1)
 
 
