@@ -112,7 +112,7 @@ def q_boosted_trees_fit(spark, sf):
     want = F.when(F.col("tree") == 0, 1.0).otherwise(bst.LEARNING_RATE)
     return trees.select("tree", (F.abs(F.col("weight") - want) < 1e-9).alias("weight_ok"), (F.col("depth") <= bst.MAX_DEPTH).alias("depth_ok"),
                         ((F.col("num_nodes") % 2 == 1) & (F.col("num_nodes") < F.pow(F.lit(2.0), F.col("depth") + 1))).alias("nodes_ok"),
-                        F.lit(seen["n"]).alias("n_train"), F.lit(seen["p"]).alias("n_positive"))
+                        F.lit(seen["n"]).cast("long").alias("n_train"), F.lit(seen["p"]).cast("long").alias("n_positive"))
 
 
 @query("joint_embedding_fit")

@@ -168,7 +168,7 @@ def q_feature_importance_topk(spark, sf):
     seen = tr.agg(F.count(F.lit(1)).alias("n_train"), F.count_if(F.col(LABEL) == 1).alias("n_positive"),
                   *[F.approx_count_distinct(c).alias(f"d_{c}") for c in feat.NUMERIC_FEATURES]).first()
     constant = [c for c in feat.NUMERIC_FEATURES if seen[f"d_{c}"] <= 1]
-    top = top.withColumn("n_train", F.lit(seen["n_train"])).withColumn("n_positive", F.lit(seen["n_positive"]))
+    top = top.withColumn("n_train", F.lit(seen["n_train"]).cast("long")).withColumn("n_positive", F.lit(seen["n_positive"]).cast("long"))
     return top.groupBy("n_train", "n_positive").agg(F.coalesce(F.bool_and(~F.col("feature").isin(constant) | (F.col("importance") == 0)), F.lit(True)).alias("none_of_constants"),
                    F.count(F.lit(1)).alias("n_features"), F.bool_and(F.col("feature").isin(bst.feature_names())).alias("known"),
                    (F.array_sort(F.collect_list(-F.col("importance"))) == F.collect_list(-F.col("importance"))).alias("descending"),
