@@ -126,7 +126,7 @@ class PpmModel:
     def bits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length of each row in each language."""
         n, total = len(self.langs), np.zeros((len(off) - 1, len(self.langs)))
-        step = max(1, (4 << 20) // n)
+        step = max(4096, (1 << 20) // n)               # bytes whose costs are held at a time, for all languages
         for a, b in A.blocks(off, step):
             d, o = data[off[a]:off[b]], off[a:b + 1] - off[a]
             for lo in range(0, len(d), 4 * step):      # a very long row goes through in parts

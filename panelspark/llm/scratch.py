@@ -11,14 +11,17 @@ from panelspark.session import checkpoint_dir, ship_package
 
 
 BATCH_BYTES = 4 << 20           # of an Arrow batch (one longer row is its own batch)
+GROUP_BYTES = 16 << 20          # of a Parquet row group: a task that writes texts holds one in memory
 
 
 def ready(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, and bound Arrow batches by bytes.
+    """Make this package importable in the executors' Python workers, and bound what a task holds at a time.
 
-    Spark's own bound is 10,000 rows or 64 MB; whole texts and blocks of vectors need the smaller one.
-    The setting stays in the session, since plans run after the operator has returned."""
+    Spark's own bounds are 10,000 rows or 64 MB for an Arrow batch and 128 MB for a row group that is
+    written; whole texts and blocks of vectors need smaller ones.  The settings stay in the session, since
+    plans run after the operator has returned."""
     ship_package(spark)
+    spark.conf.set("parquet.block.size", str(GROUP_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
