@@ -9,7 +9,9 @@ Training is data parallel: each epoch is one Spark job.  Weights and Adam moment
 broadcast, every partition runs Adam over its rows in mini-batches of 32 (batch order and
 dropout masks are pure functions of (seed, epoch, subject)), returns its updated state, and
 the driver averages the states weighted by rows.  With one partition this is plain
-sequential mini-batch Adam.  Validation loss is a distributed forward pass.  Learning rate
+sequential mini-batch Adam.  A task takes several partitions through their batches side by
+side (one numpy call a layer for all of them); a partition's result does not depend on its
+neighbours.  Validation loss is a distributed forward pass.  Learning rate
 halves after 5 epochs without improvement; training stops after 15 and keeps the best state.
 """
 
@@ -67,10 +69,11 @@ def flatten(p: dict) -> np.ndarray:
 
 
 def unflatten(v: np.ndarray) -> dict:
+    """Views of the parameters; of a matrix with one state a row, stacked along the first axis."""
     out, i = {}, 0
     for n, s in PARAM_SHAPES:
         k = int(np.prod(s))
-        out[n] = v[i:i + k].reshape(s)
+        out[n] = v[i:i + k].reshape(s) if v.ndim == 1 else v[:, i:i + k].reshape(len(v), *(s if len(s) == 2 else (1, *s)))
         i += k
     return out
 
@@ -102,9 +105,13 @@ def keyed_uniforms(keys: np.ndarray, *salts: int, width: int = 1) -> np.ndarray:
 
 # ── forward / backward ───────────────────────────────────────────────────────
 
+def _t(x):
+    return np.swapaxes(x, -1, -2)
+
+
 def _ln_fwd(h, g, be):
-    mu = h.mean(1, keepdims=True)
-    var = h.var(1, keepdims=True)
+    mu = h.mean(-1, keepdims=True)
+    var = h.var(-1, keepdims=True)
     inv = 1.0 / np.sqrt(var + LN_EPS)
     xh = (h - mu) * inv
     return xh * g + be, (xh, inv)
@@ -113,9 +120,14 @@ def _ln_fwd(h, g, be):
 def _ln_bwd(dy, cache, g):
     xh, inv = cache
     dxh = dy * g
-    n = xh.shape[1]
-    dh = inv / n * (n * dxh - dxh.sum(1, keepdims=True) - xh * (dxh * xh).sum(1, keepdims=True))
-    return dh, (dy * xh).sum(0), dy.sum(0)
+    n = xh.shape[-1]
+    dh = inv / n * (n * dxh - dxh.sum(-1, keepdims=True) - xh * (dxh * xh).sum(-1, keepdims=True))
+    return dh, _rows(dy * xh), _rows(dy)
+
+
+def _rows(x):
+    """Sums over a batch's rows, shaped like a bias."""
+    return x.sum(-2, keepdims=x.ndim == 3)
 
 
 def _encoder_fwd(p, m, x, mask):
@@ -130,16 +142,16 @@ def _encoder_fwd(p, m, x, mask):
 def _encoder_bwd(p, m, dout, cache, grads):
     x, lc, ln, r, d, o, mask = cache
     do = dout * (o > 0)
-    grads[f"{m}.w2"] += d.T @ do
-    grads[f"{m}.b2"] += do.sum(0)
-    dd = do @ p[f"{m}.w2"].T
+    grads[f"{m}.w2"] += _t(d) @ do
+    grads[f"{m}.b2"] += _rows(do)
+    dd = do @ _t(p[f"{m}.w2"])
     dr = dd * mask if mask is not None else dd
     dln = dr * (ln > 0)
     dh, dg, dbe = _ln_bwd(dln, lc, p[f"{m}.g"])
     grads[f"{m}.g"] += dg
     grads[f"{m}.be"] += dbe
-    grads[f"{m}.w1"] += x.T @ dh
-    grads[f"{m}.b1"] += dh.sum(0)
+    grads[f"{m}.w1"] += _t(x) @ dh
+    grads[f"{m}.b1"] += _rows(dh)
 
 
 def visit_embedding(p, cog, brain, demo, masks=None):
@@ -149,17 +161,18 @@ def visit_embedding(p, cog, brain, demo, masks=None):
         o, c = _encoder_fwd(p, m, x, None if masks is None else masks[m])
         outs.append(o)
         caches.append(c)
-    return np.concatenate(outs, 1), caches
+    return np.concatenate(outs, -1), caches
 
 
 def forward(p, batch, masks=None):
     """M5: logits for a batch {cognitive_v1, ..., demographic_v2}; masks are dropout masks
-    (already scaled by 1/(1-p)) or None for evaluation."""
+    (already scaled by 1/(1-p)) or None for evaluation.  With stacked parameters the batch has a
+    leading axis as well: one batch for every state."""
     e1, c1 = visit_embedding(p, batch["cognitive_v1"], batch["brain_v1"], batch["demographic_v1"],
                              None if masks is None else masks["v1"])
     e2, c2 = visit_embedding(p, batch["cognitive_v2"], batch["brain_v2"], batch["demographic_v2"],
                              None if masks is None else masks["v2"])
-    t = np.concatenate([e1, e2], 1)
+    t = np.concatenate([e1, e2], -1)
     h = t @ p["p.w1"] + p["p.b1"]
     ln, lc = _ln_fwd(h, p["p.g"], p["p.be"])
     r = np.maximum(ln, 0)
@@ -167,31 +180,31 @@ def forward(p, batch, masks=None):
     d = r * hm if hm is not None else r
     h2 = d @ p["p.w2"] + p["p.b2"]
     r2 = np.maximum(h2, 0)
-    z = (r2 @ p["p.w3"] + p["p.b3"])[:, 0]
+    z = (r2 @ p["p.w3"] + p["p.b3"])[..., 0]
     return z, (c1, c2, t, lc, ln, d, hm, h2, r2)
 
 
 def backward(p, cache, dz):
     c1, c2, t, lc, ln, d, hm, h2, r2 = cache
-    g = {n: np.zeros(s) for n, s in PARAM_SHAPES}
-    dz = dz[:, None]
-    g["p.w3"] += r2.T @ dz
-    g["p.b3"] += dz.sum(0)
-    dh2 = (dz @ p["p.w3"].T) * (h2 > 0)
-    g["p.w2"] += d.T @ dh2
-    g["p.b2"] += dh2.sum(0)
-    dd = dh2 @ p["p.w2"].T
+    g = {n: np.zeros(w.shape) for n, w in p.items()}
+    dz = dz[..., None]
+    g["p.w3"] += _t(r2) @ dz
+    g["p.b3"] += _rows(dz)
+    dh2 = (dz @ _t(p["p.w3"])) * (h2 > 0)
+    g["p.w2"] += _t(d) @ dh2
+    g["p.b2"] += _rows(dh2)
+    dd = dh2 @ _t(p["p.w2"])
     dr = dd * hm if hm is not None else dd
     dln = dr * (ln > 0)
     dh, dg, dbe = _ln_bwd(dln, lc, p["p.g"])
     g["p.g"] += dg
     g["p.be"] += dbe
-    g["p.w1"] += t.T @ dh
-    g["p.b1"] += dh.sum(0)
-    dt = dh @ p["p.w1"].T
-    for half, caches in ((dt[:, :3 * EMBED], c1), (dt[:, 3 * EMBED:], c2)):
+    g["p.w1"] += _t(t) @ dh
+    g["p.b1"] += _rows(dh)
+    dt = dh @ _t(p["p.w1"])
+    for half, caches in ((dt[..., :3 * EMBED], c1), (dt[..., 3 * EMBED:], c2)):
         for j, m in enumerate(("cognitive", "brain", "demographic")):
-            _encoder_bwd(p, m, half[:, j * EMBED:(j + 1) * EMBED], caches[j], g)
+            _encoder_bwd(p, m, half[..., j * EMBED:(j + 1) * EMBED], caches[j], g)
     return g
 
 
@@ -217,6 +230,84 @@ def dropout_masks(keys, epoch, step, seed=SEED):
     return masks if n else None
 
 
+def _keep(k: np.ndarray, width: int, p: float) -> np.ndarray:
+    """keyed_uniforms(...) >= p, from keys that hold all salts but the column, as integers."""
+    with np.errstate(over="ignore"):
+        cols = (np.arange(width, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        x = k[..., None] ^ cols
+        x += np.uint64(0x9E3779B97F4A7C15)
+        y = x >> np.uint64(30)
+        x ^= y
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        np.right_shift(x, np.uint64(27), out=y)
+        x ^= y
+        x *= np.uint64(0x94D049BB133111EB)
+        np.right_shift(x, np.uint64(31), out=y)
+        x ^= y
+    return x >= np.uint64(math.ceil(p * (1 << 53)) << 11)
+
+
+def epoch_masks(keys, epoch, steps, seed=SEED):
+    """``dropout_masks`` of many batches: ``keys`` of any shape, ``steps`` the batch start of each."""
+    k = keys
+    for s in (seed, epoch):
+        k = _mix(k ^ np.uint64(s & 0xFFFFFFFFFFFFFFFF))
+    k = _mix(k ^ steps.astype(np.uint64))
+    masks = {}
+    for v, vis in ((1, "v1"), (2, "v2")):
+        kv = _mix(k ^ np.uint64(v))
+        masks[vis] = {m: _keep(_mix(kv ^ np.uint64(i)), HIDDEN, ENC_DROPOUT) / (1 - ENC_DROPOUT)
+                      for i, m in enumerate(("cognitive", "brain", "demographic"))}
+    masks["head"] = _keep(_mix(k ^ np.uint64(9)), 64, HEAD_DROPOUT) / (1 - HEAD_DROPOUT)
+    return masks
+
+
+def train_side_by_side(shards: list, state: np.ndarray, steps_done: int, lr: float, epoch: int, pos_weight: float,
+                       bsz: int = BATCH, seed: int = SEED, window: int = 8) -> list:
+    """One epoch of Adam over every shard (keys, y, batch of all rows), each from ``state`` on its own:
+    (rows, steps, loss, state) of each.  Step by step all shards' batches go through one stacked pass.
+    Masks are drawn ``window`` steps at a time."""
+    size = np.array([len(k) for k, _, _ in shards])
+    by_size = np.argsort(-size, kind="stable")           # shards that still have batches are the first ones
+    size, count = size[by_size], len(shards)
+    total = -(-int(size[0]) // bsz) * bsz
+    at = np.zeros((count, total), np.int64)              # rows in batch order
+    base = np.concatenate([[0], np.cumsum(size)])
+    for i, j in enumerate(by_size):
+        keys = shards[j][0]
+        at[i, :size[i]] = np.argsort(keyed_uniforms(keys, seed, epoch, 7)[:, 0], kind="stable")
+        at[i] += base[i]
+    keys, y = (np.concatenate([shards[j][c] for j in by_size]) for c in (0, 1))
+    inputs = {n: np.concatenate([shards[j][2][n] for j in by_size]) for n in shards[0][2]}
+    flat, m, v = (np.repeat(x[None], count, axis=0) for x in np.split(state, 3))
+    loss_sum, steps, t = np.zeros(count), -(-size // bsz), steps_done
+    for lo in range(0, total, window * bsz):
+        hi = min(total, lo + window * bsz)
+        live = int((size > lo).sum())
+        rows = at[:live, lo:hi]
+        masks = epoch_masks(keys[rows], epoch, np.arange(lo, hi) // bsz * bsz, seed)
+        for s in range(lo, hi, bsz):
+            full, some = int((size >= s + bsz).sum()), int((size > s).sum())
+            for i, j in [(0, full)] * (full > 0) + [(i, i + 1) for i in range(full, some)]:      # short last batches go alone
+                width = min(int(size[i]) - s, bsz)
+                idx, cut = at[i:j, s:s + width], np.s_[i:j, s - lo:s - lo + width]
+                step_masks = {k: {e: x[cut] for e, x in d.items()} if isinstance(d, dict) else d[cut] for k, d in masks.items()}
+                w = unflatten(flat[i:j])
+                z, cache = forward(w, {k: x[idx] for k, x in inputs.items()}, step_masks)
+                loss, dz = bce_loss_grad(z, y[idx], pos_weight)
+                g = backward(w, cache, dz / width)
+                g = np.concatenate([g[k].reshape(j - i, -1) for k, _ in PARAM_SHAPES], axis=1)
+                m[i:j] = BETA1 * m[i:j] + (1 - BETA1) * g
+                v[i:j] = BETA2 * v[i:j] + (1 - BETA2) * g * g
+                flat[i:j] -= lr * (m[i:j] / (1 - BETA1 ** (t + 1))) / (np.sqrt(v[i:j] / (1 - BETA2 ** (t + 1))) + ADAM_EPS)
+                loss_sum[i:j] += [float(x.sum()) for x in loss]
+            t += 1
+    out = [None] * count
+    for i, j in enumerate(by_size):
+        out[j] = (int(size[i]), int(steps[i]), float(loss_sum[i]), np.concatenate([flat[i], m[i], v[i]]))
+    return out
+
+
 # ── Spark side ───────────────────────────────────────────────────────────────
 
 INPUT_COLS = sorted({c for a, b in MODALITIES.values() for c in a + b})
@@ -274,6 +365,8 @@ class JointEmbeddingModel:
 
 
 class JointEmbeddingEstimator:
+    SIDE_BY_SIDE = 16            # partitions that a task trains, if there are more than cores (about 1 MB each)
+
     def __init__(self, epochs: int = EPOCHS, lr: float = LR, batch: int = BATCH, patience: int = PATIENCE,
                  seed: int = SEED, partitions: int | None = None, rows_per_partition: int = 4096):
         self.epochs, self.lr, self.batch, self.patience, self.seed = epochs, lr, batch, patience, seed
@@ -292,8 +385,10 @@ class JointEmbeddingEstimator:
         parts = self.partitions or max(1, -(-n // self.rows_per_partition))
         # read every epoch: written once to the shared folder
         checkpoint_dir(spark)
-        tr = self._prepare(train).repartition(parts, "_key").checkpoint()
+        shard = F.pmod(F.hash("_key"), F.lit(parts)).alias("_shard")          # as repartition deals the rows
+        tr = self._prepare(train).repartition(parts, "_key").select("*", shard).checkpoint()
         va = self._prepare(val).checkpoint()
+        tr = tr.coalesce(max(min(parts, sc.defaultParallelism), -(-parts // self.SIDE_BY_SIDE)))
         params = init_params(self.seed)
         state = np.concatenate([flatten(params), np.zeros(N_PARAMS), np.zeros(N_PARAMS)])
         step_count, lr = 0, self.lr
@@ -312,31 +407,10 @@ class JointEmbeddingEstimator:
                 pdf = pd.concat(frames, ignore_index=True)
                 if len(pdf) == 0:
                     return
-                w = unflatten(st[:N_PARAMS].copy())
-                m = st[N_PARAMS:2 * N_PARAMS].copy()
-                v = st[2 * N_PARAMS:].copy()
-                keys = pdf["_key"].to_numpy().astype(np.uint64)
-                order = np.argsort(keyed_uniforms(keys, seed, ep, 7)[:, 0], kind="stable")
-                y_all = pdf["_y"].to_numpy()
-                t = t0
-                loss_sum = 0.0
-                for s in range(0, len(order), bsz):
-                    idx = order[s:s + bsz]
-                    b = batch_from_pandas(pdf.iloc[idx])
-                    masks = dropout_masks(keys[idx], ep, s, seed)
-                    z, cache = forward(w, b, masks)
-                    loss, dz = bce_loss_grad(z, y_all[idx], pos_weight)
-                    g = flatten(backward(w, cache, dz / len(idx)))
-                    t += 1
-                    m = BETA1 * m + (1 - BETA1) * g
-                    v = BETA2 * v + (1 - BETA2) * g * g
-                    mh = m / (1 - BETA1 ** t)
-                    vh = v / (1 - BETA2 ** t)
-                    flat = flatten(w) - lr_ * mh / (np.sqrt(vh) + ADAM_EPS)
-                    w = unflatten(flat)
-                    loss_sum += float(loss.sum())
-                yield pd.DataFrame({"n": [len(pdf)], "steps": [t - t0], "loss": [loss_sum],
-                                    "state": [np.concatenate([flatten(w), m, v]).tobytes()]})
+                shards = [(x["_key"].to_numpy().astype(np.uint64), x["_y"].to_numpy(), batch_from_pandas(x))
+                          for _, x in pdf.groupby("_shard")]
+                for n_rows, steps, loss, end in train_side_by_side(shards, st, t0, lr_, ep, pos_weight, bsz, seed):
+                    yield pd.DataFrame({"n": [n_rows], "steps": [steps], "loss": [loss], "state": [end.tobytes()]})
 
             outs = tr.mapInPandas(train_part, "n long, steps long, loss double, state binary")
             state, steps, loss_sum, tot = self._average(outs, parts)
@@ -372,35 +446,28 @@ class JointEmbeddingEstimator:
             tot = sum(r["n"] for r in rows)
             state = sum(np.frombuffer(r["state"], dtype=np.float64) * (r["n"] / tot) for r in rows)
             return state, max(r["steps"] for r in rows), sum(r["loss"] for r in rows), tot
-        outs = outs.persist()
-        try:
-            agg = outs.agg(F.sum("n").alias("n"), F.max("steps").alias("steps"), F.sum("loss").alias("loss")).first()
-            tot = agg["n"]
-            size = 3 * N_PARAMS
-            edges = np.linspace(0, size, blocks + 1).astype(int)
-
-            def cut(it):
-                import pandas as pd
-                for pdf in it:
-                    for n, st in zip(pdf["n"], pdf["state"]):
-                        v = np.frombuffer(st, dtype=np.float64) * (n / tot)
-                        for b in range(blocks):
-                            yield pd.DataFrame({"block": [b], "key": [st[:64]],
-                                                "part": [v[edges[b]:edges[b + 1]].tobytes()]})
-
-            def add(pdf):
-                import pandas as pd
-                pdf = pdf.sort_values("key")
-                total = sum(np.frombuffer(x, dtype=np.float64) for x in pdf["part"])
-                return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "part": [total.tobytes()]})
-
-            sliced = outs.mapInPandas(cut, "block int, key binary, part binary")
-            summed = sliced.groupBy("block").applyInPandas(add, "block int, part binary").collect()
-            state = np.concatenate([np.frombuffer(r["part"], dtype=np.float64)
-                                    for r in sorted(summed, key=lambda r: r["block"])])
-            return state, agg["steps"], agg["loss"], tot
-        finally:
-            outs.unpersist()
+        edges = np.linspace(0, 3 * N_PARAMS, blocks + 1).astype(int)
+
+        def cut(it):
+            import pandas as pd
+            for pdf in it:
+                for n, steps, loss, st in zip(pdf["n"], pdf["steps"], pdf["loss"], pdf["state"]):
+                    v = np.frombuffer(st, dtype=np.float64) * n
+                    yield pd.DataFrame({"block": range(blocks), "key": [st[:64]] * blocks, "n": [n] * blocks, "steps": [steps] * blocks,
+                                        "loss": [loss] * blocks, "part": [v[a:b].tobytes() for a, b in zip(edges, edges[1:])]})
+
+        def add(pdf):
+            import pandas as pd
+            pdf = pdf.sort_values("key")
+            total = sum(np.frombuffer(x, dtype=np.float64) for x in pdf["part"])
+            return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "n": [int(pdf["n"].sum())], "steps": [int(pdf["steps"].max())],
+                                 "loss": [sum(pdf["loss"].tolist())], "part": [total.tobytes()]})
+
+        sliced = outs.mapInPandas(cut, "block int, key binary, n long, steps long, loss double, part binary")
+        summed = sorted(sliced.groupBy("block").applyInPandas(add, "block int, n long, steps long, loss double, part binary").collect(),
+                        key=lambda r: r["block"])
+        state = np.concatenate([np.frombuffer(r["part"], dtype=np.float64) for r in summed]) / summed[0]["n"]
+        return state, summed[0]["steps"], summed[0]["loss"], summed[0]["n"]
 
     @staticmethod
     def _val_loss(va: DataFrame, flat: np.ndarray, pos_weight: float) -> float:

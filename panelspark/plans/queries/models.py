@@ -177,8 +177,9 @@ def q_feature_importance_topk(spark, sf):
 
 def joint_frames(spark, sf):
     """(training, validation, test) rows as the network takes them, and the positive-class weight."""
-    tr_all, te = train_test(spark, sf)
-    v = spl.train_validation_split(tr_all)
+    s = stored(split_features(spark, sf), "joint-split")                  # read by every fit below
+    tr_all, te = s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
+    v = stored(spl.train_validation_split(tr_all), "joint-validation")
     tr, va = v.where("split = 'train'").drop("split"), v.where("split = 'validation'").drop("split")
     w = feat.class_weight_value(tr)
     (trp, [vap, tep]) = je.prepare_features(tr, [va, te])

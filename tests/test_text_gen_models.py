@@ -1,6 +1,7 @@
 """Text operators, generator invariants, neural-model gradients and model quality."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import text as txt
@@ -154,3 +155,32 @@ def test_fixed_digits_like_python(spark):
         for d, p in specs:
             want = format(float("nan") if r.x is None else r.x, f"{'+' if p else ''}.{d}f")
             assert r[f"s{d}{p}"] == want, (r.x, d, p, r[f"s{d}{p}"], want)
+
+
+def test_partitions_side_by_side_equal_plain_training():
+    """Stacked training of several partitions gives each one's own sequential Adam, bit for bit."""
+    rng = np.random.default_rng(4)
+
+    def shard(n):
+        rows = {f"{m}_v{v}": rng.normal(size=(n, d)) for m, d in je.MOD_DIMS.items() for v in (1, 2)}
+        return rng.integers(0, 1 << 60, n).astype(np.uint64), (rng.random(n) < 0.4).astype(float), rows
+
+    shards = [shard(n) for n in (70, 300, 1, 64)]
+    start = np.concatenate([je.flatten(je.init_params(3)), np.zeros(2 * je.N_PARAMS)])
+    got = je.train_side_by_side(shards, start, 0, 1e-3, 2, 1.7, window=3)
+    for (keys, y, rows), (n, steps, loss, end) in zip(shards, got):
+        w, m, v = (x.copy() for x in np.split(start, 3))
+        order = np.argsort(je.keyed_uniforms(keys, je.SEED, 2, 7)[:, 0], kind="stable")
+        total = 0.0
+        for t, s in enumerate(range(0, len(keys), je.BATCH), 1):
+            i = order[s:s + je.BATCH]
+            p = je.unflatten(w)
+            z, cache = je.forward(p, {k: x[i] for k, x in rows.items()}, je.dropout_masks(keys[i], 2, s))
+            part, dz = je.bce_loss_grad(z, y[i], 1.7)
+            g = je.flatten(je.backward(p, cache, dz / len(i)))
+            m = je.BETA1 * m + (1 - je.BETA1) * g
+            v = je.BETA2 * v + (1 - je.BETA2) * g * g
+            w = w - 1e-3 * (m / (1 - je.BETA1 ** t)) / (np.sqrt(v / (1 - je.BETA2 ** t)) + je.ADAM_EPS)
+            total += float(part.sum())
+        assert (n, steps) == (len(keys), -(-len(keys) // je.BATCH)) and loss == pytest.approx(total, rel=1e-12)
+        assert np.allclose(end, np.concatenate([w, m, v]), rtol=0, atol=1e-13)
