@@ -14,6 +14,7 @@ import numpy as np
 
 SEGMENT_CACHE = 300_000          # entries; the cache starts anew beyond it (memory, not results)
 _LONG_SEGMENT = 64               # longer segments are worked on each time
+_MOVES = 1 << 18                 # moves of the automaton kept besides its tree
 _PLAIN = "԰"                # below this code point the split rule below agrees with every library version
 
 
@@ -73,6 +74,45 @@ class BpeFile:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+class Suffixes:
+    """Aho-Corasick automaton of a vocabulary: the tokens that end at each byte of a string, longest first."""
+
+    def __init__(self, ids: dict[bytes, int]):
+        self.step: dict[int, int] = {}
+        self.room = 0
+        above, token, depth = [0], [-1], [0]
+        for word, t in ids.items():
+            node = 0
+            for b in word:
+                key = node << 8 | b
+                node = self.step.get(key, -1)
+                if node < 0:
+                    node = self.step[key] = len(token)
+                    above.append(key)
+                    token.append(-1)
+                    depth.append(depth[key >> 8] + 1)
+            token[node] = t
+        self.fail, self.ends = [0] * len(token), [()] * len(token)
+        for node in sorted(range(1, len(token)), key=depth.__getitem__):
+            if depth[node] > 1:
+                self.fail[node] = self.move(self.fail[above[node] >> 8], above[node] & 255)
+            rest = self.ends[self.fail[node]]
+            self.ends[node] = ((token[node], depth[node]), *rest) if token[node] >= 0 else rest
+        self.room = len(self.step) + _MOVES
+
+    def move(self, node: int, byte: int) -> int:
+        """The state after one more byte: the longest suffix of the string that some token starts with."""
+        at = node
+        while True:
+            got = self.step.get(at << 8 | byte)
+            if got is not None or not at:
+                break
+            at = self.fail[at]
+        if at != node and len(self.step) < self.room:            # kept, so that the next time is one look
+            self.step[node << 8 | byte] = got or 0
+        return got or 0
+
+
 class PrefixCounter:
     """Exact token counts of every prefix of a piece, by dynamic programming.
 
@@ -83,6 +123,7 @@ class PrefixCounter:
     def __init__(self, bpe: BpeFile):
         self.bpe = bpe
         self._apart: dict[int, bool] = {}
+        self._suffixes: Suffixes | None = None
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging the bytes of tokens a, b together gives exactly a, b."""
@@ -129,8 +170,24 @@ class PrefixCounter:
 
     def counts(self, piece: bytes) -> list[int]:
         """Token counts of piece[:0], piece[:1], ..., piece."""
-        known: dict[int, tuple[int, int]] = {}
-        return [0] + [self._last(piece, i, known)[1] for i in range(1, len(piece) + 1)]
+        if self._suffixes is None:
+            self._suffixes = Suffixes(self.bpe.ids)
+        step, move, ends = self._suffixes.step, self._suffixes.move, self._suffixes.ends
+        known, apart, node = self._apart, self.apart, 0
+        last, count = [-1], [0]
+        for i, byte in enumerate(piece, 1):
+            after = step.get(node << 8 | byte)
+            node = move(node, byte) if after is None else after
+            for t, size in ends[node]:
+                j = i - size
+                if not j:
+                    break
+                border = known.get(last[j] << 20 | t)
+                if border or border is None and apart(last[j], t):
+                    break
+            last.append(t)
+            count.append(count[j] + 1)
+        return count
 
     def total(self, piece: bytes) -> int:
         """Token count of the piece; only the prefixes that its last tokens lead to are looked at."""

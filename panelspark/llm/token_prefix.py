@@ -8,6 +8,8 @@ encoding again.  Counts of recurring segments are cached in a task; results do n
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -120,10 +122,11 @@ class Prefixes:
 
 
 def _steps(counts: list[int]) -> bytes:
-    steps = [b - a for a, b in zip(counts, counts[1:])]
-    if steps and not -128 <= min(steps) <= max(steps) <= 127:
-        raise _Wide
-    return bytes(x & 255 for x in steps)
+    steps = list(map(int.__sub__, counts[1:], counts))
+    try:
+        return array("b", steps).tobytes()
+    except OverflowError:
+        raise _Wide from None
 
 
 def counts_of(row: bytes) -> np.ndarray:

@@ -144,3 +144,16 @@ def test_wide_differences(monkeypatch):
     assert wide[0] == 4 and T.counts_of(wide).tolist() == narrow
     with pytest.raises(T._Wide):
         T._steps([0, 200])
+
+
+def test_prefix_counts_look_only_at_tokens_that_end_there():
+    """The automaton lists just the vocabulary's tokens at a place, longest first, and a long piece takes linear work."""
+    tokenizer = bpe.load(PATH)
+    counter = bpe.PrefixCounter(tokenizer)
+    for piece in (b" therewithal", "é日本".encode(), b"=" * 300, b" x"):
+        assert counter.counts(piece) == [0] + [counter._last(piece, i, {})[1] for i in range(1, len(piece) + 1)]
+        node = 0
+        for i, byte in enumerate(piece, 1):
+            node = counter._suffixes.move(node, byte)
+            want = [tokenizer.ids[piece[j:i]] for j in range(i) if piece[j:i] in tokenizer.ids]
+            assert [t for t, _ in counter._suffixes.ends[node]] == want
