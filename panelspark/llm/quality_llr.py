@@ -2,14 +2,14 @@
 
 Unigrams and bigrams of whitespace words (bigrams within a text) are hashed into ``BUCKETS``
 buckets.  Two multinomials are estimated with add-one smoothing: the raw corpus from all documents,
-and the trusted target from a bounded sample of documents labelled good.  A text's score is the
+and the trusted target from all documents labelled good.  A text's score is the
 mean over its n-grams of ``ln(p_target / p_raw)``, so it does not depend on length.  Every
 document is kept or dropped by one threshold on the score rounded to six decimals.
 
 With a threshold of None the score and the cut do not hang on how many documents are labelled: p_target
-is half the target's share and half p_raw (an n-gram that a small sample lacks costs ln 2 at most), a
+is half the target's share and half p_raw (an n-gram that few good texts lack costs ln 2 at most), a
 target document is scored without its own counts, so it stands like any other document, and the cut is
-the one that best parts the labelled good rows, so scored, from rows labelled 0 (``held_out_cut``).
+the one that best parts all labelled good rows, so scored, from all rows labelled 0 (``held_out_cut``).
 """
 
 from __future__ import annotations
@@ -18,17 +18,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.llm import arrays as A
 from panelspark.llm.scratch import ready, stored, task_input, task_output, task_rest, task_text
 
 BUCKETS = 1 << 15
-TARGET_ROWS = 4096               # labelled documents in the target sample, by least hash of the id
 THRESHOLD = -0.08                # nats an n-gram, on average; labelled good texts score above, junk below
-CUT_ROWS = 4096                  # rows labelled 0 that the cut is drawn from, by least hash of the id
 GOOD_LOST = 0.05                 # share of the labelled good rows that such a cut may lose
 BACK_OFF = 0.5                   # share of p_raw in p_target, where the cut is drawn from labelled rows
+CUT_BANDS = 1000                 # score bands of one nat; the driver holds a row for each band with a score
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 
@@ -53,21 +52,16 @@ def gram_buckets(h: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _count(batches):
-    """Bucket counts of a task: of all rows, and of the target's rows."""
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Bucket counts of a task."""
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         data, off = A.text_buffers(batch.column(0))
-        good = batch.column(1).to_numpy(zero_copy_only=False)
         for a, b in A.blocks(off):
             d, o = data[off[a]:off[b]], off[a:b + 1] - off[a]
             s, e, wo = A.word_spans(d, o)
-            grams, go = gram_buckets(A.word_hashes(d, s, e), wo)
-            raw += np.bincount(grams, minlength=BUCKETS)
-            if good[a:b].any():
-                target += np.bincount(grams[np.repeat(good[a:b], np.diff(go))], minlength=BUCKETS)
-    seen = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(target[seen])],
-                                     ["bucket", "raw", "target"])
+            total += np.bincount(gram_buckets(A.word_hashes(d, s, e), wo)[0], minlength=BUCKETS)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["bucket", "n"])
 
 
 def _repeats(h: np.ndarray, g: np.ndarray, wo: np.ndarray, size: int) -> np.ndarray:
@@ -140,30 +134,38 @@ def _score(weights):
     return run
 
 
-def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """doc_id of the target sample: labelled good and not toxic, the ``rows`` of least hash."""
-    return (labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the target: all that are labelled good and not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def _counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every bucket over all documents and over the labelled sample.
+def _counts(texts: DataFrame) -> np.ndarray:
+    """Counts of every bucket over the column ``text``.
 
     Tasks add up their buckets, so at most BUCKETS rows a task are shuffled and BUCKETS reach the driver."""
-    sample = trusted_ids(labels).withColumn("__good", F.lit(True))
-    rows = (docs.select(F.coalesce("text", F.lit("")).alias("__text"), F.col("doc_id").cast("long").alias("doc_id"))
-            .join(F.broadcast(sample), "doc_id", "left").select("__text", F.coalesce("__good", F.lit(False)).alias("good")))
-    got = (rows.mapInArrow(_count, "bucket int, raw long, target long")
-           .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow())
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    at = got.column(0).to_numpy()
-    raw[at], target[at] = got.column(1).to_numpy(), got.column(2).to_numpy()
-    return raw, target
+    got = texts.select(F.coalesce("text", F.lit(""))).mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, carry: bool = False, junk: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(target ids ``__id``, stored labelled documents): the columns of ``task_input`` and ``__copies``, the rows of a
+    target id in ``docs``, 0 for rows labelled 0.  This join alone moves the texts, and at any size in the same way: labels
+    grow with the documents, so their ids are not sent whole to the tasks."""
+    trusted = stored(trusted_ids(labels).withColumnRenamed("doc_id", "__id"), "trusted-ids")
+    ids = docs.select(F.col("doc_id").cast("long").alias("__id"))
+    marked = ids.join(trusted, "__id").groupBy("__id").agg(F.count(F.lit(1)).alias("__copies"))
+    if junk:
+        bad = labels.where("quality = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct()
+        marked = marked.unionByName(bad.join(trusted, "__id", "left_anti").withColumn("__copies", F.lit(0).cast("long")))
+    rows = docs.where("doc_id is not null").select(*task_input(docs, carry), F.col("doc_id").cast("long").alias("__id"))
+    return trusted, stored(rows.join(stored(marked, "labelled-ids").hint("merge"), "__id").drop("__id"), "labelled", compression="zstd")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """ln(p_target / p_raw) of every bucket, add-one; all zero when no labelled text is there."""
-    raw, target = _counts(docs, labels)
+    raw, target = _counts(docs), _counts(_labelled(docs, labels, junk=False)[1])
     if not target.any():
         return np.zeros(BUCKETS)
     raw, target = raw + 1, target + 1
@@ -184,6 +186,40 @@ def held_out_cut(good: np.ndarray, junk: np.ndarray) -> float:
     return float(at[i] if i == 0 else (at[i] + at[i - 1]) / 2)
 
 
+def cut_of(seen: DataFrame) -> float:
+    """``held_out_cut`` of a table (good boolean, llr), with every row and in Spark: the distinct scores with their counts are
+    summed up within bands of 1 / CUT_BANDS, and only the bands' totals come to the driver."""
+    spark = seen.sparkSession
+    scores = stored(seen.groupBy("llr").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("junk"))
+                    .withColumn("band", F.floor(F.col("llr") * CUT_BANDS)), "scores")
+    bands = scores.groupBy("band").agg(F.sum("good").alias("good"), F.sum("junk").alias("junk"), F.max("llr").alias("top"),
+                                       F.min(F.when(F.col("good") > 0, F.col("llr"))).alias("first")).orderBy("band").collect()
+    n_good, n_junk = sum(r["good"] for r in bands), sum(r["junk"] for r in bands)
+    if not n_good or not n_junk:
+        return min((r["first"] for r in bands if r["good"]), default=0.0)
+    before, at, top = [], (0, 0), None
+    for r in bands:
+        before.append((r["band"], *at, top))
+        at, top = (at[0] + r["good"], at[1] + r["junk"]), r["top"]
+    starts = spark.createDataFrame(before, "band long, good_before long, junk_before long, top_before double")
+    order = Window.partitionBy("band").orderBy("llr")
+    inner = order.rowsBetween(Window.unboundedPreceding, -1)
+    lost = (F.col("good_before") + F.coalesce(F.sum("good").over(inner), F.lit(0))) / F.lit(float(n_good))
+    gone = (F.col("junk_before") + F.coalesce(F.sum("junk").over(inner), F.lit(0))) / F.lit(float(n_junk))
+    cuts = stored(scores.join(F.broadcast(starts), "band")
+                  .select("band", "llr", F.coalesce(F.lag("llr").over(order), "top_before").alias("lower"), lost.alias("lost"), gone.alias("gone"))
+                  .where(F.col("lost") <= GOOD_LOST).select("band", "llr", "lower", (F.col("lost") + 1 - F.col("gone")).alias("loss")), "cuts")
+    best = cuts.where(F.col("loss") <= cuts.agg(F.min("loss")).first()[0] + 1e-12)
+    ties = best.groupBy("band").count().orderBy("band").collect()
+    skip = sum(r["count"] for r in ties) // 2
+    for r in ties:
+        if skip < r["count"]:
+            break
+        skip -= r["count"]
+    cut = best.where(F.col("band") == r["band"]).orderBy("llr").offset(skip).limit(1).first()
+    return cut["llr"] if cut["lower"] is None else (cut["llr"] + cut["lower"]) / 2
+
+
 _FAILED = "(n_words < 20 or 100 * n_repeat_words > 30 * n_words)"
 _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double, "
 
@@ -191,27 +227,22 @@ _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 def _held_out(docs: DataFrame, labels: DataFrame, carry: bool) -> tuple[DataFrame, float]:
     """(scored rows, cut) where target documents are scored without themselves."""
     spark = docs.sparkSession
-    raw, target = _counts(docs, labels)
-    raw += 1
+    trusted, labelled = _labelled(docs, labels, carry)
+    raw = _counts(docs) + 1
+    target = _counts(labelled.where("__copies > 0").select("row.text" if carry else "text"))
     shared = spark.sparkContext.broadcast((raw / raw.sum(), target) if target.any() else np.zeros(BUCKETS))
-    ids = docs.select(F.col("doc_id").cast("long").alias("__id"))
-    # at most TARGET_ROWS rows; stored, so that it is found once
-    good = stored(ids.join(F.broadcast(trusted_ids(labels).withColumnRenamed("doc_id", "__id")), "__id")
-                  .groupBy("__id").agg(F.count(F.lit(1)).alias("__copies")), "target-ids")
-    junk = (labels.where("quality = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct()
-            .orderBy(F.xxhash64("__id"), "__id").limit(CUT_ROWS))
-    marked = stored(good.unionByName(junk.join(good, "__id", "left_anti").withColumn("__copies", F.lit(0).cast("long"))), "labelled-ids")
 
-    def scored(keep: list, table: DataFrame, ids: DataFrame, how: str, out: str) -> DataFrame:
-        rows = table.select(*keep, F.col("doc_id").cast("long").alias("__id")).join(F.broadcast(ids), "__id", how)
-        names = ["row" if carry and how == "left" else "doc_id", *([] if carry and how == "left" else ["text"])]
-        return rows.select(*names, F.coalesce("__copies", F.lit(0)).alias("__copies")).mapInArrow(_score(shared), _COLUMNS + out)
+    def scored(rows: DataFrame, out: str) -> DataFrame:
+        return rows.mapInArrow(_score(shared), _COLUMNS + out)
 
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = (scored(task_input(labelled, False), labelled, marked, "inner", "doc_id long").where(f"not {_FAILED}")
-            .join(F.broadcast(marked), F.col("doc_id") == F.col("__id")).groupBy(F.col("__copies") > 0, "llr").count().collect())
-    of = {k: np.repeat([r[1] for r in seen if r[0] == k], [r[2] for r in seen if r[0] == k]) for k in (True, False)}
-    return scored(task_input(docs, carry), docs, good, "left", task_output(docs, carry)), held_out_cut(of[True], of[False])
+    text = F.col("row.text" if carry else "text").alias("text")
+    seen = scored(labelled.select(F.col("__copies").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), "__copies"), "doc_id long")
+    cut = cut_of(seen.where(f"not {_FAILED}").select((F.col("doc_id") > 0).alias("good"), "llr"))
+    # scores are small rows: those of target documents are taken out after scoring, and come from the labelled texts
+    own = F.col("row.doc_id" if carry else "doc_id").cast("long")
+    out = task_output(docs, carry)
+    rest = scored(docs.select(*task_input(docs, carry), F.lit(0).cast("long").alias("__copies")), out).join(trusted, own == F.col("__id"), "left_anti")
+    return rest.unionByName(scored(labelled.where("__copies > 0"), out)), cut
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = THRESHOLD, carry: bool = False) -> DataFrame:
@@ -219,7 +250,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = THRESHOL
     n_dup_lines, n_repeat_words, base_failed, kept, llr of every row.
 
     A number as ``threshold`` cuts the plain add-one score; None draws the cut from the labelled rows,
-    and reads ``docs`` three times.  Defined results: a NULL or empty text has no words, scores 0 and fails the base rules;
+    and reads ``docs`` four times.  Defined results: a NULL or empty text has no words, scores 0 and fails the base rules;
     without labels every score is 0 and, unless the number says otherwise, only the base rules count; repeated rows get
     equal answers; a document labelled twice counts once in the target, one labelled both good and 0 is good."""
     if threshold is not None and not math.isfinite(threshold):

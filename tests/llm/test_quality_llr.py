@@ -129,3 +129,24 @@ def test_few_labels_keep_the_same_good_documents(spark):
     junk = {r.doc_id for r in labels.where("quality = 0").collect()}
     bad = [r for r in got if r.doc_id in junk and not r.base_failed]
     assert sum(r.kept for r in bad) <= 0.5 * len(bad)
+
+
+def test_every_labelled_row_counts(spark):
+    """No cap on the labelled rows: 5,000 good ones are the target, and brute force over all of them gives the scores."""
+    assert Q.trusted_ids(spark.range(5000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")).count() == 5000
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(3)) for _ in range(4500)]
+    want = brute(texts, set(range(4400)))
+    table = spark.createDataFrame([(i, int(i < 4400), 0) for i in range(4500)], "doc_id long, quality int, toxic int")
+    assert all(r.llr == pytest.approx(want[r.doc_id], abs=2e-6) for r in Q.judge(frame(spark, texts), table).collect())
+
+
+def test_the_cut_in_spark_equals_the_cut_of_arrays(spark):
+    rng = np.random.default_rng(6)
+    cases = [(rng.normal(0.2, 0.2, 300), rng.normal(-0.1, 0.2, 200)), (np.array([1.0, 2.0, 3.0]), np.array([-1.0, 0.0])),
+             (rng.integers(0, 6, 60) / 4, rng.integers(-3, 4, 50) / 4), (np.array([0.5]), np.array([])), (np.array([]), np.array([0.5])),
+             (np.array([0.1001, 0.1002, 0.1003]), np.array([0.1004, 0.1005]))]
+    for good, junk in cases:
+        good, junk = np.round(good, 6), np.round(junk, 6)
+        rows = [(True, float(x)) for x in good] + [(False, float(x)) for x in junk]
+        assert Q.cut_of(spark.createDataFrame(rows, "good boolean, llr double").repartition(3)) == Q.held_out_cut(good, junk)
