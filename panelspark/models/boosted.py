@@ -26,6 +26,7 @@ LEARNING_RATE = 0.05
 SUBSAMPLE = 0.8
 COLUMN_SAMPLE = 0.8
 SEED = 42
+TASK_ROWS = 1 << 14              # training rows that a task of a boosting round reads
 
 
 def feature_names(include_categorical: bool = True) -> list[str]:
@@ -56,9 +57,13 @@ def with_weights(train: DataFrame) -> tuple[DataFrame, float]:
 def fit_boosted(train: DataFrame, **kw) -> PipelineModel:
     """M1: fit on the training frame.  Boosting reads it every round, so it is written once to
     the shared checkpoint folder: the rounds scan a plain file instead of re-running the
-    feature / split lineage, and a lost executor does not recompute it."""
+    feature / split lineage, and a lost executor does not recompute it.  A file's row group is read by one
+    task, so many rows are dealt to as many files as TASK_ROWS asks for; the number follows from the rows alone."""
     checkpoint_dir(train.sparkSession)                # MLlib checkpoints the boosting state there
     weighted, _ = with_weights(train)
+    parts = -(-train.count() // TASK_ROWS)
+    if parts > 1:
+        weighted = weighted.repartition(parts, "subject_id")
     weighted = stored(weighted.withColumn(LABEL, F.col(LABEL).cast("double")), "boosted-train")
     return boosted_pipeline(**kw).fit(weighted)
 

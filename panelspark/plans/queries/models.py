@@ -120,12 +120,18 @@ def q_feature_build_report(spark, sf):
     return feat.feature_build_report(panel(spark, sf))
 
 
-def boosted_model(spark, sf, **kw):
+def boosted_frames(spark, sf):
+    """(training rows, test rows) of the split, stored once for the fit and all that reads beside it."""
+    s = stored(split_features(spark, sf), "boosted-split")
+    return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
+
+
+def boosted_model(spark, sf, frames=None, **kw):
     """(model, test rows).  The model of the training rows is kept in the shared folder under a key of their content, so the
     queries of one application that ask for the same model fit it once."""
-    tr, te = train_test(spark, sf)
+    tr, te = frames or boosted_frames(spark, sf)
     folder = f"{checkpoint_dir(spark).rstrip('/')}/panelspark-{spark.sparkContext.applicationId}/models"
-    return bst.fit_boosted_once(stored(tr, "boosted-rows"), folder, **kw), te
+    return bst.fit_boosted_once(tr, folder, **kw), te
 
 
 @query("boosted_trees_score_rows")
@@ -162,8 +168,9 @@ SELECT cast(10 AS bigint) AS n_features, true AS known, true AS descending, true
 def q_feature_importance_topk(spark, sf):
     """W6, as facts: ten known features in descending order with shares between 0 and 1, nothing for a feature that is the
     same in all training rows, and how many rows the model has seen."""
-    model, _ = boosted_model(spark, sf)
-    tr = train_test(spark, sf)[0]
+    frames = boosted_frames(spark, sf)
+    model, _ = boosted_model(spark, sf, frames)
+    tr = frames[0]
     top = bst.feature_importance_topk(model, 10)
     seen = tr.agg(F.count(F.lit(1)).alias("n_train"), F.count_if(F.col(LABEL) == 1).alias("n_positive"),
                   *[F.approx_count_distinct(c).alias(f"d_{c}") for c in feat.NUMERIC_FEATURES]).first()

@@ -184,3 +184,14 @@ def test_partitions_side_by_side_equal_plain_training():
             total += float(part.sum())
         assert (n, steps) == (len(keys), -(-len(keys) // je.BATCH)) and loss == pytest.approx(total, rel=1e-12)
         assert np.allclose(end, np.concatenate([w, m, v]), rtol=0, atol=1e-13)
+
+
+def test_boosting_deals_many_rows_to_many_tasks(spark, monkeypatch):
+    """One file of all training rows would be read by one task in every boosting round."""
+    from panelspark.models import boosted as bst
+    seen = []
+    monkeypatch.setattr(bst, "TASK_ROWS", 50)
+    monkeypatch.setattr(bst, "boosted_pipeline", lambda **kw: type("P", (), {"fit": lambda self, df: seen.append(df)})())
+    rows = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("subject_id"), (F.col("id") % 3 == 0).cast("int").alias(bst.LABEL))
+    bst.fit_boosted(rows)
+    assert len(seen[0].inputFiles()) == 8 and seen[0].count() == 400
