@@ -203,9 +203,9 @@ class SegmentCache(dict):
 
     Two generations: when the younger is full it becomes the older one, so frequent segments stay."""
 
-    def __init__(self, work):
+    def __init__(self, work, room: int | None = None):
         super().__init__()
-        self.work, self.older = work, {}
+        self.work, self.older, self.room = work, {}, room
 
     def __missing__(self, part: str):
         got = self.older.get(part)
@@ -215,7 +215,7 @@ class SegmentCache(dict):
             got = self.work(" " + part)
             if len(part) > _LONG_SEGMENT:
                 return got
-        if len(self) >= SEGMENT_CACHE:
+        if len(self) >= (self.room or SEGMENT_CACHE):
             self.older = self.copy()
             self.clear()
         self[part] = got
@@ -225,10 +225,11 @@ class SegmentCache(dict):
 class TextWork:
     """Per-text results put together from segments: ``whole(text)`` gives the parts' results in order."""
 
-    def __init__(self, bpe: BpeFile, work, special_result):
-        """``work``: result of a string without special strings; ``special_result``: of a special string."""
+    def __init__(self, bpe: BpeFile, work, special_result, room: int | None = None):
+        """``work``: result of a string without special strings; ``special_result``: of a special string;
+        ``room``: entries of the cache, if not SEGMENT_CACHE."""
         self.bpe, self.work, self.special_result = bpe, work, special_result
-        self.cache = SegmentCache(work)
+        self.cache = SegmentCache(work, room)
 
     def _plain(self, text: str) -> list:
         first, *rest = text.split(" ")

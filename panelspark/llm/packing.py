@@ -20,6 +20,7 @@ from panelspark.llm.scratch import ready, stored
 LENGTH = 2048
 END_ID = 1
 BATCH_IDS = 4 << 20              # ids given back at once
+CACHE = 80_000                   # cached segments; a worker keeps them while other stages use its memory
 
 
 class Ids:
@@ -28,7 +29,7 @@ class Ids:
     def __init__(self, path: str):
         self.bpe = B.load(path)
         self.type = B.id_type(self.bpe)
-        self._work = B.TextWork(self.bpe, self._encode, self._special)
+        self._work = B.TextWork(self.bpe, self._encode, self._special, CACHE)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.bpe.encode(text), self.type).tobytes()

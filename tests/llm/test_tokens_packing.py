@@ -157,3 +157,12 @@ def test_prefix_counts_look_only_at_tokens_that_end_there():
             node = counter._suffixes.move(node, byte)
             want = [tokenizer.ids[piece[j:i]] for j in range(i) if piece[j:i] in tokenizer.ids]
             assert [t for t, _ in counter._suffixes.ends[node]] == want
+
+
+def test_packing_keeps_a_small_cache(library):
+    """A worker holds the cache while other stages run, so packing's is smaller than the counters'; ids do not depend on it."""
+    work = packing.Ids(PATH)
+    text = " ".join(f"w{i}q" for i in range(3 * packing.CACHE))
+    got = np.frombuffer(work.whole("x " + text), work.type)
+    assert len(work._work.cache) + len(work._work.cache.older) <= 2 * packing.CACHE < bpe.SEGMENT_CACHE
+    assert got.tolist() == library.encode("x " + text, add_special_tokens=False).ids
